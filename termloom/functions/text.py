@@ -11,6 +11,8 @@ from inside a lambda could be re-evaluated per element once the optimizer inline
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,78 +74,88 @@ def rounded(tenths: Column) -> Column:
     return F.floor((tenths + 5) / 10).cast("bigint")
 
 
-def _occurrence(term: Column, at: Column, n: int, tenths: Column) -> Column:
-    return F.struct(
-        term.alias("term"), at.cast("int").alias("at"), F.lit(n).alias("n"), tenths.alias("tenths")
-    )
+def occurrences(words: Column, non_nouns: Iterable[str], params: Params) -> Column:
+    """array<struct<w0, w1, w2, at, tenths>>: each kept word with the two that follow, sorted.
 
+    Sorting by three words at once brings equal words, equal bigrams and equal trigrams together, so
+    one sort of the words serves all three, and no phrase is built unless it is kept.
+    """
+    plain = sorted(non_nouns)
 
-def _ngrams(words: Column, n: int, tenths: int) -> Column:
-    """Runs of ``n`` neighbours among the kept words; none when the page has fewer."""
-    starts = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    def chain(e: Column, i: Column) -> Column:
+        noun = ~e["word"].isin(*plain) if plain else None
+        return F.struct(
+            e["word"].alias("w0"),
+            F.get(words, i + 1)["word"].alias("w1"),
+            F.get(words, i + 2)["word"].alias("w2"),
+            i.cast("int").alias("at"),
+            word_tenths(e["word"], e["pos"], noun, params).cast("int").alias("tenths"),
+        )
 
-    def phrase(first: Column, i: Column) -> Column:
-        parts = [first["word"]] + [F.get(words, i + k)["word"] for k in range(1, n)]
-        return _occurrence(F.concat_ws(" ", *parts), i, n, F.lit(tenths))
+    return F.sort_array(F.transform(words, chain))
 
-    return F.transform(starts, phrase)
 
+def shared_words(occ: Column) -> Column:
+    """For each sorted occurrence, how many leading words (0 to 3) it shares with the one before."""
 
-def occurrences(words: Column, non_nouns: Iterable[str], params: Params) -> Column:
-    """All word, bigram and trigram occurrences of a page, equal terms side by side."""
-    plain = sorted(non_nouns)
+    def shared(e: Column, i: Column) -> Column:
+        before = F.get(occ, i - 1)
+        differs = [~F.coalesce(before[w] == e[w], F.lit(False)) for w in ("w0", "w1", "w2")]
+        return F.when(differs[0], 0).when(differs[1], 1).when(differs[2], 2).otherwise(3)
 
-    def single(e: Column, i: Column) -> Column:
-        noun = ~e["word"].isin(*plain) if plain else None
-        return _occurrence(e["word"], i, 1, word_tenths(e["word"], e["pos"], noun, params))
+    return F.transform(occ, shared)
 
-    return F.sort_array(
-        F.concat(
-            F.transform(words, single),
-            _ngrams(words, 2, params.bigram_tenths),
-            _ngrams(words, 3, params.trigram_tenths),
-        )
-    )
 
+def _runs(occ: Column, shared: Column, index: Column, n: int, params: Params) -> Column:
+    """array<struct<order, n, at, term>>: the distinct n-word terms that are frequent enough."""
+    least = {1: 1, 2: params.bigram_min_freq, 3: params.trigram_min_freq}[n]
 
-def top_terms(sorted_occurrences: Column, params: Params) -> Column:
-    """Collapse runs of equal terms, drop rare phrases, keep the best terms in rank order."""
-    occ = sorted_occurrences
-    index = F.when(F.size(occ) > 0, F.sequence(F.lit(0), F.size(occ) - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
+    def same_as_before(i: Column) -> Column:
+        return F.coalesce(F.get(shared, i) >= n, F.lit(False))
 
-    def same(i: Column, offset: Column | int) -> Column:
-        other = F.get(occ, i + offset)
-        return F.coalesce(other["term"] == F.get(occ, i)["term"], F.lit(False))
-
-    def supported(i: Column, direction: int) -> Column:
-        # A run is long enough exactly when the term min_freq - 1 places further is the same.
-        n = F.get(occ, i)["n"]
-        return (
-            F.when(n == 1, True)
-            .when(n == 2, same(i, direction * (params.bigram_min_freq - 1)))
-            .otherwise(same(i, direction * (params.trigram_min_freq - 1)))
-        )
+    def complete(i: Column) -> Column:
+        return F.lit(True) if n == 1 else F.get(occ, i)[f"w{n - 1}"].isNotNull()
 
-    starts = F.filter(index, lambda i: ~same(i, -1) & supported(i, 1))
-    ends = F.filter(index, lambda i: ~same(i, 1) & supported(i, -1))
+    # A run is long enough exactly when the occurrences next to its end belong to it too.
+    def starts(i: Column) -> Column:
+        inside = [same_as_before(i + k) for k in range(1, least)]
+        return reduce(and_, inside, ~same_as_before(i)) & complete(i)
 
-    def collapse(start: Column, end: Column) -> Column:
-        first = F.get(occ, start)
-        total = F.aggregate(
-            F.sequence(start, end),
-            F.lit(0).cast("bigint"),
-            lambda acc, i: acc + F.get(occ, i)["tenths"],
-        )
+    def ends(i: Column) -> Column:
+        inside = [same_as_before(i - k) for k in range(least - 1)]
+        return reduce(and_, inside, ~same_as_before(i + 1)) & complete(i)
+
+    def collapse(first: Column, last: Column) -> Column:
+        places = F.sequence(first, last)
+        if n == 1:
+            tenths = F.aggregate(
+                places, F.lit(0).cast("bigint"), lambda total, i: total + F.get(occ, i)["tenths"]
+            )
+        else:
+            weight = params.bigram_tenths if n == 2 else params.trigram_tenths
+            tenths = (last - first + 1).cast("bigint") * weight
+        start = F.get(occ, first)
         return F.struct(
-            (-total).alias("order"),
-            first["n"].alias("n"),
-            first["at"].alias("at"),
-            first["term"].alias("term"),
+            (-tenths).alias("order"),
+            F.lit(n).alias("n"),
+            F.array_min(F.transform(places, lambda i: F.get(occ, i)["at"])).alias("at"),
+            F.concat_ws(" ", *[start[f"w{k}"] for k in range(n)]).alias("term"),
         )
 
-    best = F.slice(F.sort_array(F.zip_with(starts, ends, collapse)), 1, params.max_keywords)
+    return F.zip_with(F.filter(index, starts), F.filter(index, ends), collapse)
+
+
+def top_terms(occ: Column, params: Params) -> Column:
+    """The best terms in rank order: score, then words before phrases, then first occurrence."""
+    index = F.when(F.size(occ) > 0, F.sequence(F.lit(0), F.size(occ) - 1)).otherwise(
+        F.array().cast("array<int>")
+    )
+
+    def ranked(shared: Column, index: Column) -> Column:
+        terms = F.concat(*[_runs(occ, shared, index, n, params) for n in (1, 2, 3)])
+        return F.slice(F.sort_array(terms), 1, params.max_keywords)
+
+    best = let(shared_words(occ), lambda shared: let(index, lambda i: ranked(shared, i)))
     return F.transform(
         best,
         lambda t, i: F.struct(

@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 from termloom.functions.joins import join_on
 from termloom.operators.content import succeeded
 from termloom.operators.keywords import keywords
+from termloom.operators.topics import DEFAULT_TAXONOMY, Taxonomy
 from termloom.params import DEFAULT_PARAMS, Params
 
 
-def page_counters(analysis: DataFrame, topic_order_of=None) -> DataFrame:
+def page_counters(analysis: DataFrame, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
     """``(ord, url, n_chars, error, n_keywords, n_topics)`` per page."""
-    from termloom.operators.topics import DEFAULT_TAXONOMY
-
-    order_of = topic_order_of or DEFAULT_TAXONOMY.order_of
-    topics = F.array_distinct(F.transform("keywords", lambda k: order_of(k["keyword"])))
+    topics = F.array_distinct(F.transform("keywords", lambda k: taxonomy.order_of(k["keyword"])))
     return analysis.select(
         "ord",
         "url",

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.functions.partitioning import spread_scan
 from termloom.sources.crawl import NO_RESPONSE_ERROR
 
 
 def read_page_table(spark: SparkSession, path: str, key: str = "page_id") -> DataFrame:
     """``(ord, url, html)`` from a Parquet table of pages."""
-    return spark.read.parquet(path).select(F.col(key).alias("ord"), "url", "html")
+    scan = spark.read.parquet(path).select(F.col(key).alias("ord"), "url", "html")
+    return spread_scan(scan, "ord")
 
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
@@ -21,12 +23,9 @@ def read_html_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, *extra: str) -> DataFrame:
     """``(ord, url, text, …)`` from a Parquet table of plain texts."""
-    return spark.read.parquet(path).select(
-        F.col("doc_id").alias("ord"),
-        F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"),
-        "text",
-        *extra,
-    )
+    scan = spark.read.parquet(path).select(F.col("doc_id").alias("ord"), "text", *extra)
+    url = F.concat(F.lit("doc:"), F.col("ord").cast("string")).alias("url")
+    return spread_scan(scan, "ord").select("ord", url, "text", *extra)
 
 
 def look_up_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:
