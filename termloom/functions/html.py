@@ -240,19 +240,22 @@ def main_text(html: str, min_main_chars: int = 200) -> tuple[str, str]:
 _RESULT = pa.struct([("text", pa.string()), ("place", pa.string()), ("error", pa.string())])
 
 
+def read_page(html: str | None, min_main_chars: int) -> dict[str, str | None]:
+    """One result row; a page that cannot be read becomes an error, not a failed job."""
+    row: dict[str, str | None] = {"text": None, "place": None, "error": None}
+    try:
+        if html is not None:
+            row["text"], row["place"] = main_text(html, min_main_chars)
+    except Exception as problem:  # noqa: BLE001 - reported in the row
+        row["error"] = str(problem) or repr(problem)
+    return row
+
+
 def main_text_column(html: Column, min_main_chars: int) -> Column:
-    """struct<text, place, error>; a page that cannot be read becomes an error, not a failed job."""
+    """struct<text, place, error> of each page."""
 
     @F.arrow_udf("text string, place string, error string")
     def extract(pages: pa.Array) -> pa.Array:
-        rows = []
-        for page in pages:
-            try:
-                value = page.as_py()
-                text, place = (None, None) if value is None else main_text(value, min_main_chars)
-                rows.append({"text": text, "place": place, "error": None})
-            except Exception as problem:  # noqa: BLE001 - reported in the row
-                rows.append({"text": None, "place": None, "error": str(problem) or repr(problem)})
-        return pa.array(rows, type=_RESULT)
+        return pa.array([read_page(page.as_py(), min_main_chars) for page in pages], type=_RESULT)
 
     return extract(html)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.ranking import with_rank
 from termloom.params import DEFAULT_PARAMS, Params
 
 
-def _read_strings(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+def _csv(spark: SparkSession, multi_line: bool) -> DataFrameReader:
     return (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
@@ -19,30 +19,21 @@ def _read_strings(spark: SparkSession, path: str, multi_line: bool) -> DataFrame
         .option("mode", "FAILFAST")
         # Every field is parsed, so a row with too few fields fails even if its URL is present.
         .option("columnPruning", False)
-        .csv(path)
     )
 
 
-def _with_exact_header(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    """Read with the header's own spelling: ``URL`` and ``url`` may stand side by side."""
+def _header(spark: SparkSession, path: str, multi_line: bool) -> list[str]:
+    """The column names as written: Spark would rename ``url`` beside ``URL``."""
     key = "spark.sql.caseSensitive"
     before = spark.conf.get(key)
     spark.conf.set(key, "true")
     try:
-        raw = _read_strings(spark, path, multi_line)
-        names = raw.columns
-        picked = [F.col(f"`{n}`").alias(f"_{n.lower()}_{n}") for n in names if n in ("URL", "url")]
-        return raw.select(
-            *picked,
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_line"),
-        )
+        return _csv(spark, multi_line).csv(path).columns
     finally:
         spark.conf.set(key, before)
 
 
-def choose_urls(upper: F.Column, lower: F.Column) -> F.Column:
+def choose_urls(upper: Column, lower: Column) -> Column:
     """``URL`` unless it is empty, then ``url``, then the empty text."""
     return F.coalesce(F.nullif(upper, F.lit("")), F.nullif(lower, F.lit("")), F.lit(""))
 
@@ -72,10 +63,20 @@ def read_urls(
     then splits. A missing path or a malformed row is an error, and so is an empty list unless
     ``require`` is False.
     """
-    raw = _with_exact_header(spark, path, multi_line)
-    upper = F.col("_url_URL") if "_url_URL" in raw.columns else F.lit(None).cast("string")
-    lower = F.col("_url_url") if "_url_url" in raw.columns else F.lit(None).cast("string")
-    found = keep_http(raw.select("_file", "_block", "_line", choose_urls(upper, lower).alias("url")))
+    names = _header(spark, path, multi_line)
+    columns = [f"c{i}" for i in range(len(names))]
+    raw = _csv(spark, multi_line).schema(", ".join(f"{c} string" for c in columns)).csv(path)
+    upper, lower = (
+        F.col(columns[names.index(n)]) if n in names else F.lit(None).cast("string")
+        for n in ("URL", "url")
+    )
+    listed = raw.select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+        choose_urls(upper, lower).alias("url"),
+    )
+    found = keep_http(listed)
     numbered = with_rank(found, [], [F.col("_file"), F.col("_block"), F.col("_line")], "ord", "bigint")
     urls = first_urls(numbered.select((F.col("ord") - 1).alias("ord"), "url"), params)
     if require and urls.isEmpty():
