@@ -11,7 +11,7 @@ from inside a lambda could be re-evaluated per element once the optimizer inline
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import and_
 
 from pyspark.sql import Column
@@ -151,11 +151,25 @@ def top_terms(occ: Column, params: Params) -> Column:
         F.array().cast("array<int>")
     )
 
-    def ranked(shared: Column, index: Column) -> Column:
-        terms = F.concat(*[_runs(occ, shared, index, n, params) for n in (1, 2, 3)])
-        return F.slice(F.sort_array(terms), 1, params.max_keywords)
+    def ranked(shared: Column, index: Column, paired: Column) -> Column:
+        runs = [_runs(occ, shared, index, 1, params)]
+        for n, least in ((2, params.bigram_min_freq), (3, params.trigram_min_freq)):
+            runs.append(_runs(occ, shared, index if least == 1 else paired, n, params))
+        return F.slice(F.sort_array(F.concat(*runs)), 1, params.max_keywords)
+
+    def repeats(shared: Column, index: Column) -> Column:
+        """The few occurrences that share two words or more with a neighbour."""
+        return F.filter(
+            index,
+            lambda i: (F.get(shared, i) >= 2) | F.coalesce(F.get(shared, i + 1) >= 2, F.lit(False)),
+        )
 
-    best = let(shared_words(occ), lambda shared: let(index, lambda i: ranked(shared, i)))
+    best = let(
+        shared_words(occ),
+        lambda shared: let(
+            index, lambda i: let(repeats(shared, i), lambda paired: ranked(shared, i, paired))
+        ),
+    )
     return F.transform(
         best,
         lambda t, i: F.struct(
@@ -180,5 +194,13 @@ def page_keywords(
     )
 
 
+@lru_cache(maxsize=32)
+def text_keywords(
+    application: str, stop_words: frozenset[str], non_nouns: frozenset[str], params: Params
+) -> Column:
+    """``page_keywords`` of the column ``text``; building it takes thousands of calls to the JVM."""
+    return page_keywords(F.col("text"), stop_words, non_nouns, params).cast(KEYWORD_STRUCT)
+
+
 def collapse_white_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITE_SPACE, " "))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.functions.joins import join_on
+from termloom.functions.joins import join_to_groups
 from termloom.operators.content import succeeded
 from termloom.operators.keywords import keywords
 from termloom.operators.topics import DEFAULT_TAXONOMY, Taxonomy
@@ -72,15 +72,18 @@ def keyword_totals(analysis: DataFrame, group_cols: Sequence[str] = ()) -> DataF
 
 
 def with_stats(
-    df: DataFrame, stats: DataFrame, names: Sequence[str], group_cols: Sequence[str] = ()
+    df: DataFrame,
+    stats: DataFrame,
+    names: Sequence[str],
+    group_cols: Sequence[str] = (),
+    spread_by: str = "keyword",
 ) -> DataFrame:
     """Add columns of the per-group ``stats`` to every row of ``df``.
 
-    Without groups they are scalar subqueries; with groups this is a join that Spark broadcasts
-    when the statistics are small and otherwise splits where a group is hot.
+    Without groups they are scalar subqueries; with groups this is a salted join.
     """
     if group_cols:
-        return join_on(df, stats.select(*group_cols, *names), group_cols)
+        return join_to_groups(df, stats.select(*group_cols, *names), group_cols, spread_by)
     return df.withColumns({name: stats.select(name).scalar() for name in names})
 
 
@@ -89,26 +92,30 @@ def common_lists(
     stats: DataFrame,
     group_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per group with ``shared`` and ``common``: arrays of structs in rank order.
+    """One row per group: ``processed_urls``, and ``shared`` and ``common`` in rank order.
 
     ``shared`` holds all keywords at or above the threshold, ``common`` those left after single
     words that occur inside a shared phrase are dropped. A page has at most ``max_keywords``
     keywords and the threshold is at least ``common_ratio`` of the pages, so a group has at most
     ``max_keywords / common_ratio`` shared keywords: the arrays are small whatever the data size.
     """
-    reached = with_stats(totals, stats, ["threshold"], group_cols).where(
+    reached = with_stats(totals, stats, ["threshold", "processed_urls"], group_cols).where(
         F.col("df") >= F.col("threshold")
     )
     entry = F.struct(
         (-F.col("df")).alias("order"), "first_ord", "first_rank", "keyword", "n", "df", "total"
     )
-    shared = reached.groupBy(*group_cols).agg(F.array_sort(F.collect_list(entry)).alias("shared"))
+    shared = reached.groupBy(*group_cols).agg(
+        F.array_sort(F.collect_list(entry)).alias("shared"),
+        F.max("processed_urls").alias("processed_urls"),
+    )
     phrases = F.filter("shared", lambda k: k["n"] > 1)
     inside = F.array_distinct(
         F.flatten(F.transform(phrases, lambda k: F.split(k["keyword"], " ")))
     )
     return shared.withColumn("_inside", inside).select(
         *group_cols,
+        "processed_urls",
         "shared",
         F.filter(
             "shared", lambda k: (k["n"] > 1) | ~F.array_contains("_inside", k["keyword"])

@@ -72,13 +72,6 @@ def gap_long_tail(
     )
 
 
-def with_lists(
-    analysis: DataFrame, lists: DataFrame, names: Sequence[str], group_cols: Sequence[str]
-) -> DataFrame:
-    """The bounded arrays of ``common_lists`` beside every page; null where a group has none."""
-    return with_stats(analysis, lists, names, group_cols)
-
-
 def gap_semantic(
     analysis: DataFrame,
     totals: DataFrame,
@@ -95,9 +88,11 @@ def gap_semantic(
     """
     group = list(group_cols)
     lists = common_lists(totals, stats, group)
-    pages = with_lists(analysis.where(succeeded()), lists, ["shared", "common"], group)
+    names = ["shared", "common", "processed_urls"]
+    pages = with_stats(analysis.where(succeeded()), lists, names, group, "ord")
     words = pages.select(
         *group,
+        "processed_urls",
         F.filter(
             "common",
             lambda c: F.exists("keywords", lambda k: k["keyword"] == c["keyword"]),
@@ -108,19 +103,22 @@ def gap_semantic(
         ).alias("others"),
     )
     pairs = (
-        words.select(*group, "seeds", F.explode("others").alias("keyword"))
-        .select(*group, "keyword", F.explode("seeds").alias("s"))
-        .select(*group, "keyword", F.col("s.keyword").alias("seed"), F.col("s.df").alias("seed_df"))
+        words.select(*group, "processed_urls", "seeds", F.explode("others").alias("keyword"))
+        .select(*group, "processed_urls", "keyword", F.explode("seeds").alias("s"))
+        .select(*group, "processed_urls", "keyword", "s.df", F.col("s.keyword").alias("seed"))
     )
     counted = (
         pairs.groupBy(*group, "keyword", "seed")
-        .agg(F.count(F.lit(1)).alias("n_ab"), F.min("seed_df").alias("seed_df"))
+        .agg(
+            F.count(F.lit(1)).alias("n_ab"),
+            F.min("df").alias("seed_df"),
+            F.min("processed_urls").alias("processed_urls"),
+        )
         .where(F.col("n_ab") >= min_pages)
     )
     # A term meets at most max_keywords / common_ratio seeds, so no join key is hot.
     terms = totals.select(*group, "keyword", "df").where(F.col("df") >= min_pages)
     met = join_on(counted, terms, [*group, "keyword"], "inner")
-    met = with_stats(met, stats, ["processed_urls"], group)
     lift = (F.col("processed_urls") * F.col("n_ab")) / (F.col("df") * F.col("seed_df"))
     scored = met.withColumn("lift", lift)
     best_seed = Window.partitionBy(*group, "keyword").orderBy(F.desc("lift"), F.desc("n_ab"), "seed")
@@ -150,7 +148,7 @@ def gap_missing(
     The bounded list of common keywords stands beside each page and loses what the page has.
     """
     lists = common_lists(totals, stats, group_cols)
-    pages = with_lists(analysis.where(succeeded()), lists, ["common"], group_cols)
+    pages = with_stats(analysis.where(succeeded()), lists, ["common"], group_cols, "ord")
     lacks = F.filter(
         "common", lambda c: ~F.exists("keywords", lambda k: k["keyword"] == c["keyword"])
     )

@@ -19,6 +19,9 @@ from termloom.vocab import STOP_WORDS
 # How many parts the occurrences of one word split into when they meet a large lexicon.
 LEXICON_SALTS = 16
 
+# Columns of the input that tell a page's size without reading its text. They route pages only.
+SIZE_HINTS = ("size_hint", "html_chars")
+
 
 def _rows(df: DataFrame, array: Column, *columns: str) -> DataFrame:
     """Explode ``array`` to a struct column ``e`` beside ``columns``.
@@ -152,6 +155,14 @@ def _keywords_by_rows(
     )
 
 
+def _is_huge(pages: DataFrame, params: Params) -> Column | None:
+    if params.in_row_max_chars is None:
+        return None
+    hints = [F.col(name) for name in SIZE_HINTS if name in pages.columns]
+    size = hints[0] if hints else F.length("text")
+    return F.coalesce(size > params.in_row_max_chars, F.lit(False))
+
+
 def analyze_pages(
     texts: DataFrame,
     stop_words: Iterable[str] = STOP_WORDS,
@@ -165,11 +176,13 @@ def analyze_pages(
     with an error has no keywords. ``lexicon(word, is_noun)`` says which words are nouns; a word it
     does not list counts as one.
 
-    Most pages are scored inside their own row. Huge pages, and all pages when the lexicon is too
-    large to inline, take the relational form; the two agree.
+    Pages are scored inside their own row. If there are huge ones, those take the relational form, as
+    do all pages when the lexicon is too large to inline; the two forms agree. Looking for huge pages
+    is a job of its own: it reads a size column if the source has one (see ``SIZE_HINTS``), which
+    Parquet statistics answer, and otherwise the text lengths.
     """
     gated = gate_content(texts, params)
-    carried = [c for c in gated.columns if c not in ("text", "html_chars")]
+    carried = [c for c in gated.columns if c not in ("text", *SIZE_HINTS)]
     inline: list[str] = []
     large = None
     if lexicon is not None:
@@ -180,16 +193,15 @@ def analyze_pages(
     if large is not None:
         return _keywords_by_rows(gated, carried, stop_words, (), large, params)
 
-    size = F.col("html_chars") if "html_chars" in gated.columns else F.length("text")
-    huge = F.coalesce(size, F.lit(0)) > params.in_row_max_chars
-    scored = tx.page_keywords(F.col("text"), stop_words, inline, params).cast(tx.KEYWORD_STRUCT)
+    huge = _is_huge(gated, params)
+    application = texts.sparkSession.sparkContext.applicationId
+    scored = tx.text_keywords(application, frozenset(stop_words), frozenset(inline), params)
     none = F.array().cast(tx.KEYWORD_STRUCT)
-    in_row = gated.where(~huge).select(
-        *carried, F.when(succeeded(), scored).otherwise(none).alias("keywords")
-    )
-    return in_row.unionByName(
-        _keywords_by_rows(gated.where(huge), carried, stop_words, inline, None, params)
-    )
+    in_row = F.when(succeeded(), scored).otherwise(none).alias("keywords")
+    if huge is None or gated.where(huge).isEmpty():
+        return gated.select(*carried, in_row)
+    by_rows = _keywords_by_rows(gated.where(huge), carried, stop_words, inline, None, params)
+    return gated.where(~huge).select(*carried, in_row).unionByName(by_rows)
 
 
 def keywords(analysis: DataFrame, *extra: str) -> DataFrame:

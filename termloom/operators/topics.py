@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.functions.joins import join_on
+from termloom.functions.joins import join_on, join_to_groups
 from termloom.functions.ranking import number_slices, sort_into_slices
 from termloom.operators.keywords import keywords
 from termloom.vocab import FALLBACK_TOPIC, TOPIC_SEEDS
@@ -139,10 +139,12 @@ def merged_topics(
         .agg(F.min("first_ord").alias("first_ord"))
         .select(*keys, F.row_number().over(by_first_page).alias("topic_rank"))
     )
-    if not group:
-        topics = F.broadcast(topics)  # one row per topic of the taxonomy
     ranked = number_slices(sliced, keys, order, "rank").where(~F.col("fragment"))
-    return join_on(ranked, topics, keys).select(
+    if group:
+        placed = join_to_groups(ranked, topics, keys, "keyword")
+    else:
+        placed = join_on(ranked, F.broadcast(topics), keys)  # one row per topic of the taxonomy
+    return placed.select(
         *group,
         taxonomy.name_of(F.col("topic_order")).alias("topic"),
         "topic_rank",

@@ -34,7 +34,8 @@ class Params:
     gap_items: int = 15
 
     # Physical choices: they steer the plan and never change a result.
-    in_row_max_chars: int = 4_000_000
+    # Larger pages are scored as rows; None scores all pages in their row and skips looking for them.
+    in_row_max_chars: int | None = 4_000_000
     inline_lexicon_words: int = 20_000
     # A prompt holds at most this many pages; a larger group gets several prompts.
     pages_per_prompt: int = 1_000

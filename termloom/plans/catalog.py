@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from termloom.operators import aggregate, content, gap, prompts, topics
 from termloom.operators import keywords as kw
 from termloom.params import Params
+from termloom.plans.analysis import analyze_url_list
 from termloom.sinks import reports
 from termloom.sources import crawl, urls
 from termloom.sources.pages import look_up_pages, read_documents, read_page_table
@@ -162,10 +163,9 @@ def first_urls(spark, sf):
     return urls.first_urls(listed, replace(BASE, max_urls=FIRST_URLS))
 
 
-def url_lookup(spark, sf):
+def url_list(crawled: DataFrame) -> DataFrame:
     """Every crawled URL listed twice, once as it is and once as a URL that was never crawled."""
-    crawled = pages(spark, sf)
-    twice = crawled.select(
+    return crawled.select(
         F.explode(
             F.array(
                 F.struct((F.col("ord") * 2).alias("ord"), F.col("url").alias("url")),
@@ -173,10 +173,20 @@ def url_lookup(spark, sf):
             )
         ).alias("u")
     ).select("u.*")
-    found = look_up_pages(twice, crawled)
+
+
+def url_lookup(spark, sf):
+    crawled = pages(spark, sf)
+    found = look_up_pages(url_list(crawled), crawled)
     return found.select("ord", "url", F.length("html").cast("bigint").alias("html_chars"), "error")
 
 
+def url_list_counters(spark, sf):
+    crawled = pages(spark, sf)
+    found = analyze_url_list(url_list(crawled), crawled, BASE)
+    return aggregate.page_counters(found, TAXONOMY)
+
+
 def crawl_resolve(spark, sf):
     crawled = pages(spark, sf)
     kind = F.col("ord") % 8
@@ -317,7 +327,7 @@ QUERIES: dict[str, Query] = {
         content_gate, tokens_filtered, word_scores, ngram_counts, keywords_top50, keywords_lexicon,
         page_counters, keyword_totals, common_keywords, common_by_lang, keyword_topics, page_topics,
         merged_topics, merged_topics_by_lang, run_stats, run_stats_by_lang, url_filter, first_urls,
-        url_lookup, crawl_resolve, page_text, page_keywords, prompt_blocks, gap_prompt,
+        url_lookup, url_list_counters, crawl_resolve, page_text, page_keywords, prompt_blocks, gap_prompt,
         gap_prompt_by_lang, parse_responses, response_errors, gap_common, gap_underutilized,
         gap_underutilized_by_lang, gap_long_tail, gap_semantic, gap_semantic_by_lang, gap_missing,
         gap_report, url_report, common_report,

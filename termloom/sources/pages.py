@@ -22,20 +22,26 @@ def read_html_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, *extra: str) -> DataFrame:
-    """``(ord, url, text, …)`` from a Parquet table of plain texts."""
-    scan = spark.read.parquet(path).select(F.col("doc_id").alias("ord"), "text", *extra)
+    """``(ord, url, text, size_hint, …)`` from a Parquet table of plain texts."""
+    scan = spark.read.parquet(path).select(
+        F.col("doc_id").alias("ord"), "text", F.col("n_chars").alias("size_hint"), *extra
+    )
     url = F.concat(F.lit("doc:"), F.col("ord").cast("string")).alias("url")
-    return spread_scan(scan, "ord").select("ord", url, "text", *extra)
+    return spread_scan(scan, "ord").select("ord", url, "text", "size_hint", *extra)
 
 
 def look_up_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """``(ord, url, html, error)``: the crawled page of every listed URL, an error where none is.
+    """Every listed URL with the columns of its page, and an ``error`` where there is no page.
 
-    ``pages`` holds one row per URL. A URL may be listed many times; the join is left to Spark, whose
-    adaptive execution splits the hot partition on the list side.
+    ``pages`` holds one row per URL: raw pages, or pages already analysed. A URL may be listed many
+    times; the join is left to Spark, whose adaptive execution splits a hot URL on the list side.
     """
-    crawled = pages.select("url", "html", F.lit(True).alias("_crawled"))
+    values = [c for c in pages.columns if c not in ("ord", "url", "error")]
+    before = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+    crawled = pages.select("url", *values, before.alias("_error"), F.lit(True).alias("_crawled"))
     missing = F.concat(F.lit(NO_RESPONSE_ERROR), F.col("url"))
     return urls.join(crawled, "url", "left").select(
-        "ord", "url", "html", F.when(F.col("_crawled").isNull(), missing).alias("error")
+        *urls.columns,
+        *values,
+        F.when(F.col("_crawled").isNull(), missing).otherwise(F.col("_error")).alias("error"),
     )

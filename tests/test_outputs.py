@@ -3,11 +3,12 @@ from dataclasses import replace
 
 import pytest
 
+from reference_scoring import ranked_keywords
 from termloom.operators import prompts
 from termloom.operators.keywords import analyze_pages
 from termloom.operators.topics import Taxonomy
 from termloom.params import Params
-from termloom.plans.analysis import run_analysis
+from termloom.plans.analysis import analyze_url_list, run_analysis
 from termloom.sinks import reports
 from test_across_pages import TAXONOMY, frame, page
 from termloom.vocab import GAP_SECTIONS
@@ -152,3 +153,22 @@ def test_custom_inputs(spark):
     row = analyze_pages(df, stop_words=["beta"], params=params).first()
     assert [k.keyword for k in row.keywords] == ["alpha", "gamma"]
     assert Taxonomy.of({"T": ["alp"]}).names == ["T", "General"]
+
+
+def test_url_list_names_a_page_often(spark):
+    listed = spark.createDataFrame(
+        [(i, "http://a" if i % 3 else "http://b") for i in range(12)] + [(12, "http://none"), (13, "http://c")],
+        "ord bigint, url string",
+    )
+    crawled = spark.createDataFrame(HTML, "page_id bigint, url string, html string").drop("page_id")
+    for in_row in (None, -1, 10**6):
+        found = analyze_url_list(listed, crawled, Params(in_row_max_chars=in_row))
+        rows = {r.ord: r for r in found.collect()}
+        assert len(rows) == 14 and found.count() == 14
+        assert {len(rows[i].keywords) for i in range(12)} == {len(rows[0].keywords), len(rows[1].keywords)}
+        best = ranked_keywords("visa fee permit. " * 30)
+        assert [k.keyword for k in rows[1].keywords] == [b[0] for b in best] and rows[1].error is None
+        assert rows[12].error == "No response received for http://none" and rows[12].keywords == []
+        assert rows[13].error == "Insufficient content extracted"
+    stats = run_analysis(found)["run_stats"].first()
+    assert (stats.total_urls, stats.processed_urls, stats.failed_urls, stats.threshold) == (14, 12, 2, 6)
