@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.joins import join_to_groups
+from termloom.functions.text import let
 from termloom.operators.content import succeeded
 from termloom.operators.keywords import keywords
 from termloom.operators.topics import DEFAULT_TAXONOMY, Taxonomy
@@ -92,10 +93,10 @@ def common_lists(
     stats: DataFrame,
     group_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per group: ``processed_urls``, and ``shared`` and ``common`` in rank order.
+    """One row per group: ``processed_urls``, ``shared`` and ``common``, the lists in rank order.
 
-    ``shared`` holds all keywords at or above the threshold, ``common`` those left after single
-    words that occur inside a shared phrase are dropped. A page has at most ``max_keywords``
+    ``shared`` names all keywords at or above the threshold; ``common`` holds, as structs, those left
+    after single words that occur inside a shared phrase are dropped. A page has at most ``max_keywords``
     keywords and the threshold is at least ``common_ratio`` of the pages, so a group has at most
     ``max_keywords / common_ratio`` shared keywords: the arrays are small whatever the data size.
     """
@@ -106,20 +107,24 @@ def common_lists(
         (-F.col("df")).alias("order"), "first_ord", "first_rank", "keyword", "n", "df", "total"
     )
     shared = reached.groupBy(*group_cols).agg(
-        F.array_sort(F.collect_list(entry)).alias("shared"),
+        F.array_sort(F.collect_list(entry)).alias("entries"),
         F.max("processed_urls").alias("processed_urls"),
     )
-    phrases = F.filter("shared", lambda k: k["n"] > 1)
+    phrases = F.filter("entries", lambda k: k["n"] > 1)
     inside = F.array_distinct(
         F.flatten(F.transform(phrases, lambda k: F.split(k["keyword"], " ")))
     )
-    return shared.withColumn("_inside", inside).select(
+    common = let(
+        inside,
+        lambda words: F.filter(
+            "entries", lambda k: (k["n"] > 1) | ~F.array_contains(words, k["keyword"])
+        ),
+    )
+    return shared.select(
         *group_cols,
         "processed_urls",
-        "shared",
-        F.filter(
-            "shared", lambda k: (k["n"] > 1) | ~F.array_contains("_inside", k["keyword"])
-        ).alias("common"),
+        F.transform("entries", lambda k: k["keyword"]).alias("shared"),
+        common.alias("common"),
     )
 
 

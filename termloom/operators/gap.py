@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.joins import join_on
+from termloom.functions.text import let
 from termloom.operators.aggregate import common_keywords, common_lists, with_stats
 from termloom.operators.content import succeeded
 from termloom.params import DEFAULT_PARAMS, Params
@@ -72,6 +73,22 @@ def gap_long_tail(
     )
 
 
+def _page_names() -> Column:
+    return F.transform("keywords", lambda k: k["keyword"])
+
+
+def _common_of_page(present: bool) -> Column:
+    """The entries of ``common`` that the page has, or those that it lacks."""
+
+    def wanted(names: Column, keyword: Column) -> Column:
+        has = F.array_contains(names, keyword)
+        return has if present else ~has
+
+    return let(
+        _page_names(), lambda names: F.filter("common", lambda c: wanted(names, c["keyword"]))
+    )
+
+
 def gap_semantic(
     analysis: DataFrame,
     totals: DataFrame,
@@ -93,18 +110,14 @@ def gap_semantic(
     words = pages.select(
         *group,
         "processed_urls",
-        F.filter(
-            "common",
-            lambda c: F.exists("keywords", lambda k: k["keyword"] == c["keyword"]),
-        ).alias("seeds"),
-        F.filter(
-            F.transform("keywords", lambda k: k["keyword"]),
-            lambda k: ~F.exists("shared", lambda s: s["keyword"] == k),
-        ).alias("others"),
+        _common_of_page(present=True).alias("seeds"),
+        F.array_except(_page_names(), "shared").alias("others"),
     )
+    # Outer explodes: the inner form would evaluate the arrays once more in a derived filter.
     pairs = (
-        words.select(*group, "processed_urls", "seeds", F.explode("others").alias("keyword"))
-        .select(*group, "processed_urls", "keyword", F.explode("seeds").alias("s"))
+        words.select(*group, "processed_urls", "seeds", F.explode_outer("others").alias("keyword"))
+        .select(*group, "processed_urls", "keyword", F.explode_outer("seeds").alias("s"))
+        .where(F.col("keyword").isNotNull() & F.col("s").isNotNull())
         .select(*group, "processed_urls", "keyword", "s.df", F.col("s.keyword").alias("seed"))
     )
     counted = (
@@ -149,9 +162,7 @@ def gap_missing(
     """
     lists = common_lists(totals, stats, group_cols)
     pages = with_stats(analysis.where(succeeded()), lists, ["common"], group_cols, "ord")
-    lacks = F.filter(
-        "common", lambda c: ~F.exists("keywords", lambda k: k["keyword"] == c["keyword"])
-    )
+    lacks = _common_of_page(present=False)
     return (
         pages.select(*group_cols, "ord", "url", F.posexplode_outer(lacks).alias("i", "k"))
         .where(F.col("k").isNotNull())
