@@ -4,7 +4,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from reference_scoring import kept, ranked_keywords
+from plain_scoring import kept, ranked_keywords
 from termloom.operators import content
 from termloom.operators import keywords as kw
 from termloom.params import Params

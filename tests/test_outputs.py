@@ -3,7 +3,7 @@ from dataclasses import replace
 
 import pytest
 
-from reference_scoring import ranked_keywords
+from plain_scoring import ranked_keywords
 from termloom.operators import prompts
 from termloom.operators.keywords import analyze_pages
 from termloom.operators.topics import Taxonomy

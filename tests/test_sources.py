@@ -129,6 +129,6 @@ def test_html_files(spark, tmp_path):
 
 def test_page_scan_reads_needed_columns_only(spark):
     docs = pages.read_documents(spark, "/root/testdata/sf0.001/documents.parquet")
-    plan = docs.where(F.col("text").startswith("A"))._jdf.queryExecution().executedPlan().toString()
+    plan = docs.select("ord", "text").where(F.col("text").startswith("A"))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     assert "StringStartsWith(text,A)" in plan
