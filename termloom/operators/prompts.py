@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.functions.joins import join_on
 from termloom.functions.ranking import with_rank
 from termloom.operators.content import succeeded
 from termloom.operators.topics import DEFAULT_TAXONOMY, Taxonomy, page_topics

@@ -42,11 +42,18 @@ def keep_http(urls: DataFrame) -> DataFrame:
     return urls.where(F.col("url").startswith("http"))
 
 
+# Up to here the first URLs are found by a top-k that one task merges.
+TOP_K_URLS = 100_000
+
+
 def first_urls(urls: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFrame:
     """The first ``max_urls`` in list order; 0 keeps all."""
     if params.max_urls == 0:
         return urls
-    return urls.orderBy("ord").limit(params.max_urls)
+    if params.max_urls <= TOP_K_URLS:
+        return urls.orderBy("ord").limit(params.max_urls)
+    placed = with_rank(urls, [], [F.asc("ord")], "_place", "bigint")
+    return placed.where(F.col("_place") <= params.max_urls).drop("_place")
 
 
 def read_urls(
@@ -78,7 +85,9 @@ def read_urls(
     )
     found = keep_http(listed)
     numbered = with_rank(found, [], [F.col("_file"), F.col("_block"), F.col("_line")], "ord", "bigint")
-    urls = first_urls(numbered.select((F.col("ord") - 1).alias("ord"), "url"), params)
+    urls = numbered.select((F.col("ord") - 1).alias("ord"), "url")
+    if params.max_urls:
+        urls = urls.where(F.col("ord") < params.max_urls)  # the places have no gaps
     if require and urls.isEmpty():
         raise ValueError(f"no URLs found in {path}")
     return urls

@@ -66,6 +66,14 @@ def test_max_urls(spark, tmp_path):
         Params(max_urls=-1)
 
 
+@pytest.mark.parametrize("top_k", [100, 1])
+def test_first_urls_with_gaps(spark, monkeypatch, top_k):
+    monkeypatch.setattr(urls, "TOP_K_URLS", top_k)
+    df = spark.createDataFrame([(i, f"http://{i}") for i in (9, 2, 40, 7)], "ord bigint, url string")
+    assert [o for o, _ in listed(urls.first_urls(df, Params(max_urls=3)))] == [2, 7, 9]
+    assert urls.first_urls(df, Params(max_urls=0)).count() == 4
+
+
 def test_missing_file_and_short_row_are_errors(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         urls.read_urls(spark, str(tmp_path / "none.csv"))
