@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, fourier, pii, repetition
+from termloom.llm import bpe, fourier, hamming, lengths, mixing, pii, repetition, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -22,11 +22,27 @@ def remainder(divisor: int):
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    folder = warc.archive_folder(pages)
+    records = warc.read_records(warc.write_archives(pages, folder), folder, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_repetition(spark: SparkSession, sf: str) -> DataFrame:
     judged = repetition.judge_repetition(table(spark, sf, "documents").select("doc_id", "text"))
     return judged.drop("text")
 
 
+def op5_token_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    docs = lengths.token_lengths(table(spark, sf, "documents").select("text"), VOCABULARY)
+    return lengths.length_histogram(docs)
+
+
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf, "documents"))[0].drop("source")
+
+
 def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = bpe.round_trip(table(spark, sf, "documents").select("doc_id", "text"), VOCABULARY)
     digits = F.array_join(F.col("token_ids").cast("array<string>"), ",")
@@ -38,6 +54,10 @@ def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_hamming(spark: SparkSession, sf: str) -> DataFrame:
+    return hamming.near_duplicates(table(spark, sf, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     held_out = remainder(4) == 2
     model, measured = fourier.fit_quality(
@@ -56,6 +76,7 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     base = F.filter("pii_spans", lambda s: s["plain"])
+
     counts = [
         F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
         for kind in pii.KINDS
@@ -66,7 +87,10 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    query.__name__: query for query in (op4_repetition, op7_bpe, op9_quality, op10_pii)
+    query.__name__: query
+    for query in (
+        op1_warc, op4_repetition, op5_token_lengths, op6_mixing, op7_bpe, op8_hamming, op9_quality, op10_pii,
+    )
 }
 
 SQL: dict[str, str] = {}
