@@ -77,10 +77,10 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
 
     base = F.filter("pii_spans", lambda s: s["plain"])
 
-    counts = [
-        F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-        for kind in pii.KINDS
-    ]
+    def number(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in pii.KINDS]
     return found.select(
         "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii_spans")).alias("spans")
     )
