@@ -8,11 +8,13 @@ distinct piece once, and merges all pieces it has not met before together.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +38,10 @@ FIRST_UNKNOWN_BYTE = 0xD5
 
 NO_RANK = np.int32(2**31 - 1)
 # Bounds of working memory in a task; they change no result.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 200_000
 CACHED_PIECE_CHARS = 64
-GROUP_CHARS = 4_000_000
+GROUP_BYTES = 1_000_000
+DECODED_ROWS = 256
 
 
 def _patterns() -> tuple[regex.Pattern, regex.Pattern]:
@@ -247,17 +250,27 @@ def _encoder(shared) -> Encoder:
     return Encoder(shared.value)
 
 
-def _groups(texts: list[str]):
-    """Runs of texts of limited total length, so that the pieces of one batch stay small."""
-    run, chars = [], 0
-    for text in texts:
-        if run and chars + len(text) > GROUP_CHARS:
-            yield run
-            run, chars = [], 0
-        run.append(text)
-        chars += len(text)
-    if run:
-        yield run
+def _slices(texts: pa.Array) -> Iterator[list[str]]:
+    """Runs of texts of limited total length, so that few pieces exist at a time; null is empty."""
+    sizes = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64)
+    part = np.cumsum(sizes) // GROUP_BYTES
+    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() if len(sizes) else []
+    for start, end in zip(edges, [*edges[1:], len(sizes)]):
+        yield [text or "" for text in texts.slice(start, end - start).to_pylist()]
+
+
+def _encode_batch(encoder: Encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    tokens, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for group in _slices(texts):
+        ids, lengths = encoder.encode(group)
+        tokens.append(ids)
+        counts.append(lengths)
+    return np.concatenate(tokens), np.concatenate(counts)
+
+
+def _lists(tokens: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    ends = pa.array(offsets(counts).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(tokens, type=pa.int32()))
 
 
 class Tokenizer:
@@ -266,6 +279,9 @@ class Tokenizer:
     def __init__(self, spark: SparkSession, path: str):
         self.shared = spark.sparkContext.broadcast(read_vocabulary(path))
 
+    # Encoding is dear: being called nondeterministic keeps the optimizer from repeating it for each
+    # use of the column.
+
     def encode(self, text: Column) -> Column:
         """array<int> of each text. A null text counts as empty and gives an empty array.
 
@@ -275,16 +291,8 @@ class Tokenizer:
 
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
-            encoder = _encoder(shared)
-            tokens, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for group in _groups([t or "" for t in texts.to_pylist()]):
-                ids, lengths = encoder.encode(group)
-                tokens.append(ids)
-                counts.append(lengths)
-            ends = pa.array(offsets(np.concatenate(counts)).astype(np.int32))
-            return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens), type=pa.int32()))
-
-        # Encoding is dear: keep the optimizer from repeating it for each use of the column.
+            return _lists(*_encode_batch(_encoder(shared), texts))
+
         return encode.asNondeterministic()(text)
 
     def decode(self, ids: Column) -> Column:
@@ -300,6 +308,23 @@ class Tokenizer:
 
         return decode(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        """struct<token_ids, decoded_text>: both steps in one pass of the rows through Python."""
+        shared = self.shared
+
+        @F.arrow_udf("token_ids array<int>, decoded_text string")
+        def both(texts: pa.Array) -> pa.Array:
+            tokens, counts = _encode_batch(_encoder(shared), texts)
+            decoded, ends = [], offsets(counts)
+            for start in range(0, len(counts), DECODED_ROWS):
+                own = counts[start : start + DECODED_ROWS]
+                rows = tokens[ends[start] : ends[start + len(own)]]
+                decoded.append(pa.array(decode_tokens(shared.value, rows, own), pa.string()))
+            texts_back = pa.chunked_array(decoded, pa.string()).combine_chunks()
+            return pa.StructArray.from_arrays([_lists(tokens, counts), texts_back], ["token_ids", "decoded_text"])
+
+        return both.asNondeterministic()(text)
+
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """Add the tokens of ``text`` to every row; other columns pass unchanged, no row is lost.
@@ -312,6 +337,5 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``encode_documents`` plus ``decoded_text``, what the tokens decode to."""
-    tokenizer = Tokenizer(docs.sparkSession, path)
-    encoded = docs.withColumn("token_ids", tokenizer.encode(F.col(text)))
-    return encoded.withColumn("decoded_text", tokenizer.decode(F.col("token_ids")))
+    both = docs.withColumn("_both", Tokenizer(docs.sparkSession, path).round_trip(F.col(text)))
+    return both.withColumns({name: F.col(f"_both.{name}") for name in ("token_ids", "decoded_text")}).drop("_both")
