@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.components import connected_components
+from termloom.llm.streams import complete_groups
 from termloom.storage import materialize
 
 
@@ -132,13 +133,12 @@ LINKS = "vec_id bigint, links bigint, linked_to bigint"
 _GROUP = ["label", "dimension", "table", "key", "low", "high"]
 
 
-def _link_rows(rows: pa.Table, least: float) -> pa.RecordBatch:
+def _link_rows(rows: pa.Table, starts: np.ndarray, least: float) -> pa.RecordBatch:
     """Partial link counts of complete groups, whose rows lie together."""
-    marks = np.stack([np.asarray(rows[name]) for name in _GROUP], axis=1)
+    tables, low = np.asarray(rows["table"]), np.asarray(rows["low"])
     ids, copies = np.asarray(rows["vec_id"]), np.asarray(rows["copies"])
     block = np.asarray(rows["block"])
-    starts = np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]).any(axis=1)])
-    ends = np.r_[starts[1:], len(marks)]
+    ends = np.r_[starts[1:], len(rows)]
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for start, end in zip(starts.tolist(), ends.tolist()):
         if end - start < 2:
@@ -147,8 +147,8 @@ def _link_rows(rows: pa.Table, least: float) -> pa.RecordBatch:
         part = rows.slice(start, end - start).combine_chunks()
         vectors = _unit(_vectors(part["embedding"].combine_chunks()))
         keys = np.asarray(part["keys"].combine_chunks().flatten()).reshape(end - start, -1)
-        side = (block[own] != marks[start, 4]).astype(np.int8)
-        counts, reach = bucket_links(vectors, keys, copies[own], side, int(marks[start, 2]), least)
+        side = (block[own] != low[start]).astype(np.int8)
+        counts, reach = bucket_links(vectors, keys, copies[own], side, int(tables[start]), least)
         linked = np.flatnonzero((reach != np.arange(len(reach))) | (counts > 0))
         if len(linked):
             found.append((ids[own][linked], counts[linked], ids[own][reach[linked]]))
@@ -159,23 +159,10 @@ def _link_rows(rows: pa.Table, least: float) -> pa.RecordBatch:
 def count_links(grouped: DataFrame, least: float) -> DataFrame:
     """Run through sorted partitions and compare each bucket as soon as it is complete."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            waiting = table if waiting is None else pa.concat_tables([waiting, table])
-            last = [waiting[name][-1].as_py() for name in _GROUP]
-            same = np.ones(len(waiting), dtype=bool)
-            for name, value in zip(_GROUP, last):
-                same &= np.asarray(waiting[name]) == value
-            cut = len(waiting) - int(same.sum())
-            if cut:
-                yield _link_rows(waiting.slice(0, cut), least)
-                waiting = waiting.slice(cut)
-        if waiting is not None and len(waiting):
-            yield _link_rows(waiting, least)
-
-    return grouped.mapInArrow(run, LINKS)
+    def work(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield _link_rows(rows, starts, least)
+
+    return grouped.mapInArrow(complete_groups(_GROUP, work), LINKS)
 
 
 def vector_classes(embeddings: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, fourier, hamming, lengths, mixing, pii, repetition, warc
+from termloom.llm import bpe, fourier, hamming, jaccard, lengths, mixing, pii, recurrent, repetition, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,6 +29,14 @@ def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_recurrent(spark: SparkSession, sf: str) -> DataFrame:
+    return recurrent.score_documents(table(spark, sf, "documents"), remainder(10) == 0)
+
+
+def op3_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.shingle_components(table(spark, sf, "documents"))
+
+
 def op4_repetition(spark: SparkSession, sf: str) -> DataFrame:
     judged = repetition.judge_repetition(table(spark, sf, "documents").select("doc_id", "text"))
     return judged.drop("text")
@@ -89,7 +97,8 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
-        op1_warc, op4_repetition, op5_token_lengths, op6_mixing, op7_bpe, op8_hamming, op9_quality, op10_pii,
+        op1_warc, op2_recurrent, op3_jaccard, op4_repetition, op5_token_lengths, op6_mixing, op7_bpe, op8_hamming,
+        op9_quality, op10_pii,
     )
 }
 

@@ -23,9 +23,12 @@ def partition_rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def sum_over_partitions(
-    rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray], kind: type = np.float64
+    rows: DataFrame,
+    partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray],
+    kind: type = np.float64,
+    combine: np.ufunc = np.add,
 ) -> np.ndarray | None:
-    """Add up ``partial`` of every partition; None if there is no partition.
+    """Add up (or ``combine``) ``partial`` of every partition; None if there is no partition.
 
     ``partial`` gives a flat array whose size does not depend on the data. A task adds at most
     ``FAN_IN`` of them, twice; the driver then reads one at a time a FAN_IN²-th of their number.
@@ -35,7 +38,7 @@ def sum_over_partitions(
         yield from partition_rows(np.asarray(partial(batches), dtype=kind))
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(t, dtype=kind) for t in group["total"]], axis=0, dtype=kind)
+        total = combine.reduce([np.frombuffer(t, dtype=kind) for t in group["total"]], axis=0, dtype=kind)
         return pd.DataFrame({"part": [int(group["part"].iloc[0]) // FAN_IN], "total": [total.tobytes()]})
 
     level = rows.mapInArrow(of_partition, SCHEMA)
@@ -44,5 +47,5 @@ def sum_over_partitions(
     total = None
     for row in level.select("total").toLocalIterator():
         values = np.frombuffer(row.total, dtype=kind)
-        total = values.copy() if total is None else total + values
+        total = values.copy() if total is None else combine(total, values)
     return total
