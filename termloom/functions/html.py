@@ -18,7 +18,7 @@ from termloom import vocab
 # Comments and declarations, or one tag with its attributes. The quantifiers are possessive, so a
 # broken tag costs one pass; a tag cut off by the end of the page still matches.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</[^A-Za-z][^>]*+(?:>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</[^A-Za-z][^>]*+(?:>|\Z)"
     r"|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)"
     r"(?P<attrs>(?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)",
     re.S,
@@ -27,6 +27,8 @@ _ATTRIBUTE = re.compile(
     r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?"
 )
 _USED_ATTRIBUTE = re.compile(r"class|id|role|aria-hidden", re.I)
+# A slash at the end of an unquoted value belongs to the value.
+_VALUE_ENDS_IN_SLASH = re.compile(r"=\s*[^\s\"'>][^\s>]*/\Z")
 
 # Element groups of the HTML standard.
 _VOID = frozenset(
@@ -50,6 +52,15 @@ _SPECIAL = _ENDS_P | frozenset(
     "applet button caption colgroup html body iframe marquee object tbody td template tfoot th "
     "thead tr select textarea".split()
 )
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+# Drawings and formulas: inside, a slash closes a tag and nothing is raw text. The second group holds
+# their elements with HTML inside, the third the HTML elements that end them.
+_FOREIGN = ("svg", "math")
+_HTML_INSIDE = ("foreignobject", "desc", "title", "annotation-xml")
+_ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li "
+    "listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 _BARRIER = frozenset("applet caption html marquee object table td template th".split())
 # Opening one of these ends the listed open elements, up to the nearest of the stoppers.
 _IMPLIED_ENDS = {
@@ -67,6 +78,16 @@ _IMPLIED_ENDS["dt"] = _IMPLIED_ENDS["dd"]
 _IMPLIED_ENDS["th"] = _IMPLIED_ENDS["td"]
 _IMPLIED_ENDS["thead"] = _IMPLIED_ENDS["tfoot"] = _IMPLIED_ENDS["tbody"]
 
+_LIST_BARRIER, _BUTTON_BARRIER = _BARRIER | {"ol", "ul"}, _BARRIER | {"button"}
+# Every set of stoppers in use, and those that an element belongs to.
+_STOPPER_SETS = {_BARRIER, _LIST_BARRIER, _BUTTON_BARRIER, _SPECIAL, frozenset()} | {
+    stoppers for _, stoppers in _IMPLIED_ENDS.values()
+}
+_STOPS = {
+    tag: [stoppers for stoppers in _STOPPER_SETS if tag in stoppers]
+    for tag in frozenset().union(*_STOPPER_SETS)
+}
+
 # White space that the length test trims.
 _TRIM = (
     "\t\n\v\f\r \u00a0\u1680"
@@ -110,10 +131,16 @@ def _main_places(tag: str, attrs: dict[str, str]) -> list[int]:
 
 
 class _OpenElements:
-    """The open elements, the text kept so far and the text span of every main place seen."""
+    """The open elements, the text kept so far and the text span of every main place seen.
+
+    The places of each name and of each set of stoppers are kept, so that ending an element takes no
+    walk over the open ones. An element that ends before what it holds stays in the stack as None.
+    """
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, bool, list[list[int]]]] = []
+        self.stack: list[tuple[str, bool, list[list[int]]] | None] = []
+        self.places: dict[str, list[int]] = {}
+        self.stops: dict[frozenset[str], list[int]] = {stoppers: [] for stoppers in _STOPPER_SETS}
         self.removed = 0
         self.pieces: list[str] = []
         self.spans: dict[int, list[list[int]]] = {}
@@ -127,29 +154,58 @@ class _OpenElements:
                 span = [len(self.pieces), -1]
                 self.spans.setdefault(place, []).append(span)
                 begun.append(span)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        for stoppers in _STOPS.get(tag, ()):
+            self.stops[stoppers].append(len(self.stack))
         self.stack.append((tag, gone, begun))
 
+    def last(self, names: tuple[str, ...]) -> int:
+        """Place of the nearest open element called one of ``names``, or -1."""
+        return max((places[-1] for n in names if (places := self.places.get(n))), default=-1)
+
     def drop(self, at: int) -> None:
-        _, gone, begun = self.stack.pop(at)
+        """End the nearest open element of its name."""
+        tag, gone, begun = self.stack[at]
+        self.stack[at] = None
+        self.places[tag].pop()
+        for stoppers in _STOPS.get(tag, ()):
+            self.stops[stoppers].pop()
         self.removed -= gone
         for span in begun:
             span[1] = len(self.pieces)
 
     def close(self, names: tuple[str, ...], stoppers: frozenset[str]) -> None:
         """End the nearest open element called one of ``names``, with all inside it."""
-        for at in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[at][0]
-            if tag in names:
-                if tag in _FORMATTING:
-                    self.drop(at)  # what it holds stays open
-                else:
-                    while len(self.stack) > at:
-                        self.drop(len(self.stack) - 1)
-                return
-            if tag in stoppers:
-                return
-
-    def start_tag(self, tag: str, attrs: dict[str, str]) -> None:
+        at = self.last(names)
+        stops = self.stops[stoppers]
+        if at <= 0 or (stops and stops[-1] > at):
+            return
+        if self.stack[at][0] in _FORMATTING and not self.in_foreign():
+            self.drop(at)  # what it holds stays open
+        else:
+            self.close_to(at)
+        while self.stack and self.stack[-1] is None:
+            self.stack.pop()
+
+    def close_to(self, at: int) -> None:
+        while len(self.stack) > at:
+            if self.stack[-1] is not None:
+                self.drop(len(self.stack) - 1)
+            self.stack.pop()
+
+    def in_foreign(self) -> bool:
+        return self.last(_FOREIGN) > self.last(_HTML_INSIDE)
+
+    def start_tag(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
+        """``closed``: the tag ends in a slash, which only drawings and formulas heed."""
+        while self.in_foreign() and tag in _ENDS_FOREIGN:
+            self.close_to(self.last(_FOREIGN))
+        if self.in_foreign() or tag in _FOREIGN:
+            if not closed:
+                self.open(tag, attrs)
+            return
+        if tag == "form" and self.places.get("form"):
+            return  # forms do not nest
         if tag in _ENDS_P:
             self.close(*_IMPLIED_ENDS["p"])
         if tag in _IMPLIED_ENDS and tag != "p":
@@ -158,11 +214,18 @@ class _OpenElements:
             self.open(tag, attrs)
 
     def end_tag(self, tag: str) -> None:
-        if tag in _SPECIAL:
-            extra = {"li": {"ol", "ul"}, "p": {"button"}}.get(tag, set())
-            self.close((tag,), _BARRIER | extra)
+        if self.in_foreign() and self.places.get(tag):
+            if self.places[tag][-1] >= self.last(_FOREIGN):
+                self.close_to(self.places[tag][-1])
+                return
+        if tag in _HEADINGS:
+            self.close(_HEADINGS, _BARRIER)
+        elif tag in _SPECIAL:
+            self.close((tag,), {"li": _LIST_BARRIER, "p": _BUTTON_BARRIER}.get(tag, _BARRIER))
         elif tag in _FORMATTING:
             self.close((tag,), _BARRIER)
+        elif tag in _FOREIGN:
+            self.close((tag,), frozenset())
         else:
             self.close((tag,), _SPECIAL)
 
@@ -180,7 +243,7 @@ class _OpenElements:
 def main_text(html: str, min_main_chars: int = 200) -> tuple[str, str]:
     """(text, name of the place it came from) of one page, white space as found."""
     page = _OpenElements()
-    page.stack.append(("#root", False, []))
+    page.open("#root", {})
     in_body = False
     at, size = 0, len(html)
 
@@ -219,9 +282,11 @@ def main_text(html: str, min_main_chars: int = 200) -> tuple[str, str]:
         elif tag != "head":
             if not in_body and tag not in _HEAD_ONLY:
                 enter_body({})
+            closed = source.endswith("/") and not _VALUE_ENDS_IN_SLASH.search(source)
+            foreign = in_body and page.in_foreign()
             if in_body:
-                page.start_tag(tag, attrs)
-            if tag in _RAW:
+                page.start_tag(tag, attrs, closed)
+            if tag in _RAW and not foreign:
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
                 inner = html[at : end.start() if end else size]
                 if in_body and tag in _DECODED_RAW:

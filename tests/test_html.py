@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from termloom import vocab
@@ -106,3 +108,34 @@ def test_one_bad_page_becomes_an_error_row():
     row = read_page(object(), 200)
     assert row["text"] is None and row["error"]
     assert read_page(None, 200) == {"text": None, "place": None, "error": None}
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("a<svg><title/></svg>b<p>c", "abc"),
+        ("<div>a<svg/>b</div>c", "abc"),
+        ("a<svg><style>b</style></svg>c", "ac"),
+        ("a<math><mi>x</mi></math>b", "axb"),
+        ("x<svg><g><p>y</p>z", "xyz"),
+        ("a<!-->b<!-- x -->c", "abc"),
+        ("a<!--->b", "ab"),
+        ("a<!--x--!>b", "ab"),
+        ("a<form>b<form>c</form>d</form>e", "ade"),
+        ("<h1 class=banner>x</h2>y</h1>z", "yz"),
+        ("<div>a<div>b</span>c</div>d</div>e", "abcde"),
+    ],
+)
+def test_no_content_is_lost(html, text):
+    assert text_of(html) == text
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<div>" * 200_000, "<font>" * 100_000 + "<div>" * 100_000, "<p><table>" + "<div>" * 100_000, "<b><p>" * 60_000,
+     "<li><span>" * 60_000, "<svg>" + "<g>" * 100_000, "<b>" + "<i></b>" * 50_000, "<table><td>" * 50_000],
+)
+def test_deep_pages_take_linear_time(html):
+    begun = time.process_time()
+    main_text(html)
+    assert time.process_time() - begun < 6
