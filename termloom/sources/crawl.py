@@ -43,7 +43,11 @@ def may_retry(status: Column, message: Column) -> Column:
 
 
 def resolve_crawl(primary: DataFrame, fallback: DataFrame) -> DataFrame:
-    """``(ord, url, html, attempt, error)``: the attempt to use for every page."""
+    """``(ord, url, html, attempt, error)``: the attempt to use for every page.
+
+    Only pages that a second attempt may mend meet it in a join, without the first attempt's HTML; the
+    others stay where they were scanned.
+    """
     first = primary.select(
         "ord",
         "url",
@@ -65,17 +69,26 @@ def resolve_crawl(primary: DataFrame, fallback: DataFrame) -> DataFrame:
         F.lit(True).alias("_tried"),
     )
     retry = F.col("_error").isNotNull() & F.col("_retry")
-    mended = retry & F.col("_tried").isNotNull() & F.col("_error2").isNull()
+    good = F.col("_error").isNull()
+    settled = first.where(~retry).select(
+        "ord",
+        "url",
+        F.when(good, F.col("html")).alias("html"),
+        F.when(good, "primary").alias("attempt"),
+        F.col("_error").alias("error"),
+    )
+    mended = F.col("_tried").isNotNull() & F.col("_error2").isNull()
     both = F.concat(
         F.lit(BOTH_FAILED_ERROR),
         F.col("url"),
         F.lit(": "),
         F.coalesce("_error2", F.lit("no response")),
     )
-    return first.join(second, "ord", "left").select(
+    tried = first.where(retry).select("ord", "url").join(second, "ord", "left").select(
         "ord",
         "url",
-        F.when(F.col("_error").isNull(), F.col("html")).when(mended, F.col("_html2")).alias("html"),
-        F.when(F.col("_error").isNull(), "primary").when(mended, "fallback").alias("attempt"),
-        F.when(retry & ~mended, both).when(~mended, F.col("_error")).alias("error"),
+        F.when(mended, F.col("_html2")).alias("html"),
+        F.when(mended, "fallback").alias("attempt"),
+        F.when(~mended, both).alias("error"),
     )
+    return settled.unionByName(tried)

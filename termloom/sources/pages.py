@@ -30,12 +30,26 @@ def read_documents(spark: SparkSession, path: str, *extra: str) -> DataFrame:
     return spread_scan(scan, "ord").select("ord", url, "text", "size_hint", *extra)
 
 
+def one_page_per_url(pages: DataFrame) -> DataFrame:
+    """Of a URL that was crawled more than once keep the page with the largest ``ord``, the last crawled.
+
+    Without a column ``ord`` the page with the largest hash of its columns stays. Only URLs and that one
+    number are grouped; a URL with a single page passes unchanged.
+    """
+    order = F.col("ord") if "ord" in pages.columns else F.xxhash64(*pages.columns)
+    ranked = pages.withColumn("_order", order)
+    last = ranked.groupBy("url").agg(F.max("_order").alias("_order"))
+    return ranked.join(last, ["url", "_order"], "left_semi").drop("_order")
+
+
 def look_up_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """Every listed URL with the columns of its page, and an ``error`` where there is no page.
 
-    ``pages`` holds one row per URL: raw pages, or pages already analysed. A URL may be listed many
-    times; the join is left to Spark, whose adaptive execution splits a hot URL on the list side.
+    ``pages`` are raw pages, or pages already analysed; of a URL with several one is used (see
+    ``one_page_per_url``). A URL may be listed many times; the join is left to Spark, whose adaptive
+    execution splits a hot URL on the list side.
     """
+    pages = one_page_per_url(pages)
     values = [c for c in pages.columns if c not in ("ord", "url", "error")]
     before = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
     crawled = pages.select("url", *values, before.alias("_error"), F.lit(True).alias("_crawled"))

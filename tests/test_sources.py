@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.params import Params
+from termloom.plans.analysis import analyze_url_list
 from termloom.sources import crawl, pages, urls
 
 
@@ -66,9 +67,30 @@ def test_max_urls(spark, tmp_path):
         Params(max_urls=-1)
 
 
-@pytest.mark.parametrize("top_k", [100, 1])
-def test_first_urls_with_gaps(spark, monkeypatch, top_k):
-    monkeypatch.setattr(urls, "TOP_K_URLS", top_k)
+def test_each_file_has_its_own_header(spark, tmp_path):
+    write(tmp_path / "a.csv", "Rank,URL\n1,http://a/1\n2,http://a/2\n")
+    write(tmp_path / "b.csv", "\nURL,Rank\nhttp://b/1,1\nhttp://b/2,2\n")
+    write(tmp_path / "c.csv", "x,y,url\n,,http://c/1\n")
+    got = [u for _, u in listed(urls.read_urls(spark, str(tmp_path)))]
+    assert got == ["http://a/1", "http://a/2", "http://b/1", "http://b/2", "http://c/1"]
+
+
+def test_a_page_crawled_twice_counts_once(spark):
+    listed_urls = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a")], "ord bigint, url string")
+    crawled = spark.createDataFrame([(1, "a", "old"), (7, "a", "new"), (3, "b", "B")], "ord bigint, url string, html string")
+    rows = pages.look_up_pages(listed_urls, crawled).orderBy("ord").collect()
+    assert [(r.ord, r.html) for r in rows] == [(0, "new"), (1, "B"), (2, "new")]
+    found = analyze_url_list(listed_urls, crawled.withColumn("html", F.concat(F.lit("<p>"), F.repeat("html", 40))))
+    assert sorted(r.ord for r in found.select("ord").collect()) == [0, 1, 2]
+
+
+def test_good_pages_do_not_meet_the_second_attempt(spark):
+    log = spark.createDataFrame([(0, "u", 200, None, "h")], LOG)
+    plan = crawl.resolve_crawl(log, log)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Union" in plan
+
+
+def test_first_urls_with_gaps(spark):
     df = spark.createDataFrame([(i, f"http://{i}") for i in (9, 2, 40, 7)], "ord bigint, url string")
     assert [o for o, _ in listed(urls.first_urls(df, Params(max_urls=3)))] == [2, 7, 9]
     assert urls.first_urls(df, Params(max_urls=0)).count() == 4
