@@ -12,15 +12,23 @@ from termloom.operators.gap import (
     gap_common,
     gap_long_tail,
     gap_missing,
+    gap_recommendations,
     gap_semantic,
     gap_underutilized,
     keyword_gap,
 )
 from termloom.operators.keywords import analyze_pages, extract_keywords, keywords
 from termloom.operators.prompts import gap_prompts, page_blocks, parse_gap_responses, response_items
-from termloom.operators.topics import Taxonomy, assign_topics, keyword_topics, merged_topics
+from termloom.operators.topics import (
+    Taxonomy,
+    assign_topics,
+    assign_topics_by_table,
+    keyword_topics,
+    merged_topics,
+)
 from termloom.params import Params
 from termloom.plans.analysis import analyze_url_list, run_analysis
+from termloom.session import ship_package
 from termloom.sinks.reports import common_report, gap_report, url_report, write_reports
 from termloom.sources.crawl import resolve_crawl
 from termloom.sources.pages import (
@@ -30,6 +38,7 @@ from termloom.sources.pages import (
     read_page_table,
 )
 from termloom.sources.urls import read_urls
+from termloom.storage import working_tables
 
 __all__ = [
     "Params",
@@ -37,6 +46,7 @@ __all__ = [
     "analyze_pages",
     "analyze_url_list",
     "assign_topics",
+    "assign_topics_by_table",
     "common_keywords",
     "common_report",
     "extract_keywords",
@@ -44,6 +54,7 @@ __all__ = [
     "gap_common",
     "gap_long_tail",
     "gap_missing",
+    "gap_recommendations",
     "gap_prompts",
     "gap_report",
     "gap_semantic",
@@ -67,6 +78,8 @@ __all__ = [
     "response_items",
     "run_analysis",
     "run_stats",
+    "ship_package",
     "url_report",
+    "working_tables",
     "write_reports",
 ]

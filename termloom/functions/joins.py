@@ -7,10 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Into how many parts the rows of every group are split before they meet the group's one row.
-GROUP_SALTS = 32
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join on ``keys``, nulls equal; the result has the columns of ``left``, then the rest."""
     renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
@@ -22,15 +18,12 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 
 
 def join_to_groups(
-    rows: DataFrame, groups: DataFrame, keys: Sequence[str], spread_by: str
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
     """Put the columns of ``groups``, one row per group, beside every row of the group.
 
-    A group may hold a third of all rows. Each row is salted by ``spread_by`` and the group's row is
-    repeated per salt, so a hot group is shared by ``GROUP_SALTS`` tasks; where ``groups`` turns out
-    small, adaptive execution broadcasts it instead.
+    A group may hold a third of all rows. The join is left to adaptive execution, which knows the
+    sizes: it broadcasts ``groups`` if they are small, and otherwise splits the rows of a partition that
+    is much larger than the others, each part with the group's one row. No cold group is copied.
     """
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(GROUP_SALTS)).cast("int")
-    salts = F.sequence(F.lit(0), F.lit(GROUP_SALTS - 1))
-    repeated = groups.withColumn("_salt", F.explode(salts))
-    return join_on(rows.withColumn("_salt", salt), repeated, [*keys, "_salt"]).drop("_salt")
+    return join_on(rows, groups, keys)

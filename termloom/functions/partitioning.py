@@ -1,21 +1,16 @@
-"""Use of all cores on small inputs."""
+"""Use of all cores on files that Spark cannot split."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# Tasks per core after spreading: texts differ widely in length, so a few more tasks even out.
-TASKS_PER_CORE = 3
+# A session setting for local runs over small files of one row group: into how many tasks page rows
+# are dealt after the scan. It is not set on a cluster, where a table has splits enough, and then no
+# text is shuffled.
+SPREAD_KEY = "spark.termloom.spreadTasks"
 
 
 def spread_scan(scan: DataFrame, key: str) -> DataFrame:
-    """Repartition a file scan that comes in fewer splits than there are cores.
-
-    Page work is a projection and runs as wide as its scan. A large table has far more splits than
-    the cluster has cores and passes unchanged; a file of one or two row groups would keep a single
-    core busy. Only for plans without an exchange: counting partitions would run one.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(TASKS_PER_CORE * cores, key)
+    """Deal the rows of a scan out as ``SPREAD_KEY`` says; unset, the scan stays as it is."""
+    tasks = int(scan.sparkSession.conf.get(SPREAD_KEY, "0"))
+    return scan.repartition(tasks, key) if tasks else scan

@@ -77,15 +77,15 @@ def with_stats(
     stats: DataFrame,
     names: Sequence[str],
     group_cols: Sequence[str] = (),
-    spread_by: str = "keyword",
 ) -> DataFrame:
     """Add columns of the per-group ``stats`` to every row of ``df``.
 
-    Without groups they are scalar subqueries; with groups this is a salted join.
+    Without groups they are fields of one scalar subquery, which runs once; with groups this is a join.
     """
     if group_cols:
-        return join_to_groups(df, stats.select(*group_cols, *names), group_cols, spread_by)
-    return df.withColumns({name: stats.select(name).scalar() for name in names})
+        return join_to_groups(df, stats.select(*group_cols, *names), group_cols)
+    row = stats.select(F.struct(*names)).scalar()
+    return df.withColumns({name: row[name] for name in names})
 
 
 def common_lists(

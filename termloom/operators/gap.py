@@ -16,7 +16,7 @@ from termloom.functions.text import let
 from termloom.operators.aggregate import common_keywords, common_lists, with_stats
 from termloom.operators.content import succeeded
 from termloom.params import DEFAULT_PARAMS, Params
-from termloom.vocab import GAP_SECTIONS
+from termloom.vocab import GAP_SECTIONS, PAGE_SECTION
 
 
 def _best(df: DataFrame, group: Sequence[str], order: Sequence[Column], params: Params) -> DataFrame:
@@ -78,14 +78,20 @@ def _page_names() -> Column:
 
 
 def _common_of_page(present: bool) -> Column:
-    """The entries of ``common`` that the page has, or those that it lacks."""
+    """The entries of ``common`` that the page has, or those that it lacks.
+
+    The names the page shares with the list come from one intersection of hash sets; only these
+    few are searched for each entry.
+    """
+    named = F.transform("common", lambda c: c["keyword"])
 
     def wanted(names: Column, keyword: Column) -> Column:
         has = F.array_contains(names, keyword)
         return has if present else ~has
 
     return let(
-        _page_names(), lambda names: F.filter("common", lambda c: wanted(names, c["keyword"]))
+        F.array_intersect(_page_names(), named),
+        lambda names: F.filter("common", lambda c: wanted(names, c["keyword"])),
     )
 
 
@@ -106,7 +112,7 @@ def gap_semantic(
     group = list(group_cols)
     lists = common_lists(totals, stats, group)
     names = ["shared", "common", "processed_urls"]
-    pages = with_stats(analysis.where(succeeded()), lists, names, group, "ord")
+    pages = with_stats(analysis.where(succeeded()), lists, names, group)
     words = pages.select(
         *group,
         "processed_urls",
@@ -161,7 +167,7 @@ def gap_missing(
     The bounded list of common keywords stands beside each page and loses what the page has.
     """
     lists = common_lists(totals, stats, group_cols)
-    pages = with_stats(analysis.where(succeeded()), lists, ["common"], group_cols, "ord")
+    pages = with_stats(analysis.where(succeeded()), lists, ["common"], group_cols)
     lacks = _common_of_page(present=False)
     return (
         pages.select(*group_cols, "ord", "url", F.posexplode_outer(lacks).alias("i", "k"))
@@ -178,6 +184,20 @@ def gap_missing(
     )
 
 
+def gap_recommendations(
+    totals: DataFrame,
+    stats: DataFrame,
+    group_cols: Sequence[str] = (),
+    params: Params = DEFAULT_PARAMS,
+) -> DataFrame:
+    """``(…group, item, rank, df, total, lacking)``: the common keywords that most pages lack."""
+    common = common_keywords(totals, stats, group_cols).drop("rank")
+    counted = with_stats(common, stats, ["processed_urls"], group_cols)
+    lacking = counted.withColumn("lacking", F.col("processed_urls") - F.col("df")).where(F.col("lacking") > 0)
+    best = _best(lacking, group_cols, [F.desc("lacking"), F.desc("total"), F.asc("keyword")], params)
+    return best.select(*group_cols, F.col("keyword").alias("item"), "rank", "df", "total", "lacking")
+
+
 def keyword_gap(
     analysis: DataFrame,
     totals: DataFrame,
@@ -185,12 +205,13 @@ def keyword_gap(
     group_cols: Sequence[str] = (),
     params: Params = DEFAULT_PARAMS,
 ) -> DataFrame:
-    """All sections stacked: ``(…group, section, item, url, rank, df, total)``.
+    """All sections stacked: ``(…group, section, item, ord, url, rank, df, total)``.
 
-    Recommendations have a ``url`` and hold up to ``gap_items`` rows per page.
+    The five sections concern the group; the section ``PAGE_SECTION`` holds up to ``gap_items`` rows for
+    each page, with its ``ord`` and ``url``.
     """
     group = list(group_cols)
-    common, under, tail, semantic, missing = GAP_SECTIONS
+    common, under, tail, semantic, advice = GAP_SECTIONS
     no_text, no_total = F.lit(None).cast("string"), F.lit(None).cast("bigint")
 
     def section(df: DataFrame, name: str, url: Column = no_text, total: Column | None = None):
@@ -198,6 +219,7 @@ def keyword_gap(
             *group,
             F.lit(name).alias("section"),
             "item",
+            (F.col("ord") if name == PAGE_SECTION else F.lit(None)).cast("bigint").alias("ord"),
             url.alias("url"),
             F.col("rank").cast("int").alias("rank"),
             "df",
@@ -209,9 +231,10 @@ def keyword_gap(
         section(gap_underutilized(totals, stats, group, params), under),
         section(gap_long_tail(totals, stats, group, params), tail),
         section(gap_semantic(analysis, totals, stats, group, params), semantic, total=no_total),
+        section(gap_recommendations(totals, stats, group, params), advice),
         section(
             gap_missing(analysis, totals, stats, group).where(F.col("rank") <= params.gap_items),
-            missing,
+            PAGE_SECTION,
             url=F.col("url"),
         ),
     ]

@@ -16,9 +16,6 @@ from termloom.operators.content import gate_content, succeeded
 from termloom.params import DEFAULT_PARAMS, Params
 from termloom.vocab import STOP_WORDS
 
-# How many parts the occurrences of one word split into when they meet a large lexicon.
-LEXICON_SALTS = 16
-
 # Columns of the input that tell a page's size without reading its text. They route pages only.
 SIZE_HINTS = ("size_hint", "html_chars")
 
@@ -48,7 +45,8 @@ def term_counts(
 ) -> DataFrame:
     """``(ord, term, n, tenths, count, first_pos)``: every word and every supported phrase.
 
-    The relational form of the scoring: terms become rows, so that a text of any size can spill.
+    The relational form of the scoring: terms become rows and can spill. The words of a page are one
+    array still, so a page must fit a task's memory.
     The text is partitioned by page before it is exploded; that exchange moves text, not terms, and
     serves the grouping and the ranking after it.
     """
@@ -102,14 +100,12 @@ def term_counts(
 def take_noun_bonus(counts: DataFrame, non_nouns: DataFrame, params: Params) -> DataFrame:
     """Take the noun bonus from words listed in ``non_nouns(word)``, a table of any size.
 
-    A frequent word has a row in nearly every page, so the pages are salted and the word list is
-    repeated per salt.
+    A frequent word has a row in nearly every page; adaptive execution broadcasts a small word list and
+    splits the rows of such a word otherwise.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(LEXICON_SALTS - 1))).alias("_salt")
-    listed = non_nouns.select(F.col("word").alias("term"), F.lit(True).alias("_plain"), salts)
-    salted = counts.withColumn("_salt", F.pmod(F.xxhash64("ord"), F.lit(LEXICON_SALTS)).cast("int"))
+    listed = non_nouns.select(F.col("word").alias("term"), F.lit(True).alias("_plain"))
     less = F.when(F.col("_plain"), F.col("count") * params.noun_tenths).otherwise(0)
-    return salted.join(listed, ["term", "_salt"], "left").select(
+    return counts.join(listed, "term", "left").select(
         "ord", "term", "n", (F.col("tenths") - less).alias("tenths"), "count", "first_pos"
     )
 
@@ -159,7 +155,7 @@ def _is_huge(pages: DataFrame, params: Params) -> Column | None:
     if params.in_row_max_chars is None:
         return None
     hints = [F.col(name) for name in SIZE_HINTS if name in pages.columns]
-    size = hints[0] if hints else F.length("text")
+    size = F.coalesce(*hints, F.length("text"))
     return F.coalesce(size > params.in_row_max_chars, F.lit(False))
 
 
@@ -174,7 +170,7 @@ def analyze_pages(
     Returns every page once, with ``n_chars``, ``error`` and
     ``keywords ARRAY<STRUCT<keyword, n, score, rank, first_pos>>`` beside its other columns; a page
     with an error has no keywords. ``lexicon(word, is_noun)`` says which words are nouns; a word it
-    does not list counts as one.
+    does not list counts as one, and one listed both ways as none. Rows with a null are ignored.
 
     Pages are scored inside their own row. If there are huge ones, those take the relational form, as
     do all pages when the lexicon is too large to inline; the two forms agree. Looking for huge pages
@@ -186,7 +182,8 @@ def analyze_pages(
     inline: list[str] = []
     large = None
     if lexicon is not None:
-        large = lexicon.where(~F.col("is_noun")).select(F.lower("word").alias("word")).distinct()
+        plain = lexicon.where(~F.col("is_noun") & F.col("word").isNotNull())
+        large = plain.select(F.lower("word").alias("word")).distinct()
         sample = [r.word for r in large.limit(params.inline_lexicon_words + 1).collect()]
         if len(sample) <= params.inline_lexicon_words:
             inline, large = sample, None

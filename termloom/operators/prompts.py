@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.ranking import with_rank
+from termloom.functions.text import WHITE_SPACE
 from termloom.operators.content import succeeded
 from termloom.operators.topics import DEFAULT_TAXONOMY, Taxonomy, page_topics
 from termloom.params import DEFAULT_PARAMS, Params
@@ -126,10 +127,11 @@ QUOTA_SIGNS = ("429", "quota", "Quota")
 
 
 def strip_fences(text: Column) -> Column:
-    """The answer without Markdown code fences around it."""
-    bare = F.regexp_replace(F.trim(text), r"(?i)^```json\s*", "")
-    bare = F.regexp_replace(bare, r"^```\s*", "")
-    return F.trim(F.regexp_replace(bare, r"\s*```$", ""))
+    """The answer without white space and Markdown code fences around it."""
+    space = WHITE_SPACE.removesuffix("+") + "*"
+    opened = rf"(?i)\A{space}(?:```json{space})?(?:```{space})?"
+    closed = rf"{space}(?:```)?{space}\z"
+    return F.regexp_replace(F.regexp_replace(text, opened, ""), closed, "")
 
 
 def error_class(message: Column) -> Column:

@@ -14,23 +14,28 @@ from termloom.functions.ranking import number_slices, sort_into_slices
 from termloom.operators.keywords import keywords
 from termloom.vocab import FALLBACK_TOPIC, TOPIC_SEEDS
 
-# The taxonomy travels inside the query plan, so its size is checked.
-MAX_SEEDS = 5_000
-
-
 @dataclass(frozen=True)
 class Taxonomy:
-    """Topics in priority order with their seeds, and the topic of all other keywords."""
+    """Topics in priority order with their seeds, and the topic of all other keywords.
+
+    ``match`` is "substring" (a seed anywhere in the keyword) or "word" (a seed as whole words of it). The
+    taxonomy is a list of the caller's and travels inside the plan; one too long for that is a table,
+    for ``assign_topics_by_table``.
+    """
 
     topics: tuple[tuple[str, tuple[str, ...]], ...]
     fallback: str = FALLBACK_TOPIC
+    match: str = "substring"
+
+    def __post_init__(self) -> None:
+        if self.match not in ("substring", "word"):
+            raise ValueError("match is 'substring' or 'word'")
 
     @classmethod
-    def of(cls, seeds: Mapping[str, Iterable[str]], fallback: str = FALLBACK_TOPIC) -> Taxonomy:
-        taxonomy = cls(tuple((topic, tuple(words)) for topic, words in seeds.items()), fallback)
-        if sum(len(words) for _, words in taxonomy.topics) > MAX_SEEDS:
-            raise ValueError(f"a taxonomy holds at most {MAX_SEEDS} seeds")
-        return taxonomy
+    def of(
+        cls, seeds: Mapping[str, Iterable[str]], fallback: str = FALLBACK_TOPIC, match: str = "substring"
+    ) -> Taxonomy:
+        return cls(tuple((topic, tuple(words)) for topic, words in seeds.items()), fallback, match)
 
     @classmethod
     def from_rows(cls, rows: Iterable[tuple[int, str, str]]) -> Taxonomy:
@@ -46,8 +51,9 @@ class Taxonomy:
 
     def order_of(self, keyword: Column) -> Column:
         """1, 2, … in priority order; the fallback topic comes last. One search per topic."""
+        around = "(?:^| )(?:{})(?:$| )" if self.match == "word" else "{}"
         found = [
-            F.when(F.lower(keyword).rlike("|".join(re.escape(s) for s in seeds)), place)
+            F.when(F.lower(keyword).rlike(around.format("|".join(re.escape(s) for s in seeds))), place)
             for place, (_, seeds) in enumerate(self.topics, 1)
             if seeds
         ]
@@ -67,6 +73,39 @@ def assign_topics(keyword_rows: DataFrame, taxonomy: Taxonomy = DEFAULT_TAXONOMY
     )
 
 
+def assign_topics_by_table(
+    keyword_rows: DataFrame, seeds: DataFrame, fallback: str = FALLBACK_TOPIC
+) -> DataFrame:
+    """``assign_topics`` with a table ``seeds(topic_order, topic, seed)`` of any size, by substring.
+
+    Distinct keywords, which are short, are cut into all their substrings and meet the seeds in an
+    equi-join; the first topic in order is kept. Null seeds match nothing.
+    """
+    names = keyword_rows.select("keyword").where(F.col("keyword").isNotNull()).distinct()
+    starts = F.sequence(F.lit(1), F.length("keyword"))
+    cut = F.transform(
+        starts,
+        lambda i: F.transform(
+            F.sequence(F.lit(1), F.length("keyword") - i + 1),
+            lambda n: F.substring(F.lower("keyword"), i, n),
+        ),
+    )
+    parts = names.where(F.length("keyword") > 0).select(
+        "keyword", F.explode(F.array_distinct(F.flatten(cut))).alias("seed")
+    )
+    first = (
+        parts.join(seeds.select("topic_order", "topic", "seed"), "seed")
+        .groupBy("keyword")
+        .agg(F.min(F.struct("topic_order", "topic")).alias("_first"))
+    )
+    last = F.coalesce(seeds.agg(F.max("topic_order")).scalar(), F.lit(0)) + 1
+    return keyword_rows.join(first, "keyword", "left").select(
+        *keyword_rows.columns,
+        F.coalesce("_first.topic_order", last).cast("int").alias("topic_order"),
+        F.coalesce("_first.topic", F.lit(fallback)).alias("topic"),
+    )
+
+
 def keyword_topics(analysis: DataFrame, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
     """``(ord, url, keyword, topic_order, topic, rank)``."""
     return assign_topics(keywords(analysis), taxonomy).select(
@@ -96,34 +135,33 @@ def page_topics(found: Column, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> Column:
 
 
 def merged_topics(
-    analysis: DataFrame,
+    totals: DataFrame,
     taxonomy: Taxonomy = DEFAULT_TAXONOMY,
     group_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """``(…group, topic, topic_rank, keyword, total, rank)``: each topic's keywords over all pages.
+    """``(…group, topic, topic_rank, keyword, total, rank)``: the keywords of ``keyword_totals`` by topic.
 
     Topics are ordered by the first page that has them, keywords by total score, then by where they
     were first seen. A single word is left out where a phrase of the same topic contains it.
 
-    Each phrase also emits its words as markers, so that one grouping sums the scores, finds the
-    first page and spots the fragments; nothing is joined and nothing is counted twice.
+    A topic depends on the keyword alone, so distinct keywords are classified. Each phrase also emits
+    its words as markers, and one grouping spots the fragments without a join.
     """
     group = list(group_cols)
-    tagged = assign_topics(keywords(analysis, *group), taxonomy).where(F.col("keyword").isNotNull())
+    tagged = assign_topics(totals, taxonomy)
     real = F.struct(F.col("keyword").alias("term"), F.lit(False).alias("inside"))
     markers = F.transform(
         F.array_distinct(F.split("keyword", " ")),
         lambda w: F.struct(w.alias("term"), F.lit(True).alias("inside")),
     )
     entries = F.when(F.col("n") > 1, F.concat(F.array(real), markers)).otherwise(F.array(real))
-    emitted = tagged.select(*group, "ord", "rank", "score", "topic_order", F.explode(entries).alias("m"))
-    own_ord = F.when(~F.col("m.inside"), F.col("ord"))
+    own = ["total", "first_ord", "first_rank"]
+    emitted = tagged.select(*group, *own, "topic_order", F.explode(entries).alias("m"))
     merged = (
         emitted.groupBy(*group, "topic_order", F.col("m.term").alias("keyword"))
         .agg(
-            F.sum(F.when(~F.col("m.inside"), F.col("score"))).alias("total"),
-            F.min(own_ord).alias("first_ord"),
-            F.min_by("rank", own_ord).alias("first_rank"),
+            # A keyword has one row that is no marker, so this is the value of that row.
+            *[F.max(F.when(~F.col("m.inside"), F.col(name))).alias(name) for name in own],
             F.max("m.inside").alias("fragment"),
         )
         .where(F.col("total").isNotNull())
@@ -141,7 +179,7 @@ def merged_topics(
     )
     ranked = number_slices(sliced, keys, order, "rank").where(~F.col("fragment"))
     if group:
-        placed = join_to_groups(ranked, topics, keys, "keyword")
+        placed = join_to_groups(ranked, topics, keys)
     else:
         placed = join_on(ranked, F.broadcast(topics), keys)  # one row per topic of the taxonomy
     return placed.select(

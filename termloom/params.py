@@ -32,13 +32,13 @@ class Params:
     common_floor: int = 2
     prompt_keywords: int = 30
     gap_items: int = 15
+    # A prompt shows at most this many pages; a larger group gets several prompts, and no page is lost.
+    pages_per_prompt: int = 1_000
 
     # Physical choices: they steer the plan and never change a result.
     # Larger pages are scored as rows; None scores all pages in their row and skips looking for them.
     in_row_max_chars: int | None = 4_000_000
     inline_lexicon_words: int = 20_000
-    # A prompt holds at most this many pages; a larger group gets several prompts.
-    pages_per_prompt: int = 1_000
 
     def __post_init__(self) -> None:
         if self.max_urls < 0:

@@ -101,11 +101,11 @@ def _totals_stats(found: DataFrame, params: Params, group=()):
 
 
 def common_keywords(spark, sf):
-    return aggregate.common_keywords(*_totals_stats(analysis(spark, sf), LOW_RATIO))
+    return aggregate.common_keywords(*_totals_stats(stored_analysis(spark, sf), LOW_RATIO))
 
 
 def common_by_lang(spark, sf):
-    found = analysis(spark, sf)
+    found = stored_analysis(spark, sf)
     return aggregate.common_keywords(*_totals_stats(found, LOW_RATIO, ["lang"]), ["lang"])
 
 
@@ -123,11 +123,11 @@ def page_topics(spark, sf):
 
 
 def merged_topics(spark, sf):
-    return topics.merged_topics(analysis(spark, sf), TAXONOMY)
+    return topics.merged_topics(aggregate.keyword_totals(analysis(spark, sf)), TAXONOMY)
 
 
 def merged_topics_by_lang(spark, sf):
-    return topics.merged_topics(analysis(spark, sf), TAXONOMY, ["lang"])
+    return topics.merged_topics(aggregate.keyword_totals(analysis(spark, sf), ["lang"]), TAXONOMY, ["lang"])
 
 
 def _run_stats(spark, sf, group):
@@ -146,6 +146,67 @@ def run_stats_by_lang(spark, sf):
     return _run_stats(spark, sf, ["lang"])
 
 
+def url_filter_mixed(spark, sf):
+    """A third of the URLs have another scheme or case, or white space before them."""
+    kind = F.col("ord") % 3
+    odd = F.when(kind == 0, F.concat(F.lit("ftp:"), "url")).when(
+        (kind == 1) & (F.col("ord") % 2 == 0), F.concat(F.lit(" "), "url")
+    )
+    return urls.keep_http(pages(spark, sf).select("ord", F.coalesce(odd, "url").alias("url")))
+
+
+def odd_documents(spark, sf):
+    """The documents, of which some have a null, empty or blank text."""
+    kind = F.col("ord") % 7
+    text = (
+        F.when(kind == 0, F.lit(None).cast("string")).when(kind == 1, "").when(kind == 2, F.lit(" \n\t"))
+        .otherwise(F.col("text"))
+    )
+    return documents(spark, sf).withColumn("text", text).drop("size_hint")
+
+
+def content_gate_odd(spark, sf):
+    return content.gate_content(odd_documents(spark, sf), BASE).select("ord", "n_chars", "error")
+
+
+def keywords_odd(spark, sf):
+    return kw.keywords(kw.analyze_pages(odd_documents(spark, sf), params=BASE))
+
+
+def keywords_by_rows(spark, sf):
+    """Every page takes the relational form that huge pages take."""
+    return kw.keywords(kw.analyze_pages(documents(spark, sf), params=replace(BASE, in_row_max_chars=0)))
+
+
+def own_lexicon(spark, sf):
+    """All words of the documents; those with an odd number of letters are no nouns."""
+    words = kw.page_words(documents(spark, sf), params=BASE).select(F.col("token").alias("word")).distinct()
+    return words.withColumn("is_noun", F.length("word") % 2 == 0)
+
+
+def keywords_large_lexicon(spark, sf):
+    small = replace(BASE, inline_lexicon_words=0)
+    return kw.keywords(kw.analyze_pages(documents(spark, sf), lexicon=own_lexicon(spark, sf), params=small))
+
+
+def keyword_topics_by_table(spark, sf):
+    seeds = [(i, topic, seed) for i, (topic, words) in enumerate(SYLLABLES.items(), 1) for seed in words]
+    table = spark.createDataFrame(seeds, "topic_order int, topic string, seed string")
+    return topics.assign_topics_by_table(keywords_top50(spark, sf), table).select(
+        "ord", "url", "keyword", "topic_order", "topic", "rank"
+    )
+
+
+def page_text_odd(spark, sf):
+    """The pages with fragments before the article that a careless reading loses or keeps in error."""
+    before = F.lit(
+        "<!--><svg><title/><path d='x'/></svg><form>f<form>g</form></form><h2 class=banner>n</h3><!--x--!>"
+    )
+    odd = pages(spark, sf).withColumn("html", F.regexp_replace("html", "<article>", F.concat(before, F.lit("<article>"))))
+    texts = content.extract_text(odd, BASE)
+    return content.gate_content(texts, BASE).select("ord", "url", "place", "n_chars", "error", "text")
+
+
 def url_filter(spark, sf):
     # A list with both spellings of the column: even pages fill ``URL``, odd ones only ``url``.
     even = F.col("ord") % 2 == 0
@@ -176,9 +237,12 @@ def url_list(crawled: DataFrame) -> DataFrame:
 
 
 def url_lookup(spark, sf):
-    crawled = pages(spark, sf)
-    found = look_up_pages(url_list(crawled), crawled)
-    return found.select("ord", "url", F.length("html").cast("bigint").alias("html_chars"), "error")
+    # Every page was crawled twice; the second time, which counts, it had three more characters.
+    crawled = pages(spark, sf).select("ord", "url", F.length("html").cast("bigint").alias("html_chars"))
+    again = crawled.select(
+        (F.col("ord") + 1_000_000_000).alias("ord"), "url", (F.col("html_chars") + 3).alias("html_chars")
+    )
+    return look_up_pages(url_list(crawled), crawled.unionByName(again)).select("ord", "url", "html_chars", "error")
 
 
 def url_list_counters(spark, sf):
@@ -222,7 +286,7 @@ def page_keywords(spark, sf):
 
 
 def prompt_blocks(spark, sf):
-    return prompts.page_blocks(analysis(spark, sf), TAXONOMY, [], BASE)
+    return prompts.page_blocks(stored_analysis(spark, sf), TAXONOMY, [], BASE)
 
 
 def gap_prompt(spark, sf):
@@ -231,7 +295,7 @@ def gap_prompt(spark, sf):
 
 def gap_prompt_by_lang(spark, sf):
     small = replace(BASE, pages_per_prompt=100)
-    blocks = prompts.page_blocks(analysis(spark, sf), TAXONOMY, ["lang"], small)
+    blocks = prompts.page_blocks(stored_analysis(spark, sf), TAXONOMY, ["lang"], small)
     return prompts.gap_prompts(blocks, ["lang"], params=small)
 
 
@@ -250,7 +314,7 @@ def model_responses(spark, sf):
     return documents(spark, sf).select(
         F.col("ord").alias("group_id"),
         F.when(kind == 0, full)
-        .when(kind == 1, F.concat(F.lit("```json\n"), full, F.lit("\n```")))
+        .when(kind == 1, F.concat(F.lit("\n\t ```json\n"), full, F.lit("\n```\n")))
         .when(kind == 2, F.concat(F.lit("```\n"), partial, F.lit("\n```  ")))
         .when(kind == 3, F.concat(F.lit("Here it is: "), full))
         .alias("response_text"),
@@ -271,20 +335,20 @@ def response_errors(spark, sf):
 
 
 def gap_common(spark, sf):
-    return gap.gap_common(*_totals_stats(analysis(spark, sf), BASE), (), BASE)
+    return gap.gap_common(*_totals_stats(stored_analysis(spark, sf), BASE), (), BASE)
 
 
 def gap_underutilized(spark, sf):
-    return gap.gap_underutilized(*_totals_stats(analysis(spark, sf), BASE), (), BASE)
+    return gap.gap_underutilized(*_totals_stats(stored_analysis(spark, sf), BASE), (), BASE)
 
 
 def gap_underutilized_by_lang(spark, sf):
-    found = analysis(spark, sf)
+    found = stored_analysis(spark, sf)
     return gap.gap_underutilized(*_totals_stats(found, BASE, ["lang"]), ["lang"], BASE)
 
 
 def gap_long_tail(spark, sf):
-    return gap.gap_long_tail(*_totals_stats(analysis(spark, sf), BASE), (), BASE)
+    return gap.gap_long_tail(*_totals_stats(stored_analysis(spark, sf), BASE), (), BASE)
 
 
 def _gap_inputs(spark, sf, group=()):
@@ -305,6 +369,10 @@ def gap_missing(spark, sf):
     return gap.gap_missing(*_gap_inputs(spark, sf))
 
 
+def gap_recommendations(spark, sf):
+    return gap.gap_recommendations(*_totals_stats(stored_analysis(spark, sf), BASE), (), BASE)
+
+
 def gap_report(spark, sf):
     report = reports.gap_report(gap.keyword_gap(*_gap_inputs(spark, sf), (), BASE))
     return report.select(*[F.to_json(c).alias(c) for c in report.columns])
@@ -317,7 +385,7 @@ def url_report(spark, sf):
 
 
 def common_report(spark, sf):
-    report = reports.common_report(*_totals_stats(analysis(spark, sf), LOW_RATIO))
+    report = reports.common_report(*_totals_stats(stored_analysis(spark, sf), LOW_RATIO))
     return report.select(F.to_json("common_keywords").alias("common_keywords"))
 
 
@@ -330,7 +398,8 @@ QUERIES: dict[str, Query] = {
         url_lookup, url_list_counters, crawl_resolve, page_text, page_keywords, prompt_blocks, gap_prompt,
         gap_prompt_by_lang, parse_responses, response_errors, gap_common, gap_underutilized,
         gap_underutilized_by_lang, gap_long_tail, gap_semantic, gap_semantic_by_lang, gap_missing,
-        gap_report, url_report, common_report,
+        gap_report, url_report, common_report, gap_recommendations, url_filter_mixed, content_gate_odd,
+        keywords_odd, keywords_by_rows, keywords_large_lexicon, keyword_topics_by_table, page_text_odd,
     )
 }
 

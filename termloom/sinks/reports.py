@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from termloom.operators.aggregate import common_lists
 from termloom.operators.content import succeeded
 from termloom.operators.topics import DEFAULT_TAXONOMY, Taxonomy, page_topics
-from termloom.vocab import GAP_SECTIONS
+from termloom.storage import materialize
+from termloom.vocab import GAP_SECTIONS, PAGE_SECTION
 
 
 def url_report(
@@ -56,10 +57,10 @@ def common_report(
 def gap_report(gap: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """``(…group, <one array per section>)`` from the gap rows that concern the group as a whole.
 
-    Sections hold at most ``gap_items`` rows per group. Per-page rows (those with a ``url``) are as
+    Sections hold at most ``gap_items`` rows per group. Per-page rows (section ``PAGE_SECTION``) are as
     many as there are pages and stay rows; see ``write_gap``.
     """
-    rows = gap.where(F.col("url").isNull())
+    rows = gap.where(F.col("section").isin(*GAP_SECTIONS))
 
     def items(section: str):
         entry = F.when(F.col("section") == section, F.struct("rank", "item"))
@@ -94,10 +95,11 @@ def write_common_keywords(
 
 
 def write_gap(gap: DataFrame, out_dir: str, group_cols: Sequence[str] = ()) -> None:
-    """The sections as arrays, and the recommendations per page as lines."""
-    write_json(gap_report(gap, group_cols), f"{out_dir}/gap_analysis")
-    per_page = gap.where(F.col("url").isNotNull())
-    write_json(per_page.orderBy(*group_cols, "url", "rank"), f"{out_dir}/ranking_recommendations")
+    """The sections as arrays, and the recommendations per page as lines. The gap is computed once."""
+    stored = materialize(gap, "gap")
+    write_json(gap_report(stored, group_cols), f"{out_dir}/gap_analysis")
+    per_page = stored.where(F.col("section") == PAGE_SECTION)
+    write_json(per_page.orderBy(*group_cols, "ord", "rank"), f"{out_dir}/ranking_recommendations")
 
 
 def write_reports(

@@ -124,5 +124,8 @@ GAP_SECTIONS = (
     "ranking_recommendations",
 )
 
+# The section of the gap rows that concern one page each.
+PAGE_SECTION = "page_recommendations"
+
 # Error texts that other steps and reports rely on.
 INSUFFICIENT_CONTENT = "Insufficient content extracted"

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from termloom.functions.ranking import number_slices, sort_into_slices, with_rank
 from termloom.functions.text import KEYWORD_STRUCT
+from termloom.functions.joins import join_to_groups
 from termloom.operators import aggregate, gap, topics
+from termloom.operators.keywords import keywords
 from termloom.params import Params
 from termloom.vocab import TOPIC_SEEDS
 
@@ -76,7 +78,7 @@ def test_groups_are_independent_runs_and_null_is_a_group(spark):
     found = frame(spark, pages)
     totals, stats = aggregate.keyword_totals(found, ["g"]), aggregate.page_stats(found, ["g"], params)
     rows = aggregate.common_keywords(totals, stats, ["g"]).collect()
-    merged = topics.merged_topics(found, TAXONOMY, ["g"]).collect()
+    merged = topics.merged_topics(totals, TAXONOMY, ["g"]).collect()
     for g in ("a", "b", None):
         mine = [p for p in pages if p[5] == g]
         got = sorted((r.rank, r.keyword) for r in rows if r.g == g)
@@ -127,7 +129,7 @@ def expected_topics(pages):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_merged_topics(spark, seed):
     pages = random_pages(seed)
-    rows = topics.merged_topics(frame(spark, pages), TAXONOMY).collect()
+    rows = topics.merged_topics(aggregate.keyword_totals(frame(spark, pages)), TAXONOMY).collect()
     assert {(r.topic, r.topic_rank, r.rank, r.keyword, r.total) for r in rows} == expected_topics(pages)
 
 
@@ -145,11 +147,32 @@ def test_first_topic_wins_and_seeds_match_inside_words(spark):
     assert len(TOPIC_SEEDS) == 11 and sum(map(len, TOPIC_SEEDS.values())) == 142
 
 
-def test_taxonomy_from_rows_and_size_check():
+def test_topics_by_table_equal_topics_by_plan(spark):
+    seeds = [(1, "A", "ent"), (2, "B", "a"), (2, "B", "visa"), (3, "C", None), (4, "D", "ta")]
+    df = frame(spark, [page(1, [(w, 9) for w in ("current", "tax", "other", "visa fee", "Plain", "x")])])
+    table = spark.createDataFrame(seeds, "topic_order int, topic string, seed string")
+    plan = topics.Taxonomy.of({"A": ["ent"], "B": ["a", "visa"], "C": [], "D": ["ta"]})
+    rows = keywords(df)
+    one = topics.assign_topics(rows, plan).select("keyword", "topic_order", "topic").collect()
+    two = topics.assign_topics_by_table(rows, table).select("keyword", "topic_order", "topic").collect()
+    assert sorted(one) == sorted(two)
+
+
+def test_seeds_as_whole_words(spark):
+    df = frame(spark, [page(1, [(w, 9) for w in ("current", "rent", "rent cost", "low rent", "rents")])])
+    taxonomy = topics.Taxonomy.of({"A": ["rent"]}, match="word")
+    got = {r.keyword: r.topic for r in topics.keyword_topics(df, taxonomy).collect()}
+    assert got == {"current": "General", "rent": "A", "rent cost": "A", "low rent": "A", "rents": "General"}
+    with pytest.raises(ValueError):
+        topics.Taxonomy.of({"A": ["rent"]}, match="prefix")
+
+
+def test_taxonomy_from_rows_has_no_limit(spark):
     rows = [(2, "B", "y"), (1, "A", "x"), (2, "B", "z")]
     assert topics.Taxonomy.from_rows(rows).topics == (("A", ("x",)), ("B", ("y", "z")))
-    with pytest.raises(ValueError):
-        topics.Taxonomy.of({"A": [str(i) for i in range(topics.MAX_SEEDS + 1)]})
+    many = topics.Taxonomy.of({"A": [f"seed{i}" for i in range(6_000)], "B": ["plain"]})
+    df = frame(spark, [page(1, [("seed5999", 9), ("plain", 5)])])
+    assert {r.keyword: r.topic for r in topics.keyword_topics(df, many).collect()} == {"seed5999": "A", "plain": "B"}
 
 
 def test_page_counters(spark):
@@ -212,6 +235,23 @@ def test_gap_with_nothing_common(spark):
     }
 
 
+def test_a_cold_group_is_not_copied(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("b", 4)], "g string, v int")
+    groups = spark.createDataFrame([("a", 10), (None, 20)], "g string, w int")
+    joined = join_to_groups(rows, groups, ["g"])
+    assert sorted((r.v, r.w or 0) for r in joined.collect()) == [(1, 10), (2, 10), (3, 20), (4, 0)]
+    assert "Generate" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_scalar_subquery_for_all_statistics(spark):
+    found = frame(spark, random_pages(3, 20))
+    totals, stats = aggregate.keyword_totals(found), aggregate.page_stats(found)
+    both = aggregate.with_stats(totals, stats, ["threshold", "processed_urls"])
+    both.collect()
+    plan = both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("\n") and plan.count(":- Subquery") + plan.count("+- Subquery") <= 1 + plan.count("ReusedSubquery")
+
+
 def test_rank_spreads_a_hot_group(spark):
     # One group holds nine tenths of the rows; no slice may hold it whole.
     df = spark.range(20_000).select(
@@ -248,7 +288,7 @@ def test_results_do_not_depend_on_partitioning(spark, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
         found = frame(spark, pages).repartition(partitions)
-        rows = topics.merged_topics(found, TAXONOMY).collect()
+        rows = topics.merged_topics(aggregate.keyword_totals(found), TAXONOMY).collect()
         assert {(r.topic, r.topic_rank, r.rank, r.keyword, r.total) for r in rows} == expected_topics(pages)
         totals = aggregate.keyword_totals(found)
         assert totals.agg(F.sum("df")).first()[0] == sum(len(p[4]) for p in pages)

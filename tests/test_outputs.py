@@ -2,6 +2,7 @@ import json
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from plain_scoring import ranked_keywords
 from termloom.operators import prompts
@@ -10,6 +11,7 @@ from termloom.operators.topics import Taxonomy
 from termloom.params import Params
 from termloom.plans.analysis import analyze_url_list, run_analysis
 from termloom.sinks import reports
+from termloom.storage import working_tables
 from test_across_pages import TAXONOMY, frame, page
 from termloom.vocab import GAP_SECTIONS
 
@@ -113,7 +115,8 @@ def test_run_and_written_reports(spark, tmp_path):
     assert [(r["topic_rank"], r["rank"]) for r in clusters] == sorted((r["topic_rank"], r["rank"]) for r in clusters)
     gap = lines(out / "gap_analysis")
     assert list(gap[0]) == list(GAP_SECTIONS) and set(gap[0]["commonly_used_keywords"]) == set(common)
-    assert gap[0]["ranking_recommendations"] == []
+    lacking = [r.keyword for r in tables["common_keywords"].collect() if r.df < 3]
+    assert set(gap[0]["ranking_recommendations"]) == set(lacking) and lacking
     advice = lines(out / "ranking_recommendations")
     assert {(r["url"], r["item"]) for r in advice} >= {("http://a", "student visa"), ("http://d", "visa fee")}
     totals = spark.read.parquet(str(out / "keyword_totals"))
@@ -134,6 +137,23 @@ def test_grouped_run_equals_separate_runs(spark):
             assert sorted(map(str, mine.collect())) == sorted(map(str, alone[name].collect())), name
 
 
+def test_null_urls_do_not_mix_sections(spark):
+    rows = [(i, None, t) for i, t in enumerate(["visa fee permit. " * 30, "visa fee. " * 40, "housing rent. " * 30])]
+    gap = run_analysis(spark.createDataFrame(rows, "ord bigint, url string, text string"))["gap"]
+    report = reports.gap_report(gap).first()
+    assert len(report.ranking_recommendations) <= 15
+    per_page = gap.where(F.col("section") == "page_recommendations").collect()
+    assert per_page and {r.ord for r in per_page} == {2}
+
+
+@pytest.mark.parametrize("text", ["\n```json\n{}\n```", "\u00a0\t```JSON {}```\n", "```\n{}\n```  ", "{}", " \n{} "])
+def test_fences_and_white_space(spark, text):
+    body = '{"semantic_keywords": ["a b"]}'
+    df = spark.createDataFrame([(1, text.replace("{}", body), None)], "group_id int, response_text string, error_message string")
+    row = prompts.parse_gap_responses(df).first()
+    assert row.error is None and row.semantic_keywords == ["a b"]
+
+
 def test_no_pages_is_an_error(spark):
     with pytest.raises(ValueError):
         run_analysis(spark.createDataFrame([], "ord bigint, url string, text string"))
@@ -172,3 +192,12 @@ def test_url_list_names_a_page_often(spark):
         assert rows[13].error == "Insufficient content extracted"
     stats = run_analysis(found)["run_stats"].first()
     assert (stats.total_urls, stats.processed_urls, stats.failed_urls, stats.threshold) == (14, 12, 2, 6)
+
+
+def test_working_tables_are_removed(spark, tmp_path):
+    df = spark.createDataFrame([(1, "http://a", "visa fee permit. " * 30)], "ord bigint, url string, text string")
+    with working_tables(spark, str(tmp_path)) as folder:
+        tables = run_analysis(df)
+        assert tables["keyword_totals"].count() > 0 and any(tmp_path.iterdir())
+        assert folder.startswith(str(tmp_path))
+    assert not any(tmp_path.iterdir())
