@@ -219,17 +219,27 @@ def first_weights(vocabulary: Vocabulary) -> Weights:
     return weights
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
+def _step(weights: Weights, columns: np.ndarray, tokens: np.ndarray, state: np.ndarray):
+    """(state after ``tokens``, update gates, reset gates, candidates, what the reset gates scale).
 
-
-def _step(weights: Weights, tokens: np.ndarray, state: np.ndarray):
-    h = state.shape[1]
-    fed, back = weights.input[tokens], state @ weights.state
-    gates = _sigmoid(fed[:, : 2 * h] + back[:, : 2 * h])
-    keep, reset = gates[:, :h], gates[:, h:]
-    new = np.tanh(fed[:, 2 * h :] + reset * back[:, 2 * h :])
-    return new + keep * (state - new), keep, reset, new, back[:, 2 * h :]
+    States and gates have a column per text: work on a group of gates then runs over contiguous memory.
+    ``columns`` is the input table turned likewise.
+    """
+    h = len(state)
+    fed, back = columns.take(tokens, axis=1), weights.state.T @ state
+    gates = fed[: 2 * h]
+    gates += back[: 2 * h]
+    gates *= np.float32(0.5)  # the logistic function by way of tanh
+    np.tanh(gates, out=gates)
+    gates *= np.float32(0.5)
+    gates += np.float32(0.5)
+    keep, reset, new = fed[:h], fed[h : 2 * h], fed[2 * h :]
+    new += reset * back[2 * h :]
+    np.tanh(new, out=new)
+    after = state - new
+    after *= keep
+    after += new
+    return after, keep, reset, new, back[2 * h :]
 
 
 def _softmax(logits: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,37 +271,43 @@ def token_log_probabilities(
 ):
     """Natural log probability of each target token (of a tail word: of its class).
 
-    With ``gradient``, adds the gradients of the mean loss to it and returns also that of the states.
+    ``states`` has a column per target. With ``gradient``, adds the gradients of the mean loss to it and returns also that of the states.
     """
     classes = _CLASSES.setdefault(network, token_classes(network))[targets]
     tokens = len(targets)
-    logits = weights.class_weight.T @ states.T
+    logits = weights.class_weight.T @ states
     logits += weights.class_bias[:, None]
     result, exponentials, sums = _softmax(logits, classes)
     back = None
     if gradient is not None:
         slope = _slope(exponentials, sums, classes, tokens)
-        gradient.class_weight += states.T @ slope.T
+        gradient.class_weight += states @ slope.T
         gradient.class_bias += slope.sum(axis=1)
-        back = slope.T @ weights.class_weight.T
+        back = weights.class_weight @ slope
     head = np.flatnonzero(targets < network.head)
     order = head[np.argsort(classes[head].astype(_short(network)), kind="stable")]
     edges = np.searchsorted(classes[order], np.arange(network.head_classes + 1))
+    sorted_states, sorted_targets = states.take(order, axis=1), targets[order]
+    logs = np.empty(len(order), dtype=np.float32)
+    slopes = np.empty_like(sorted_states) if gradient is not None else None
     for k in range(network.head_classes):
-        rows = order[edges[k] : edges[k + 1]]
-        if not len(rows):
+        own = slice(edges[k], edges[k + 1])
+        if edges[k] == edges[k + 1]:
             continue
-        inside, place = states[rows], targets[rows] - k * network.class_words
-        logits = weights.word_weight[k].T @ inside.T
+        inside, place = sorted_states[:, own], sorted_targets[own] - k * network.class_words
+        logits = weights.word_weight[k].T @ inside
         logits += weights.word_bias[k][:, None]
-        log_word, exponentials, sums = _softmax(logits, place)
-        result[rows] += log_word
+        logs[own], exponentials, sums = _softmax(logits, place)
         if gradient is not None:
             slope = _slope(exponentials, sums, place, tokens)
-            gradient.word_weight[k] += inside.T @ slope.T
+            gradient.word_weight[k] += inside @ slope.T
             gradient.word_bias[k] += slope.sum(axis=1)
-            back[rows] += slope.T @ weights.word_weight[k].T
-    return result if gradient is None else (result, back)
+            slopes[:, own] = weights.word_weight[k] @ slope
+    result[order] += logs
+    if gradient is None:
+        return result
+    back[:, order] += slopes
+    return result, back
 
 
 _CLASSES: dict[Network, np.ndarray] = {}
@@ -304,30 +320,31 @@ def window_gradient(weights: Weights, network: Network, inputs, targets, state):
     """
     steps, streams = inputs.shape
     h = network.hidden
-    gradient = Weights(network)
-    kept, states = [], np.empty((steps, streams, h), dtype=np.float32)
+    gradient, columns = Weights(network), np.ascontiguousarray(weights.input.T)
+    kept, states = [], np.empty((h, steps, streams), dtype=np.float32)
     for t in range(steps):
-        state = np.where((inputs[t] == network.end)[:, None], np.float32(0), state)
-        after, keep, reset, new, back = _step(weights, inputs[t], state)
+        state = state * (inputs[t] != network.end)
+        after, keep, reset, new, back = _step(weights, columns, inputs[t], state)
         kept.append((state, keep, reset, new, back))
-        states[t] = state = after
-    logs, slopes = token_log_probabilities(
-        weights, network, states.reshape(-1, h), targets.reshape(-1), gradient
-    )
-    slopes = slopes.reshape(steps, streams, h)
+        states[:, t] = state = after
+    logs, slopes = token_log_probabilities(weights, network, states.reshape(h, -1), targets.reshape(-1), gradient)
+    slopes = slopes.reshape(h, steps, streams)
     fed = np.empty((steps, streams, 3 * h), dtype=np.float32)
-    carried = np.zeros((streams, h), dtype=np.float32)
+    carried = np.zeros((h, streams), dtype=np.float32)
+    through = np.empty((3 * h, streams), dtype=np.float32)
     for t in range(steps - 1, -1, -1):
         before, keep, reset, new, back = kept[t]
-        slope = slopes[t] + carried
-        to_new = slope * (1 - keep) * (1 - new * new)
-        fed[t, :, :h] = slope * (before - new) * keep * (1 - keep)
-        fed[t, :, h : 2 * h] = to_new * back * reset * (1 - reset)
-        fed[t, :, 2 * h :] = to_new
-        through = np.concatenate([fed[t, :, : 2 * h], to_new * reset], axis=1)
-        gradient.state += before.T @ through
-        carried = slope * keep + through @ weights.state.T
-        carried[inputs[t] == network.end] = 0
+        slope = slopes[:, t] + carried
+        to_new = slope * (1 - keep)
+        to_new *= 1 - new * new
+        through[:h] = slope * (before - new) * keep * (1 - keep)
+        through[h : 2 * h] = to_new * back * reset * (1 - reset)
+        through[2 * h :] = to_new
+        fed[t] = through.T
+        through[2 * h :] *= reset
+        gradient.state += before @ through.T
+        carried = slope * keep + weights.state @ through
+        carried *= inputs[t] != network.end
     flat = inputs.reshape(-1)
     order = np.argsort(flat.astype(_short(network)), kind="stable")
     starts = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
@@ -357,7 +374,7 @@ class Trainer:
         n = self.network
         before = np.concatenate([np.full((len(block), 1), n.end, block.dtype), block[:, :-1]], axis=1)
         inputs, targets = before.T.copy(), block.T.copy()
-        state = np.zeros((len(block), n.hidden), dtype=np.float32)
+        state = np.zeros((n.hidden, len(block)), dtype=np.float32)
         for t in range(0, len(inputs), n.window):
             own = slice(t, t + n.window)
             slope, state, loss = window_gradient(self.weights, n, inputs[own], targets[own], state)
@@ -417,13 +434,13 @@ def score_texts(weights: Weights, network: Network, texts: list[np.ndarray]) ->
 
     Texts run side by side, longest first; the state of each is carried from window to window.
     """
-    result = np.zeros(len(texts))
+    result, columns = np.zeros(len(texts)), np.ascontiguousarray(weights.input.T)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
     for first in range(0, len(order), network.batch):
         rows = order[first : first + network.batch]
         sizes = lengths[rows]
-        state = np.zeros((len(rows), network.hidden), dtype=np.float32)
+        state = np.zeros((network.hidden, len(rows)), dtype=np.float32)
         for low in range(0, int(sizes[0]) if len(sizes) else 0, network.window):
             live = int((sizes > low).sum())
             width = int(min(network.window, sizes[0] - low))
@@ -433,20 +450,18 @@ def score_texts(weights: Weights, network: Network, texts: list[np.ndarray]) ->
                 piece = own[max(0, low - 1) : low + width]
                 skip = 1 if low == 0 else 0
                 grid[k, skip : skip + len(piece)] = piece
-            states, targets, owners = [], [], []
-            state = state[:live]
+            active = (sizes[:live, None] > low + np.arange(width)).sum(axis=0)
+            ends = np.r_[0, np.cumsum(active)]
+            states = np.empty((network.hidden, ends[-1]), dtype=np.float32)
             for t in range(width):
-                active = int((sizes > low + t).sum())
-                if active < len(state):
-                    state = state[:active]
-                state = _step(weights, grid[:active, t], state)[0]
-                states.append(state)
-                targets.append(grid[:active, t + 1])
-                owners.append(rows[:active])
-            logs = token_log_probabilities(
-                weights, network, np.concatenate(states), np.concatenate(targets)
-            )
-            result += np.bincount(np.concatenate(owners), logs, len(texts))
+                if active[t] < state.shape[1]:
+                    state = state[:, : active[t]]
+                state = _step(weights, columns, grid[: active[t], t], state)[0]
+                states[:, ends[t] : ends[t + 1]] = state
+            targets = np.concatenate([grid[:n, t + 1] for t, n in enumerate(active)])
+            owners = np.concatenate([rows[:n] for n in active])
+            logs = token_log_probabilities(weights, network, states, targets)
+            result += np.bincount(owners, logs, len(texts))
     return result / np.log(10)
 
 

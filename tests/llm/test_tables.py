@@ -186,7 +186,7 @@ def varied_texts(count):
     return docs
 
 
-@pytest.mark.parametrize("join", [jaccard.Join(), jaccard.Join(cell_bits=4, filter_bits=6, group=3)])
+@pytest.mark.parametrize("join", [jaccard.Join(), jaccard.Join(cell_bits=4, filter_bits=6, group_shingles=200)])
 def test_shingle_components_equal_brute_force(spark, join):
     docs = varied_texts(400)
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, n_shingles int").repartition(4)
@@ -295,7 +295,7 @@ def test_gradients_equal_differences():
     inputs = draw.integers(0, network.end + 1, (6, 5))
     targets = draw.integers(0, network.end + 1, (6, 5))
     inputs[3, 2] = network.end
-    state = np.zeros((5, 4), np.float32)
+    state = np.zeros((4, 5), np.float32)
     slope = recurrent.window_gradient(weights, network, inputs, targets, state)[0]
     for k in draw.choice(np.flatnonzero(np.abs(slope) > 1e-3), 25):
         losses = []
@@ -318,9 +318,9 @@ def test_windows_carry_the_state():
     texts = [np.append(draw.integers(0, network.end, n), network.end) for n in (0, 1, 4, 5, 9, 23, 40)]
     scores = recurrent.score_texts(weights, network, texts)
     for text, score in zip(texts, scores):
-        state, total = np.zeros((1, 4), np.float32), 0.0
+        state, total = np.zeros((4, 1), np.float32), 0.0
         for before, token in zip(np.r_[network.end, text[:-1]], text):
-            state = recurrent._step(weights, np.array([before]), state)[0]
+            state = recurrent._step(weights, weights.input.T.copy(), np.array([before]), state)[0]
             total += recurrent.token_log_probabilities(weights, network, state, np.array([token]))[0]
         assert score == pytest.approx(total / np.log(10), rel=1e-4)
 
@@ -362,6 +362,6 @@ def test_probabilities_add_up():
     Counted.network = network
     weights = recurrent.first_weights(Counted)
     every = np.arange(network.end + 1)
-    state = np.tile(np.random.default_rng(3).normal(size=4).astype(np.float32), (len(every), 1))
+    state = np.tile(np.random.default_rng(3).normal(size=(4, 1)).astype(np.float32), len(every))
     logs = recurrent.token_log_probabilities(weights, network, state, every)
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
