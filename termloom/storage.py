@@ -48,9 +48,14 @@ def working_tables(spark: SparkSession, folder: str | None = None) -> Iterator[s
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return the table read back."""
+def tables_folder(spark: SparkSession) -> str:
+    """Where ``materialize`` writes at this point."""
+    return (_FOLDER.get() or shared_dir(spark)).rstrip("/")
+
+
+def materialize(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder (or ``folder``) and return the table read back."""
     spark = df.sparkSession
-    path = f"{(_FOLDER.get() or shared_dir(spark)).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder or tables_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
