@@ -28,7 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model, _ = fourier.fit_quality(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
     if model is None:
         return docs.select(*COLUMNS)
-    scored = fourier.add_statistics(docs)
+    scored = fourier.add_statistics(docs.select(*COLUMNS))
     return scored.where(fourier.score_column(model, F.col("statistics")) >= LEAST_QUALITY).select(*COLUMNS)
 
 
@@ -41,14 +41,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = jaccard.shingle_components(docs)
     dropped = groups.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
     dropped = dropped.select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+    kept = docs.select(*COLUMNS).join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
     return kept.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind in brackets; ``n_chars`` follows."""
-    masked = pii.mask_personal_data(docs)
+    masked = pii.mask_personal_data(docs.select(*COLUMNS))
     return masked.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
@@ -58,8 +58,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document is repeated for each pass of its source's stream. Texts without words are not taken.
     Rows alike in doc_id, source and size share evenly what is taken of them.
     """
-    sized = docs.withColumn("size", mixing.word_count(F.col("text")))
-    mixed, _ = mixing.mix_documents(sized.select("doc_id", "source", "size"))
+    sized = docs.select(*COLUMNS).withColumn("size", mixing.word_count(F.col("text")))
+    mixed, _ = mixing.mix_documents(sized, size="size")
     words = mixed.groupBy("doc_id", "source", "size").agg(
         F.floor(F.sum("taken") / F.count(F.lit(1))).cast("bigint").alias("taken")
     )
@@ -81,7 +81,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether they decode to its text."""
-    both = bpe.round_trip(docs, VOCABULARY)
+    both = bpe.round_trip(docs.select(*COLUMNS), VOCABULARY)
     return both.select(
         "doc_id",
         "lang",

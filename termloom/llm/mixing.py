@@ -139,16 +139,18 @@ def stream_documents(sizes: DataFrame, sources: DataFrame, mix: Mix) -> DataFram
     return with_running_sums(shuffled, ["place"], order, {"start": "size"}).drop("_shuffle")
 
 
-def mix_documents(docs: DataFrame, mix: Mix = Mix(), text: str = "text") -> tuple[DataFrame, DataFrame]:
+def mix_documents(
+    docs: DataFrame, mix: Mix = Mix(), text: str = "text", size: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(documents with size, source_size, target and taken; schedule of the mix).
 
-    ``docs`` needs doc_id, source and the text column, or ``size`` if it is counted already; other
-    columns are dropped. Every row is in the result. A null or empty text has size 0 and nothing is taken of it; a
+    ``docs`` needs doc_id, source and the text column, or instead of it a column ``size`` of sizes counted
+    already; other columns are dropped. Every row is in the result. A null or empty text has size 0 and nothing is taken of it; a
     null source is a source; repeated rows are documents of their own. ``taken`` counts the words
     that the mix takes, a word taken twice twice. An empty table gives empty tables.
     """
-    size = F.col("size") if "size" in docs.columns else word_count(F.col(text))
-    sizes = materialize(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
+    words = F.col(size) if size else word_count(F.col(text))
+    sizes = materialize(docs.select("doc_id", "source", words.alias("size")), "mix-sizes")
     sources = materialize(source_targets(sizes, mix), "mix-targets")
     slots = materialize(schedule(sources, mix), "mix-schedule")
     stream = materialize(stream_documents(sizes, sources, mix), "mix-stream")

@@ -120,7 +120,7 @@ def test_mix(spark):
     rows += [(500, "big", 5000), (1, "a", 40), (1, "a", 40), (None, "a", 7), (600, "none", 0)]
     docs = spark.createDataFrame(
         [(i, s, " ".join(["w"] * n) if n else None, 3) for i, s, n in rows],
-        "doc_id bigint, source string, text string, taken int",
+        "doc_id bigint, source string, text string, size int",
     ).repartition(4)
     mix = mixing.Mix(block_words=16)
     mixed, slots = mixing.mix_documents(docs, mix)
