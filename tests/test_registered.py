@@ -24,3 +24,14 @@ def test_entry(spark):
 def test_query_equals_sql(spark, name):
     good, note = compare(spark, TABLES, name)
     assert good, note
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["common_keywords", "common_by_lang", "common_report", "gap_common", "gap_underutilized", "gap_long_tail",
+     "gap_recommendations", "prompt_blocks", "gap_prompt", "gap_semantic", "gap_missing"],
+)
+def test_texts_are_read_once(spark, name):
+    """The texts were read for the stored page table; the query itself reads that table only."""
+    plan = QUERIES[name](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+    assert "/documents.parquet" not in plan
