@@ -102,4 +102,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+# The other queries rest on hashes, models or a tokenizer; tests hold them to brute force.
+SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH payloads AS (
+          SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+        last AS (SELECT html, max(page_id) AS page_id FROM payloads WHERE n >= 1000 GROUP BY html)
+        SELECT p.page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+               CASE WHEN l.page_id > p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN l.page_id > p.page_id THEN l.page_id END AS refers_to
+        FROM payloads p LEFT JOIN last l ON l.html = p.html""",
+    "op3_jaccard": r"""
+        WITH RECURSIVE found AS (
+          SELECT doc_id, regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x20\x09-\x0D]+') AS words
+          FROM documents),
+        shingles AS (
+          SELECT DISTINCT doc_id, unnest(
+            CASE WHEN len(words) >= 5 THEN [array_to_string(words[i:i + 4], ' ') for i in range(1, len(words) - 3)]
+                 WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle
+          FROM found),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (
+          SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+          FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (
+          SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+          WHERE 100 * c >= 75 * (s.n + t.n - c)),
+        reached(doc_id, root) AS (
+          SELECT doc_id, doc_id FROM documents
+          UNION SELECT y, root FROM reached JOIN links ON x = doc_id)
+        SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root) AS component_id
+        FROM reached d LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id""",
+}
