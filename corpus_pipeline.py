@@ -28,8 +28,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model, _ = fourier.fit_quality(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
     if model is None:
         return docs.select(*COLUMNS)
-    scored = fourier.add_statistics(docs.select(*COLUMNS))
-    return scored.where(fourier.score_column(model, F.col("statistics")) >= LEAST_QUALITY).select(*COLUMNS)
+    scored = docs.select(*COLUMNS, fourier.score_text(model, F.col("text")).alias("_score"))
+    return scored.where(F.col("_score") >= LEAST_QUALITY).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,6 +212,19 @@ def score_column(model: Model | None, statistics: Column) -> Column:
     return score(statistics)
 
 
+def score_text(model: Model | None, text: Column) -> Column:
+    """``score_column`` straight from the text, in one pass of the rows through Python."""
+    if model is None:
+        return F.lit(0.5)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        rows = [text_statistics(t.as_py()) for t in texts]
+        return pa.array(model.score(np.array(rows, dtype=float).reshape(-1, len(STATISTICS))))
+
+    return score.asNondeterministic()(text)
+
+
 def quality_labels(labels: DataFrame) -> DataFrame:
     """One ``label`` per doc_id: the mean of its labels. Rows with a null in either column are left out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
