@@ -26,24 +26,29 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return others.union(least.select("a", F.col("least").alias("b"))).distinct()
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether each node hangs on one other at most and nothing hangs on a node that hangs."""
+    one, zero = F.lit(1), F.lit(0)
+    ends = edges.select(F.col("a").alias("node"), one.alias("hangs"), zero.alias("holds")).unionAll(
+        edges.select(F.col("b").alias("node"), zero.alias("hangs"), one.alias("holds"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return nodes.where((F.col("hangs") > 1) | ((F.col("hangs") > 0) & (F.col("holds") > 0))).isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the smallest reachable node.
 
     Edges may repeat, point either way or join a node to itself; rows with a null are ignored. Every
     round is written to the shared folder. The number of rounds is about the logarithm of the
-    longest path. No edges give no rows.
+    longest path; they end when all components are stars. No edges give no rows.
     """
     known = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     current = materialize(
         known.where("a is not null and b is not null and a != b").distinct(), "edges"
     )
-    state = None
-    while True:
+    while not _is_star_forest(current):
         current = materialize(_small_star(_large_star(current)), "stars")
-        mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == state:
-            break
-        state = mark
     roots = current.select(F.col("b").alias("node")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))

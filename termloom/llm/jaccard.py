@@ -13,19 +13,21 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from heapq import merge
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.components import connected_components
 from termloom.llm.streams import complete_groups
 from termloom.llm.sums import sum_over_partitions
-from termloom.llm.words import lower_words
-from termloom.storage import materialize
+from termloom.llm.words import WHITE_SPACE
+from termloom.storage import materialize, tables_folder, working_tables
 
 
 @dataclass(frozen=True)
@@ -33,31 +35,21 @@ class Join:
     """Sets of ``words``-word shingles link if 100 x intersection >= ``percent`` x union.
 
     The others are physical: the sizes, fixed whatever the corpus, of the table of counts that orders
-    n-grams and of the filter of document ids, and the largest search group of one task.
+    n-grams and of the filter of document ids, and how many shingles a search group of one task holds.
     """
 
     words: int = 5
     percent: int = 75
     cell_bits: int = 18
     filter_bits: int = 22
-    group: int = 512
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, kept for words met before."""
-
-    LIMIT = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[word] = value
-        return value
+    group_shingles: int = 400_000
 
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BYTE_VALUES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[ord(c) for c in WHITE_SPACE]] = True
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -65,18 +57,52 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, size: int, known: WordHashes) -> np.ndarray:
+@lru_cache(maxsize=64)
+def _powers(steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, for texts of up to 2^steps bytes."""
+    both = []
+    for base in (_MULTIPLIER, _INVERSE):
+        powers = np.full(1 << steps, base, dtype=np.uint64)
+        powers[0] = 1
+        both.append(np.cumprod(powers))
+    return both[0], both[1]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z in lower case.
+
+    A word's hash is a polynomial of its bytes, the difference of two running sums over the text; so
+    all words are hashed at once and none is looked up.
+    """
+    raw = np.frombuffer((text or "").encode().lower(), dtype=np.uint8)
+    if not len(raw):
+        return np.zeros(0, dtype=np.uint64)
+    space = np.empty(len(raw) + 2, dtype=bool)
+    space[0] = space[-1] = True
+    space[1:-1] = _IS_SPACE[raw]
+    starts = np.flatnonzero(space[:-1] & ~space[1:])
+    ends = np.flatnonzero(~space[:-1] & space[1:])
+    powers, inverses = _powers(max(12, len(raw).bit_length()))
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_VALUES[raw] * powers[: len(raw)], out=sums[1:])
+    words = (sums[ends] - sums[starts]) * inverses[starts]
+    return _mixed(words + (ends - starts).astype(np.uint64))
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; a text of fewer words is one, without words none."""
-    words = lower_words(text)
-    if not words:
+    hashes = word_hashes(text)
+    if not len(hashes):
         return np.zeros(0, dtype=np.int64)
-    hashes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    width = min(size, len(words))
-    count = len(words) - width + 1
-    total = np.full(count, width, dtype=np.uint64)
-    for k in range(width):
-        total = _mixed(total * _MULTIPLIER + hashes[k : k + count])
-    return np.unique(total.view(np.int64))
+    width = min(size, len(hashes))
+    count = len(hashes) - width + 1
+    # A polynomial of the word hashes: different word sequences agree by chance alone.
+    total = hashes[:count] + np.uint64(width)
+    for k in range(1, width):
+        total *= _MULTIPLIER
+        total += hashes[k : k + count]
+    total = np.sort(_mixed(total).view(np.int64))
+    return total[np.r_[True, total[1:] != total[:-1]]]
 
 
 def set_number(hashes: np.ndarray) -> int:
@@ -102,48 +128,67 @@ def count_cells(docs: DataFrame, join: Join) -> np.ndarray:
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        known, total = WordHashes(), np.zeros(1 << join.cell_bits)
+        total = np.zeros(1 << join.cell_bits)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            if held:
+                total[:] += np.bincount(_cells(np.concatenate(held), join.cell_bits), minlength=len(total))
+                held.clear()
+
         for batch in batches:
-            for text in batch["text"]:
-                own = shingles(text.as_py(), join.words, known)
-                np.add.at(total, _cells(own, join.cell_bits), 1)
+            for k, text in enumerate(batch["text"]):
+                held.append(shingles(text.as_py(), join.words))
+                if k % 512 == 511:
+                    add()
+            add()
         return total
 
     total = sum_over_partitions(docs.select("text"), partial, np.float32)
     return np.zeros(1 << join.cell_bits, np.float32) if total is None else total
 
 
-_SETS = "doc_id bigint, n bigint, set_id bigint, prefix array<bigint>"
+_SETS = "doc_id bigint, n bigint, set_id bigint, cut bigint, prefix array<bigint>"
+
+
+def _order_numbers(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Numbers that follow the order by (count, hash), but for hashes alike in their upper half."""
+    high = counts.astype(np.float32).view(np.int32).astype(np.int64) << 32
+    return high | ((hashes >> 32) + (1 << 31))
 
 
-def document_sets(docs: DataFrame, join: Join) -> DataFrame:
+def document_sets(docs: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
     """One row per document: n shingles, the number of its set, and the prefix of the set.
 
-    Of copies in the same task only the first carries the prefix, which is empty in the others: a
+    ``shared`` are the counts of ``count_cells``.
+
+    ``cut`` tells where in the order the prefix ends. Of copies in the same task only the first carries the prefix, which is empty in the others: a
     set that very many documents have makes a few rows per token, not one for each copy.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(count_cells(docs, join))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts, met = WordHashes(), shared.value, set()
+        counts, met = shared.value, set()
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                sizes, numbers, prefixes = [], [], []
+                sizes, numbers, cuts, prefixes = [], [], [], []
                 for text in batch["text"]:
-                    own = shingles(text.as_py(), join.words, known)
+                    own = shingles(text.as_py(), join.words)
                     sizes.append(len(own))
                     numbers.append(set_number(own))
                     # The hashes are sorted, so a stable sort by count orders by (count, hash).
-                    order = np.argsort(counts[_cells(own, join.cell_bits)], kind="stable")
-                    size = prefix_size(len(own), join.percent) if numbers[-1] not in met and len(own) else 0
+                    own_counts = counts[_cells(own, join.cell_bits)]
+                    order = np.argsort(own_counts, kind="stable")
+                    order = order[: prefix_size(len(own), join.percent) if len(own) else 0]
+                    last = order[-1:]
+                    cuts.append(int(_order_numbers(own[last], own_counts[last])[0]) if len(own) else 0)
+                    prefixes.append(own[order[: 0 if numbers[-1] in met else None]])
                     met.add(numbers[-1])
-                    prefixes.append(own[order[:size]])
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), lists],
-                    ["doc_id", "n", "set_id", "prefix"],
+                    [batch["doc_id"], *[pa.array(c, pa.int64()) for c in (sizes, numbers, cuts)], lists],
+                    ["doc_id", "n", "set_id", "cut", "prefix"],
                 )
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, _SETS)
@@ -193,9 +238,19 @@ def least_overlap(n: Column, m: Column, percent: int) -> Column:
     return _ceil_div((n + m) * percent, 100 + percent)
 
 
-def least_shared(n: Column, m: Column, percent: int) -> Column:
-    """How many tokens the prefixes of two sets share at least if the sets link."""
-    rest = F.greatest(_ceil_div(n * percent, 100), _ceil_div(m * percent, 100)) - 1
+def _rest(n: Column, percent: int) -> Column:
+    """Shingles outside the prefix."""
+    return _ceil_div(n * percent, 100) - 1
+
+
+def least_shared(n: Column, cut_n: Column, m: Column, cut_m: Column, percent: int) -> Column:
+    """How many tokens the prefixes of two sets share at least if the sets link.
+
+    Of the set whose prefix ends first, whatever the other set shares with the prefix lies in the
+    other's prefix too; only what is outside this prefix can be shared besides.
+    """
+    rest_n, rest_m = _rest(n, percent), _rest(m, percent)
+    rest = F.when(cut_n < cut_m, rest_n).when(cut_m < cut_n, rest_m).otherwise(F.greatest(rest_n, rest_m))
     return F.greatest(F.lit(1), least_overlap(n, m, percent) - rest)
 
 
@@ -232,12 +287,12 @@ def whole_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, join: Join)
     shared = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, flags = WordHashes(), np.unpackbits(shared.value).astype(bool)
+        flags = np.unpackbits(shared.value).astype(bool)
         for whole in batches:
             picked = whole.filter(pa.array(flags[places(whole["doc_id"])]))
             for start in range(0, picked.num_rows, 256):
                 batch = picked.slice(start, 256)
-                found = [shingles(t.as_py(), join.words, known) for t in batch["text"]]
+                found = [shingles(t.as_py(), join.words) for t in batch["text"]]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -292,54 +347,53 @@ def search_group(members: list[np.ndarray], percent: int) -> list[tuple[int, int
     Every member is a query against the inverted lists of all; members of the class that is largest
     after the first query are not asked again, since any link leads to a member that is.
     """
-    index: dict[int, list[int]] = {}
-    for place, own in enumerate(members):
-        for token in own.tolist():
-            index.setdefault(token, []).append(place)
-    parent = list(range(len(members)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    places = np.repeat(np.arange(len(members)), [len(m) for m in members])
+    tokens = np.concatenate(members)
+    order = np.argsort(tokens, kind="stable")
+    tokens, places = tokens[order], places[order]
+    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    index = dict(zip(tokens[starts].tolist(), np.split(places, starts[1:])))
+    classes = np.arange(len(members))
     links: list[tuple[int, int]] = []
 
     def ask(place: int) -> None:
         own, n = members[place], len(members[place])
-        mine = root(place)
+        lists = [index[token] for token in own.tolist()]
         # Lists without what is in the query's class already.
-        lists = [[x for x in index[token] if root(x) != mine] for token in own.tolist()]
-        lists = [x for x in lists if x]
+        lists = [x[classes[x] != classes[place]] for x in lists if len(x) > 1]
+        lists = [x.tolist() for x in lists if len(x)]
         needed = -(-percent * n // 100)  # the least overlap with any size that fits
         if len(lists) < needed:
             return
         for other, shared in divide_skip(lists, needed).items():
             union = n + len(members[other]) - shared
-            if 100 * shared >= percent * union and root(other) != root(place):
-                parent[root(other)] = root(place)
+            if 100 * shared >= percent * union and classes[other] != classes[place]:
+                classes[classes == classes[other]] = classes[place]
                 links.append((place, other))
 
     ask(0)
-    classes = [root(x) for x in range(len(members))]
-    largest = max(set(classes), key=classes.count)
-    for place in range(1, len(members)):
-        if classes[place] != largest:
-            ask(place)
+    largest = np.bincount(classes).argmax()
+    for place in np.flatnonzero(classes != largest).tolist():
+        ask(place)
     return links
 
 
-def group_links(chosen: DataFrame, whole: DataFrame, join: Join) -> DataFrame:
-    """Links (a, b) inside the groups of ``chosen`` (set_id, centre); a large group is cut by a hash.
-
-    Each part has the centre, and the links of the parts to it keep the group together.
-    """
-    parts = chosen.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / join.group).cast("int").alias("parts"))
-    members = chosen.join(parts, "centre").select(
+def group_members(chosen: DataFrame, join: Join) -> DataFrame:
+    """(centre, part, set_id) of ``chosen`` (set_id, n, centre): a large group is cut by a hash."""
+    parts = chosen.groupBy("centre").agg(
+        F.ceil(F.sum("n") / F.lit(join.group_shingles)).cast("int").alias("parts")
+    )
+    return chosen.join(parts, "centre").select(
         "centre", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int").alias("part"), "set_id"
     )
-    centres = parts.select("centre", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+
+
+def group_links(members: DataFrame, whole: DataFrame, join: Join) -> DataFrame:
+    """Links (a, b) inside the parts of ``members``; each part is searched together with the centre.
+
+    The links of the parts to the centre keep the group together.
+    """
+    centres = members.select("centre", "part").distinct()
     rows = members.withColumn("later", F.lit(1)).unionByName(
         centres.withColumn("set_id", F.col("centre")).withColumn("later", F.lit(0))
     )
@@ -362,55 +416,61 @@ def group_links(chosen: DataFrame, whole: DataFrame, join: Join) -> DataFrame:
     return placed.select(*keys, "set_id", "shingles").mapInArrow(complete_groups(keys, work), "a bigint, b bigint")
 
 
-def pairs_across(entries: DataFrame, percent: int) -> DataFrame:
+def pairs_across(entries: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """(a, b, n_a, n_b, shared): sets of different classes that share enough prefix tokens to link.
 
-    ``entries`` has token, set_id, n, class and lists (how many shared tokens the set has in all).
+    ``entries`` has token and set_id, and ``placed`` for each set n, cut, class and group. Only tokens of
+    several classes matter, and only sets that have enough of them. Two sets that were searched in
+    the same group and are in different classes do not link.
     """
-    mixed = (
-        entries.groupBy("token").agg(F.min("class").alias("_low"), F.max("class").alias("_high"))
-        .where("_low != _high").select("token")
-    )
-    rows = entries.join(mixed, "token", "left_semi").repartition("token").sortWithinPartitions("token", "n")
-    names = ["a", "b", "n_a", "n_b"]
+    classed = entries.select("token", "set_id").join(placed.select("set_id", "class"), "set_id")
+    by_class = classed.repartition("token").sortWithinPartitions("token", "class")
+
+    def mixed(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kind, ends = np.asarray(table["class"]), np.r_[starts[1:], len(table)]
+        several = np.repeat(kind[starts] != kind[ends - 1], ends - starts)
+        yield from table.select(["token", "set_id"]).filter(pa.array(several)).to_batches()
+
+    left = by_class.mapInArrow(complete_groups(["token"], mixed), "token bigint, set_id bigint")
+    left = materialize(left, "mixed-tokens")
+    lists = left.groupBy("set_id").agg(F.count(F.lit(1)).alias("lists")).join(placed, "set_id")
+    rows = left.join(lists, "set_id").repartition("token").sortWithinPartitions("token", "n")
+    names = ["a", "b", "n_a", "n_b", "needed"]
 
     def ceil_div(a: np.ndarray, by: int) -> np.ndarray:
         return -(-a // by)
 
     def work(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        number, n, group, lists = (np.asarray(table[c]) for c in ("set_id", "n", "class", "lists"))
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        held = 0
-        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(number)]):
-            size = n[start:end]
-            for i in range(start, end - 1):
-                # Rows come by size: the partners that are not too large follow directly.
-                stop = start + int(np.searchsorted(size, n[i] * 100 // percent, "right"))
-                other = np.arange(i + 1, stop)
-                other = other[group[other] != group[i]]
-                overlap = ceil_div((n[i] + n[other]) * percent, 100 + percent)
-                needed = np.maximum(1, overlap - ceil_div(n[other] * percent, 100) + 1)
-                other = other[np.minimum(lists[other], lists[i]) >= needed]
-                if len(other):
-                    mine = np.full(len(other), number[i])
-                    swap = number[other] < mine
-                    own_n = np.full(len(other), n[i])
-                    out[0].append(np.where(swap, number[other], mine))
-                    out[1].append(np.where(swap, mine, number[other]))
-                    out[2].append(np.where(swap, n[other], own_n))
-                    out[3].append(np.where(swap, own_n, n[other]))
-                    held += len(other)
-                if held > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
-                    out, held = [[], [], [], []], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
-
-    pairs = rows.select("token", "set_id", "n", "class", "lists").mapInArrow(
-        complete_groups(["token"], work), "a bigint, b bigint, n_a bigint, n_b bigint"
+        columns = ("set_id", "n", "cut", "class", "lists", "group")
+        number, n, cut, kind, lists, group = (np.asarray(table[c]) for c in columns)
+        rest = ceil_div(n * percent, 100) - 1
+        end = np.repeat(np.r_[starts[1:], len(n)], np.diff(np.r_[starts, len(n)]))
+        one, step = np.arange(len(n)), 1
+        # Every row with the one that is ``step`` rows further in its group, for step 1, 2, … Rows come
+        # by size, so a row is done as soon as a partner is too large.
+        while len(one):
+            one = one[one + step < end[one]]
+            one = one[100 * n[one] >= percent * n[one + step]]
+            other = one + step
+            step += 1
+            apart = (kind[one] != kind[other]) & (group[one] != group[other])
+            x, y = one[apart], other[apart]
+            overlap = ceil_div((n[x] + n[y]) * percent, 100 + percent)
+            # As in least_shared.
+            outside = np.where(cut[x] < cut[y], rest[x], np.where(cut[y] < cut[x], rest[y], np.maximum(rest[x], rest[y])))
+            needed = np.maximum(1, overlap - outside)
+            may = np.minimum(lists[x], lists[y]) >= needed
+            x, y, needed = x[may], y[may], needed[may]
+            if len(x):
+                first, second = np.where(number[x] < number[y], x, y), np.where(number[x] < number[y], y, x)
+                columns = [number[first], number[second], n[first], n[second], needed]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    pairs = rows.select("token", "set_id", "n", "cut", "class", "lists", "group").mapInArrow(
+        complete_groups(["token"], work), ", ".join(f"{name} bigint" for name in names)
     )
     counted = pairs.groupBy(*names).agg(F.count(F.lit(1)).alias("shared"))
-    return counted.where(F.col("shared") >= least_shared(F.col("n_a"), F.col("n_b"), percent))
+    return counted.where(F.col("shared") >= F.col("needed"))
 
 
 def checked_pairs(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -423,33 +483,37 @@ def checked_pairs(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame
     return both.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
-def _classes(entries: DataFrame, links: DataFrame) -> DataFrame:
-    found = connected_components(links).withColumnsRenamed({"node": "set_id", "component": "_class"})
-    return entries.join(found, "set_id", "left").withColumn("class", F.coalesce("_class", "set_id")).drop("_class")
-
-
-def set_links(docs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+def set_links(docs: DataFrame, sets: DataFrame, entries: DataFrame, join: Join) -> DataFrame:
     """Stored links (a, b) of set numbers that connect exactly the sets that links connect."""
     percent = join.percent
-    entries = materialize(shared_entries(sets), "shared-tokens")
-    lists = entries.groupBy("set_id").agg(F.count(F.lit(1)).alias("lists"), F.max("n").alias("n"))
-    lists = materialize(lists, "token-counts")
-    near = (
-        entries.where("set_id != centre").groupBy("set_id", "centre", "n").agg(F.count(F.lit(1)).alias("shared"))
+    # One row per set: its shared tokens, and the centre that most of them have.
+    cuts = sets.groupBy("set_id").agg(F.max("cut").alias("cut"))
+    centre = F.mode(F.when(F.col("set_id") != F.col("centre"), F.col("centre")), True)
+    lists = entries.groupBy("set_id").agg(
+        F.count(F.lit(1)).alias("lists"), F.max("n").alias("n"), centre.alias("centre")
     )
-    of_centre = lists.select(F.col("set_id").alias("centre"), F.col("n").alias("_n"), F.col("lists").alias("_lists"))
-    plausible = near.join(lists.select("set_id", "lists"), "set_id").join(of_centre, "centre").where(
-        sizes_fit(F.col("n"), F.col("_n"), percent)
-        & (F.least("lists", "_lists") >= least_shared(F.col("n"), F.col("_n"), percent))
+    lists = materialize(lists.join(cuts, "set_id"), "token-counts")
+    of_centre = lists.select(
+        F.col("set_id").alias("centre"), F.col("n").alias("_n"), F.col("lists").alias("_lists"), F.col("cut").alias("_cut")
     )
-    chosen = materialize(
-        plausible.groupBy("set_id").agg(F.max_by("centre", F.struct("shared", "centre")).alias("centre")), "centres"
+    needed = least_shared(F.col("n"), F.col("cut"), F.col("_n"), F.col("_cut"), percent)
+    chosen = lists.join(of_centre, "centre").where(
+        sizes_fit(F.col("n"), F.col("_n"), percent) & (F.least("lists", "_lists") >= needed)
     )
-    wanted = chosen.select("set_id").union(chosen.select("centre"))
+    chosen = materialize(chosen.select("set_id", "n", "centre"), "centres")
+    members = materialize(group_members(chosen, join), "groups")
+    wanted = members.select("set_id").union(members.select("centre"))
     whole = materialize(whole_sets(docs, sets, wanted, join), "whole-sets")
-    first = materialize(group_links(chosen, whole, join), "links")
-    classed = _classes(entries.join(lists.select("set_id", "lists"), "set_id"), first)
-    pairs = materialize(pairs_across(classed, percent), "pairs")
+    first = materialize(group_links(members, whole, join), "links")
+    searched = members.select("set_id", F.xxhash64("centre", "part").alias("_group"))
+    alone = F.xxhash64("set_id", F.lit(0))  # a centre that is in no other group
+    classes = connected_components(first).withColumnsRenamed({"node": "set_id", "component": "_class"})
+    placed = lists.select("set_id", "n", "cut").join(searched, "set_id", "left").join(classes, "set_id", "left")
+    placed = placed.select(
+        "set_id", "n", "cut",
+        F.coalesce("_group", alone).alias("group"), F.coalesce("_class", "set_id").alias("class"),
+    )
+    pairs = materialize(pairs_across(entries, materialize(placed, "classes"), percent), "pairs")
     more = materialize(
         whole_sets(docs, sets, pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")), join), "whole-sets"
     )
@@ -462,11 +526,22 @@ def shingle_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     Copies have the same set and the same component. A null, empty or wordless text has no shingles
     and links with nothing. ``component_id`` is the smallest doc_id that links reach; a null doc_id
     is reached but never the smallest, unless there is no other. Repeated rows stay repeated. An
-    empty table gives an empty result. Shingles and sets are told apart by 64-bit hashes.
+    empty table gives an empty result. Shingles and sets are told apart by 64-bit hashes. The result is
+    a stored table; all tables on the way to it are removed.
     """
-    sets = materialize(document_sets(docs, join), "shingle-sets")
+    folder = tables_folder(docs.sparkSession)
+    with working_tables(docs.sparkSession):
+        return materialize(_components(docs, join), "shingle-components", folder)
+
+
+def _components(docs: DataFrame, join: Join) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(count_cells(docs, join))
+    cut = document_sets(docs, join, shared)
+    # Prefixes are made twice rather than stored: they are large, and shingling is cheap.
+    sets = materialize(cut.drop("prefix"), "shingle-sets")
     full = sets.where("n > 0")
-    links = set_links(docs, full, join)
+    entries = materialize(shared_entries(cut.where("n > 0")), "shared-tokens")
+    links = set_links(docs, full, entries, join)
     found = connected_components(links).withColumnsRenamed({"node": "set_id", "component": "_class"})
     first = full.groupBy("set_id").agg(F.min("doc_id").alias("first"))
     classed = first.join(found, "set_id", "left").withColumn("_class", F.coalesce("_class", "set_id"))

@@ -1,25 +1,20 @@
-"""Sums of large numeric arrays over all partitions, added up in a tree of tasks."""
+"""Sums of large numeric arrays over all partitions."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-FAN_IN = 32
-SCHEMA = "part int, total binary"
+from termloom.storage import materialize
 
+SCHEMA = "total binary"
 
-def partition_rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """What a task yields for its partition."""
-    part = TaskContext.get().partitionId()
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "total"]
-    )
+
+def _row(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
 
 def sum_over_partitions(
@@ -30,22 +25,26 @@ def sum_over_partitions(
 ) -> np.ndarray | None:
     """Add up (or ``combine``) ``partial`` of every partition; None if there is no partition.
 
-    ``partial`` gives a flat array whose size does not depend on the data. A task adds at most
-    ``FAN_IN`` of them, twice; the driver then reads one at a time a FAN_IN²-th of their number.
+    ``partial`` gives a flat array whose size does not depend on the data. The arrays are written to
+    the shared folder, so nothing is shuffled; a task adds up those of one split of the files, and
+    the driver reads one array per split, one after the other.
     """
 
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from partition_rows(np.asarray(partial(batches), dtype=kind))
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = combine.reduce([np.frombuffer(t, dtype=kind) for t in group["total"]], axis=0, dtype=kind)
-        return pd.DataFrame({"part": [int(group["part"].iloc[0]) // FAN_IN], "total": [total.tobytes()]})
-
-    level = rows.mapInArrow(of_partition, SCHEMA)
-    for _ in range(2):
-        level = level.groupBy((level["part"] / FAN_IN).cast("int")).applyInPandas(add, SCHEMA)
+        yield _row(np.asarray(partial(batches), dtype=kind))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for item in batch.column(0):
+                values = np.frombuffer(item.as_py(), dtype=kind)
+                total = values.copy() if total is None else combine(total, values)
+        if total is not None:
+            yield _row(total)
+
+    stored = materialize(rows.mapInArrow(of_partition, SCHEMA), "partial-sums")
     total = None
-    for row in level.select("total").toLocalIterator():
+    for row in stored.mapInArrow(add, SCHEMA).toLocalIterator(prefetchPartitions=True):
         values = np.frombuffer(row.total, dtype=kind)
         total = values.copy() if total is None else combine(total, values)
     return total
