@@ -227,9 +227,10 @@ TOP_DOMAINS = frozenset(
     "se no dk fi ru cn jp kr in au nz ca br mx ar pt ie cz gr hu ro tr za example test invalid local".split()
 )
 _DOT_PATTERN = re.compile(_DOT, re.I)
-_LABELS = re.compile(rf"[A-Za-z0-9]++(?:-[A-Za-z0-9]++)*+(?:(?:\.|{_DOT})[A-Za-z0-9]++(?:-[A-Za-z0-9]++)*+)++", re.I)
+_LABEL = r"[A-Za-z0-9]++(?:-(?!dot-)[A-Za-z0-9]++)*+"
+_LABELS = re.compile(rf"{_LABEL}(?:(?:\.|{_DOT}){_LABEL})++", re.I)
 _NAME = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*\Z", re.I)
-_LAST_LABEL = re.compile(r"[A-Za-z0-9-]+\Z")
+_POINT = re.compile(rf"{_DOT}|\.", re.I)
 _NUMBER_DOT = re.compile(rf"(?<=[0-9]){_DOT}(?=[0-9])", re.I)
 # Characters before an at sign in which its name is looked for: a local part has at most 64.
 NAME_CHARS = 96
@@ -238,12 +239,6 @@ NAME_CHARS = 96
 def undo_at_and_dot(mapped: Mapped) -> Mapped:
     """Spelled at signs with a name before and a domain after, and spelled points in both."""
     text = mapped.text
-    low = text.lower()
-    if len(low) != len(text):
-        low = text
-    has_dot = "dot" in low or ". " in low or " ." in low or ".]" in low or ".)" in low
-    if not (has_dot or any(sign in low for sign in ("[at", "(at", "{at", "<at", "at]", "at)", "at}", "at>", "@)", "@]"))):
-        return mapped
     edits: list[tuple[int, int, str]] = []
     end = 0
     for at in _AT.finditer(text):
@@ -255,8 +250,8 @@ def undo_at_and_dot(mapped: Mapped) -> Mapped:
         if at["bare"] and not _DOT_PATTERN.search(domain.group()):
             continue  # "at example.org" is ordinary prose
         if at["bare"] and "@" not in at.group():
-            last = _LAST_LABEL.search(domain.group())
-            if "dot" not in domain.group().lower() or not last or last.group().lower() not in TOP_DOMAINS:
+            last = _POINT.split(domain.group())[-1]
+            if "dot" not in domain.group().lower() or last.lower() not in TOP_DOMAINS:
                 continue
         first = max(end, at.start() - NAME_CHARS)
         name = _NAME.search(text[first : at.start()])
@@ -269,7 +264,7 @@ def undo_at_and_dot(mapped: Mapped) -> Mapped:
                 edits.append((*dot.span(), "."))
         end = domain.end()
     taken = {e[:2] for e in edits}
-    numbers = [(*m.span(), ".") for m in _NUMBER_DOT.finditer(text) if m.span() not in taken] if has_dot else []
+    numbers = [(*m.span(), ".") for m in _NUMBER_DOT.finditer(text) if m.span() not in taken]
     return mapped.rewrite(_disjoint(sorted(edits + numbers)))
 
 

@@ -205,6 +205,30 @@ def test_disguised_data_is_found_in_the_source(text, kind, hidden):
     assert found == [(kind, hidden)]
 
 
+BRACKETS = ["[]", "()", "{}", "<>"]
+IN_BRACKETS = [f"{gap}{o}{pad}%s{pad}{c}{gap}" for o, c in BRACKETS for pad in ("", " ") for gap in ("", " ")]
+BARE_ATS = [" at ", " @ ", "_at_", "-at-"]
+AT_FORMS = [form % sign for form in IN_BRACKETS for sign in ("at", "AT", "@")] + BARE_ATS
+SPELLED_DOTS = [form % "dot" for form in IN_BRACKETS] + [" dot ", "_dot_", "-dot-"]
+DOT_FORMS = SPELLED_DOTS + [form % "." for form in IN_BRACKETS] + [" . "]
+
+
+def hidden_data(text):
+    return [(s["kind"], text[s["start"] : s["end"]]) for s in pii.find_spans(text) if not s["plain"]]
+
+
+def test_every_at_and_dot_is_found_with_nothing_else_around():
+    for at in AT_FORMS:
+        for dot in SPELLED_DOTS if at in BARE_ATS else [".", *DOT_FORMS]:
+            text = f"jane{at}example{dot}com"
+            assert hidden_data(text) == [("email", text)]
+            assert pii.mask(f"Write to {text} today") == "Write to [email] today"
+    for dot in DOT_FORMS:
+        text = dot.join(["192", "168", "1", "20"])
+        assert hidden_data(text) == [("ip", text)]
+    assert hidden_data("Hi.\njane ( at ) example.com\nBye.\n") == [("email", "jane ( at ) example.com")]
+
+
 @pytest.mark.parametrize(
     "text",
     ["look at that dot on the i", "we met at example.com yesterday", "one two three four things", "at four dot five", ""],
