@@ -164,31 +164,40 @@ def undo_look_alikes(mapped: Mapped) -> Mapped:
 
 # Spelled digits and signs.
 SPELLED = dict(zip("zero one two three four five six seven eight nine oh".split(), "01234567890"))
-_SPELLED = "|".join(SPELLED)
+# Only ASCII letters spell a word: without the flag a, "ſ" and "İ" would match too.
+_SPELLED = f"(?ai:{'|'.join(SPELLED)})"
+_DIGIT = rf"(?:(?<![^\W\d_]){_SPELLED}(?![^\W\d_])|[0-9])"
+_BETWEEN = r"(?:[\s,.;-]|(?<![^\W\d_])(?ai:dot|point|dash|hyphen|double|triple)(?![^\W\d_]))*+"
 _NUMBER_RUN = re.compile(
-    rf"(?<![A-Za-z])(?:plus[\s-]*)?(?:(?:double|triple)\s+)?(?:{_SPELLED})(?![A-Za-z])"
-    rf"(?:(?:[\s,.;-]|\b(?:dot|point|dash|hyphen|double|triple)\b)*+(?<![A-Za-z])(?:(?:{_SPELLED})(?![A-Za-z])|[0-9]))++",
-    re.I,
+    rf"(?<![^\W\d_])(?:(?ai:plus)[\s-]*+)?+(?:(?ai:double|triple)\s++)?+{_DIGIT}(?:{_BETWEEN}{_DIGIT})*+"
 )
 _NUMBER_PART = re.compile(
-    rf"\b(?:(?P<sign>plus)|(?P<times>double|triple)|(?P<digit>{_SPELLED})|(?P<dot>dot|point))\b|(?P<plain>[0-9])"
-    r"|(?P<full>(?<=[0-9])\.(?=[0-9]))",
-    re.I,
+    r"(?<![^\W\d_])(?:(?P<sign>(?ai:plus))|(?P<times>(?ai:double|triple))"
+    rf"|(?P<digit>{_SPELLED})|(?P<dot>(?ai:dot|point)))(?![^\W\d_])|(?P<plain>[0-9])"
+    r"|(?P<full>(?<=[0-9])\.(?=[0-9]))"
 )
-LEAST_SPELLED = 4
+_ANY_SPELLED = re.compile(_SPELLED)
+LEAST_DIGITS = 4
 
 
-def undo_spelled_digits(mapped: Mapped) -> Mapped:
-    """Runs of at least ``LEAST_SPELLED`` digits, some of them spelled, become digits and points."""
+def undo_spelled_digits(mapped: Mapped) -> list[Mapped]:
+    """Runs of at least ``LEAST_DIGITS`` digits, some of them spelled, become digits and points.
+
+    Plain digits that start a run stay as they are. What follows them may go on with their number or
+    start another ("on 12 four one one one …"): if there are such runs, there are two readings.
+    """
     text = mapped.text
-    low = text.lower()
-    if len(low) != len(text) or sum(low.count(word) for word in SPELLED) < 2:
-        return mapped
-    edits = []
+    if not _ANY_SPELLED.search(text):
+        return [mapped]
+    joined, apart = [], []
     for run in _NUMBER_RUN.finditer(text):
-        made, spelled, times, found = [], 0, 1, []
+        if not _ANY_SPELLED.search(text, *run.span()):
+            continue
+        digits, spelled, times, found, lead = 0, 0, 1, [], 0
         for part in _NUMBER_PART.finditer(text, *run.span()):
             kind = part.lastgroup
+            if kind in ("plain", "full") and lead == len(found):
+                lead += 1
             if kind == "times":
                 times = 2 if part.group().lower() == "double" else 3
                 found.append((*part.span(), ""))
@@ -202,18 +211,27 @@ def undo_spelled_digits(mapped: Mapped) -> Mapped:
                 new = "+" if kind == "sign" else "."
             times = 1
             found.append((*part.span(), new))
-            made.append(new)
-        if spelled >= 2 and sum(len(m) for m in made if m[0] in _DIGITS) >= LEAST_SPELLED:
+            digits += len(new) if kind in ("digit", "plain") else 0
+        if spelled and digits >= LEAST_DIGITS:
             # What lies between the parts goes too; it belongs to no digit.
             at = run.start()
-            for a, b, new in found:
+            if lead:
+                at, gap = found[lead - 1][1], text[found[lead - 1][1] : found[lead][0]]
+                if gap and found[lead][2] != ".":
+                    joined += [] if gap == "." else [(at, at + len(gap), " ")]
+                    apart.append((at, at + len(gap), "\n"))
+                    at += len(gap)
+            edits = []
+            for a, b, new in found[lead:]:
                 if a > at:
                     edits.append((at, a, ""))
                 edits.append((a, b, new))
                 at = b
             if run.end() > at:
                 edits.append((at, run.end(), ""))
-    return mapped.rewrite(edits)
+            joined += edits
+            apart += edits
+    return [mapped.rewrite(joined)] + ([mapped.rewrite(apart)] if apart != joined else [])
 
 
 # A run of white space is tried from its first character only, so that long runs stay linear.
@@ -277,27 +295,43 @@ def _disjoint(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return kept
 
 
+def _goes_on(text: str, known: Span, span: Span) -> bool:
+    """Whether ``span`` holds ``known`` and more of the same word or number."""
+    before, after = text[span[0] : known[0]], text[known[1] : span[1]]
+    if span[0] > known[0] or span[1] < known[1] or not (before or after):
+        return False
+    return before[-1:].isalnum() or after[:1].isalnum() or len(_ANY_SPELLED.findall(after)) >= 2
+
+
 def disguised_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Identifiers that only the rewritten text shows, as spans of the source text.
 
-    A span that overlaps a plain one of its kind, or an earlier disguised one, is not added.
+    A span that overlaps an earlier disguised one of its kind is not added, nor one that overlaps a
+    plain one, unless it holds it and goes on where the plain pattern stops inside a word or number.
     """
     source = Mapped(text)
-    mapped = undo_at_and_dot(undo_spelled_digits(undo_look_alikes(source)))
-    if mapped is source:
-        return {kind: [] for kind in KINDS}
-    added = {}
-    for kind, found in plain_spans(mapped.text).items():
-        known = sorted(plain[kind])
-        own: list[Span] = []
-        at = 0
-        for span in sorted(mapped.source(s) for s in found):
-            while at < len(known) and known[at][1] <= span[0]:
-                at += 1
-            clear = at == len(known) or known[at][0] >= span[1]
-            if clear and (not own or own[-1][1] <= span[0]):
-                own.append(span)
-        added[kind] = own
+    added: dict[str, list[Span]] = {kind: [] for kind in KINDS}
+    for reading in undo_spelled_digits(undo_look_alikes(source)):
+        mapped = undo_at_and_dot(reading)
+        if mapped is source:
+            continue
+        for kind, found in plain_spans(mapped.text).items():
+            known, earlier = sorted(plain[kind]), added[kind]
+            own: list[Span] = []
+            at = there = 0
+            for span in sorted(mapped.source(s) for s in found):
+                while at < len(known) and known[at][1] <= span[0]:
+                    at += 1
+                while there < len(earlier) and earlier[there][1] <= span[0]:
+                    there += 1
+                last = at
+                while last < len(known) and known[last][0] < span[1] and _goes_on(text, known[last], span):
+                    last += 1
+                clear = last == len(known) or known[last][0] >= span[1]
+                clear = clear and (there == len(earlier) or earlier[there][0] >= span[1])
+                if clear and (not own or own[-1][1] <= span[0]):
+                    own.append(span)
+            added[kind] = sorted(earlier + own)
     return added
 
 

@@ -229,6 +229,31 @@ def test_every_at_and_dot_is_found_with_nothing_else_around():
     assert hidden_data("Hi.\njane ( at ) example.com\nBye.\n") == [("email", "jane ( at ) example.com")]
 
 
+@pytest.mark.parametrize(
+    "text, kind, hidden",
+    [
+        ("call +44 20 7946 oh nine five now", "phone", "+44 20 7946 oh nine five"),
+        ("call +1 415 555 01two3 now", "phone", "+1 415 555 01two3"),
+        ("call +44 20 79461 oh nine five", "phone", "+44 20 79461 oh nine five"),
+        ("card 4111 1111 1111 11 one one", "card", "4111 1111 1111 11 one one"),
+        ("card 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"),
+        ("İ card four one one one 1111 1111 1111", "card", "four one one one 1111 1111 1111"),
+        ("on 12 four one one one 1111 1111 1111 x", "card", "four one one one 1111 1111 1111"),
+        ("in 2024 one nine two dot one six eight dot zero dot one", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("192.168.1.one", "ip", "192.168.1.one"),
+        ("192 dot 168 dot one dot 20", "ip", "192 dot 168 dot one dot 20"),
+    ],
+)
+def test_numbers_of_which_a_part_is_spelled(text, kind, hidden):
+    assert hidden_data(text) == [(kind, hidden)]
+    assert pii.mask(text) == text.replace(hidden, f"[{kind}]")
+
+
+def test_words_after_a_whole_number_are_left_alone():
+    assert pii.mask("call +1 415 555 0123 one of us") == "call [phone] one of us"
+    assert pii.mask("10.0.0.1 one two, in 2019 one of ſix fİve") == "[ip] one two, in 2019 one of ſix fİve"
+
+
 @pytest.mark.parametrize(
     "text",
     ["look at that dot on the i", "we met at example.com yesterday", "one two three four things", "at four dot five", ""],
