@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm.top_domains import TOP_DOMAINS
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
@@ -239,11 +241,6 @@ _GAP = r"(?<!\s)\s++"
 _OPEN, _CLOSE = rf"(?:{_GAP})?+[\[({{<]\s*+", r"\s*+[\])}>]\s*+"
 _AT = re.compile(rf"{_OPEN}(?:at|@){_CLOSE}|(?P<bare>{_GAP}(?:at|@)\s++|[_-]at[_-])", re.I)
 _DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|{_GAP}dot\s++|[_-]dot[_-]|{_GAP}\.\s++)"
-# Last parts of domains that make a name out of "… at … dot …", which prose has too.
-TOP_DOMAINS = frozenset(
-    "com org net edu gov mil int info biz io ai co dev app me tv eu us uk de fr es it nl be ch at pl "
-    "se no dk fi ru cn jp kr in au nz ca br mx ar pt ie cz gr hu ro tr za example test invalid local".split()
-)
 _DOT_PATTERN = re.compile(_DOT, re.I)
 _LABEL = r"[A-Za-z0-9]++(?:-(?!dot-)[A-Za-z0-9]++)*+"
 _LABELS = re.compile(rf"{_LABEL}(?:(?:\.|{_DOT}){_LABEL})++", re.I)
@@ -254,6 +251,16 @@ _NUMBER_DOT = re.compile(rf"(?<=[0-9]){_DOT}(?=[0-9])", re.I)
 NAME_CHARS = 96
 
 
+def _domain_end(domain: str) -> int:
+    """Where the last label ends that is a top-level domain and not the first; 0 without one."""
+    end = len(domain)
+    for point in reversed(list(_POINT.finditer(domain))):
+        if domain[point.end() : end].lower() in TOP_DOMAINS:
+            return end
+        end = point.start()
+    return 0
+
+
 def undo_at_and_dot(mapped: Mapped) -> Mapped:
     """Spelled at signs with a name before and a domain after, and spelled points in both."""
     text = mapped.text
@@ -265,22 +272,27 @@ def undo_at_and_dot(mapped: Mapped) -> Mapped:
         domain = _LABELS.match(text, at.end())
         if not domain:
             continue
-        if at["bare"] and not _DOT_PATTERN.search(domain.group()):
-            continue  # "at example.org" is ordinary prose
-        if at["bare"] and "@" not in at.group():
-            last = _POINT.split(domain.group())[-1]
-            if "dot" not in domain.group().lower() or last.lower() not in TOP_DOMAINS:
+        site = domain.group()
+        if at["bare"]:
+            # A sign or "_at_" stands for itself; the word and hyphens need a spelled point, since
+            # "at example.org" and "stay-at-home.org" are ordinary prose.
+            sign = "@" in at.group() or at.group().lower() == "_at_"
+            stop = _domain_end(site)
+            if not stop and "@" in at.group() and _DOT_PATTERN.search(site):
+                stop = len(site)
+            site = site[:stop]
+            if not site or not (sign or any("dot" in d.lower() for d in _DOT_PATTERN.findall(site))):
                 continue
         first = max(end, at.start() - NAME_CHARS)
         name = _NAME.search(text[first : at.start()])
-        if not name or not domain.group()[-2:].isalpha():
+        if not name or not site[-2:].isalpha():
             continue
-        for part, base in ((name, first), (domain, 0)):
-            if part is domain:
-                edits.append((*at.span(), "@"))
-            for dot in _DOT_PATTERN.finditer(text, base + part.start(), base + part.end()):
-                edits.append((*dot.span(), "."))
-        end = domain.end()
+        for dot in _DOT_PATTERN.finditer(text, first + name.start(), first + name.end()):
+            edits.append((*dot.span(), "."))
+        edits.append((*at.span(), "@"))
+        end = at.end() + len(site)
+        for dot in _DOT_PATTERN.finditer(text, at.end(), end):
+            edits.append((*dot.span(), "."))
     taken = {e[:2] for e in edits}
     numbers = [(*m.span(), ".") for m in _NUMBER_DOT.finditer(text) if m.span() not in taken]
     return mapped.rewrite(_disjoint(sorted(edits + numbers)))

@@ -249,6 +249,25 @@ def test_numbers_of_which_a_part_is_spelled(text, kind, hidden):
     assert pii.mask(text) == text.replace(hidden, f"[{kind}]")
 
 
+@pytest.mark.parametrize(
+    "hidden",
+    ["jane @ example.com", "jane_at_example.com", "j.doe_at_mail.example.co.uk", "jane @ example . com"]
+    + ["jane_at_mail dot sg"]
+    + [f"jane at mail dot {last}" for last in ("sg", "il", "tw", "ua", "xyz", "museum", "com")],
+)
+def test_bare_at_signs_before_plain_domains_and_any_top_domain(hidden):
+    for after in (", please", " . Thanks", " dot Thanks"):
+        assert hidden_data(f"write to {hidden}{after}") == [("email", hidden)]
+    assert hidden_data("jane @ mail dot corp") == [("email", "jane @ mail dot corp")]
+
+
+@pytest.mark.parametrize(
+    "text", ["stay-at-home.org", "we meet at example.com", "two @ 3.50 each", "start_at_index.value", "dots at dotty.com"]
+)
+def test_at_without_an_address(text):
+    assert pii.find_spans(text) == []
+
+
 def test_words_after_a_whole_number_are_left_alone():
     assert pii.mask("call +1 415 555 0123 one of us") == "call [phone] one of us"
     assert pii.mask("10.0.0.1 one two, in 2019 one of ſix fİve") == "[ip] one two, in 2019 one of ſix fİve"
