@@ -33,17 +33,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents keep the one with the smallest doc_id.
+    """Of each group of linked documents keep the one with the smallest doc_id, null last.
 
-    Texts without words are in no group and stay. doc_id should be unique: rows that share one stand
-    or fall together, and of rows that share the text too one stays.
+    Texts without words are in no group and stay. Rows are told apart by doc_id and text, so rows that
+    share a doc_id, or have none, go only for what their own texts are. Of rows alike in both one stays.
     """
-    groups = jaccard.shingle_components(docs)
-    dropped = groups.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    dropped = dropped.select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.select(*COLUMNS).join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return kept.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").select(*COLUMNS)
+    copies = jaccard.near_copies(docs).where(~F.col("first"))
+    dropped = copies.select(F.col("doc_id").alias("_dropped"), F.col("text_hash").alias("_hash"))
+    hashed = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"))
+    match = F.col("doc_id").eqNullSafe(F.col("_dropped")) & (F.col("_text") == F.col("_hash"))
+    kept = hashed.join(dropped, match, "left_anti")
+    wordless = F.when(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)), F.monotonically_increasing_id())
+    same = Window.partitionBy("doc_id", "_text", "_alone").orderBy("doc_id")
+    numbered = kept.withColumn("_alone", wordless).withColumn("_nth", F.row_number().over(same))
+    return numbered.where("_nth = 1").select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

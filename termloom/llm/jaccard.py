@@ -160,7 +160,7 @@ def _order_numbers(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def document_sets(docs: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
     """One row per document: n shingles, the number of its set, and the prefix of the set.
 
-    ``shared`` are the counts of ``count_cells``.
+    ``shared`` are the counts of ``count_cells``. A column text_hash of ``docs`` is handed on.
 
     ``cut`` tells where in the order the prefix ends. Of copies in the same task only the first carries the prefix, which is empty in the others: a
     set that very many documents have makes a few rows per token, not one for each copy.
@@ -187,11 +187,14 @@ def document_sets(docs: DataFrame, join: Join, shared: Broadcast) -> DataFrame:
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], *[pa.array(c, pa.int64()) for c in (sizes, numbers, cuts)], lists],
-                    ["doc_id", "n", "set_id", "cut", "prefix"],
+                    [batch["doc_id"], *[pa.array(c, pa.int64()) for c in (sizes, numbers, cuts)], lists]
+                    + [batch[c] for c in carried],
+                    ["doc_id", "n", "set_id", "cut", "prefix", *carried],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, _SETS)
+    carried = [c for c in docs.columns if c == "text_hash"]
+    schema = ", ".join([_SETS, *[f"{c} bigint" for c in carried]])
+    return docs.select(F.col("doc_id").cast("bigint"), "text", *carried).mapInArrow(run, schema)
 
 
 def shared_entries(sets: DataFrame) -> DataFrame:
@@ -534,7 +537,32 @@ def shingle_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
         return materialize(_components(docs, join), "shingle-components", folder)
 
 
+def near_copies(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """(doc_id, text_hash, first) for each pair of them in ``docs`` (doc_id, text) whose text has words.
+
+    text_hash is xxhash64 of the text. ``first`` is true for one pair of all that links connect: that
+    with the smallest doc_id, null last, then the smallest hash. A stored table, as of ``shingle_components``.
+    """
+    folder = tables_folder(docs.sparkSession)
+    with working_tables(docs.sparkSession):
+        hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+        sets, components = _set_components(hashed, join, order)
+        joined = sets.where("n > 0").join(components, "set_id")
+        first = F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("text_hash") == F.col("component.text_hash"))
+        return materialize(joined.select("doc_id", "text_hash", first.alias("first")).distinct(), "near-copies", folder)
+
+
 def _components(docs: DataFrame, join: Join) -> DataFrame:
+    sets, components = _set_components(docs.select("doc_id", "text"), join, F.col("doc_id"))
+    keyed = sets.withColumn("set_id", F.when(F.col("n") > 0, F.col("set_id")))
+    return keyed.join(components, "set_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+    )
+
+
+def _set_components(docs: DataFrame, join: Join, order: Column) -> tuple[DataFrame, DataFrame]:
+    """The stored sets of ``docs``, and for each set (set_id, component), the least ``order`` that links reach."""
     shared = docs.sparkSession.sparkContext.broadcast(count_cells(docs, join))
     cut = document_sets(docs, join, shared)
     # Prefixes are made twice rather than stored: they are large, and shingling is cheap.
@@ -543,11 +571,7 @@ def _components(docs: DataFrame, join: Join) -> DataFrame:
     entries = materialize(shared_entries(cut.where("n > 0")), "shared-tokens")
     links = set_links(docs, full, entries, join)
     found = connected_components(links).withColumnsRenamed({"node": "set_id", "component": "_class"})
-    first = full.groupBy("set_id").agg(F.min("doc_id").alias("first"))
+    first = full.groupBy("set_id").agg(F.min(order).alias("first"))
     classed = first.join(found, "set_id", "left").withColumn("_class", F.coalesce("_class", "set_id"))
     smallest = classed.groupBy("_class").agg(F.min("first").alias("component"))
-    components = classed.join(smallest, "_class").select("set_id", "component")
-    keyed = sets.withColumn("set_id", F.when(F.col("n") > 0, F.col("set_id")))
-    return keyed.join(components, "set_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
-    )
+    return sets, classed.join(smallest, "_class").select("set_id", "component")

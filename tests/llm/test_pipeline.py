@@ -47,6 +47,17 @@ def test_near_copies_leave_one_of_each_group(spark):
     assert kept.columns == list(pipeline.COLUMNS)
 
 
+def test_near_copies_are_told_apart_by_text(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    rows = [(1, a, "a"), (None, a + " end", "a"), (None, b, "a"), (None, b + " end", "b"), (None, c, "a"), (None, c, "a")]
+    rows += [(7, d, "a"), (7, a + " too", "a"), (None, None, "a"), (None, None, "b"), (None, " ", "a"), (7, "one more", "b")]
+    kept = [(r.doc_id, r.text) for r in pipeline.drop_near_copies(spark, frame(spark, rows), TABLES).collect()]
+    one_b = [k for k in kept if k in ((None, b), (None, b + " end"))]
+    assert len(one_b) == 1
+    rest = [(1, a), (None, c), (7, d), (None, None), (None, None), (None, " "), (7, "one more")]
+    assert Counter(kept) == Counter(one_b + rest)
+
+
 def test_mixing_takes_effect(spark):
     rows = [(i, " ".join(["w"] * (5 + i % 7)), "abc"[i % 3] if i % 5 else None) for i in range(60)]
     rows += [(100, "", "a"), (101, None, "b"), (3, rows[3][1], "a")]
