@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from math import acos, ceil, log, log2, pi
+from math import acos, asin, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,7 @@ class Search:
     rounds: int = 30
     block: int = 1_024
     seed: int = 5
+    near: float = 0.01
 
 
 @dataclass(frozen=True)
@@ -69,12 +70,29 @@ def learn_rotation(sample: np.ndarray, rounds: int, seed: int) -> np.ndarray:
     return axes @ rotation
 
 
+def equal_bit(sample: np.ndarray, search: Search) -> tuple[np.ndarray, float]:
+    """(centre of the signs, chance that a pair of just the least cosine agrees in one of them).
+
+    From the mean of unit vectors the pair is seen at a wider angle than from the origin: widest if
+    both are near the mean, so the norm is the low quantile ``near`` of the sample. Where that
+    angle is no longer acute, signs are taken about the origin.
+    """
+    mean = sample.mean(axis=0)
+    apart = sqrt((1 - search.least_cosine) / 2)  # half the distance of the pair
+    norm = float(np.quantile(np.linalg.norm(sample - mean, axis=1), search.near))
+    if apart < norm * sqrt(0.5):
+        return mean, 1 - 2 * asin(apart / norm) / pi
+    return np.zeros_like(mean), 1 - acos(search.least_cosine) / pi
+
+
 def learn_tables(sample: np.ndarray, largest: int, search: Search) -> Tables:
     """Tables for labels of at most ``largest`` vectors."""
-    same = 1 - acos(search.least_cosine) / pi  # chance of one equal bit
-    bits = max(search.least_bits, min(40, ceil(log2(max(largest, 2) / search.bucket))))
-    count = ceil(log(1 - search.recall) / log(1 - same**bits))
-    mean = sample.mean(axis=0)
+    mean, same = equal_bit(sample, search)
+    most = max(search.least_bits, min(40, ceil(log2(max(largest, 2) / search.bucket))))
+    # Rare equal bits ask for many tables of long substrings; fewer, larger buckets may cost less.
+    counts = {b: ceil(log(1 - search.recall) / log(1 - same**b)) for b in range(search.least_bits, most + 1)}
+    bits = min(counts, key=lambda b: counts[b] * (search.bucket + largest / 2**b))
+    count = counts[bits]
     dimension = sample.shape[1]
     rotations = [
         learn_rotation(sample - mean, search.rounds, search.seed + k)

@@ -246,6 +246,46 @@ def test_near_duplicates_equal_brute_force(spark):
     assert hamming.near_duplicates(df.limit(0)).count() == 0
 
 
+def pairs_off_centre(pairs, squared_mean, seed):
+    """Unit vectors, 2k and 2k + 1 at cosine 0.9301, whose mean has about the given squared length."""
+    draw = np.random.default_rng(seed)
+    own = draw.normal(size=(pairs, 64))
+    own[:, 0] = 0
+    own *= np.sqrt(1 - squared_mean) / np.linalg.norm(own, axis=1, keepdims=True)
+    own[:, 0] = np.sqrt(squared_mean)
+    aside = draw.normal(size=own.shape)
+    aside[:, 0] = 0
+    across = own.copy()
+    across[:, 0] = 0
+    aside -= across * np.sum(aside * across, axis=1, keepdims=True) / (1 - squared_mean)
+    aside *= np.sqrt(1 - squared_mean) / np.linalg.norm(aside, axis=1, keepdims=True)
+    turn = (0.9301 - squared_mean) / (1 - squared_mean)
+    other = turn * across + np.sqrt(1 - turn**2) * aside
+    other[:, 0] = np.sqrt(squared_mean)
+    return np.stack([own, other], axis=1).reshape(-1, 64)
+
+
+@pytest.mark.parametrize("squared_mean", [0.0, 0.5, 0.7, 0.8])
+def test_pairs_of_vectors_off_centre_are_found(squared_mean):
+    vectors = pairs_off_centre(1500, squared_mean, 3)
+    keys = hamming.learn_tables(vectors, 20_000, hamming.Search()).keys(vectors)
+    met = (keys[::2] == keys[1::2]).any(axis=1)
+    assert met.mean() >= 0.985
+
+
+def test_links_of_vectors_off_centre(spark):
+    vectors = pairs_off_centre(500, 0.7, 4)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(4)
+    links = {r.vec_id: r.n_links for r in hamming.near_duplicates(df).collect()}
+    assert sum(links[i] > 0 for i in range(1000)) >= 985
+
+
+@pytest.mark.parametrize("rows", [np.ones((1, 4)) / 2, np.ones((50, 4)) / 2, np.zeros((1, 4))])
+def test_tables_of_samples_at_one_point(rows):
+    assert hamming.learn_tables(rows, 100, hamming.Search(rounds=0)).count > 0
+
+
 # --- quality
 
 
