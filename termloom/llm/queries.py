@@ -105,7 +105,7 @@ def op12_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     held_out = F.coalesce(remainder(4) == 2, F.lit(False))
     model, words = unlabelled.fit_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"), ~held_out)
     scored = words.select(
-        "doc_id", held_out.alias("held_out"), unlabelled.score_words(model, F.col("words")).alias("score")
+        "doc_id", held_out.alias("held_out"), unlabelled.score_column(model, F.col("words")).alias("score")
     )
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 

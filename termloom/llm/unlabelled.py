@@ -9,8 +9,11 @@ logistic over hashed words; risks and gradients are sums over partitions.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from termloom.llm.ragged import offsets
 from termloom.llm.sums import sum_over_partitions
 from termloom.storage import materialize
 
-WORD_BREAK = r"[^\p{L}\p{N}]+"
+_WORD = re.compile(r"[^\W_]+")
 
 
 @dataclass(frozen=True)
@@ -29,6 +32,9 @@ class Settings:
     buckets: int = 1 << 18  # of the hashed words; a rare word that shares one changes little
     features: int = 4096  # buckets that the model weighs, those that tell most
     least_deviation: float = 3.0  # of a bucket's toxic texts from what the others lead one to expect
+    sure_deviation: float = 12.0  # from which a bucket's weight is free to move
+    stems: tuple[int, ...] = (4, 5, 6)  # bytes
+    examples: int = 1 << 16  # confirmed toxic documents at most, those of the smallest hashes
     rounds: int = 30
     rate: float = 0.3
     ridge: float = 1e-4
@@ -39,11 +45,12 @@ class Settings:
 @dataclass(frozen=True)
 class Model:
     prior: float
-    weights: np.ndarray  # one per bucket, 0 for most
+    chosen: np.ndarray  # buckets; a text holds places in this array
+    weights: np.ndarray
     bias: float
 
     def score(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Probability of toxic for texts whose buckets lie one after the other in ``flat``."""
+        """Probability of toxic for texts whose places lie one after the other in ``flat``."""
         return 1 / (1 + np.exp(-(row_sums(self.weights[flat], lengths) + self.bias)))
 
 
@@ -52,13 +59,20 @@ def row_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.bincount(row, values, len(lengths))
 
 
-def word_buckets(text: Column, settings: Settings = Settings()) -> Column:
-    """The distinct buckets of the lower-case words of a text, without an order; null: none."""
-    words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK))
-    hashed = F.transform(
-        F.filter(words, lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(settings.buckets)).cast("int")
-    )
-    return F.array_distinct(hashed)
+def text_buckets(text: str | None, settings: Settings = Settings()) -> list[int]:
+    """The distinct buckets of a text: its lower-case words, their stems, and stems of several words.
+
+    An insult is inflected and compounded, so its first letters tell more than one form of it; a stem
+    that several words of a text share is a mark of its own. Null and empty texts have none.
+    """
+    words = {w.encode() for w in _WORD.findall(text.lower())} if text else ()
+    marks = list(words)
+    for length in settings.stems:
+        # A stem is so many bytes, of words that are longer; the mark's first byte tells lengths apart.
+        counts = Counter([w[:length] for w in words if len(w) > length])
+        marks += [b"\1" + stem for stem in counts]
+        marks += [b"\2" + stem for stem, n in counts.items() if n > 1]
+    return list({crc32(mark) % settings.buckets for mark in marks})
 
 
 def toxic_labels(labels: DataFrame) -> DataFrame:
@@ -72,12 +86,19 @@ def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.asarray(column.value_lengths()).astype(np.int64)
 
 
-def choose_buckets(toxic: np.ndarray, texts: np.ndarray, n_toxic: int, n_texts: int, settings: Settings) -> np.ndarray:
-    """The buckets that toxic texts hold most unlike all texts, by the deviation from the expected count."""
+def choose_buckets(
+    toxic: np.ndarray, texts: np.ndarray, n_toxic: int, n_texts: int, settings: Settings
+) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that toxic texts hold most unlike all texts, and how freely each may be weighed.
+
+    Both go by the deviation of the count in toxic texts from the one to expect. A bucket that deviates
+    little does so by chance perhaps: its weight moves in proportion.
+    """
     expected = texts * (n_toxic / n_texts)
     deviation = np.abs(toxic - expected) / np.sqrt(expected + 0.25)
     best = np.argsort(-deviation, kind="stable")[: settings.features]
-    return np.sort(best[deviation[best] >= settings.least_deviation])
+    chosen = np.sort(best[deviation[best] >= settings.least_deviation])
+    return chosen, np.minimum(1.0, (deviation[chosen] / settings.sure_deviation) ** 2)
 
 
 def risk_sums(flat: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -96,65 +117,77 @@ def risk_sums(flat: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, weights:
     return np.concatenate(out)
 
 
-def risk_gradient(
-    sums: np.ndarray, n_toxic: int, n_texts: int, prior: float, weights: np.ndarray, settings: Settings
-) -> np.ndarray:
+def risk_gradient(sums: np.ndarray, n_toxic: int, n_texts: int, prior: float, slack: float) -> np.ndarray:
     """Gradient of the non-negative risk, from the sums of ``risk_sums`` over all rows."""
     plus, minus, everything = sums.reshape(3, -1)
     found = prior * plus / n_toxic
     clean = everything / n_texts - prior * minus / n_toxic
     # Below zero the classifier only fits the sample: climb back on that part alone.
-    step = found + clean if clean[0] >= -settings.slack else -clean
-    decay = np.r_[weights[:-1], 0.0] * settings.ridge
-    return step[1:] + decay
+    return (found + clean if clean[0] >= -slack else -clean)[1:]
 
 
-def descend(weights: np.ndarray, gradient_at, settings: Settings) -> np.ndarray:
-    """Steps of a rate that adapts to each weight (Adam)."""
-    mean, square = np.zeros_like(weights), np.zeros_like(weights)
+def descend(start: np.ndarray, freedom: np.ndarray, gradient_at, settings: Settings) -> np.ndarray:
+    """Steps of a rate that adapts to each weight (Adam), on weights in units of their freedom."""
+    units = np.r_[freedom, 1.0]
+    inside = start / units
+    mean, square = np.zeros_like(start), np.zeros_like(start)
     for k in range(1, settings.rounds + 1):
-        gradient = gradient_at(weights)
+        gradient = gradient_at(inside * units) * units + np.r_[inside[:-1], 0.0] * settings.ridge
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
         scale = np.sqrt(square / (1 - 0.99**k)) + 1e-8
-        weights = weights - settings.rate * (mean / (1 - 0.9**k)) / scale
-    return weights
+        inside = inside - settings.rate * (mean / (1 - 0.9**k)) / scale
+    return inside * units
 
 
-def fit(rows: DataFrame, prior: float, settings: Settings = Settings()) -> Model | None:
-    """Fit on ``rows`` (words array<int>, toxic boolean: confirmed); every row counts as unlabelled text.
-
-    The rows are read twice, and their chosen buckets once a round. None without a toxic row.
-    """
+def _bucket_counts(docs: DataFrame, settings: Settings) -> np.ndarray | None:
+    """Toxic texts and all texts per bucket, then the numbers of both kinds of texts."""
     size = settings.buckets
 
     def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(2 * size + 2, dtype=np.int64)
         for batch in batches:
-            flat, lengths = _ragged(batch["words"])
-            toxic = np.asarray(batch["toxic"].cast(pa.int64()))
-            total[:size] += np.bincount(flat[np.repeat(toxic, lengths) > 0], minlength=size)
-            total[size : 2 * size] += np.bincount(flat, minlength=size)
-            total[-2:] += toxic.sum(), len(toxic)
+            for text, toxic in zip(batch["text"], batch["toxic"].to_pylist()):
+                at = np.array(text_buckets(text.as_py(), settings), dtype=np.int64)
+                total[size + at] += 1
+                total[at] += toxic
+                total[-2:] += toxic, 1
         return total
 
-    total = sum_over_partitions(rows.select("words", "toxic"), counts, np.int64)
+    return sum_over_partitions(docs.select("text", "toxic"), counts, np.int64)
+
+
+def _chosen_rows(docs: DataFrame, place: np.ndarray, settings: Settings) -> DataFrame:
+    """Stored rows (doc_id, toxic, words): of each text the places of its chosen buckets."""
+
+    @F.arrow_udf("array<int>")
+    def chosen(texts: pa.Array) -> pa.Array:
+        rows = []
+        for text in texts:
+            at = place[np.array(text_buckets(text.as_py(), settings), dtype=np.int64)]
+            rows.append(at[at >= 0])
+        ends = pa.array(offsets(np.array([len(r) for r in rows], dtype=np.int64)), pa.int32())
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32()))
+
+    return materialize(docs.select("doc_id", "toxic", chosen.asNondeterministic()("text").alias("words")), "chosen")
+
+
+def fit(marked: DataFrame, prior: float, settings: Settings = Settings()) -> tuple[Model | None, DataFrame | None]:
+    """Fit on ``marked`` (doc_id, text, toxic: confirmed); every row counts as unlabelled text.
+
+    Texts are read twice: to count buckets, and for the chosen ones, which are stored; those few are read
+    once a round. The second result is that table, by which the rows are scored. Neither is there
+    without a toxic row.
+    """
+    total = _bucket_counts(marked, settings)
     if total is None or not total[-2]:
-        return None
-    n_toxic, n_texts = map(int, total[-2:])
-    chosen = choose_buckets(total[:size], total[size : 2 * size], n_toxic, n_texts, settings)
+        return None, None
+    size, (n_toxic, n_texts) = settings.buckets, map(int, total[-2:])
+    chosen, freedom = choose_buckets(total[:size], total[size : 2 * size], n_toxic, n_texts, settings)
     place = np.full(size, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
-
-    def keep_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, lengths = _ragged(batch["words"])
-            at = place[flat]
-            held = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[at >= 0], minlength=len(lengths))
-            words = pa.ListArray.from_arrays(pa.array(offsets(held), pa.int32()), pa.array(at[at >= 0], pa.int32()))
-            yield pa.RecordBatch.from_arrays([words, batch["toxic"]], ["words", "toxic"])
-
-    few = materialize(rows.select("words", "toxic").mapInArrow(keep_chosen, "words array<int>, toxic boolean"), "chosen")
+    few = _chosen_rows(marked, place, settings)
 
     def gradient_at(weights: np.ndarray) -> np.ndarray:
         def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -164,18 +197,17 @@ def fit(rows: DataFrame, prior: float, settings: Settings = Settings()) -> Model
                 sums += risk_sums(flat, lengths, np.asarray(batch["toxic"].cast(pa.int64())), weights)
             return sums
 
-        return risk_gradient(sum_over_partitions(few, partial), n_toxic, n_texts, prior, weights, settings)
+        sums = sum_over_partitions(few.select("words", "toxic"), partial)
+        return risk_gradient(sums, n_toxic, n_texts, prior, settings.slack)
 
     start = np.zeros(len(chosen) + 1)
     start[-1] = np.log(prior / (1 - prior))
-    weights = descend(start, gradient_at, settings)
-    dense = np.zeros(size)
-    dense[chosen] = weights[:-1]
-    return Model(prior, dense, float(weights[-1]))
+    weights = descend(start, freedom, gradient_at, settings)
+    return Model(prior, chosen, weights[:-1], float(weights[-1])), few
 
 
-def score_words(model: Model | None, words: Column) -> Column:
-    """Probability of toxic; without a model every row scores 0."""
+def score_column(model: Model | None, words: Column) -> Column:
+    """Probability of toxic from the places of chosen buckets; without a model every row scores 0."""
     if model is None:
         return F.lit(0.0)
 
@@ -189,23 +221,27 @@ def score_words(model: Model | None, words: Column) -> Column:
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, use: Column | None = None, settings: Settings = Settings()
 ) -> tuple[Model | None, DataFrame]:
-    """(model, stored table of doc_id and words of all rows of ``docs``).
+    """(model, table of doc_id and ``words``, the model's view of each row of ``docs``).
 
     Every row is unlabelled text; ``use`` selects the rows (by their doc_id) whose labels may be learned.
-    Of those, the toxic ones are the confirmed examples, and their share is the class prior unless
-    ``settings`` has one. The model reads text only; null and empty texts have no words and score by the
-    bias. Repeated rows count as often as they occur; a null doc_id matches no label; labels that
-    contradict each other count by their majority. Without a toxic label there is no model (None). Texts
-    of any length are read whole. Other columns are not read.
+    Of those, the toxic ones are the confirmed examples (a sample of ``settings.examples`` if there are
+    more), and their share is the class prior unless ``settings`` has one. The model reads text only;
+    null and empty texts have no words and score by the bias. Repeated rows count as often as they
+    occur; a null doc_id matches no label; contradicting labels count by their majority. Without a
+    toxic label there is no model (None) and ``words`` is null. Texts of any length are read whole.
+    Other columns are not read.
     """
-    words = docs.select("doc_id", word_buckets(F.col("text"), settings).alias("words"))
-    stored = materialize(words, "words")
-    allowed = F.lit(True) if use is None else use
-    marked = stored.join(toxic_labels(labels), "doc_id", "left")
-    known = F.col("toxic").isNotNull() & F.coalesce(allowed, F.lit(False))
-    rows = marked.withColumn("toxic", F.when(known, F.col("toxic")))
-    share = rows.agg(F.avg(F.col("toxic").cast("double"))).first()[0] if settings.prior is None else settings.prior
-    if not share:
-        return None, stored
-    confirmed = rows.select("words", F.coalesce("toxic", F.lit(False)).alias("toxic"))
-    return fit(confirmed, min(max(share, 1e-6), 0.99), settings), stored
+    allowed = F.lit(True) if use is None else F.coalesce(use, F.lit(False))
+    ids = docs.select("doc_id").where(allowed).distinct()
+    usable = materialize(toxic_labels(labels).join(ids, "doc_id"), "toxic-labels")
+    share = settings.prior or usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    known = usable.where("toxic").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.examples)
+    rows = docs.select("doc_id", "text")
+    # As many ids as settings.examples at most: small enough to send to every task.
+    marked = rows.join(F.broadcast(known.withColumn("_toxic", F.lit(True))), "doc_id", "left").select(
+        "doc_id", "text", F.coalesce("_toxic", F.lit(False)).alias("toxic")
+    )
+    model, few = fit(marked, min(max(share, 1e-6), 0.99), settings) if share else (None, None)
+    if model is None:
+        return None, rows.select("doc_id", F.lit(None).cast("array<int>").alias("words"))
+    return model, few.select("doc_id", "words")
