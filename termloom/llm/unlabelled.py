@@ -32,12 +32,12 @@ class Settings:
     buckets: int = 1 << 18  # of the hashed words; a rare word that shares one changes little
     features: int = 4096  # buckets that the model weighs, those that tell most
     least_deviation: float = 3.0  # of a bucket's toxic texts from what the others lead one to expect
-    sure_deviation: float = 12.0  # from which a bucket's weight is free to move
+    sure_deviation: float = 30.0  # from which a bucket's weight is free to move
     stems: tuple[int, ...] = (4, 5, 6)  # bytes
     examples: int = 1 << 16  # confirmed toxic documents at most, those of the smallest hashes
-    rounds: int = 30
+    rounds: int = 40
     rate: float = 0.3
-    ridge: float = 1e-4
+    ridge: float = 4e-4
     slack: float = 0.0  # how far the corrected risk may fall below zero
     prior: float | None = None  # share of toxic texts; None: that of the usable labels
 
