@@ -11,6 +11,10 @@ from termloom.functions.joins import join_on
 from termloom.storage import materialize
 
 
+# Into how many slices a histogram cuts a range of keys.
+_SLICES = 4096
+
+
 def sort_into_slices(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Range-partition on group *and* order, so that one hot group spreads over many tasks.
 
@@ -50,3 +54,34 @@ def with_rank(
 ) -> DataFrame:
     """Number the rows of each group in ``order``, which must be unique within the group."""
     return number_slices(sort_into_slices(df, group, order), group, order, name, kind)
+
+
+def smallest(df: DataFrame, key: str, count: int, ties: Sequence[str] = ()) -> DataFrame:
+    """The ``count`` rows with the smallest ``key`` (bigint, not null), without sorting or storing the rows.
+
+    Histograms of the key close in on the last key that is taken: each counts the rows in slices of the
+    range in which it must lie, until a slice is a single key. From then on it is a filter, which reaches
+    the scan. Rows that tie at that key are taken in the order of ``ties``, in full if all fit.
+    """
+    values = df.select(F.col(key).alias("_key"))
+    low, high, rows = values.agg(F.min("_key"), F.max("_key"), F.count("_key")).first()
+    if not rows or rows <= count:
+        return df.where(F.col(key).isNotNull())
+    wanted = count  # of the rows from ``low`` on
+    while low < high:
+        width = (high - low) // _SLICES + 1
+        # Decimals, since the range of keys may pass 64 bits.
+        wide = F.col("_key").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
+        place = F.call_function("div", wide, F.lit(width).cast("decimal(20,0)"))
+        inside = values.where(F.col("_key").between(low, high))
+        sizes = inside.groupBy(place.alias("slice")).agg(F.count(F.lit(1)).alias("rows")).orderBy("slice")
+        for part in sizes.collect():  # no more than _SLICES rows
+            if part.rows >= wanted:
+                break
+            wanted -= part.rows
+        low, high = low + part.slice * width, min(high, low + (part.slice + 1) * width - 1)
+    tied = values.where(F.col("_key") == low).count()
+    if tied == wanted:
+        return df.where(F.col(key) <= low)
+    last = df.where(F.col(key) == low).orderBy(*ties).limit(wanted)
+    return df.where(F.col(key) < low).unionByName(last)

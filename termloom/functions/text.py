@@ -23,6 +23,7 @@ from termloom.params import Params
 # letters), what a usable word looks like, and the white space of HTML text.
 # The intersection form of the first runs about eight times faster than one merged class.
 TOKEN_SEPARATOR = r"[\W&&[^А-я]]+"
+TOKEN_CHARACTER = r"[\wА-я]"
 WORD_SHAPE = r"^[a-z][a-z'-]*[a-z]$"
 WHITE_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 
@@ -48,12 +49,32 @@ def is_keyword_word(token: Column, stop_words: Iterable[str], params: Params) ->
     )
 
 
+def _usable(tokens: Column, stop_words: Iterable[str], params: Params) -> Column:
+    placed = F.transform(tokens, lambda w, i: F.struct(w.alias("word"), i.cast("int").alias("pos")))
+    return F.filter(placed, lambda e: is_keyword_word(e["word"], stop_words, params))
+
+
 def kept_words(text: Column, stop_words: Iterable[str], params: Params) -> Column:
     """array<struct<word, pos>>: usable words with their index in the *unfiltered* token list."""
-    placed = F.transform(
-        tokenize(text), lambda w, i: F.struct(w.alias("word"), i.cast("int").alias("pos"))
+    return _usable(tokenize(text), stop_words, params)
+
+
+def counted_words(text: Column, stop_words: Iterable[str], params: Params) -> Column:
+    """struct<tokens, words>: how many tokens a text has, and its ``kept_words``."""
+    return let(
+        tokenize(text),
+        lambda tokens: F.struct(
+            F.size(tokens).cast("bigint").alias("tokens"), _usable(tokens, stop_words, params).alias("words")
+        ),
     )
-    return F.filter(placed, lambda e: is_keyword_word(e["word"], stop_words, params))
+
+
+def text_chunks(text: Column, chars: int) -> Column:
+    """The text in lower case, cut into stretches of ``chars`` characters that end where a token ends.
+
+    Both quantifiers are possessive, so that the cuts take one pass whatever the text holds.
+    """
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?s).{{1,{chars}}}+{TOKEN_CHARACTER}*+"), F.lit(0))
 
 
 def word_tenths(word: Column, pos: Column, is_noun: Column | None, params: Params) -> Column:
@@ -140,22 +161,27 @@ def _runs(occ: Column, shared: Column, index: Column, n: int, params: Params) ->
             F.lit(n).alias("n"),
             F.array_min(F.transform(places, lambda i: F.get(occ, i)["at"])).alias("at"),
             F.concat_ws(" ", *[start[f"w{k}"] for k in range(n)]).alias("term"),
+            # What a word's score falls by if it is no noun.
+            ((last - first + 1).cast("bigint") * (params.noun_tenths if n == 1 else 0)).alias("bonus"),
         )
 
     return F.zip_with(F.filter(index, starts), F.filter(index, ends), collapse)
 
 
-def top_terms(occ: Column, params: Params) -> Column:
-    """The best terms in rank order: score, then words before phrases, then first occurrence."""
+def all_terms(occ: Column, params: Params) -> Column:
+    """array<struct<order, n, at, term, bonus>> of all words and supported phrases.
+
+    The first three fields sort by rank: score, then words before phrases, then first occurrence.
+    """
     index = F.when(F.size(occ) > 0, F.sequence(F.lit(0), F.size(occ) - 1)).otherwise(
         F.array().cast("array<int>")
     )
 
-    def ranked(shared: Column, index: Column, paired: Column) -> Column:
+    def terms(shared: Column, index: Column, paired: Column) -> Column:
         runs = [_runs(occ, shared, index, 1, params)]
         for n, least in ((2, params.bigram_min_freq), (3, params.trigram_min_freq)):
             runs.append(_runs(occ, shared, index if least == 1 else paired, n, params))
-        return F.slice(F.sort_array(F.concat(*runs)), 1, params.max_keywords)
+        return F.concat(*runs)
 
     def repeats(shared: Column, index: Column) -> Column:
         """The few occurrences that share two words or more with a neighbour."""
@@ -164,12 +190,17 @@ def top_terms(occ: Column, params: Params) -> Column:
             lambda i: (F.get(shared, i) >= 2) | F.coalesce(F.get(shared, i + 1) >= 2, F.lit(False)),
         )
 
-    best = let(
+    return let(
         shared_words(occ),
         lambda shared: let(
-            index, lambda i: let(repeats(shared, i), lambda paired: ranked(shared, i, paired))
+            index, lambda i: let(repeats(shared, i), lambda paired: terms(shared, i, paired))
         ),
     )
+
+
+def best_terms(terms: Column, params: Params) -> Column:
+    """The first of ``all_terms`` as ranked keywords."""
+    best = F.slice(F.sort_array(terms), 1, params.max_keywords)
     return F.transform(
         best,
         lambda t, i: F.struct(
@@ -182,24 +213,65 @@ def top_terms(occ: Column, params: Params) -> Column:
     )
 
 
-def page_keywords(
-    text: Column, stop_words: Iterable[str], non_nouns: Iterable[str], params: Params
+def contending_terms(terms: Column, params: Params) -> Column:
+    """Those of ``all_terms`` that may be among the best, whichever of the words are no nouns.
+
+    ``terms`` are scored with every word a noun. If every word lost its bonus, the last of the best would
+    have some rank; a term behind that even with its bonus cannot be among them.
+    """
+    lowest = F.transform(terms, lambda t: F.struct((t["order"] + t["bonus"]).alias("order"), t["n"], t["at"]))
+    last = F.get(F.sort_array(lowest), F.lit(params.max_keywords - 1))
+    return let(
+        last,
+        lambda bound: F.filter(
+            terms, lambda t: bound.isNull() | (F.struct(t["order"], t["n"].alias("n"), t["at"].alias("at")) <= bound)
+        ),
+    )
+
+
+def without_bonus(terms: Column, plain: Column) -> Column:
+    """``terms`` after the words listed in the array ``plain`` lost their bonus."""
+
+    def settled(t: Column) -> Column:
+        lost = F.when((t["bonus"] > 0) & F.array_contains(plain, t["term"]), t["bonus"]).otherwise(F.lit(0))
+        return F.struct((t["order"] + lost).alias("order"), t["n"], t["at"], t["term"], t["bonus"])
+
+    return F.transform(terms, settled)
+
+
+def page_terms(
+    text: Column, stop_words: Iterable[str], non_nouns: Iterable[str], params: Params, body: Callable[[Column], Column]
 ) -> Column:
-    """The ranked keywords of one text as array<struct<keyword, n, score, rank, first_pos>>."""
+    """``body`` of ``all_terms`` of one text."""
     return let(
         kept_words(text, stop_words, params),
         lambda words: let(
-            occurrences(words, non_nouns, params), lambda occ: top_terms(occ, params)
+            occurrences(words, non_nouns, params), lambda occ: let(all_terms(occ, params), body)
         ),
     )
 
 
-@lru_cache(maxsize=32)
-def text_keywords(
-    application: str, stop_words: frozenset[str], non_nouns: frozenset[str], params: Params
+def page_keywords(
+    text: Column, stop_words: Iterable[str], non_nouns: Iterable[str], params: Params
 ) -> Column:
+    """The ranked keywords of one text as array<struct<keyword, n, score, rank, first_pos>>."""
+    return page_terms(text, stop_words, non_nouns, params, lambda terms: best_terms(terms, params))
+
+
+TERM_STRUCT = "array<struct<order:bigint,n:int,at:int,term:string,bonus:bigint>>"
+
+
+@lru_cache(maxsize=32)
+def text_keywords(application: str, stop_words: frozenset[str], params: Params) -> Column:
     """``page_keywords`` of the column ``text``; building it takes thousands of calls to the JVM."""
-    return page_keywords(F.col("text"), stop_words, non_nouns, params).cast(KEYWORD_STRUCT)
+    return page_keywords(F.col("text"), stop_words, (), params).cast(KEYWORD_STRUCT)
+
+
+@lru_cache(maxsize=32)
+def text_contenders(application: str, stop_words: frozenset[str], params: Params) -> Column:
+    """``contending_terms`` of the column ``text``."""
+    terms = page_terms(F.col("text"), stop_words, (), params, lambda t: contending_terms(t, params))
+    return terms.cast(TERM_STRUCT)
 
 
 def collapse_white_space(text: Column) -> Column:

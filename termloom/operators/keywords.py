@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from termloom.functions import text as tx
 from termloom.operators.content import gate_content, succeeded
 from termloom.params import DEFAULT_PARAMS, Params
+from termloom.storage import materialize
 from termloom.vocab import STOP_WORDS
 
-# Columns of the input that tell a page's size without reading its text. They route pages only.
+# Columns of the input that tell a page's size without its text. They route pages only.
 SIZE_HINTS = ("size_hint", "html_chars")
+SPACE = " "
 
 
 def _rows(df: DataFrame, array: Column, *columns: str) -> DataFrame:
@@ -46,11 +48,10 @@ def term_counts(
     """``(ord, term, n, tenths, count, first_pos)``: every word and every supported phrase.
 
     The relational form of the scoring: terms become rows and can spill. The words of a page are one
-    array still, so a page must fit a task's memory.
+    array still, so a page must fit a task's memory (``chunked_term_counts`` cuts larger ones).
     The text is partitioned by page before it is exploded; that exchange moves text, not terms, and
     serves the grouping and the ranking after it.
     """
-    plain = sorted(non_nouns)
     by_page = texts.select("ord", "text").repartition("ord")
     words = by_page.select("ord", tx.kept_words(F.col("text"), stop_words, params).alias("words"))
     placed = words.select("ord", "words", F.posexplode_outer("words").alias("at", "e"))
@@ -62,12 +63,18 @@ def term_counts(
         F.get("words", F.col("at") + 1)["word"].alias("w1"),
         F.get("words", F.col("at") + 2)["word"].alias("w2"),
     )
+    return _count_terms(chained, non_nouns, params)
+
+
+def _count_terms(chained: DataFrame, non_nouns: Iterable[str], params: Params) -> DataFrame:
+    """``term_counts`` of rows (ord, at, pos, w0, w1, w2): each word with the two that follow."""
+    plain = sorted(non_nouns)
     noun = ~F.col("w0").isin(*plain) if plain else None
 
     def term(value: Column, n: int, tenths: Column) -> Column:
         return F.struct(value.alias("term"), F.lit(n).alias("n"), tenths.cast("bigint").alias("tenths"))
 
-    space = F.lit(" ")
+    space = F.lit(SPACE)
     terms = chained.select(
         "ord",
         "at",
@@ -97,6 +104,67 @@ def term_counts(
     )
 
 
+def chunked_term_counts(
+    texts: DataFrame,
+    stop_words: Iterable[str] = STOP_WORDS,
+    non_nouns: Iterable[str] = (),
+    params: Params = DEFAULT_PARAMS,
+) -> DataFrame:
+    """``term_counts`` for pages larger than a task should hold.
+
+    A text is cut into chunks that end with a token, and the chunks are dealt over the tasks. A window over
+    one narrow row per chunk carries on what is local to it: the tokens and words before it, and the next two
+    words after it, which phrases across the seam need. A word's terms then group by term, not by page.
+    """
+    cut = F.posexplode(tx.text_chunks(F.col("text"), params.chunk_chars)).alias("chunk", "text")
+    dealt = texts.select("ord", cut).repartition("ord", "chunk")
+    found = dealt.select("ord", "chunk", tx.counted_words(F.col("text"), stop_words, params).alias("found"))
+    words = found.select("ord", "chunk", F.col("found.tokens").alias("tokens"), F.col("found.words").alias("words"))
+    in_order = Window.partitionBy("ord").orderBy("chunk")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    head = F.transform(F.slice("words", 1, 2), lambda e: e["word"])
+    sizes = words.select("ord", "chunk", "tokens", F.size("words").cast("bigint").alias("kept"), head.alias("head"))
+    placed = sizes.withColumns(
+        {
+            "pos_before": F.coalesce(F.sum("tokens").over(before), F.lit(0)),
+            "at_before": F.coalesce(F.sum("kept").over(before), F.lit(0)),
+        }
+    ).where("kept > 0")
+    # A chunk left has a word at least, so the heads of two hold the next two words.
+    none = F.array().cast("array<string>")
+    heads = [F.coalesce(F.lead("head", k).over(in_order), none) for k in (1, 2)]
+    seams = placed.select("ord", "chunk", "pos_before", "at_before", F.slice(F.concat(*heads), 1, 2).alias("after"))
+
+    def chain(words: Column, following: Column) -> Column:
+        return F.transform(
+            words,
+            lambda e, i: F.struct(
+                i.cast("bigint").alias("at"),
+                e["pos"].alias("pos"),
+                e["word"].alias("w0"),
+                F.get(following, i + 1).alias("w1"),
+                F.get(following, i + 2).alias("w2"),
+            ),
+        )
+
+    joined = words.select("ord", "chunk", "words").join(seams, ["ord", "chunk"])
+    following = F.concat(F.transform("words", lambda e: e["word"]), F.col("after"))
+    chains = tx.let(
+        F.struct(F.col("words").alias("words"), following.alias("following")),
+        lambda both: chain(both["words"], both["following"]),
+    )
+    rows = joined.select("ord", "pos_before", "at_before", F.explode_outer(chains).alias("e"))
+    chained = rows.where(F.col("e").isNotNull()).select(
+        "ord",
+        (F.col("at_before") + F.col("e.at")).alias("at"),
+        (F.col("pos_before") + F.col("e.pos")).alias("pos"),
+        "e.w0",
+        "e.w1",
+        "e.w2",
+    )
+    return _count_terms(chained, non_nouns, params)
+
+
 def take_noun_bonus(counts: DataFrame, non_nouns: DataFrame, params: Params) -> DataFrame:
     """Take the noun bonus from words listed in ``non_nouns(word)``, a table of any size.
 
@@ -133,14 +201,13 @@ def _keywords_by_rows(
     pages: DataFrame,
     carried: list[str],
     stop_words: Iterable[str],
-    inline: Iterable[str],
-    lexicon: DataFrame | None,
+    non_nouns: DataFrame | None,
     params: Params,
 ) -> DataFrame:
-    """The answer of ``analyze_pages`` by way of ``term_counts``."""
-    counts = term_counts(pages.where(succeeded()), stop_words, inline, params)
-    if lexicon is not None:
-        counts = take_noun_bonus(counts, lexicon, params)
+    """The answer of ``analyze_pages`` by way of ``chunked_term_counts``."""
+    counts = chunked_term_counts(pages.where(succeeded()), stop_words, (), params)
+    if non_nouns is not None:
+        counts = take_noun_bonus(counts, non_nouns, params)
     # At most max_keywords structs per page are gathered.
     best = rank_terms(counts, params).groupBy("ord").agg(F.collect_list("keyword").alias("k"))
     in_order = F.array_sort("k", lambda a, b: a["rank"] - b["rank"])
@@ -151,12 +218,33 @@ def _keywords_by_rows(
     )
 
 
-def _is_huge(pages: DataFrame, params: Params) -> Column | None:
-    if params.in_row_max_chars is None:
-        return None
-    hints = [F.col(name) for name in SIZE_HINTS if name in pages.columns]
-    size = F.coalesce(*hints, F.length("text"))
-    return F.coalesce(size > params.in_row_max_chars, F.lit(False))
+def _settle_nouns(contenders: DataFrame, carried: list[str], non_nouns: DataFrame, params: Params) -> DataFrame:
+    """Rank the terms that may be among a page's best once the lexicon has said which are no nouns.
+
+    Only those words meet the lexicon, whatever its size, and only (page, word) pairs are exchanged for it.
+    A frequent word is on nearly every page: adaptive execution sends a small lexicon to all tasks and
+    splits the rows of such a word otherwise.
+    """
+    stored = materialize(contenders, "contenders")
+    words = _rows(stored, F.filter("terms", lambda t: t["bonus"] > 0), "ord").select("ord", F.col("e.term").alias("word"))
+    listed = words.join(non_nouns, "word", "left_semi")
+    plain = listed.groupBy("ord").agg(F.collect_list("word").alias("plain"))  # at most a page's contenders
+    lists = F.struct(F.col("terms").alias("terms"), F.coalesce("plain", F.array().cast("array<string>")).alias("plain"))
+    settled = tx.let(lists, lambda both: tx.without_bonus(both["terms"], both["plain"]))
+    best = tx.best_terms(settled, params).cast(tx.KEYWORD_STRUCT)
+    return stored.join(plain, "ord", "left").select(*carried, best.alias("keywords"))
+
+
+def _is_huge(pages: DataFrame, params: Params) -> Column:
+    """Whether a page takes the relational form. A size that is not known may be any.
+
+    ``size_hint`` is compared bare, so that the statistics of a Parquet table rule out its row groups.
+    """
+    most = params.in_row_max_chars
+    if "size_hint" in pages.columns:
+        return F.col("size_hint").isNull() | (F.col("size_hint") > most)
+    size = F.col("html_chars") if "html_chars" in pages.columns else F.length("text")
+    return F.coalesce(size, F.lit(0)) > most
 
 
 def analyze_pages(
@@ -172,33 +260,32 @@ def analyze_pages(
     with an error has no keywords. ``lexicon(word, is_noun)`` says which words are nouns; a word it
     does not list counts as one, and one listed both ways as none. Rows with a null are ignored.
 
-    Pages are scored inside their own row. If there are huge ones, those take the relational form, as
-    do all pages when the lexicon is too large to inline; the two forms agree. Looking for huge pages
-    is a job of its own: it reads a size column if the source has one (see ``SIZE_HINTS``), which
-    Parquet statistics answer, and otherwise the text lengths.
+    Pages are scored inside their own row, up to ``in_row_max_chars``; larger ones take the relational form,
+    which gives the same rows. Both are always part of the plan: sizes come from a column of the source
+    if it has one (see ``SIZE_HINTS``) and from the lengths otherwise. With a lexicon, of any size, the
+    terms that may be among a page's best are stored, and only their words are looked up.
     """
     gated = gate_content(texts, params)
     carried = [c for c in gated.columns if c not in ("text", *SIZE_HINTS)]
-    inline: list[str] = []
-    large = None
-    if lexicon is not None:
-        plain = lexicon.where(~F.col("is_noun") & F.col("word").isNotNull())
-        large = plain.select(F.lower("word").alias("word")).distinct()
-        sample = [r.word for r in large.limit(params.inline_lexicon_words + 1).collect()]
-        if len(sample) <= params.inline_lexicon_words:
-            inline, large = sample, None
-    if large is not None:
-        return _keywords_by_rows(gated, carried, stop_words, (), large, params)
-
-    huge = _is_huge(gated, params)
     application = texts.sparkSession.sparkContext.applicationId
-    scored = tx.text_keywords(application, frozenset(stop_words), frozenset(inline), params)
-    none = F.array().cast(tx.KEYWORD_STRUCT)
-    in_row = F.when(succeeded(), scored).otherwise(none).alias("keywords")
-    if huge is None or gated.where(huge).isEmpty():
-        return gated.select(*carried, in_row)
-    by_rows = _keywords_by_rows(gated.where(huge), carried, stop_words, inline, None, params)
-    return gated.where(~huge).select(*carried, in_row).unionByName(by_rows)
+    huge = None if params.in_row_max_chars is None else _is_huge(gated, params)
+    in_row = gated if huge is None else gated.where(~huge)
+
+    def scored(column: Column, kind: str, name: str) -> DataFrame:
+        filled = F.when(succeeded(), column).otherwise(F.array().cast(kind))
+        return in_row.select(*carried, filled.alias(name))
+
+    non_nouns = None
+    if lexicon is None:
+        found = scored(tx.text_keywords(application, frozenset(stop_words), params), tx.KEYWORD_STRUCT, "keywords")
+    else:
+        listed = lexicon.where(~F.col("is_noun") & F.col("word").isNotNull())
+        non_nouns = listed.select(F.lower("word").alias("word")).distinct()
+        terms = scored(tx.text_contenders(application, frozenset(stop_words), params), tx.TERM_STRUCT, "terms")
+        found = _settle_nouns(terms, carried, non_nouns, params)
+    if huge is None:
+        return found
+    return found.unionByName(_keywords_by_rows(gated.where(huge), carried, stop_words, non_nouns, params))
 
 
 def keywords(analysis: DataFrame, *extra: str) -> DataFrame:

@@ -36,16 +36,16 @@ class Params:
     pages_per_prompt: int = 1_000
 
     # Physical choices: they steer the plan and never change a result.
-    # Larger pages are scored as rows; None scores all pages in their row and skips looking for them.
+    # Larger pages are cut into chunks and scored as rows; None scores all pages in their row.
     in_row_max_chars: int | None = 4_000_000
-    inline_lexicon_words: int = 20_000
+    chunk_chars: int = 1_000_000
 
     def __post_init__(self) -> None:
         if self.max_urls < 0:
             raise ValueError("max_urls must be 0 (all) or positive")
         if not 0 < self.common_ratio <= 1:
             raise ValueError("common_ratio must lie in (0, 1]")
-        for name in ("max_keywords", "bigram_min_freq", "trigram_min_freq", "pages_per_prompt"):
+        for name in ("max_keywords", "bigram_min_freq", "trigram_min_freq", "pages_per_prompt", "chunk_chars"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
 

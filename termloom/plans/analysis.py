@@ -21,7 +21,7 @@ from termloom.operators.prompts import gap_prompts, page_blocks
 from termloom.operators.topics import DEFAULT_TAXONOMY, Taxonomy, keyword_topics, merged_topics
 from termloom.params import DEFAULT_PARAMS, Params
 from termloom.sinks.reports import common_report, url_report
-from termloom.sources.pages import look_up_pages, one_page_per_url
+from termloom.sources.pages import listed_pages, look_up_pages
 from termloom.storage import materialize
 from termloom.vocab import STOP_WORDS
 
@@ -36,10 +36,10 @@ def analyze_url_list(
     """The page table of ``analyze_pages`` for ``urls(ord, url, …)`` over ``pages(url, html)``.
 
     A page is parsed and scored once however often the list names it; only its keywords are copied
-    to every place in the list. Pages that nobody lists are not parsed. Of a URL that was crawled more
-    than once one page is used (see ``one_page_per_url``).
+    to every place in the list. Pages that nobody lists are neither moved nor parsed. Of a URL that was
+    crawled more than once one page is used (see ``one_page_per_url``).
     """
-    listed = one_page_per_url(pages).join(urls.select("url").distinct(), "url", "left_semi")
+    listed = listed_pages(urls, pages)
     # Here the URL is the page's key: a generated number could change when a task is run again.
     keyed = listed.withColumn("ord", F.col("url"))
     found = analyze_pages(extract_text(keyed, params), stop_words, lexicon, params).drop("place")

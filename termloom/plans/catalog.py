@@ -178,6 +178,12 @@ def keywords_by_rows(spark, sf):
     return kw.keywords(kw.analyze_pages(documents(spark, sf), params=replace(BASE, in_row_max_chars=0)))
 
 
+def keywords_by_chunks(spark, sf):
+    """The same with chunks of a few words, so that most phrases lie across a seam."""
+    small = replace(BASE, in_row_max_chars=0, chunk_chars=40)
+    return kw.keywords(kw.analyze_pages(documents(spark, sf), lexicon=own_lexicon(spark, sf), params=small))
+
+
 def own_lexicon(spark, sf):
     """All words of the documents; those with an odd number of letters are no nouns."""
     words = kw.page_words(documents(spark, sf), params=BASE).select(F.col("token").alias("word")).distinct()
@@ -185,8 +191,7 @@ def own_lexicon(spark, sf):
 
 
 def keywords_large_lexicon(spark, sf):
-    small = replace(BASE, inline_lexicon_words=0)
-    return kw.keywords(kw.analyze_pages(documents(spark, sf), lexicon=own_lexicon(spark, sf), params=small))
+    return kw.keywords(kw.analyze_pages(documents(spark, sf), lexicon=own_lexicon(spark, sf), params=BASE))
 
 
 def keyword_topics_by_table(spark, sf):
@@ -399,7 +404,7 @@ QUERIES: dict[str, Query] = {
         gap_prompt_by_lang, parse_responses, response_errors, gap_common, gap_underutilized,
         gap_underutilized_by_lang, gap_long_tail, gap_semantic, gap_semantic_by_lang, gap_missing,
         gap_report, url_report, common_report, gap_recommendations, url_filter_mixed, content_gate_odd,
-        keywords_odd, keywords_by_rows, keywords_large_lexicon, keyword_topics_by_table, page_text_odd,
+        keywords_odd, keywords_by_rows, keywords_by_chunks, keywords_large_lexicon, keyword_topics_by_table, page_text_odd,
     )
 }
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.functions.membership import keep_possible_members
 from termloom.functions.partitioning import spread_scan
 from termloom.sources.crawl import NO_RESPONSE_ERROR
 
@@ -30,18 +31,36 @@ def read_documents(spark: SparkSession, path: str, *extra: str) -> DataFrame:
     return spread_scan(scan, "ord").select("ord", url, "text", "size_hint", *extra)
 
 
+def _ordered(pages: DataFrame) -> DataFrame:
+    order = F.col("ord") if "ord" in pages.columns else F.xxhash64(*pages.columns)
+    return pages.withColumn("_order", order)
+
+
 def one_page_per_url(pages: DataFrame) -> DataFrame:
     """Of a URL that was crawled more than once keep the page with the largest ``ord``, the last crawled.
 
     Without a column ``ord`` the page with the largest hash of its columns stays. Only URLs and that one
     number are grouped; a URL with a single page passes unchanged.
     """
-    order = F.col("ord") if "ord" in pages.columns else F.xxhash64(*pages.columns)
-    ranked = pages.withColumn("_order", order)
+    ranked = _ordered(pages)
     last = ranked.groupBy("url").agg(F.max("_order").alias("_order"))
     return ranked.join(last, ["url", "_order"], "left_semi").drop("_order")
 
 
+def listed_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:
+    """``one_page_per_url`` of the pages that the list names.
+
+    URLs and orders alone find the pages to use; what they are is then known to the scan of the pages, which
+    passes on hardly any other. So the HTML of pages that are not listed, or crawled again, does not move.
+    """
+    ranked = _ordered(pages)
+    listed = urls.select("url").distinct()
+    named = keep_possible_members(ranked.select("url", "_order"), listed, ["url"]).join(listed, "url", "left_semi")
+    last = named.groupBy("url").agg(F.max("_order").alias("_order"))
+    keys = ["url", "_order"]
+    return keep_possible_members(ranked, last, keys).join(last, keys, "left_semi").drop("_order")
+
+
 def look_up_pages(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """Every listed URL with the columns of its page, and an ``error`` where there is no page.
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.functions.ranking import with_rank
+from termloom.functions.ranking import smallest, with_rank
 from termloom.params import DEFAULT_PARAMS, Params
 
 
@@ -65,11 +65,8 @@ def keep_http(urls: DataFrame) -> DataFrame:
 
 
 def first_urls(urls: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFrame:
-    """The first ``max_urls`` in list order; 0 keeps all. The rows are numbered in slices by range."""
-    if params.max_urls == 0:
-        return urls
-    placed = with_rank(urls, [], [F.asc("ord")], "_place", "bigint")
-    return placed.where(F.col("_place") <= params.max_urls).drop("_place")
+    """The first ``max_urls`` in list order; 0 keeps all. Equal places are taken by URL."""
+    return smallest(urls, "ord", params.max_urls, ["url"]) if params.max_urls else urls
 
 
 def read_urls(

@@ -11,6 +11,7 @@ from termloom.params import Params
 
 OPEN = Params(min_content_chars=0)
 BY_ROWS = replace(OPEN, in_row_max_chars=-1)
+BY_CHUNKS = replace(BY_ROWS, chunk_chars=9)
 
 
 def texts_frame(spark, texts):
@@ -54,7 +55,7 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("params", [OPEN, BY_ROWS], ids=["in_row", "by_rows"])
+@pytest.mark.parametrize("params", [OPEN, BY_ROWS, BY_CHUNKS], ids=["in_row", "by_rows", "by_chunks"])
 def test_scores_equal_the_definition(spark, params):
     texts = CASES + random_texts(1)
     found = answers(kw.extract_keywords(texts_frame(spark, texts), params=params))
@@ -63,9 +64,9 @@ def test_scores_equal_the_definition(spark, params):
 
 
 @pytest.mark.parametrize("two,three", [(1, 1), (3, 2), (2, 4)])
-@pytest.mark.parametrize("in_row", [10**6, -1])
-def test_phrase_thresholds(spark, two, three, in_row):
-    params = replace(OPEN, bigram_min_freq=two, trigram_min_freq=three, in_row_max_chars=in_row, max_keywords=7)
+@pytest.mark.parametrize("form", [OPEN, BY_CHUNKS], ids=["in_row", "by_chunks"])
+def test_phrase_thresholds(spark, two, three, form):
+    params = replace(form, bigram_min_freq=two, trigram_min_freq=three, max_keywords=7)
     texts = random_texts(2, 12)
     found = answers(kw.extract_keywords(texts_frame(spark, texts), params=params))
     for i, text in enumerate(texts):
@@ -79,15 +80,51 @@ def test_early_positions(spark):
     assert scores == {"alpha": 19, "beta": 13, "gamma": 14, "delta": 11}
 
 
-def test_lexicon_inline_and_joined(spark):
-    texts = random_texts(3)
+@pytest.mark.parametrize("params", [OPEN, BY_ROWS, BY_CHUNKS], ids=["in_row", "by_rows", "by_chunks"])
+def test_lexicon_takes_the_bonus(spark, params):
+    texts = CASES + random_texts(3)
     lexicon = spark.createDataFrame(
-        [("visa", False), ("permit", True), ("work", False), ("unseen", False)], "word string, is_noun boolean"
+        [("Visa", False), ("permit", True), ("work", False), ("work", True), ("unseen", False), (None, False), ("fee", None)],
+        "word string, is_noun boolean",
     )
-    expected = {i: ranked_keywords(t, {"visa", "work"}) for i, t in enumerate(texts)}
-    for params in (OPEN, BY_ROWS, replace(OPEN, inline_lexicon_words=1)):
-        found = answers(kw.extract_keywords(texts_frame(spark, texts), lexicon=lexicon, params=params))
-        assert {i: found.get(i, []) for i in expected} == expected
+    expected = {i: ranked_keywords(t or "", {"visa", "work"}) for i, t in enumerate(texts)}
+    found = answers(kw.extract_keywords(texts_frame(spark, texts), lexicon=lexicon, params=params))
+    assert {i: found.get(i, []) for i in expected} == expected
+
+
+def many_words(seed):
+    """Texts of far more words than keywords, with counts that the bonus decides."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(220)]
+    return words, [" ".join(rng.choices(words, weights=range(1, 221), k=rng.choice([80, 400, 1500]))) for _ in range(8)]
+
+
+def test_lexicon_of_most_words(spark):
+    """Terms that may still be among the best are kept, whichever words the lexicon names."""
+    words, texts = many_words(6)
+    for share in (0.0, 0.5, 1.0):
+        rng = random.Random(share)
+        plain = {w for w in words if rng.random() < share}
+        lexicon = spark.createDataFrame([(w, False) for w in sorted(plain)], "word string, is_noun boolean")
+        for most in (5, 50):
+            params = replace(OPEN, max_keywords=most)
+            found = answers(kw.extract_keywords(texts_frame(spark, texts), lexicon=lexicon, params=params))
+            assert found == {i: ranked_keywords(t, plain, params) for i, t in enumerate(texts)}
+
+
+def test_few_terms_meet_the_lexicon(spark):
+    """The page table that meets the lexicon holds no text, and of the terms only those that may win."""
+    words, texts = many_words(7)
+    params = replace(OPEN, max_keywords=5)
+    lexicon = spark.createDataFrame([(w, False) for w in words], "word string, is_noun boolean")
+    found = kw.analyze_pages(texts_frame(spark, texts * 3), lexicon=lexicon, params=replace(params, in_row_max_chars=None))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "contenders" in str(found.inputFiles()) and "text" not in plan
+    full = texts_frame(spark, texts).select(
+        kw.tx.page_terms(F.col("text"), (), (), params, lambda t: F.struct(F.size(t).alias("all"), F.size(kw.tx.contending_terms(t, params)).alias("few"))).alias("n")
+    ).select("n.*")
+    for r in full.collect():
+        assert 5 <= r.few < r["all"] / 2
 
 
 def test_page_words_keep_unfiltered_positions(spark):
@@ -108,9 +145,10 @@ def test_gate_is_strict_and_keeps_earlier_errors(spark):
 
 def test_pages_without_keywords_stay(spark):
     df = texts_frame(spark, ["the of and " * 20, "visa " * 40, "short"])
-    for in_row in (10**6, -1):
+    lexicon = spark.createDataFrame([("visa", True)], "word string, is_noun boolean")
+    for in_row, words in ((10**6, None), (-1, None), (10**6, lexicon), (-1, lexicon)):
         got = {r.ord: (r.error, len(r.keywords))
-               for r in kw.analyze_pages(df, params=Params(in_row_max_chars=in_row)).collect()}
+               for r in kw.analyze_pages(df, lexicon=words, params=Params(in_row_max_chars=in_row)).collect()}
         assert got == {0: (None, 0), 1: (None, 3), 2: ("Insufficient content extracted", 0)}
 
 
@@ -121,6 +159,29 @@ def test_routes_agree_on_mixed_sizes(spark):
     assert one.count() == mixed.count() and one.exceptAll(mixed).isEmpty()
 
 
+def test_chunks_hold_whole_tokens(spark):
+    cases = ["", " ", "abc def", "abcdefghijkl mno", "a" * 50, "Слово naïve İstanbul K ΑΣ.Α 😀😀 " * 9, "--- --- ---", "x\n\r\ty" * 9]
+    df = texts_frame(spark, cases)
+    for chars in (1, 4, 7, 10**6):
+        rows = df.select(
+            F.lower("text").alias("low"), kw.tx.text_chunks(F.col("text"), chars).alias("chunks"),
+            kw.tx.tokenize(F.col("text")).alias("tokens"),
+            F.flatten(F.transform(kw.tx.text_chunks(F.col("text"), chars), kw.tx.tokenize)).alias("by_chunk"),
+        ).collect()
+        for r in rows:
+            assert "".join(r.chunks) == r.low and r.by_chunk == r.tokens
+            assert chars > 100 or len(r.chunks) >= min(len(r.tokens), 1)
+
+
+def test_a_size_that_is_not_known(spark):
+    """A null size hint routes a page, and never changes its answer."""
+    texts = [t or "" for t in random_texts(8, 9)]
+    rows = [(i, "u", t, [None, len(t), 10**7][i % 3]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "ord bigint, url string, text string, size_hint bigint")
+    found = answers(kw.extract_keywords(df, params=OPEN))
+    assert {i: found.get(i, []) for i in range(9)} == {i: ranked_keywords(t) for i, t in enumerate(texts)}
+
+
 def test_pages_are_scored_without_an_exchange(spark):
     df = texts_frame(spark, CASES)
     df.write.mode("overwrite").parquet(f"{spark.sparkContext.getCheckpointDir()}/plain")

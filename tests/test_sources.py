@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from termloom.functions.membership import keep_possible_members
 from termloom.params import Params
 from termloom.plans.analysis import analyze_url_list
 from termloom.sources import crawl, pages, urls
@@ -162,3 +163,59 @@ def test_page_scan_reads_needed_columns_only(spark):
     plan = docs.select("ord", "text").where(F.col("text").startswith("A"))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     assert "StringStartsWith(text,A)" in plan
+
+
+def test_filter_keeps_all_members_and_few_others(spark):
+    rows = spark.range(40_000).select(F.concat(F.lit("u"), "id").alias("url"), (F.col("id") % 7).alias("k"), "id")
+    members = rows.where("id % 10 = 3").select("url", "k")
+    kept = {r.id for r in keep_possible_members(rows, members, ["url", "k"], bits=20).collect()}
+    assert {i for i in range(40_000) if i % 10 == 3} <= kept and len(kept) < 4000 + 400
+    # Over-full or tiny filters let more pass, and never lose a member.
+    assert {r.id for r in keep_possible_members(rows, members, ["url", "k"], bits=15).collect()} >= {3, 13, 39_993}
+    assert keep_possible_members(rows, members.limit(0), ["url", "k"]).count() == 0
+    odd = spark.createDataFrame([("a", 1), (None, 2), ("", None)], "url string, k int")
+    assert keep_possible_members(odd, odd, ["url", "k"]).count() == 3
+
+
+def test_only_listed_pages_move(spark, tmp_path):
+    rows = [(i, f"http://{i % 500}", f"<p>{i}</p>") for i in range(1000)]
+    spark.createDataFrame(rows, "ord bigint, url string, html string").write.parquet(str(tmp_path / "pages"))
+    crawled = spark.read.parquet(str(tmp_path / "pages"))
+    wanted = spark.createDataFrame([(0, "http://7"), (1, "http://7"), (2, "http://9"), (3, "http://x"), (4, None)], "ord bigint, url string")
+    found = pages.listed_pages(wanted, crawled)
+    assert sorted((r.ord, r.url, r.html) for r in found.collect()) == [
+        (507, "http://7", "<p>507</p>"), (509, "http://9", "<p>509</p>"),
+    ]
+    # In the plan the bitmaps lie between the scan that reads the HTML and the first exchange of it.
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "html" in line)
+    above = [line for line in lines[:scan] if "html#" in line]
+    assert "BroadcastHashJoin" in " ".join(lines[max(0, scan - 8):scan])
+    exchanged = [line for line in above if "Exchange hashpartitioning" in line]
+    assert not exchanged or "_order" in exchanged[-1]
+    # Without ``ord`` the hash of a page decides.
+    assert pages.listed_pages(wanted, crawled.drop("ord")).count() == 2
+
+
+def test_first_urls_of_any_order(spark):
+    import random
+
+    draw = random.Random(4)
+    for ords in (
+        list(range(500)), [draw.randrange(-(2**63), 2**63) for _ in range(500)], [5] * 20 + list(range(6, 90)), [3], [],
+        [-(2**63), 2**63 - 1, 0, 1, -1], list(range(0, 10**15, 10**13)),
+    ):
+        df = spark.createDataFrame([(o, f"http://{i}") for i, o in enumerate(ords)], "ord bigint, url string").repartition(3)
+        expected = sorted((o, f"http://{i}") for i, o in enumerate(ords))
+        for most in (7, 20, 499):
+            got = [tuple(r) for r in urls.first_urls(df, Params(max_urls=most)).collect()]
+            assert sorted(got) == expected[:most], (ords[:3], most)
+    assert urls.first_urls(df, Params(max_urls=0)).count() == len(ords)
+
+
+def test_first_urls_sort_and_store_nothing(spark, tmp_path):
+    spark.range(10_000).selectExpr("id AS ord", "concat('http://', id) AS url").write.parquet(str(tmp_path / "u"))
+    found = urls.first_urls(spark.read.parquet(str(tmp_path / "u")), Params(max_urls=100))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "LessThanOrEqual(ord,99)" in plan
+    assert found.count() == 100
