@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.joins import join_on, join_to_groups
 from termloom.functions.ranking import number_slices, sort_into_slices
+from termloom.functions.text import let
 from termloom.operators.keywords import keywords
 from termloom.vocab import FALLBACK_TOPIC, TOPIC_SEEDS
 
@@ -73,25 +74,48 @@ def assign_topics(keyword_rows: DataFrame, taxonomy: Taxonomy = DEFAULT_TAXONOMY
     )
 
 
+def _substrings(keyword: Column, lengths: Column) -> Column:
+    """Every part of the keyword that has one of the lengths."""
+    fitting = F.filter(lengths, lambda n: n <= F.length(keyword))
+    parts = F.transform(
+        fitting,
+        lambda n: F.transform(F.sequence(F.lit(1), F.length(keyword) - n + 1), lambda i: F.substring(keyword, i, n)),
+    )
+    return F.flatten(parts)
+
+
+def _word_runs(keyword: Column, lengths: Column) -> Column:
+    """Every run of whole words of the keyword that has one of the lengths, in words."""
+    return let(
+        F.split(keyword, " "),
+        lambda words: F.flatten(
+            F.transform(
+                F.filter(lengths, lambda n: n <= F.size(words)),
+                lambda n: F.transform(
+                    F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")
+                ),
+            )
+        ),
+    )
+
+
 def assign_topics_by_table(
-    keyword_rows: DataFrame, seeds: DataFrame, fallback: str = FALLBACK_TOPIC
+    keyword_rows: DataFrame, seeds: DataFrame, fallback: str = FALLBACK_TOPIC, match: str = "substring"
 ) -> DataFrame:
-    """``assign_topics`` with a table ``seeds(topic_order, topic, seed)`` of any size, by substring.
+    """``assign_topics`` with a table ``seeds(topic_order, topic, seed)`` of any size.
 
-    Distinct keywords, which are short, are cut into all their substrings and meet the seeds in an
-    equi-join; the first topic in order is kept. Null seeds match nothing.
+    Distinct keywords, which are short, are cut into parts that meet the seeds in one equi-join; the first
+    topic in order is kept. Only parts as long as some seed are made: substrings by their characters, or
+    for ``match="word"`` runs of whole words by their words. Null seeds match nothing.
     """
+    if match not in ("substring", "word"):
+        raise ValueError("match is 'substring' or 'word'")
+    cut, length = (_substrings, F.length("seed")) if match == "substring" else (_word_runs, F.size(F.split("seed", " ")))
+    lengths = seeds.where(F.col("seed").isNotNull()).agg(F.collect_set(length)).scalar()
     names = keyword_rows.select("keyword").where(F.col("keyword").isNotNull()).distinct()
-    starts = F.sequence(F.lit(1), F.length("keyword"))
-    cut = F.transform(
-        starts,
-        lambda i: F.transform(
-            F.sequence(F.lit(1), F.length("keyword") - i + 1),
-            lambda n: F.substring(F.lower("keyword"), i, n),
-        ),
-    )
-    parts = names.where(F.length("keyword") > 0).select(
-        "keyword", F.explode(F.array_distinct(F.flatten(cut))).alias("seed")
+    lower = names.select("keyword", F.lower("keyword").alias("_lower"), lengths.alias("_lengths"))
+    parts = lower.select(
+        "keyword", F.explode(F.array_distinct(cut(F.col("_lower"), F.col("_lengths")))).alias("seed")
     )
     first = (
         parts.join(seeds.select("topic_order", "topic", "seed"), "seed")

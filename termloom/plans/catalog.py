@@ -202,6 +202,18 @@ def keyword_topics_by_table(spark, sf):
     )
 
 
+def keyword_topics_by_words(spark, sf):
+    """A taxonomy with a seed for two thirds of all words of the documents, by whole words."""
+    words = kw.page_words(_good(spark, sf), params=BASE).select(F.col("token").alias("seed")).distinct()
+    letters = F.length("seed")
+    seeds = words.where(letters % 3 != 0).select(
+        letters.alias("topic_order"), F.concat(F.lit("letters "), letters.cast("string")).alias("topic"), "seed"
+    )
+    return topics.assign_topics_by_table(keywords_top50(spark, sf), seeds, match="word").select(
+        "ord", "url", "keyword", "topic_order", "topic", "rank"
+    )
+
+
 def page_text_odd(spark, sf):
     """The pages with fragments before the article that a careless reading loses or keeps in error."""
     before = F.lit(
@@ -404,7 +416,8 @@ QUERIES: dict[str, Query] = {
         gap_prompt_by_lang, parse_responses, response_errors, gap_common, gap_underutilized,
         gap_underutilized_by_lang, gap_long_tail, gap_semantic, gap_semantic_by_lang, gap_missing,
         gap_report, url_report, common_report, gap_recommendations, url_filter_mixed, content_gate_odd,
-        keywords_odd, keywords_by_rows, keywords_by_chunks, keywords_large_lexicon, keyword_topics_by_table, page_text_odd,
+        keywords_odd, keywords_by_rows, keywords_by_chunks, keywords_large_lexicon, keyword_topics_by_table,
+        keyword_topics_by_words, page_text_odd,
     )
 }
 

@@ -158,6 +158,42 @@ def test_topics_by_table_equal_topics_by_plan(spark):
     assert sorted(one) == sorted(two)
 
 
+def test_table_form_equals_plan_form_on_random_seeds(spark):
+    draw = random.Random(9)
+    words = ["rent", "rents", "visa", "fee", "tax", "a", "ta", "low", "x y"]
+    names = {" ".join(draw.choices(words, k=draw.randint(1, 4))) for _ in range(120)} | {"Rent Visa", "low  rent", ""}
+    rows = spark.createDataFrame([(n,) for n in sorted(names)] * 2 + [(None,)], "keyword string")
+    for match in ("substring", "word"):
+        for seed_sets in ([["rent"], ["visa fee", "ta"]], [["tax low", "x"], [], ["a", "rents", "nt vi"]], [["y rent x"], [""]]):
+            plan = topics.Taxonomy.of({f"T{i}": s for i, s in enumerate(seed_sets)}, match=match)
+            listed = [(i, f"T{i - 1}", seed) for i, s in enumerate(seed_sets, 1) for seed in s] + [(len(seed_sets), "T9", None)]
+            table = spark.createDataFrame(listed, "topic_order int, topic string, seed string")
+            one = topics.assign_topics(rows, plan).where("keyword is not null").collect()
+            two = topics.assign_topics_by_table(rows, table, match=match).where("keyword is not null").collect()
+            assert sorted(map(tuple, one)) == sorted(map(tuple, two)), (match, seed_sets)
+    with pytest.raises(ValueError):
+        topics.assign_topics_by_table(rows, table, match="prefix")
+
+
+def test_many_seeds_take_one_join_on_the_seed(spark):
+    seeds = spark.range(100_000).selectExpr(
+        "cast(id % 500 + 1 AS int) AS topic_order", "concat('T', id % 500 + 1) AS topic", "concat('seed', id) AS seed"
+    )
+    rows = spark.range(3000).selectExpr("concat('seed', id * 40, ' other') AS keyword")
+    for match in ("substring", "word"):
+        found = topics.assign_topics_by_table(rows, seeds, match=match)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join Inner, (seed#") == 1 and "Cartesian" not in plan
+        got = {r.keyword: r.topic_order for r in found.collect()}
+        assert len(got) == 3000
+        for name, order in got.items():
+            number = name.split()[0][4:]
+            # By substring, a seed with fewer digits lies inside as well.
+            inside = [number] if match == "word" else [number[:k] for k in range(1, len(number) + 1)]
+            assert order == min(int(n) % 500 + 1 for n in inside if int(n) < 100_000 and str(int(n)) == n) if any(
+                int(n) < 100_000 for n in inside) else order == 501
+
+
 def test_seeds_as_whole_words(spark):
     df = frame(spark, [page(1, [(w, 9) for w in ("current", "rent", "rent cost", "low rent", "rents")])])
     taxonomy = topics.Taxonomy.of({"A": ["rent"]}, match="word")
