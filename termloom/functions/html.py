@@ -35,7 +35,9 @@ _VOID = frozenset(
     "area base basefont bgsound br col embed frame hr img input keygen link meta param source "
     "track wbr".split()
 )
-_RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
+# Raw text elements and what ends them.
+_RAW_NAMES = "script style xmp iframe noembed noframes noscript textarea title".split()
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW_NAMES}
 _DECODED_RAW = frozenset(("textarea", "title"))
 _HEAD_ONLY = frozenset(
     "base basefont bgsound link meta noframes noscript script style template title".split()
@@ -55,8 +57,8 @@ _SPECIAL = _ENDS_P | frozenset(
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 # Drawings and formulas: inside, a slash closes a tag and nothing is raw text. The second group holds
 # their elements with HTML inside, the third the HTML elements that end them.
-_FOREIGN = ("svg", "math")
-_HTML_INSIDE = ("foreignobject", "desc", "title", "annotation-xml")
+_FOREIGN = frozenset(("svg", "math"))
+_HTML_INSIDE = frozenset(("foreignobject", "desc", "title", "annotation-xml"))
 _ENDS_FOREIGN = frozenset(
     "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li "
     "listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
@@ -79,8 +81,9 @@ _IMPLIED_ENDS["th"] = _IMPLIED_ENDS["td"]
 _IMPLIED_ENDS["thead"] = _IMPLIED_ENDS["tfoot"] = _IMPLIED_ENDS["tbody"]
 
 _LIST_BARRIER, _BUTTON_BARRIER = _BARRIER | {"ol", "ul"}, _BARRIER | {"button"}
+_END_BARRIERS = {"li": _LIST_BARRIER, "p": _BUTTON_BARRIER}
 # Every set of stoppers in use, and those that an element belongs to.
-_STOPPER_SETS = {_BARRIER, _LIST_BARRIER, _BUTTON_BARRIER, _SPECIAL, frozenset()} | {
+_STOPPER_SETS = {_BARRIER, _LIST_BARRIER, _BUTTON_BARRIER, _SPECIAL, _FOREIGN, _HTML_INSIDE, frozenset()} | {
     stoppers for _, stoppers in _IMPLIED_ENDS.values()
 }
 _STOPS = {
@@ -107,11 +110,7 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-def _is_boilerplate(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in _TAGS:
-        return True
-    if not attrs:
-        return False
+def _is_boilerplate(attrs: dict[str, str]) -> bool:
     classes, ident = attrs.get("class", ""), attrs.get("id", "")
     return (
         any(attrs.get(name) == value for name, value in vocab.BOILERPLATE_ATTRIBUTES)
@@ -123,46 +122,45 @@ def _is_boilerplate(tag: str, attrs: dict[str, str]) -> bool:
 
 
 def _main_places(tag: str, attrs: dict[str, str]) -> list[int]:
-    classes = attrs.get("class", "").split() if attrs else ()
-    have = {"tag": (tag,), "class": classes}
-    if attrs:
-        have["id"], have["role"] = (attrs.get("id"),), (attrs.get("role"),)
-    return [i for i, (kind, name) in enumerate(vocab.MAIN_PLACES) if name in have.get(kind, ())]
+    have = {"tag": (tag,), "class": attrs.get("class", "").split(), "id": (attrs.get("id"),), "role": (attrs.get("role"),)}
+    return [i for i, (kind, name) in enumerate(vocab.MAIN_PLACES) if name in have[kind]]
+
+
+# The places of elements without attributes.
+_TAG_PLACES = {name: _main_places(name, {}) for kind, name in vocab.MAIN_PLACES if kind == "tag"}
 
 
 class _OpenElements:
     """The open elements, the text kept so far and the text span of every main place seen.
 
-    The places of each name and of each set of stoppers are kept, so that ending an element takes no
-    walk over the open ones. An element that ends before what it holds stays in the stack as None.
+    The places of each name, of each set of stoppers and of drawings are kept, so that no tag takes a walk
+    over the open ones. An element that ends before what it holds stays in the stack as None.
     """
 
     def __init__(self) -> None:
         self.stack: list[tuple[str, bool, list[list[int]]] | None] = []
         self.places: dict[str, list[int]] = {}
         self.stops: dict[frozenset[str], list[int]] = {stoppers: [] for stoppers in _STOPPER_SETS}
+        self.drawings, self.html_inside = self.stops[_FOREIGN], self.stops[_HTML_INSIDE]
         self.removed = 0
         self.pieces: list[str] = []
         self.spans: dict[int, list[list[int]]] = {}
 
     def open(self, tag: str, attrs: dict[str, str]) -> None:
-        gone = _is_boilerplate(tag, attrs)
-        self.removed += gone
-        begun = []
-        if not self.removed:
-            for place in _main_places(tag, attrs):
+        at, begun = len(self.stack), []
+        gone = tag in _TAGS or (bool(attrs) and _is_boilerplate(attrs))
+        if gone:
+            self.removed += 1
+        elif not self.removed:
+            for place in _main_places(tag, attrs) if attrs else _TAG_PLACES.get(tag, ()):
                 span = [len(self.pieces), -1]
                 self.spans.setdefault(place, []).append(span)
                 begun.append(span)
-        self.places.setdefault(tag, []).append(len(self.stack))
+        self.places.setdefault(tag, []).append(at)
         for stoppers in _STOPS.get(tag, ()):
-            self.stops[stoppers].append(len(self.stack))
+            self.stops[stoppers].append(at)
         self.stack.append((tag, gone, begun))
 
-    def last(self, names: tuple[str, ...]) -> int:
-        """Place of the nearest open element called one of ``names``, or -1."""
-        return max((places[-1] for n in names if (places := self.places.get(n))), default=-1)
-
     def drop(self, at: int) -> None:
         """End the nearest open element of its name."""
         tag, gone, begun = self.stack[at]
@@ -176,9 +174,12 @@ class _OpenElements:
 
     def close(self, names: tuple[str, ...], stoppers: frozenset[str]) -> None:
         """End the nearest open element called one of ``names``, with all inside it."""
-        at = self.last(names)
-        stops = self.stops[stoppers]
-        if at <= 0 or (stops and stops[-1] > at):
+        at = 0
+        for name in names:
+            places = self.places.get(name)
+            if places and places[-1] > at:
+                at = places[-1]
+        if not at or ((stops := self.stops[stoppers]) and stops[-1] > at):
             return
         if self.stack[at][0] in _FORMATTING and not self.in_foreign():
             self.drop(at)  # what it holds stays open
@@ -194,19 +195,21 @@ class _OpenElements:
             self.stack.pop()
 
     def in_foreign(self) -> bool:
-        return self.last(_FOREIGN) > self.last(_HTML_INSIDE)
+        inside = self.html_inside
+        return bool(self.drawings) and not (inside and inside[-1] > self.drawings[-1])
 
     def start_tag(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
         """``closed``: the tag ends in a slash, which only drawings and formulas heed."""
-        while self.in_foreign() and tag in _ENDS_FOREIGN:
-            self.close_to(self.last(_FOREIGN))
-        if self.in_foreign() or tag in _FOREIGN:
-            if not closed:
-                self.open(tag, attrs)
-            return
+        if self.drawings or tag in _FOREIGN:
+            while self.in_foreign() and tag in _ENDS_FOREIGN:
+                self.close_to(self.drawings[-1])
+            if self.in_foreign() or tag in _FOREIGN:
+                if not closed:
+                    self.open(tag, attrs)
+                return
         if tag == "form" and self.places.get("form"):
             return  # forms do not nest
-        if tag in _ENDS_P:
+        if tag in _ENDS_P and self.places.get("p"):
             self.close(*_IMPLIED_ENDS["p"])
         if tag in _IMPLIED_ENDS and tag != "p":
             self.close(*_IMPLIED_ENDS[tag])
@@ -215,13 +218,13 @@ class _OpenElements:
 
     def end_tag(self, tag: str) -> None:
         if self.in_foreign() and self.places.get(tag):
-            if self.places[tag][-1] >= self.last(_FOREIGN):
+            if self.places[tag][-1] >= self.drawings[-1]:
                 self.close_to(self.places[tag][-1])
                 return
         if tag in _HEADINGS:
             self.close(_HEADINGS, _BARRIER)
         elif tag in _SPECIAL:
-            self.close((tag,), {"li": _LIST_BARRIER, "p": _BUTTON_BARRIER}.get(tag, _BARRIER))
+            self.close((tag,), _END_BARRIERS.get(tag, _BARRIER))
         elif tag in _FORMATTING:
             self.close((tag,), _BARRIER)
         elif tag in _FOREIGN:
@@ -230,7 +233,7 @@ class _OpenElements:
             self.close((tag,), _SPECIAL)
 
     def text(self, raw: str) -> None:
-        if raw and not self.removed:
+        if not self.removed:
             self.pieces.append(unescape(raw) if "&" in raw else raw)
 
     def place_text(self, place: int) -> str:
@@ -245,7 +248,7 @@ def main_text(html: str, min_main_chars: int = 200) -> tuple[str, str]:
     page = _OpenElements()
     page.open("#root", {})
     in_body = False
-    at, size = 0, len(html)
+    at, size, search = 0, len(html), _TAG.search
 
     def enter_body(attrs: dict[str, str]) -> None:
         nonlocal in_body
@@ -254,26 +257,27 @@ def main_text(html: str, min_main_chars: int = 200) -> tuple[str, str]:
             page.open("body", attrs)
 
     while at < size:
-        match = _TAG.search(html, at)
-        text = html[at : match.start() if match else size]
-        if text:
+        match = search(html, at)
+        begin, end = match.span() if match else (size, size)
+        if begin > at and not (in_body and page.removed):
+            text = html[at:begin]
             if not in_body and text.strip(" \t\r\n\f"):
                 enter_body({})
                 text = text.lstrip(" \t\r\n\f")
             if in_body:
                 page.text(text)
+        at = end
         if not match:
             break
-        at = match.end()
-        name = match["name"]
+        close, name, source = match.groups()
         if name is None:
             continue
-        tag, source = name.lower(), match["attrs"]
-        if match["close"]:
+        tag = name.lower()
+        if close:
             if in_body and tag not in ("html", "body", "head"):
                 page.end_tag(tag)
             continue
-        attrs = _attributes(source) if _USED_ATTRIBUTE.search(source) else {}
+        attrs = _attributes(source) if source and _USED_ATTRIBUTE.search(source) else {}
         if tag == "body":
             enter_body(attrs)
         elif tag == "html":
@@ -282,18 +286,17 @@ def main_text(html: str, min_main_chars: int = 200) -> tuple[str, str]:
         elif tag != "head":
             if not in_body and tag not in _HEAD_ONLY:
                 enter_body({})
-            closed = source.endswith("/") and not _VALUE_ENDS_IN_SLASH.search(source)
-            foreign = in_body and page.in_foreign()
+            closed = bool(source) and source[-1] == "/" and not _VALUE_ENDS_IN_SLASH.search(source)
+            raw = tag in _RAW and not (in_body and page.in_foreign())
             if in_body:
                 page.start_tag(tag, attrs, closed)
-            if tag in _RAW and not foreign:
-                end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
-                inner = html[at : end.start() if end else size]
+            if raw:
+                found = _RAW[tag].search(html, at)
+                begin, at = at, found.start() if found else size
                 if in_body and tag in _DECODED_RAW:
-                    page.text(inner)
-                elif in_body and inner and not page.removed:
-                    page.pieces.append(inner)
-                at = end.start() if end else size
+                    page.text(html[begin:at])
+                elif in_body and not page.removed:
+                    page.pieces.append(html[begin:at])
 
     for place, (_, place_name) in enumerate(vocab.MAIN_PLACES):
         found = page.place_text(place)
