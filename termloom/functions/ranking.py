@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,26 +27,42 @@ def sort_into_slices(df: DataFrame, group: Sequence[str], order: Sequence[Column
 
 
 def number_slices(
-    sliced: DataFrame, group: Sequence[str], order: Sequence[Column], name: str, kind: str = "int"
+    sliced: DataFrame,
+    group: Sequence[str],
+    order: Sequence[Column],
+    name: str,
+    kind: str = "int",
+    sums: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Replace ``_slice`` by ``name`` = 1, 2, … per group.
+    """Replace ``_slice`` by ``name`` = 1, 2, … per group, and add running sums.
 
-    A slice is numbered on its own and shifted by the rows of its group in earlier slices. Only the
+    For each ``new: value`` of ``sums`` the column ``new`` is the sum of ``value`` over the earlier rows of the
+    group. A slice is numbered on its own and shifted by the rows of its group in earlier slices. Only the
     first group of a slice can reach back, so there are at most as many shifts as slices: that
     bounds the broadcast, and with it the running sums.
     """
+    sums = sums or {}
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
         sliced.groupBy(*group, "_slice")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*group, "_slice", F.sum("_rows").over(earlier).alias("_shift"))
+        .agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(value).alias(f"_sum_{new}") for new, value in sums.items()])
+        .select(
+            *group,
+            "_slice",
+            F.sum("_rows").over(earlier).alias("_shift"),
+            *[F.sum(f"_sum_{new}").over(earlier).alias(f"_shift_{new}") for new in sums],
+        )
         .where(F.col("_shift") > 0)
     )
     within = Window.partitionBy(*group, "_slice").orderBy(*order)
-    placed = sliced.withColumn("_place", F.row_number().over(within))
-    shifted = join_on(placed, F.broadcast(shifts), [*group, "_slice"])
-    number = F.col("_place") + F.coalesce("_shift", F.lit(0))
-    return shifted.withColumn(name, number.cast(kind)).drop("_slice", "_place", "_shift")
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    places = {"_place": F.row_number().over(within)} | {new: F.sum(value).over(before) for new, value in sums.items()}
+    shifted = join_on(sliced.withColumns(places), F.broadcast(shifts), [*group, "_slice"])
+    zero = F.lit(0)
+    done = {name: (F.col("_place") + F.coalesce("_shift", zero)).cast(kind)} | {
+        new: F.coalesce(new, zero) + F.coalesce(f"_shift_{new}", zero) for new in sums
+    }
+    return shifted.withColumns(done).drop("_slice", "_place", "_shift", *[f"_shift_{new}" for new in sums])
 
 
 def with_rank(

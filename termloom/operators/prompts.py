@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.functions.ranking import with_rank
+from termloom.functions.joins import join_to_groups
+from termloom.functions.ranking import number_slices, sort_into_slices, with_rank
 from termloom.functions.text import WHITE_SPACE
 from termloom.operators.content import succeeded
 from termloom.operators.topics import DEFAULT_TAXONOMY, Taxonomy, page_topics
@@ -99,27 +100,58 @@ def gap_prompts(
 ) -> DataFrame:
     """``(…group, prompt_no, n_pages, prompt)``.
 
-    A group gets one prompt, or several of ``pages_per_prompt`` pages each if it is larger: every
-    page is in exactly one, and no row grows with the group.
+    A group gets one prompt, or several if it has more than ``pages_per_prompt`` pages or
+    ``prompt_chars`` characters: every page is in exactly one, in page order, and no row grows with the group.
     """
     before, after = prompt_parts(template, domain)
-    number = F.floor((F.col("page_no") - 1) / params.pages_per_prompt) + 1
+    by_pages = F.floor((F.col("page_no") - 1) / params.pages_per_prompt) + 1
+    numbered = blocks.withColumn("prompt_no", by_pages.cast("bigint"))
+    cut = ["prompt_no"]
+    if params.prompt_chars is not None:
+        numbered = _cut_by_size(numbered, group_cols, params.prompt_chars)
+        cut.append("_stretch")
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "block")))
-    return (
-        blocks.withColumn("prompt_no", number.cast("bigint"))
-        .groupBy(*group_cols, "prompt_no")
-        .agg(ordered.alias("b"))
-        .select(
-            *group_cols,
-            "prompt_no",
-            F.size("b").alias("n_pages"),
-            F.concat(
-                F.lit(before),
-                F.array_join(F.transform("b", lambda b: b["block"]), "\n\n"),
-                F.lit(after),
-            ).alias("prompt"),
-        )
+    packed = numbered.groupBy(*group_cols, *cut).agg(ordered.alias("b"))
+    if params.prompt_chars is not None:
+        order = [F.asc(name) for name in cut]
+        packed = with_rank(packed, list(group_cols), order, "_number", "bigint").withColumn("prompt_no", F.col("_number"))
+    return packed.select(
+        *group_cols,
+        "prompt_no",
+        F.size("b").alias("n_pages"),
+        F.concat(
+            F.lit(before),
+            F.array_join(F.transform("b", lambda b: b["block"]), BETWEEN),
+            F.lit(after),
+        ).alias("prompt"),
+    )
+
+
+BETWEEN = "\n\n"
+
+
+def _cut_by_size(blocks: DataFrame, group_cols: Sequence[str], most: int) -> DataFrame:
+    """Add ``_stretch``, non-decreasing in page order: pages of equal stretch have at most ``most`` characters.
+
+    A running sum says where each page starts; pages that start within the same stretch go together. It is
+    shorter than ``most`` by the longest page of its group, which may start at its very end, but half of
+    ``most`` at least. A page longer than that half counts as whole stretches, so that it stays alone.
+    """
+    group = list(group_cols)
+    half = max(most // 2, 1)
+    length = F.length("block") + len(BETWEEN)
+    sliced = sort_into_slices(blocks.withColumn("_chars", length.cast("bigint")), group, [F.asc("page_no")])
+    longest = sliced.where(F.col("_chars") <= half).groupBy(*group).agg(F.max("_chars").alias("_longest"))
+    sized = join_to_groups(sliced, longest, group) if group else sliced.withColumn("_longest", longest.scalar())
+    room = F.greatest(F.lit(most) - F.coalesce("_longest", F.lit(half)), F.lit(1))
+    is_long = F.col("_chars") > half
+    # A long page starts and ends a stretch of its own.
+    padded = sized.withColumn("_room", room).withColumns(
+        {"_long": F.when(is_long, 1).otherwise(0), "_short": F.when(is_long, 0).otherwise(F.col("_chars"))}
     )
+    starts = number_slices(padded, group, [F.asc("page_no")], "_at", "bigint", {"_before": "_short", "_longs": "_long"})
+    stretch = F.struct(F.col("_longs"), F.col("_long"), F.floor(F.col("_before") / F.col("_room")))
+    return starts.select(*blocks.columns, stretch.alias("_stretch"))
 
 
 # Signs of an exhausted quota in an error message.

@@ -34,6 +34,8 @@ class Params:
     gap_items: int = 15
     # A prompt shows at most this many pages; a larger group gets several prompts, and no page is lost.
     pages_per_prompt: int = 1_000
+    # The pages of a prompt have at most this many characters, unless one page alone has more; None: no limit.
+    prompt_chars: int | None = None
 
     # Physical choices: they steer the plan and never change a result.
     # Larger pages are cut into chunks and scored as rows; None scores all pages in their row.
@@ -49,6 +51,9 @@ class Params:
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
 
+        if self.prompt_chars is not None and self.prompt_chars < 1:
+            raise ValueError("prompt_chars must be at least 1, or None")
+
     @property
     def ratio(self) -> Decimal:
         """The common ratio as an exact decimal, so that ceil() never sees a binary fraction."""

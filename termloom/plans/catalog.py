@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.functions.charset import decoded
 from termloom.operators import aggregate, content, gap, prompts, topics
 from termloom.operators import keywords as kw
 from termloom.params import Params
@@ -298,6 +299,34 @@ def page_text(spark, sf):
     return content.gate_content(texts, BASE).select("ord", "url", "place", "n_chars", "error", "text")
 
 
+def page_text_encodings(spark, sf):
+    """The pages as bytes of six kinds: declared or not, with byte order marks that outdo a declaration, or plain."""
+    kind = F.col("ord") % 6
+    undeclared = F.regexp_replace("html", '<meta charset="utf-8">', "")
+    latin = F.regexp_replace("html", 'charset="utf-8"', "charset=Latin1")
+    content_bytes = (
+        F.when(kind == 0, F.encode("html", "UTF-8"))
+        .when(kind == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("html", "UTF-16LE")))
+        .when(kind == 2, F.concat(F.unhex(F.lit("FEFF")), F.encode("html", "UTF-16BE")))
+        .when(kind == 3, F.encode(latin, "ISO-8859-1"))
+        .when(kind == 4, F.encode(undeclared, "ISO-8859-1"))
+        .otherwise(F.encode(undeclared, "UTF-8"))
+    )
+    read = pages(spark, sf).select("ord", "url", decoded(content_bytes).alias("html"))
+    texts = content.extract_text(read, BASE)
+    return content.gate_content(texts, BASE).select("ord", "url", "place", "n_chars", "error", "text")
+
+
+def page_failures(spark, sf):
+    """A fifth of the pages hold a character reference of more digits than the parser reads."""
+    digits = F.concat(F.lit("<article>&#"), F.repeat(F.lit("9"), 5000), F.lit(";"))
+    broken = F.when(F.col("ord") % 5 == 0, F.regexp_replace("html", "<article>", digits)).otherwise(F.col("html"))
+    read = pages(spark, sf).withColumn("html", broken)
+    found = kw.analyze_pages(content.extract_text(read, BASE), params=BASE)
+    reason = F.substring_index("error", " (", 1)
+    return found.select("ord", "url", "place", "n_chars", reason.alias("error"), F.size("keywords").alias("n_keywords"))
+
+
 def page_keywords(spark, sf):
     return kw.extract_keywords(content.extract_text(pages(spark, sf), BASE), params=BASE)
 
@@ -316,6 +345,12 @@ def gap_prompt_by_lang(spark, sf):
     return prompts.gap_prompts(blocks, ["lang"], params=small)
 
 
+def gap_prompt_by_size(spark, sf):
+    small = replace(BASE, prompt_chars=20_000, pages_per_prompt=50)
+    blocks = prompts.page_blocks(stored_analysis(spark, sf), TAXONOMY, ["lang"], small)
+    return prompts.gap_prompts(blocks, ["lang"], params=small)
+
+
 def model_responses(spark, sf):
     """Answers of every shape, made from the documents' own columns."""
     kind = F.col("ord") % 7
@@ -417,7 +452,7 @@ QUERIES: dict[str, Query] = {
         gap_underutilized_by_lang, gap_long_tail, gap_semantic, gap_semantic_by_lang, gap_missing,
         gap_report, url_report, common_report, gap_recommendations, url_filter_mixed, content_gate_odd,
         keywords_odd, keywords_by_rows, keywords_by_chunks, keywords_large_lexicon, keyword_topics_by_table,
-        keyword_topics_by_words, page_text_odd,
+        keyword_topics_by_words, page_text_odd, page_text_encodings, page_failures, gap_prompt_by_size,
     )
 }
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.operators.aggregate import common_lists
@@ -102,12 +104,65 @@ def write_gap(gap: DataFrame, out_dir: str, group_cols: Sequence[str] = ()) -> N
     write_json(per_page.orderBy(*group_cols, "ord", "rank"), f"{out_dir}/ranking_recommendations")
 
 
+MANIFEST = "current.json"
+
+
+def _place(spark: SparkSession, path: str):
+    """A path and its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def report_folder(spark: SparkSession, out_dir: str) -> str | None:
+    """The folder of the reports that stand in ``out_dir``, as the manifest says; None before the first run."""
+    manifest, files = _place(spark, f"{out_dir}/{MANIFEST}")
+    if not files.exists(manifest):
+        return None
+    text = spark.read.text(str(manifest.toString()), wholetext=True).first().value
+    return f"{out_dir}/{json.loads(text)['run']}"
+
+
+def _commit(spark: SparkSession, out_dir: str, run: str) -> None:
+    """Let the manifest name ``run``: one small file, written aside and renamed over the old one."""
+    jvm = spark._jvm
+    target, files = _place(spark, f"{out_dir}/{MANIFEST}")
+    written, _ = _place(spark, f"{out_dir}/_{uuid.uuid4().hex}.json")
+    out = files.create(written, True)
+    out.write(bytearray(json.dumps({"run": run}).encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(files.makeQualified(written), files.makeQualified(target), overwrite)
+
+
 def write_reports(
     tables: Mapping[str, DataFrame], out_dir: str, group_cols: Sequence[str] = ()
-) -> None:
-    """Write every report of a run (see ``plans.analysis.run_analysis``)."""
-    write_url_analysis(tables["url_report"], out_dir)
-    write_common_keywords(
-        tables["common_report"], tables["merged_topics"], tables["keyword_totals"], out_dir, group_cols
-    )
-    write_gap(tables["gap"], out_dir, group_cols)
+) -> str:
+    """Write every report of a run (see ``plans.analysis.run_analysis``) and return their folder.
+
+    The reports appear together: they are written to a folder of their own, and the manifest of ``out_dir``
+    names it once all are there (see ``report_folder``). A run that fails leaves the old reports as they
+    were, and removes its own. The reports of the run before the last are removed.
+    """
+    spark = tables["gap"].sparkSession
+    run = f"runs/{uuid.uuid4().hex}"
+    folder, before = f"{out_dir}/{run}", report_folder(spark, out_dir)
+
+    def remove(path: str) -> None:
+        place, files = _place(spark, path)
+        files.delete(place, True)
+
+    try:
+        write_url_analysis(tables["url_report"], folder)
+        write_common_keywords(
+            tables["common_report"], tables["merged_topics"], tables["keyword_totals"], folder, group_cols
+        )
+        write_gap(tables["gap"], folder, group_cols)
+        _commit(spark, out_dir, run)
+    except BaseException:
+        remove(folder)
+        raise
+    if before:
+        remove(before)
+    return folder

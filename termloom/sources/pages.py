@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.functions.charset import decoded
 from termloom.functions.membership import keep_possible_members
 from termloom.functions.partitioning import spread_scan
 from termloom.sources.crawl import NO_RESPONSE_ERROR
@@ -17,9 +18,12 @@ def read_page_table(spark: SparkSession, path: str, key: str = "page_id") -> Dat
 
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(url, html)`` from a folder with one page per file; the file path stands for the URL."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
+    """``(url, html)`` from a folder with one page per file; the file path stands for the URL.
+
+    Files may have any encoding of the web (see ``decode_page``). Spark passes over empty files.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("_metadata.file_path").alias("url"), decoded(F.col("content")).alias("html"))
 
 
 def read_documents(spark: SparkSession, path: str, *extra: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import json
+import random
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,8 +104,11 @@ def test_run_and_written_reports(spark, tmp_path):
     assert {r.error for r in tables["page_status"].collect()} == {None, "Insufficient content extracted"}
 
     out = tmp_path / "out"
+    top = out
     for _ in range(2):  # writing again replaces
-        reports.write_reports(tables, str(out))
+        reports.write_reports(tables, str(top))
+    out = Path(reports.report_folder(spark, str(top)))
+    assert [f.name for f in (top / "runs").iterdir()] == [out.name]
     per_url = lines(out / "url_analysis")
     assert [r["url"] for r in per_url] == ["http://a", "http://b", "http://d"]
     assert list(per_url[0]) == ["url", "keyword_frequency_map", "topic_clusters"]
@@ -124,6 +129,58 @@ def test_run_and_written_reports(spark, tmp_path):
     assert tables["prompts"].first().n_pages == 3
 
 
+def test_a_failed_run_leaves_the_old_reports(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame(HTML, "ord bigint, url string, html string")
+    out = str(tmp_path / "out")
+    assert reports.report_folder(spark, out) is None
+    tables = run_analysis(df)
+    first = reports.write_reports(tables, out)
+    held = {f: f.read_bytes() for f in Path(first).rglob("*.json")}
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    other = run_analysis(df.where("ord < 2"))
+    for name in ("write_common_keywords", "write_gap", "_commit"):
+        with monkeypatch.context() as patch:
+            patch.setattr(reports, name, fails)
+            with pytest.raises(RuntimeError):
+                reports.write_reports(other, out)
+        assert reports.report_folder(spark, out) == first
+        assert {f: f.read_bytes() for f in Path(first).rglob("*.json")} == held
+        assert len(list((tmp_path / "out" / "runs").iterdir())) == 1
+    second = reports.write_reports(other, out)
+    assert reports.report_folder(spark, out) == second != first and not Path(first).exists()
+    assert len(lines(Path(second) / "url_analysis")) == 2
+    assert sorted(f.name for f in (tmp_path / "out").iterdir() if not f.name.endswith(".crc")) == ["current.json", "runs"]
+
+
+def test_prompts_are_bounded_by_size(spark):
+    draw = random.Random(3)
+    rows = []
+    for group, count in (("a", 300), (None, 40), ("b", 1), ("long", 6)):
+        for n in range(1, count + 1):
+            size = 5000 if group == "long" and n % 2 else draw.choice([3, 40, 90, 300, 700])
+            rows.append((group, n, n, "x" * size))
+    blocks = spark.createDataFrame(rows, "g string, ord bigint, page_no bigint, block string").repartition(5)
+    for most, pages_each in ((1500, 1000), (1500, 3), (100, 1000), (10**6, 1000), (1, 1000)):
+        params = Params(prompt_chars=most, pages_per_prompt=pages_each)
+        found = prompts.gap_prompts(blocks, ["g"], template="<{pages}>", params=params).collect()
+        for group in ("a", None, "b", "long"):
+            own = sorted((r for r in found if r.g == group), key=lambda r: r.prompt_no)
+            assert [r.prompt_no for r in own] == list(range(1, len(own) + 1))
+            texts = [r.prompt[1:-1] for r in own]
+            assert "\n\n".join(texts) == "\n\n".join(b for g, _, _, b in rows if g == group)
+            for r, text in zip(own, texts):
+                assert r.n_pages == text.count("\n\n") + 1 <= pages_each
+                assert len(text) <= most or r.n_pages == 1
+            if most == 1500 and pages_each == 1000 and group == "a":
+                assert len(own) < 2 * sum(map(len, texts)) / most  # not many half-empty ones
+    one = prompts.gap_prompts(blocks.where("g = 'a'").drop("g"), (), template="<{pages}>", params=Params(prompt_chars=1500))
+    assert one.agg(F.sum("n_pages")).first()[0] == 300 and one.agg(F.max(F.length("prompt"))).first()[0] <= 1502
+    assert prompts.gap_prompts(blocks.limit(0), ["g"], params=Params(prompt_chars=9)).count() == 0
+
+
 def test_grouped_run_equals_separate_runs(spark):
     rows = [(i, f"http://{i}", t, "q1" if i % 2 else "q2") for i, t in enumerate(
         ["visa fee permit. " * 30, "visa fee student visa. " * 30, "student visa housing. " * 20,

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from termloom.functions import charset
 from termloom.functions.membership import keep_possible_members
 from termloom.params import Params
 from termloom.plans.analysis import analyze_url_list
@@ -219,3 +220,42 @@ def test_first_urls_sort_and_store_nothing(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan and "LessThanOrEqual(ord,99)" in plan
     assert found.count() == 100
+
+
+PAGE = "<html><head>{}<title>t</title></head><body>café naïve €</body></html>"
+
+
+@pytest.mark.parametrize("content, expected", [
+    (PAGE.format("").encode(), "é"),
+    (b"\xef\xbb\xbf" + PAGE.format("<meta charset=latin1>").encode(), "é"),
+    (b"\xff\xfe" + PAGE.format('<meta charset="utf-8">').encode("utf-16-le"), "é"),
+    (b"\xfe\xff" + PAGE.format("").encode("utf-16-be"), "é"),
+    (PAGE.format("").encode("cp1252"), "é"),
+    (PAGE.format('<meta charset="ISO-8859-1">').encode("cp1252"), "é"),
+    (PAGE.format("<META http-equiv=Content-Type content='text/html; charset = windows-1252'>").encode("cp1252"), "é"),
+    (PAGE.format("<meta name=x><meta charset=iso-8859-15>").encode("iso-8859-15"), "é"),
+    (PAGE.replace("é", "Ж").replace("ï", "ж").replace("€", "").format("<meta charset=koi8-r>").encode("koi8-r"), "Ж"),
+    (PAGE.replace("é", "語").replace("ï", "").replace("€", "").format("<meta charset=Shift_JIS>").encode("cp932"), "語"),
+    (PAGE.replace("é", "语").replace("ï", "").replace("€", "").format("<meta charset=gb2312>").encode("gb18030"), "语"),
+    (PAGE.format("<!-- <meta charset=koi8-r> -->").encode("cp1252"), "é"),
+    (PAGE.format("<meta charset=no-such>").encode("cp1252"), "é"),
+    (PAGE.format("<meta charset=utf-7>").encode(), "é"),
+    (PAGE.format("<meta charset=utf-16>").encode(), "é"),
+    (PAGE.format("<meta charset=rot13><meta charset=unicode_escape>").encode(), "é"),
+    (PAGE.format("<meta charset=utf-8>").encode("cp1252"), "\ufffd"),
+    (PAGE.format("<meta charset=" + "é" + ">").encode(), "é"),
+    (b"caf\xe9 " + b" " * 2000 + b"<meta charset=koi8-r>", "é"),
+])
+def test_encodings(content, expected):
+    text = charset.decode_page(content)
+    assert f"caf{expected}" in text and not text.startswith("\ufeff")
+
+
+def test_files_of_several_encodings(spark, tmp_path):
+    files = {"a.html": "café".encode(), "b.html": "café".encode("cp1252"), "d.html": b"\xff\xfe" + "café".encode("utf-16-le")}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.url.rsplit("/", 1)[1]: r.html for r in pages.read_html_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.html": "café", "b.html": "café", "d.html": "café"}
+    null = spark.createDataFrame([(None,)], "content binary").select(charset.decoded(F.col("content")).alias("t"))
+    assert null.first().t is None
