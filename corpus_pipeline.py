@@ -23,7 +23,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drop the documents whose calibrated quality is under ``LEAST_QUALITY``.
 
     The model learns from the labels whose documents are still there, but for the held-out quarter.
-    Without any label nothing can be judged, and all documents stay.
+    Without any label nothing can be judged, and all documents stay. Null, empty and very long texts are
+    judged like others, by their statistics; rows alike get the same score, and a score at the limit stays.
     """
     model, _ = fourier.fit_quality(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
     if model is None:
@@ -50,40 +51,39 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind in brackets; ``n_chars`` follows."""
+    """Replace personal data by its kind in brackets; ``n_chars`` follows. Null and empty texts stay as they are."""
     masked = pii.mask_personal_data(docs.select(*COLUMNS))
     return masked.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; at the end of a source's share, only its first words.
+    """Every document as often as the mix takes it, each time whole.
 
-    A document is repeated for each pass of its source's stream. Texts without words are not taken.
-    Rows alike in doc_id, source and size share evenly what is taken of them.
+    A document is repeated for each pass of its source's stream. The last one of a source, of which the mix
+    takes a part, is in once more if that part is half of it or more: a source is off its target by half
+    a document at most. Texts without words, null and empty ones, are not taken. Documents are told apart
+    by doc_id and text; rows alike in both share what is taken of them, rounded for each.
     """
-    sized = docs.select(*COLUMNS).withColumn("size", mixing.word_count(F.col("text")))
-    mixed, _ = mixing.mix_documents(sized, size="size")
-    words = mixed.groupBy("doc_id", "source", "size").agg(
-        F.floor(F.sum("taken") / F.count(F.lit(1))).cast("bigint").alias("taken")
+    sized = docs.select(
+        *COLUMNS, mixing.word_count(F.col("text")).alias("_size"), F.xxhash64("doc_id", "text").alias("_row")
     )
-    names = ["doc_id", "source", "size"]
-    taken = words.where("taken > 0").withColumnsRenamed({name: f"_{name}" for name in names})
-    match = F.lit(True)
-    for name in names:
-        match &= F.col(name).eqNullSafe(F.col(f"_{name}"))
-    joined = sized.join(taken, match)
-    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    repeated = joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), times)))
-    part = F.col("taken") - (F.col("_nth") - 1) * F.col("size")
-    first_words = F.array_join(
-        F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), part.cast("int")), " "
+    rows = sized.select(F.col("_row").alias("doc_id"), "source", F.col("_size").alias("size"))
+    mixed, _ = mixing.mix_documents(rows, size="size")
+    part = F.sum("taken") / (F.count(F.lit(1)) * F.col("size"))
+    taken = mixed.where("size > 0").groupBy("doc_id", "source", "size").agg(F.floor(part + 0.5).cast("int").alias("_times"))
+    few = taken.where("_times > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_of"), "_times"
     )
-    text = F.when(part < F.col("size"), first_words).otherwise(F.col("text"))
-    return repeated.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    match = (F.col("_row") == F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_of"))
+    joined = sized.join(few, match)
+    return joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every document, and whether they decode to its text."""
+    """Tokens of every row, repeated ones too, and whether they decode to its text.
+
+    A null text counts as empty, which has no tokens; texts of any length are encoded whole.
+    """
     both = bpe.round_trip(docs.select(*COLUMNS), VOCABULARY)
     return both.select(
         "doc_id",
