@@ -245,7 +245,9 @@ def fit_quality(
 
     ``use`` selects the rows (by their doc_id) whose labels may be learned; labels, lang, source and
     doc_id are no inputs of the score. Documents without a label and labels without a document are
-    not learned from; a null doc_id matches no label. Other columns are not read.
+    not learned from; a null doc_id matches no label. Without any usable label there is no model (None),
+    and every row scores 0.5. Repeated rows are learned from as often as they occur; rows alike score
+    alike. Texts of any length are measured whole. Other columns are not read.
     """
     measured = materialize(add_statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
     usable = measured if use is None else measured.where(use)

@@ -244,11 +244,29 @@ _DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|{_GAP}dot\s++|[_-]dot[_-]|{_GAP}\.\s++)"
 _DOT_PATTERN = re.compile(_DOT, re.I)
 _LABEL = r"[A-Za-z0-9]++(?:-(?!dot-)[A-Za-z0-9]++)*+"
 _LABELS = re.compile(rf"{_LABEL}(?:(?:\.|{_DOT}){_LABEL})++", re.I)
-_NAME = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*\Z", re.I)
+_NAME_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
 _POINT = re.compile(rf"{_DOT}|\.", re.I)
 _NUMBER_DOT = re.compile(rf"(?<=[0-9]){_DOT}(?=[0-9])", re.I)
-# Characters before an at sign in which its name is looked for: a local part has at most 64.
-NAME_CHARS = 96
+
+def _name_start(text: str, low: int, end: int, points: dict[int, int]) -> int | None:
+    """Where the name before ``end`` starts, words and points in turn; None without a word.
+
+    ``points`` holds the start of each spelled point by its end. The scan stops at ``low``.
+    """
+    start, at = None, end
+    while True:
+        word = at
+        while word > low and text[word - 1] in _NAME_CHARACTERS:
+            word -= 1
+        if word == at:
+            return start
+        start = word
+        if word > low and text[word - 1] == ".":
+            at = word - 1
+        elif points.get(word, -1) >= low:
+            at = points[word]
+        else:
+            return start
 
 
 def _domain_end(domain: str) -> int:
@@ -265,6 +283,7 @@ def undo_at_and_dot(mapped: Mapped) -> Mapped:
     """Spelled at signs with a name before and a domain after, and spelled points in both."""
     text = mapped.text
     edits: list[tuple[int, int, str]] = []
+    points: dict[int, int] | None = None
     end = 0
     for at in _AT.finditer(text):
         if at.start() < end:
@@ -283,11 +302,15 @@ def undo_at_and_dot(mapped: Mapped) -> Mapped:
             site = site[:stop]
             if not site or not (sign or any("dot" in d.lower() for d in _DOT_PATTERN.findall(site))):
                 continue
-        first = max(end, at.start() - NAME_CHARS)
-        name = _NAME.search(text[first : at.start()])
-        if not name or not site[-2:].isalpha():
+        if not site[-2:].isalpha():
+            continue
+        if points is None:
+            points = {m.end(): m.start() for m in _DOT_PATTERN.finditer(text)}
+        # Every scan that finds a name moves ``end`` on, so no character is scanned twice.
+        name = _name_start(text, end, at.start(), points)
+        if name is None:
             continue
-        for dot in _DOT_PATTERN.finditer(text, first + name.start(), first + name.end()):
+        for dot in _DOT_PATTERN.finditer(text, name, at.start()):
             edits.append((*dot.span(), "."))
         edits.append((*at.span(), "@"))
         end = at.end() + len(site)

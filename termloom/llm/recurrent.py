@@ -71,9 +71,19 @@ def tail_class(word: bytes) -> int:
     return length * 9 + kind
 
 
+def tail_classes(words: list[bytes]) -> np.ndarray:
+    """``tail_class`` of each word."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    classes = ((sizes > 5).astype(np.int32) + (sizes > 10)) * 9
+    for at in np.flatnonzero(~np.fromiter(map(bytes.isascii, words), bool, len(words))).tolist():
+        classes[at] = tail_class(words[at])
+    return classes
+
+
 _COUNTS = "word binary, c bigint"
 HELD_WORDS = 200_000
-# Rows scored side by side by a task.
+# Rows looked up, and rows scored side by side, by a task.
+TOKEN_ROWS = 2_048
 SCORED_ROWS = 8_192
 
 
@@ -122,8 +132,8 @@ class Vocabulary:
         row = np.empty(len(words) + 1, dtype=np.int32)
         row[:-1] = self.tokens[places]
         row[-1] = self.network.end
-        for at in np.flatnonzero(places < 0).tolist():
-            row[at] = self.network.head + tail_class(words[at])
+        unlisted = np.flatnonzero(places < 0)
+        row[unlisted] = self.network.head + tail_classes([words[at] for at in unlisted.tolist()])
         return row
 
 
@@ -242,12 +252,26 @@ def _step(weights: Weights, columns: np.ndarray, tokens: np.ndarray, state: np.n
     return after, keep, reset, new, back[2 * h :]
 
 
-def _softmax(logits: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+# Logits within this need no shift before the exponential: their sums stay far inside 32-bit floats.
+_SAFE = 60.0
+
+
+def _with_bias(weight: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Weights with the bias as a last row, and whether all logits that a state may give are within ``_SAFE``.
+
+    States lie between -1 and 1, so the sizes of the weights bound the logits.
+    """
+    both = np.concatenate([weight, bias[..., None, :]], axis=-2)
+    return both, bool(np.abs(both).sum(axis=-2).max() < _SAFE)
+
+
+def _softmax(logits: np.ndarray, targets: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log probability of each target, exponentials in place of the logits, their sums).
 
     ``logits`` has a column per target: sums down the rows run over contiguous memory.
     """
-    logits -= logits.max(axis=0)
+    if not safe:
+        logits -= logits.max(axis=0)
     picked = logits[targets, np.arange(len(targets))]
     np.exp(logits, out=logits)
     sums = logits.sum(axis=0)
@@ -274,34 +298,37 @@ def token_log_probabilities(
     ``states`` has a column per target. With ``gradient``, adds the gradients of the mean loss to it and returns also that of the states.
     """
     classes = _CLASSES.setdefault(network, token_classes(network))[targets]
-    tokens = len(targets)
-    logits = weights.class_weight.T @ states
-    logits += weights.class_bias[:, None]
-    result, exponentials, sums = _softmax(logits, classes)
+    tokens, h = len(targets), network.hidden
+    # A last row of ones lets the products add the biases, and sum up their gradients.
+    extended = np.ones((h + 1, tokens), dtype=np.float32)
+    extended[:h] = states
+    both, safe = _with_bias(weights.class_weight, weights.class_bias)
+    result, exponentials, sums = _softmax(both.T @ extended, classes, safe)
     back = None
     if gradient is not None:
         slope = _slope(exponentials, sums, classes, tokens)
-        gradient.class_weight += states @ slope.T
-        gradient.class_bias += slope.sum(axis=1)
+        found = extended @ slope.T
+        gradient.class_weight += found[:h]
+        gradient.class_bias += found[h]
         back = weights.class_weight @ slope
     head = np.flatnonzero(targets < network.head)
     order = head[np.argsort(classes[head].astype(_short(network)), kind="stable")]
     edges = np.searchsorted(classes[order], np.arange(network.head_classes + 1))
-    sorted_states, sorted_targets = states.take(order, axis=1), targets[order]
+    sorted_states, sorted_targets = extended.take(order, axis=1), targets[order]
     logs = np.empty(len(order), dtype=np.float32)
-    slopes = np.empty_like(sorted_states) if gradient is not None else None
+    slopes = np.empty((h, len(order)), dtype=np.float32) if gradient is not None else None
+    both, safe = _with_bias(weights.word_weight, weights.word_bias)
     for k in range(network.head_classes):
         own = slice(edges[k], edges[k + 1])
         if edges[k] == edges[k + 1]:
             continue
         inside, place = sorted_states[:, own], sorted_targets[own] - k * network.class_words
-        logits = weights.word_weight[k].T @ inside
-        logits += weights.word_bias[k][:, None]
-        logs[own], exponentials, sums = _softmax(logits, place)
+        logs[own], exponentials, sums = _softmax(both[k].T @ inside, place, safe)
         if gradient is not None:
             slope = _slope(exponentials, sums, place, tokens)
-            gradient.word_weight[k] += inside @ slope.T
-            gradient.word_bias[k] += slope.sum(axis=1)
+            found = inside @ slope.T
+            gradient.word_weight[k] += found[:h]
+            gradient.word_bias[k] += found[h]
             slopes[:, own] = weights.word_weight[k] @ slope
     result[order] += logs
     if gradient is None:
@@ -321,34 +348,40 @@ def window_gradient(weights: Weights, network: Network, inputs, targets, state):
     steps, streams = inputs.shape
     h = network.hidden
     gradient, columns = Weights(network), np.ascontiguousarray(weights.input.T)
-    kept, states = [], np.empty((h, steps, streams), dtype=np.float32)
+    shape = (h, steps, streams)
+    kept, states, befores = [], np.empty(shape, dtype=np.float32), np.empty(shape, dtype=np.float32)
     for t in range(steps):
-        state = state * (inputs[t] != network.end)
-        after, keep, reset, new, back = _step(weights, columns, inputs[t], state)
-        kept.append((state, keep, reset, new, back))
-        states[:, t] = state = after
+        befores[:, t] = state = state * (inputs[t] != network.end)
+        state, *gates = _step(weights, columns, inputs[t], state)
+        kept.append(gates)
+        states[:, t] = state
     logs, slopes = token_log_probabilities(weights, network, states.reshape(h, -1), targets.reshape(-1), gradient)
-    slopes = slopes.reshape(h, steps, streams)
-    fed = np.empty((steps, streams, 3 * h), dtype=np.float32)
+    slopes = slopes.reshape(shape)
+    through, scaled = np.empty((3 * h, steps, streams), dtype=np.float32), np.empty(shape, dtype=np.float32)
     carried = np.zeros((h, streams), dtype=np.float32)
-    through = np.empty((3 * h, streams), dtype=np.float32)
+    to_gates, to_new = np.ascontiguousarray(weights.state[:, : 2 * h]), np.ascontiguousarray(weights.state[:, 2 * h :])
     for t in range(steps - 1, -1, -1):
-        before, keep, reset, new, back = kept[t]
+        keep, reset, new, back = kept[t]
         slope = slopes[:, t] + carried
-        to_new = slope * (1 - keep)
-        to_new *= 1 - new * new
-        through[:h] = slope * (before - new) * keep * (1 - keep)
-        through[h : 2 * h] = to_new * back * reset * (1 - reset)
-        through[2 * h :] = to_new
-        fed[t] = through.T
-        through[2 * h :] *= reset
-        gradient.state += before @ through.T
-        carried = slope * keep + weights.state @ through
+        kept_slope = slope * keep
+        own = slope - kept_slope
+        np.multiply(own, befores[:, t] - new, out=through[:h, t])
+        through[:h, t] *= keep
+        own *= 1 - new * new
+        through[2 * h :, t] = own
+        own *= reset
+        scaled[:, t] = own
+        own *= back
+        np.multiply(own, 1 - reset, out=through[h : 2 * h, t])
+        carried = kept_slope + to_gates @ through[: 2 * h, t] + to_new @ scaled[:, t]
         carried *= inputs[t] != network.end
     flat = inputs.reshape(-1)
+    every, before = through.reshape(3 * h, -1), befores.reshape(h, -1)
+    gradient.state[:, : 2 * h] += before @ every[: 2 * h].T
+    gradient.state[:, 2 * h :] += before @ scaled.reshape(h, -1).T
     order = np.argsort(flat.astype(_short(network)), kind="stable")
     starts = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
-    gradient.input[flat[order][starts]] += np.add.reduceat(fed.reshape(-1, 3 * h)[order], starts, axis=0)
+    gradient.input[flat[order][starts]] += np.add.reduceat(every.take(order, axis=1), starts, axis=1).T
     return gradient.flat, state, float(-logs.sum())
 
 
@@ -393,27 +426,79 @@ class Trainer:
         self.weights.flat -= np.float32(rate) * self.first / (np.sqrt(self.second) + np.float32(1e-7))
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str = "doc_id") -> Weights:
-    """Train on all ``docs``: each round takes its share of them, by a hash of the key, in every partition."""
+_TOKENS = (
+    "row bigint, doc_id bigint, held_out boolean, part int, tokens array<int>, n_known bigint, base double, "
+    "below double, words array<binary>, times array<int>"
+)
+
+
+def token_rows(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
+    """The stored rows of ``docs`` (doc_id, held_out, part, text) as tokens: words are looked up this once.
+
+    Beside the tokens stands what the listed words give to both scores (``base``; ``below``: the shares of tail
+    words in their classes), and the other words, whose counts must be joined.
+    """
     n = vocabulary.network
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.float64(),
+             pa.list_(pa.binary()), pa.list_(pa.int32())]
+    names = [part.split()[0] for part in _TOKENS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        logs = np.log10(known.counts + SMOOTHING)
+        in_tail = logs * (known.tokens >= n.head)
+        in_tail[-1] = 0.0  # the end token is predicted itself
+        # Of a tail word the count is added; its class gives the denominator.
+        below = -np.log10(known.token_counts[n.head : n.end] + SMOOTHING * (known.tail_words + 1))
+        below = np.concatenate([np.zeros(n.head), below, [0.0]])
+        ends = int(known.counts[-1] > 0)
+        row = TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for start in range(0, whole.num_rows, TOKEN_ROWS):
+                batch = whole.slice(start, TOKEN_ROWS)
+                out = []
+                for doc_id, held_out, part, item in zip(*[batch[c] for c in ("doc_id", "held_out", "part", text)]):
+                    words = lower_words(item.as_py())
+                    places = known.places(words)
+                    tokens = known.token_row(words, places)
+                    unlisted = Counter([words[k] for k in np.flatnonzero(places < 0).tolist()])
+                    places = np.append(places[places >= 0], len(logs) - 1)
+                    out.append(
+                        (row, doc_id.as_py(), held_out.as_py(), part.as_py(), tokens, len(places) - 1 + ends,
+                         float(logs[places].sum()), float(in_tail[places].sum() + below[tokens].sum()),
+                         list(unlisted), list(unlisted.values()))
+                    )
+                    row += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    return materialize(docs.mapInArrow(run, _TOKENS), "tokens")
+
+
+def train(rows: DataFrame, vocabulary: Vocabulary) -> Weights:
+    """Train on all ``rows`` (part, tokens): each round takes its share of the parts, in every partition."""
+    n = vocabulary.network
+    context = rows.sparkSession.sparkContext
     weights = first_weights(vocabulary)
-    part = F.pmod(F.xxhash64(F.lit(n.seed), key), F.lit(sum(n.shares)))
     low = 0
     for share in n.shares:
         start = context.broadcast(weights.flat)
 
         def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-            known = shared.value
             trainer = Trainer(Weights(n, start.value), n)
             held: list[np.ndarray] = []
             size = 0
             for batch in batches:
-                for item in batch.column(0):
-                    words = lower_words(item.as_py())
-                    held.append(known.token_row(words, known.places(words)))
-                    size += len(held[-1])
+                tokens = np.asarray(batch["tokens"].flatten())
+                ends = np.cumsum(np.asarray(batch["tokens"].value_lengths()))
+                at = 0
+                while at < len(tokens):
+                    # Whole texts up to a chunk's tokens, or one text.
+                    last = np.searchsorted(ends, at + n.chunk_tokens - size, side="left")
+                    cut = int(ends[min(last, len(ends) - 1)])
+                    held.append(tokens[at:cut])
+                    size += cut - at
+                    at = cut
                     if size >= n.chunk_tokens:
                         trainer.learn(np.concatenate(held))
                         held, size = [], 0
@@ -421,8 +506,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str
                 trainer.learn(np.concatenate(held))
             return np.append(trainer.weights.flat.astype(np.float64) * trainer.tokens, trainer.tokens)
 
-        rows = docs.where((part >= low) & (part < low + share)).select(text)
-        total = sum_over_partitions(rows, partial)
+        use = rows.where((F.col("part") >= low) & (F.col("part") < low + share)).select("tokens")
+        total = sum_over_partitions(use, partial)
         if total is not None and total[-1]:
             weights = Weights(n, total[:-1] / total[-1])
         low += share
@@ -465,56 +550,26 @@ def score_texts(weights: Weights, network: Network, texts: list[np.ndarray]) ->
     return result / np.log(10)
 
 
-_PARTIAL = (
-    "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, model double, "
-    "words array<binary>, times array<int>"
-)
-
-
-def _partial_scores(docs: DataFrame, vocabulary: Vocabulary, weights: Weights, text: str) -> DataFrame:
-    """Per row what the listed words and the network give, and the words whose counts must be looked up."""
-    n = vocabulary.network
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights.flat))
-    schema = pa.schema(
-        [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-         ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()),
-         ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))]
-    )
+def _model_scores(rows: DataFrame, network: Network, weights: Weights) -> DataFrame:
+    """(row, doc_id, held_out, n_tokens, n_known, base, model) of stored token rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights.flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, flat = shared.value
-        network_weights = Weights(n, flat)
-        logs = np.log10(known.counts + SMOOTHING)
-        in_tail = logs * (known.tokens >= n.head)
-        in_tail[-1] = 0.0  # the end token is predicted itself
-        # Of a tail word the count is added; its class gives the denominator.
-        below = -np.log10(known.token_counts[n.head : n.end] + SMOOTHING * (known.tail_words + 1))
-        below = np.concatenate([np.zeros(n.head), below, [0.0]])
-        row = TaskContext.get().partitionId() << 40
+        trained = Weights(network, shared.value)
         for whole in batches:
             for start in range(0, whole.num_rows, SCORED_ROWS):
                 batch = whole.slice(start, SCORED_ROWS)
-                texts, out = [], []
-                for doc_id, held_out, item in zip(batch["doc_id"], batch["held_out"], batch[text]):
-                    words = lower_words(item.as_py())
-                    places = known.places(words)
-                    texts.append(known.token_row(words, places))
-                    unlisted = Counter([words[k] for k in np.flatnonzero(places < 0).tolist()])
-                    places = np.append(places[places >= 0], len(logs) - 1)
-                    model = float(in_tail[places].sum() + below[texts[-1]].sum())
-                    out.append(
-                        (row, doc_id.as_py(), held_out.as_py(), len(texts[-1]), int((known.counts[places] > 0).sum()),
-                         float(logs[places].sum()), model, list(unlisted), list(unlisted.values()))
-                    )
-                    row += 1
-                scores = score_texts(network_weights, n, texts)
-                columns = [list(c) for c in zip(*out)]
-                columns[6] = np.array(columns[6]) + scores
+                lengths = np.asarray(batch["tokens"].value_lengths()).astype(np.int64)
+                texts = np.split(np.asarray(batch["tokens"].flatten()), np.cumsum(lengths)[:-1])
+                model = np.asarray(batch["below"]) + score_texts(trained, network, texts)
+                kept = [batch[c] for c in ("row", "doc_id", "held_out", "n_known", "base")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, field.type) for c, field in zip(columns, schema)], schema=schema
+                    [*kept, pa.array(lengths), pa.array(model)],
+                    ["row", "doc_id", "held_out", "n_known", "base", "n_tokens", "model"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "held_out", text).mapInArrow(run, _PARTIAL)
+    schema = "row bigint, doc_id bigint, held_out boolean, n_known bigint, base double, n_tokens bigint, model double"
+    return rows.select("row", "doc_id", "held_out", "tokens", "n_known", "base", "below").mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, held_out: Column, network: Network = Network(), text: str = "text") -> DataFrame:
@@ -525,15 +580,18 @@ def score_documents(docs: DataFrame, held_out: Column, network: Network = Networ
     model). A null or empty text is its end token alone. A null ``held_out`` counts as false.
     Repeated rows are scored, and learned from, each. Without training texts all counts are zero.
     """
-    marked = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), text)
-    training = marked.where(~F.col("held_out"))
-    counts = materialize(count_words(training, text), "word-counts")
+    part = F.pmod(F.xxhash64(F.lit(network.seed), "doc_id"), F.lit(sum(network.shares))).cast("int")
+    marked = docs.select(
+        F.col("doc_id").cast("bigint"), F.coalesce(held_out, F.lit(False)).alias("held_out"), part.alias("part"), text
+    )
+    counts = materialize(count_words(marked.where(~F.col("held_out")), text), "word-counts")
     vocabulary = list_vocabulary(counts, network)
-    weights = train(training, vocabulary, text)
-    partial = materialize(_partial_scores(marked, vocabulary, weights, text), "partial-scores")
+    rows = token_rows(marked, vocabulary, text)
+    weights = train(rows.where(~F.col("held_out")), vocabulary)
+    partial = _model_scores(rows, network, weights)
     # A word that is not listed is rarer than all that are, so no key of this join is hot.
     looked_up = (
-        partial.select("row", F.explode(F.arrays_zip("words", "times")).alias("e"))
+        rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("e"))
         .select("row", F.col("e.words").alias("word"), F.col("e.times").alias("times"))
         .join(counts, "word", "left")
         .groupBy("row")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -94,14 +95,25 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
         f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        lines.append(f"WARC-Target-URI: {quote(url, safe=_URL_SAFE)}")
+        target = target_uri(url)
+        lines.append(f"WARC-Target-URI: {target}")
+        if target != url:
+            lines.append(f"{SOURCE_URL}: {quote(url, safe=_URL_SAFE)}")
     if revisit:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_urn(refers_to)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-# All printable ASCII but the escape sign itself, so that unquoting gives the URL back.
+# A field of its own for a URL that no header can hold as it is: with blanks, say. Unquoting gives it back.
+SOURCE_URL = "X-Source-URL"
+# All printable ASCII but the escape sign itself.
 _URL_SAFE = "".join(chr(c) for c in range(33, 127) if chr(c) != "%")
+_STRAY_PERCENT = re.compile(r"%(?![0-9A-Fa-f]{2})")
+
+
+def target_uri(url: str) -> str:
+    """The URL as any reader takes it: escapes that it has stay, and what else needs one gets it."""
+    return quote(_STRAY_PERCENT.sub("%25", url), safe=_URL_SAFE + "%")
 
 
 def parse_record(raw: bytes) -> dict:
@@ -118,10 +130,10 @@ def parse_record(raw: bytes) -> dict:
     digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     if not revisit and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"damaged payload in {fields['WARC-Record-ID']}")
-    url = fields.get("WARC-Target-URI")
+    source = fields.get(SOURCE_URL)
     return {
         "page_id": urn_page(fields["WARC-Record-ID"]),
-        "url": None if url is None else unquote(url),
+        "url": fields.get("WARC-Target-URI") if source is None else unquote(source),
         "record_type": fields["WARC-Type"],
         "refers_to": urn_page(fields.get("WARC-Refers-To")),
         "payload_bytes": size,
@@ -248,8 +260,8 @@ def write_archives(pages: DataFrame, folder: str, layout: Layout = Layout()) ->
     """Write one record per row of ``pages`` (page_id, url, html) and return the stored index of frames.
 
     The payload is the html in UTF-8; null html is an empty payload, a null url gives no target, and
-    a null page_id a record without a number. Repeated rows are records of their own. Other columns
-    are not written. An empty table gives an index without rows.
+    a null page_id a record without a number. Repeated rows are records of their own; rows that share a
+    page_id share the name of their records. Other columns are not written. An empty table gives an index without rows.
     """
     revisits = find_revisits(pages, layout).select(
         F.col("page_id").alias("_page"), F.col("payload_key").alias("_key"), "refers_to"

@@ -1,5 +1,6 @@
 """Operators that compare, count or order whole tables, against brute force."""
 
+import email
 import hashlib
 import random
 import zlib
@@ -56,6 +57,32 @@ def test_running_sums(spark):
 # --- archives
 
 
+@pytest.mark.parametrize("url, target", [
+    ("http://x.org/a%20b?q=%C3%A9", "http://x.org/a%20b?q=%C3%A9"),
+    ("http://x.org/a%20b?q=%C3%A9 z", "http://x.org/a%20b?q=%C3%A9%20z"),
+    ("http://x.org/100%?a=é", "http://x.org/100%25?a=%C3%A9"),
+    ("http://x.org/%zz%4", "http://x.org/%25zz%254"),
+    ("http://x.org/[1]|{2}~", "http://x.org/[1]|{2}~"),
+    ("a\r\nWARC-Type: other", "a%0D%0AWARC-Type:%20other"),
+])
+def test_headers_hold_the_url_as_readers_take_it(url, target):
+    raw = warc.warc_record(5, url, b"x", None, False)
+    headers = email.message_from_bytes(raw.partition(b"\r\n")[2])  # another parser's view
+    assert headers.get_all("WARC-Target-URI") == [target] and headers["WARC-Type"] == "response"
+    assert (headers[warc.SOURCE_URL] is None) == (url == target)
+    assert warc.parse_record(raw)["url"] == url
+
+
+def test_one_page_id_with_two_payloads(spark, tmp_path):
+    rows = [(1, "u", "a" * 2000), (1, "u", "b" * 2000), (1, "v", "b" * 2000), (0, "w", "a" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    folder = str(tmp_path / "w")
+    found = warc.read_records(warc.write_archives(pages, folder), folder).collect()
+    assert Counter((r.page_id, r.url, r.record_type, r.refers_to) for r in found) == Counter(
+        [(1, "u", "response", None), (1, "u", "response", None), (1, "v", "response", None), (0, "w", "revisit", 1)]
+    )
+
+
 def test_archives_round_trip(spark, tmp_path):
     long, html = "é" * 700, "<p>" + "x" * 1500
     rows = [(1, "http://a/ b%20c\r\n", long, 0), (2, None, long, 0), (9, "http://é", long, 0), (4, "u", "small", 0)]
@@ -313,6 +340,49 @@ def test_quality_model_separates(spark):
     assert measured.select(fourier.score_column(None, F.col("statistics")).alias("p")).first().p == 0.5
 
 
+def test_isotonic_equals_min_max_formula():
+    draw = np.random.default_rng(4)
+    for _ in range(30):
+        rows = draw.integers(1, 9, 25)
+        ones = draw.binomial(rows, np.sort(draw.random(25)))
+        mean = lambda a, b: ones[a : b + 1].sum() / rows[a : b + 1].sum()
+        expected = [max(min(mean(a, b) for b in range(i, 25)) for a in range(i + 1)) for i in range(25)]
+        assert np.allclose(fourier.isotonic(ones, rows), expected)
+
+
+def test_partition_sums_equal_the_dense_ridge_fit(spark):
+    draw = np.random.default_rng(5)
+    settings = fourier.Settings(features=40, bins=64)
+    x = draw.normal(size=(500, len(fourier.STATISTICS))) * 3 + 1
+    label = (x[:, 0] + 0.5 * draw.normal(size=500) > 1).astype(float)
+    fold = np.arange(500) % settings.folds
+    rows = [(list(map(float, r)), float(y), int(f)) for r, y, f in zip(x, label, fold)]
+    df = spark.createDataFrame(rows, "statistics array<double>, label double, fold int").repartition(7)
+    model = fourier.fit(df, settings)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0))
+    z = model.cosines(x)
+    # Least squares over the rows and one more row for each penalised weight.
+    penalty = np.full(z.shape[1], settings.ridge * 500)
+    penalty[-1] = 1e-9
+
+    def dense(use):
+        share = penalty.copy()
+        share[:-1] = settings.ridge * use.sum()
+        return np.linalg.lstsq(np.r_[z[use], np.diag(np.sqrt(share))], np.r_[label[use], np.zeros(z.shape[1])], rcond=None)[0]
+
+    assert np.allclose(model.weights, dense(np.ones(500, bool)), atol=1e-6)
+    # Calibration: shares of ones in bins of the scores that fits without the row's fold give.
+    raw = np.empty(500)
+    for k in range(settings.folds):
+        raw[fold == k] = z[fold == k] @ dense(fold != k)
+    at = np.clip((raw + 0.5) / 2 * settings.bins, 0, settings.bins - 1).astype(int)
+    ones, count = np.bincount(at, label, settings.bins), np.bincount(at, minlength=settings.bins)
+    full = np.flatnonzero(count)
+    levels = np.unique(fourier.isotonic(ones[full], count[full]))
+    assert len(model.values) == len(levels) + 2 and (np.diff(model.values) >= 0).all()
+    assert ((0 <= model.score(x)) & (model.score(x) <= 1)).all()
+
+
 def test_isotonic_is_monotone_and_keeps_the_mean():
     ones, rows = np.array([1.0, 0, 3, 2, 5]), np.array([2.0, 4, 4, 4, 5])
     fit = fourier.isotonic(ones, rows)
