@@ -119,8 +119,8 @@ class Mapped:
 # Letters of other scripts that look like Latin ones, and invisible characters.
 LOOK_ALIKES = dict(
     zip(
-        "АВЕЅІЈКМНОРСТХУаеѕіјорсхуԁԛԝһ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανιι" "ɑɡı",
-        "ABESIJKMHOPCTXYaesijopcxydqwh" "ABEZHIKMNOPTYXoavii" "agi",
+        "АВЕЅІЈКМНОРСТХУаеѕіјорсхуԁԛԝһ" "вгкмнптьѵӏӀґ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανιι" "ρκτυωγηχϲϳ" "օոսհցԼЅ" "ɑɡıɩʟʏꮯꮪ",
+        "ABESIJKMHOPCTXYaesijopcxydqwh" "brkmhntbvllr" "ABEZHIKMNOPTYXoavii" "pktuwynxcj" "onuhgLS" "agiilycs",
     )
 )
 INVISIBLE = "­​‌‍⁠﻿᠎"
@@ -142,7 +142,13 @@ def plain_character(char: str) -> str:
     if char.isspace():
         return " "
     folded = unicodedata.normalize("NFKC", char)
-    return folded if len(folded) == 1 and folded.isascii() else char
+    if len(folded) == 1 and folded.isascii():
+        return folded
+    small_capital = _SMALL_CAPITAL.fullmatch(unicodedata.name(char, ""))
+    return small_capital[1].lower() if small_capital else char
+
+
+_SMALL_CAPITAL = re.compile("LATIN LETTER SMALL CAPITAL ([A-Z])")
 
 
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
@@ -236,11 +242,30 @@ def undo_spelled_digits(mapped: Mapped) -> list[Mapped]:
     return [mapped.rewrite(joined)] + ([mapped.rewrite(apart)] if apart != joined else [])
 
 
+# Letters written for digits, in words of digits else; at most half of one.
+_MIXED_NUMBER = re.compile(r"(?<![A-Za-z0-9])(?=[oOlI]*+[0-9])[0-9oOlI]++(?![A-Za-z0-9])")
+_LETTER_DIGIT = re.compile("[oOlI]")
+
+
+def undo_letter_digits(mapped: Mapped) -> Mapped:
+    """"4o11 1l11" becomes "4011 1111"; the patterns and checks of the numbers decide what it is."""
+    edits = []
+    for number in _MIXED_NUMBER.finditer(mapped.text):
+        letters = [(*m.span(), "0" if m.group() in "oO" else "1") for m in _LETTER_DIGIT.finditer(mapped.text, *number.span())]
+        if 2 * len(letters) <= len(number.group()):
+            edits += letters
+    return mapped.rewrite(edits)
+
+
 # A run of white space is tried from its first character only, so that long runs stay linear.
 _GAP = r"(?<!\s)\s++"
-_OPEN, _CLOSE = rf"(?:{_GAP})?+[\[({{<]\s*+", r"\s*+[\])}>]\s*+"
-_AT = re.compile(rf"{_OPEN}(?:at|@){_CLOSE}|(?P<bare>{_GAP}(?:at|@)\s++|[_-]at[_-])", re.I)
-_DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|{_GAP}dot\s++|[_-]dot[_-]|{_GAP}\.\s++)"
+_OPEN, _CLOSE = rf"(?:{_GAP})?+[\[({{<【«]\s*+", r"\s*+[\])}>】»]\s*+"
+# Signs as web pages and addresses escape them.
+_AT_ESCAPE, _DOT_ESCAPE = r"%40|&#(?:0*+64|x0*+40);|&commat;", r"%2e|&#(?:0*+46|x0*+2e);|&period;"
+_AT = re.compile(
+    rf"{_OPEN}(?:at|@){_CLOSE}|(?P<bare>{_GAP}(?:-at-|at|@)\s++|[_-]at[_-]|(?P<sign>{_AT_ESCAPE}))", re.I
+)
+_DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|{_GAP}(?:-dot-|dot)\s++|[_-]dot[_-]|{_GAP}\.\s++|{_DOT_ESCAPE})"
 _DOT_PATTERN = re.compile(_DOT, re.I)
 _LABEL = r"[A-Za-z0-9]++(?:-(?!dot-)[A-Za-z0-9]++)*+"
 _LABELS = re.compile(rf"{_LABEL}(?:(?:\.|{_DOT}){_LABEL})++", re.I)
@@ -295,7 +320,7 @@ def undo_at_and_dot(mapped: Mapped) -> Mapped:
         if at["bare"]:
             # A sign or "_at_" stands for itself; the word and hyphens need a spelled point, since
             # "at example.org" and "stay-at-home.org" are ordinary prose.
-            sign = "@" in at.group() or at.group().lower() == "_at_"
+            sign = at["sign"] or "@" in at.group() or at.group().lower() == "_at_"
             stop = _domain_end(site)
             if not stop and "@" in at.group() and _DOT_PATTERN.search(site):
                 stop = len(site)
@@ -346,7 +371,7 @@ def disguised_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[S
     """
     source = Mapped(text)
     added: dict[str, list[Span]] = {kind: [] for kind in KINDS}
-    for reading in undo_spelled_digits(undo_look_alikes(source)):
+    for reading in undo_spelled_digits(undo_letter_digits(undo_look_alikes(source))):
         mapped = undo_at_and_dot(reading)
         if mapped is source:
             continue
@@ -409,14 +434,14 @@ def add_personal_data(docs: DataFrame, text: str = "text", spans: str = "pii_spa
 
 
 def mask(text: str | None) -> str | None:
-    """The text with each span replaced by its kind; of spans that overlap, the first and longest counts."""
+    """The text with each span replaced by its kind. Spans that overlap are one, of the kind of the first and longest."""
     if not text:
         return text
     pieces, done = [], 0
     for span in sorted(find_spans(text), key=lambda s: (s["start"], -s["end"])):
         if span["start"] >= done:
             pieces += [text[done : span["start"]], f"[{span['kind']}]"]
-            done = span["end"]
+        done = max(done, span["end"])
     return "".join([*pieces, text[done:]])
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from itertools import product
 
 import numpy as np
@@ -198,6 +199,16 @@ def test_plain_spans_equal_the_patterns(text):
         ("４１１１１１１１１１１１１１１１", "card", "４１１１１１１１１１１１１１１１"),
         ("192 [dot] 168 [dot] 1 [dot] 20 yes", "ip", "192 [dot] 168 [dot] 1 [dot] 20"),
         ("john​.doe@exa​mple.com", "email", "john​.doe@exa​mple.com"),
+        ("jane@examρle.com", "email", "jane@examρle.com"),
+        ("jane@mаıl.сoм", "email", "jane@mаıl.сoм"),
+        ("mail jane【at】example.com ok", "email", "jane【at】example.com"),
+        ("x jane%40example.com y", "email", "jane%40example.com"),
+        ("x jane&#64;example&#x2E;com y", "email", "jane&#64;example&#x2E;com"),
+        ("go jane -at- example -dot- com now", "email", "jane -at- example -dot- com"),
+        ("pay 4l11 1111 1111 1111 now", "card", "4l11 1111 1111 1111"),
+        ("host 192.168.1o.2O1 up", "ip", "192.168.1o.2O1"),
+        (f"{'x' * 500} x.y.{'ab [dot] ' * 40}z [at] example [dot] com", "email", f"x.y.{'ab [dot] ' * 40}z [at] example [dot] com"),
+        (f"{'ab [dot] ' * 3000}z [at] example [dot] com", "email", f"{'ab [dot] ' * 3000}z [at] example [dot] com"),
     ],
 )
 def test_disguised_data_is_found_in_the_source(text, kind, hidden):
@@ -205,9 +216,28 @@ def test_disguised_data_is_found_in_the_source(text, kind, hidden):
     assert found == [(kind, hidden)]
 
 
-BRACKETS = ["[]", "()", "{}", "<>"]
+def test_long_texts_of_at_signs_stay_linear():
+    for piece in ("a [at] ", "ab [dot] ", "x [at] y [dot] ", "- [at] example.com ", "1l1o "):
+        text = piece * 40_000
+        start = time.process_time()
+        pii.find_spans(text)
+        assert time.process_time() - start < 20, piece
+
+
+def test_mask_covers_spans_of_two_kinds():
+    text = "at 10.0.0.1@example.com and 4111 1111 1111 1111@example.com end"
+    masked = pii.mask(text)
+    assert not re.search("[0-9@]", masked) and masked.startswith("at ") and masked.endswith(" end")
+
+
+def test_prose_is_left_alone():
+    for text in ("it is 40% at home. Then dot the i", "100%40 units", "10l and 2O of them", "look [at] this", "a «dot» on the map"):
+        assert pii.find_spans(text) == [], text
+
+
+BRACKETS = ["[]", "()", "{}", "<>", "【】", "«»"]
 IN_BRACKETS = [f"{gap}{o}{pad}%s{pad}{c}{gap}" for o, c in BRACKETS for pad in ("", " ") for gap in ("", " ")]
-BARE_ATS = [" at ", " @ ", "_at_", "-at-"]
+BARE_ATS = [" at ", " @ ", "_at_", "-at-", " -at- ", "%40", "&#64;", "&commat;"]
 AT_FORMS = [form % sign for form in IN_BRACKETS for sign in ("at", "AT", "@")] + BARE_ATS
 SPELLED_DOTS = [form % "dot" for form in IN_BRACKETS] + [" dot ", "_dot_", "-dot-"]
 DOT_FORMS = SPELLED_DOTS + [form % "." for form in IN_BRACKETS] + [" . "]
