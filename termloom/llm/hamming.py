@@ -1,9 +1,10 @@
 """Near-duplicate embeddings: iterative quantisation, multi-index Hamming tables, exact reranking.
 
 A rotation is learned that makes the signs of the rotated coordinates balanced, faithful bits. The
-bits are cut into disjoint substrings, one table each; vectors that agree in a whole substring meet
-in a bucket and are compared there by the cosine of the original vectors. Links are counted inside
-the buckets, each pair only in the first table in which it meets, so no pair leaves a task.
+bits are cut into disjoint substrings, one table each; codes that agree in a whole substring meet
+in a bucket, where the Hamming distance of the whole codes tells who may be near whom. Only what has such
+a partner is joined with its original vector and compared by cosine. Links are counted inside the
+buckets, each pair only in the first table in which it meets, so no pair leaves a task.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ class Search:
     """``recall`` is what a pair of just the least cosine may expect; closer pairs find each other surer.
 
     The rotation is learned from the ``sample`` vectors with the smallest hashes; all vectors are
-    indexed. Buckets above ``block`` vectors are compared block by block in several tasks.
-    ``bucket`` sets the length of the substrings: the mean bucket of the largest label.
+    indexed. Buckets above ``block`` vectors are compared block by block in several tasks. Substrings are at
+    most so long that the mean bucket of the largest label holds ``bucket`` codes; ``row_cost`` is what a row of
+    a table costs, in comparisons of codes. A pair of just the least cosine is within the Hamming radius
+    unless its distance lies ``deviations`` above what is to expect.
     """
 
     least_cosine: float = 0.93
@@ -40,22 +43,56 @@ class Search:
     block: int = 1_024
     seed: int = 5
     near: float = 0.01
+    row_cost: int = 200
+    deviations: float = 4.0
 
 
 @dataclass(frozen=True)
-class Tables:
-    """Substrings of ``bits`` bits, ``count`` of them, over as many rotations as they need."""
+class Layout:
+    """``count`` substrings of ``bits`` bits, and the Hamming distance up to which codes are near."""
 
     bits: int
     count: int
+    radius: int
+
+    @property
+    def words(self) -> int:
+        """64-bit words of a packed code."""
+        return -(-self.bits * self.count // 64)
+
+    def pack(self, signs: np.ndarray) -> np.ndarray:
+        """rows x words, the bits of each code packed."""
+        padded = np.zeros((len(signs), self.words * 64), dtype=bool)
+        padded[:, : signs.shape[1]] = signs
+        return np.packbits(padded, axis=1).view(np.uint64)
+
+    def keys(self, codes: np.ndarray) -> np.ndarray:
+        """rows x tables, the substring of each table as a number."""
+        bits = np.unpackbits(codes.view(np.uint8), axis=1, count=self.bits * self.count)
+        weights = 1 << np.arange(self.bits, dtype=np.int64)
+        return bits.reshape(len(codes), self.count, self.bits) @ weights
+
+    def unpack(self, column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), self.words)
+
+
+@dataclass(frozen=True)
+class Tables:
+    """The rotations, as many as the substrings need, and the layout of the codes they give."""
+
+    layout: Layout
     mean: np.ndarray
     rotation: np.ndarray  # dimension x (bits * count)
 
+    @property
+    def count(self) -> int:
+        return self.layout.count
+
+    def codes(self, vectors: np.ndarray) -> np.ndarray:
+        return self.layout.pack((vectors - self.mean) @ self.rotation >= 0)
+
     def keys(self, vectors: np.ndarray) -> np.ndarray:
-        """rows x tables, the substring of each table as a number."""
-        signs = (vectors - self.mean) @ self.rotation >= 0
-        weights = 1 << np.arange(self.bits, dtype=np.int64)
-        return signs.reshape(len(vectors), self.count, self.bits) @ weights
+        return self.layout.keys(self.codes(vectors))
 
 
 def learn_rotation(sample: np.ndarray, rounds: int, seed: int) -> np.ndarray:
@@ -91,14 +128,16 @@ def learn_tables(sample: np.ndarray, largest: int, search: Search) -> Tables:
     most = max(search.least_bits, min(40, ceil(log2(max(largest, 2) / search.bucket))))
     # Rare equal bits ask for many tables of long substrings; fewer, larger buckets may cost less.
     counts = {b: ceil(log(1 - search.recall) / log(1 - same**b)) for b in range(search.least_bits, most + 1)}
-    bits = min(counts, key=lambda b: counts[b] * (search.bucket + largest / 2**b))
+    bits = min(counts, key=lambda b: counts[b] * (search.row_cost + largest / 2**b))
     count = counts[bits]
+    length = bits * count
+    radius = ceil(length * (1 - same) + search.deviations * sqrt(length * same * (1 - same)))
     dimension = sample.shape[1]
     rotations = [
         learn_rotation(sample - mean, search.rounds, search.seed + k)
         for k in range(ceil(bits * count / dimension))
     ]
-    return Tables(bits, count, mean, np.concatenate(rotations, axis=1)[:, : bits * count])
+    return Tables(Layout(bits, count, radius), mean, np.concatenate(rotations, axis=1)[:, :length])
 
 
 def usable(embedding: Column) -> Column:
@@ -151,34 +190,64 @@ LINKS = "vec_id bigint, links bigint, linked_to bigint"
 _GROUP = ["label", "dimension", "table", "key", "low", "high"]
 
 
-def _link_rows(rows: pa.Table, starts: np.ndarray, least: float) -> pa.RecordBatch:
-    """Partial link counts of complete groups, whose rows lie together."""
-    tables, low = np.asarray(rows["table"]), np.asarray(rows["low"])
-    ids, copies = np.asarray(rows["vec_id"]), np.asarray(rows["copies"])
-    block = np.asarray(rows["block"])
-    ends = np.r_[starts[1:], len(rows)]
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for start, end in zip(starts.tolist(), ends.tolist()):
-        if end - start < 2:
-            continue
-        own = slice(start, end)
-        part = rows.slice(start, end - start).combine_chunks()
-        vectors = _unit(_vectors(part["embedding"].combine_chunks()))
-        keys = np.asarray(part["keys"].combine_chunks().flatten()).reshape(end - start, -1)
-        side = (block[own] != low[start]).astype(np.int8)
-        counts, reach = bucket_links(vectors, keys, copies[own], side, int(tables[start]), least)
-        linked = np.flatnonzero((reach != np.arange(len(reach))) | (counts > 0))
-        if len(linked):
-            found.append((ids[own][linked], counts[linked], ids[own][reach[linked]]))
-    columns = [np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3)]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["vec_id", "links", "linked_to"])
-
-
-def count_links(grouped: DataFrame, least: float) -> DataFrame:
-    """Run through sorted partitions and compare each bucket as soon as it is complete."""
+def near_codes(codes: np.ndarray, keys: np.ndarray, side: np.ndarray, table: int, radius: int) -> np.ndarray:
+    """Which codes of a bucket have a partner within the radius that they do not meet in an earlier table."""
+    distance = np.zeros((len(codes), len(codes)), dtype=np.uint16)
+    for word in codes.T:
+        distance += np.bitwise_count(word[:, None] ^ word[None, :])
+    near = np.triu(distance <= radius, 1)
+    if side.any() and not side.all():
+        near &= side[:, None] != side[None, :]
+    a, b = np.nonzero(near)
+    for earlier in range(table):
+        new = keys[a, earlier] != keys[b, earlier]
+        a, b = a[new], b[new]
+        if not len(a):
+            break
+    found = np.zeros(len(codes), dtype=bool)
+    found[a] = found[b] = True
+    return found
+
+
+def _buckets(rows: pa.Table, starts: np.ndarray, layouts: dict[int, Layout]):
+    """(rows, layout, codes, side, table) of each group with two rows or more; ``side`` as in ``bucket_links``."""
+    tables, low, block = (np.asarray(rows[c]) for c in ("table", "low", "block"))
+    sizes = np.asarray(rows["dimension"])
+    for start, end in zip(starts.tolist(), np.r_[starts[1:], len(rows)].tolist()):
+        if end - start > 1:
+            layout = layouts[int(sizes[start])]
+            codes = layout.unpack(rows["code"].slice(start, end - start))
+            side = (block[start:end] != low[start]).astype(np.int8)
+            yield slice(start, end), layout, codes, side, int(tables[start])
+
+
+def candidates(grouped: DataFrame, layouts: dict[int, Layout]) -> DataFrame:
+    """The rows of sorted buckets, without their codes, that have a near code beside them."""
 
     def work(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield _link_rows(rows, starts, least)
+        kept = np.zeros(len(rows), dtype=bool)
+        for own, layout, codes, side, table in _buckets(rows, starts, layouts):
+            kept[own] = near_codes(codes, layout.keys(codes), side, table, layout.radius)
+        yield from rows.drop_columns(["code"]).take(pa.array(np.flatnonzero(kept))).to_batches()
+
+    schema = grouped.drop("code").schema
+    return grouped.mapInArrow(complete_groups(_GROUP, work), schema)
+
+
+def count_links(grouped: DataFrame, layouts: dict[int, Layout], least: float) -> DataFrame:
+    """Partial link counts of sorted buckets of vectors, each compared as soon as it is complete."""
+
+    def work(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, copies = np.asarray(rows["vec_id"]), np.asarray(rows["copies"])
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for own, layout, codes, side, table in _buckets(rows, starts, layouts):
+            part = rows["embedding"].slice(own.start, own.stop - own.start).combine_chunks()
+            counts, reach = bucket_links(_unit(_vectors(part)), layout.keys(codes), copies[own], side, table, least)
+            linked = np.flatnonzero((reach != np.arange(len(reach))) | (counts > 0))
+            if len(linked):
+                found.append((ids[own][linked], counts[linked], ids[own][reach[linked]]))
+        columns = [np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["vec_id", "links", "linked_to"])
 
     return grouped.mapInArrow(complete_groups(_GROUP, work), LINKS)
 
@@ -191,19 +260,22 @@ def vector_classes(embeddings: DataFrame) -> DataFrame:
     )
 
 
-def _with_keys(classes: DataFrame, tables: dict[int, Tables]) -> DataFrame:
-    @F.arrow_udf("array<bigint>")
-    def keys(embeddings: pa.Array) -> pa.Array:
+def _with_codes(classes: DataFrame, tables: dict[int, Tables]) -> DataFrame:
+    """Add ``coded``: the packed code of each vector, and its keys."""
+    kind = pa.struct([("code", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+    @F.arrow_udf("code binary, keys array<bigint>")
+    def encode(embeddings: pa.Array) -> pa.Array:
         sizes = np.asarray(embeddings.value_lengths())
         out: list = [None] * len(embeddings)
         for size in np.unique(sizes):
-            rows = np.flatnonzero(sizes == size)
-            vectors = _unit(_vectors(embeddings.take(pa.array(rows))))
-            for row, key in zip(rows.tolist(), tables[int(size)].keys(vectors).tolist()):
-                out[row] = key
-        return pa.array(out, pa.list_(pa.int64()))
+            rows, of = np.flatnonzero(sizes == size), tables[int(size)]
+            codes = of.codes(_unit(_vectors(embeddings.take(pa.array(rows)))))
+            for row, code, key in zip(rows.tolist(), codes, of.layout.keys(codes).tolist()):
+                out[row] = {"code": code.tobytes(), "keys": key}
+        return pa.array(out, kind)
 
-    return classes.withColumn("keys", keys.asNondeterministic()(F.col("embedding")))
+    return classes.withColumn("coded", encode.asNondeterministic()(F.col("embedding")))
 
 
 def _learn(classes: DataFrame, search: Search) -> dict[int, Tables]:
@@ -230,13 +302,14 @@ def near_duplicates(embeddings: DataFrame, search: Search = Search()) -> DataFra
     of a label are searched once and count as links of each other. ``vec_id`` should be unique: rows that share one
     share their links. Other columns are dropped. An empty table gives an empty result.
     """
-    rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    rows = embeddings.select("vec_id", "embedding", "label")
     classes = materialize(vector_classes(rows), "vector-classes")
     tables = _learn(classes, search)
-    coded = materialize(_with_keys(classes, tables), "vector-codes")
+    layouts = {size: of.layout for size, of in tables.items()}
+    narrow = ["label", F.size("embedding").alias("dimension"), "vec_id", "coded"]
+    coded = materialize(_with_codes(classes, tables).select(*narrow), "vector-codes")
     spread = coded.select(
-        "label", F.size("embedding").alias("dimension"), "vec_id", "copies", "embedding", "keys",
-        F.posexplode("keys").alias("table", "key"),
+        "label", "dimension", "vec_id", F.col("coded.code").alias("code"), F.posexplode("coded.keys").alias("table", "key")
     )
     bucket = ["label", "dimension", "table", "key"]
     large = spread.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > search.block)
@@ -247,25 +320,33 @@ def near_duplicates(embeddings: DataFrame, search: Search = Search()) -> DataFra
     parted = parted.withColumn("_other", F.explode(F.expr("sequence(0, blocks - 1)")))
     paired = parted.select(
         *bucket, F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"),
-        "block", "vec_id", "copies", "embedding", "keys",
+        "block", "vec_id", "code",
+    )
+    met = candidates(paired.repartition(*_GROUP).sortWithinPartitions(*_GROUP), layouts)
+    originals = classes.select("vec_id", "copies", "embedding").join(
+        coded.select("vec_id", F.col("coded.code").alias("code")), "vec_id"
     )
-    grouped = paired.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    links = materialize(count_links(grouped, search.least_cosine), "vector-links")
+    fetched = materialize(met, "vector-candidates").join(originals, "vec_id")
+    grouped = fetched.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    links = materialize(count_links(grouped, layouts, search.least_cosine), "vector-links")
     counts = links.groupBy("vec_id").agg(F.sum("links").alias("links"))
     components = connected_components(links.select(F.col("vec_id").alias("a"), F.col("linked_to").alias("b")))
+    # Equal vectors find their class by 128 bits of hashes, so that no vector moves for it.
+    names = ["label", "_hash", "_other_hash"]
+    hashes = {"_hash": F.xxhash64("embedding"), "_other_hash": F.xxhash64(F.lit(search.seed), "embedding")}
     found = (
-        classes.join(counts, "vec_id", "left")
+        classes.withColumns(hashes).select("vec_id", "copies", *names).join(counts, "vec_id", "left")
         .join(components.withColumnRenamed("node", "vec_id"), "vec_id", "left")
         .select(
-            F.col("label").alias("_label"),
-            F.col("embedding").alias("_embedding"),
-            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
-            F.coalesce("component", "vec_id").alias("component"),
+            *names,
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"),
+            F.coalesce("component", "vec_id").alias("_component"),
         )
     )
-    match = (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding")) & F.col("vec_id").isNotNull()
-    return rows.join(found, match, "left").select(
+    searched = F.col("vec_id").isNotNull() & usable(F.col("embedding"))
+    keyed = rows.select("vec_id", *[F.when(searched, c).alias(n) for n, c in {"label": F.col("label"), **hashes}.items()])
+    return keyed.join(found, names, "left").select(
         "vec_id",
-        F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component_id"),
+        F.coalesce("_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.coalesce("_component", "vec_id").alias("component_id"),
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,7 +255,7 @@ def test_near_duplicates_equal_brute_force(spark):
     df = spark.createDataFrame(
         [(*r, 1) for r in rows], "vec_id bigint, embedding array<float>, label int, n_links int"
     ).repartition(4)
-    for search in (hamming.Search(recall=0.9999), hamming.Search(recall=0.9999, block=16)):
+    for search in (hamming.Search(recall=0.9999), hamming.Search(recall=0.9999, block=16), hamming.Search(recall=0.9999, row_cost=1, bucket=1)):
         found = hamming.near_duplicates(df, search).collect()
         assert len(found) == len(rows)
         got = {r.vec_id: r for r in found}
@@ -273,6 +274,36 @@ def test_near_duplicates_equal_brute_force(spark):
     assert hamming.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_codes_near_each_other_equal_brute_force():
+    draw = np.random.default_rng(8)
+    layout = hamming.Layout(bits=5, count=17, radius=20)
+    signs = draw.random((60, 85)) < 0.5
+    signs[30:] = signs[:30] ^ (draw.random((30, 85)) < 0.15)
+    codes = layout.pack(signs)
+    assert codes.shape == (60, 2) and (layout.unpack(pa.array([c.tobytes() for c in codes])) == codes).all()
+    keys = layout.keys(codes)
+    assert (keys[:, 3] == signs[:, 15:20] @ (1 << np.arange(5))).all()
+    for side in (np.zeros(60, np.int8), (np.arange(60) % 2).astype(np.int8)):
+        for table in (0, 1, 16):
+            expected = np.zeros(60, bool)
+            for a in range(60):
+                for b in range(60):
+                    meant = a != b and (not side.any() or side[a] != side[b])
+                    early = (keys[a, :table] == keys[b, :table]).any()
+                    if meant and not early and (signs[a] != signs[b]).sum() <= 20:
+                        expected[a] = True
+            assert (hamming.near_codes(codes, keys, side, table, 20) == expected).all()
+
+
+def test_equal_vectors_of_other_bits(spark):
+    """A negative zero equals zero, and a double vector is compared as it is."""
+    rows = [(1, [0.0, 1.0, 2.0], "x"), (2, [-0.0, 1.0, 2.0], "x"), (3, [0.0, 1.0, 2.0], "y"), (4, [0.0, 1.0, 2.0], None)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>, label string")
+        found = {r.vec_id: (r.n_links, r.component_id) for r in hamming.near_duplicates(df).collect()}
+        assert found == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
 def pairs_off_centre(pairs, squared_mean, seed):
     """Unit vectors, 2k and 2k + 1 at cosine 0.9301, whose mean has about the given squared length."""
     draw = np.random.default_rng(seed)
