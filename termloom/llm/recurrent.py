@@ -10,10 +10,8 @@ the weights are then averaged by tokens. Each training text is used in one of th
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 from math import log10
 
 import numpy as np
@@ -22,8 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm.hashed_words import Words, find_words, grouped_texts
+from termloom.llm.ragged import offsets
 from termloom.llm.sums import sum_over_partitions
-from termloom.llm.words import lower_words
 from termloom.storage import materialize
 
 END = b""  # the token after the last word of a text; no word is empty
@@ -64,50 +63,56 @@ class Network:
 TAILS = 3 * 9
 
 
-def tail_class(word: bytes) -> int:
-    """Class of a word by its spelling alone."""
-    length = 0 if len(word) <= 5 else 1 if len(word) <= 10 else 2
-    kind = 0 if word.isascii() else 1 + next(b for b in reversed(word) if b >= 128) % 8
-    return length * 9 + kind
+def tail_classes(words: Words) -> np.ndarray:
+    """Class of each word by its spelling alone."""
+    sizes, last = words.ends - words.starts, words.last_non_ascii().astype(np.int64)
+    kind = np.where(last > 0, 1 + last % 8, 0)
+    return ((sizes > 5).astype(np.int64) + (sizes > 10)) * 9 + kind
 
 
-def tail_classes(words: list[bytes]) -> np.ndarray:
-    """``tail_class`` of each word."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    classes = ((sizes > 5).astype(np.int32) + (sizes > 10)) * 9
-    for at in np.flatnonzero(~np.fromiter(map(bytes.isascii, words), bool, len(words))).tolist():
-        classes[at] = tail_class(words[at])
-    return classes
-
-
-_COUNTS = "word binary, c bigint"
-HELD_WORDS = 200_000
-# Rows looked up, and rows scored side by side, by a task.
-TOKEN_ROWS = 2_048
+_COUNTS = "word binary, hash bigint, tail int, c bigint"
+# Words, and bytes of words, that a task holds before it passes its counts on.
+HELD_WORDS, HELD_BYTES = 200_000, 1 << 26
+# Rows scored side by side by a task.
 SCORED_ROWS = 8_192
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, c) over all ``docs``; the end token is the empty word. Tasks add up before the shuffle."""
+    """(word, hash, tail, c) over all ``docs``; the end token is the empty word. Tasks add up before the shuffle."""
+    schema = pa.schema([("word", pa.binary()), ("hash", pa.int64()), ("tail", pa.int32()), ("c", pa.int64())])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[bytes, list[int]] = {}
+        ends = size = 0
 
         def taken() -> pa.RecordBatch:
-            columns = [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())]
-            seen.clear()
-            return pa.RecordBatch.from_arrays(columns, ["word", "c"])
+            columns = [list(seen), *zip(*seen.values())]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
         for batch in batches:
-            for item in batch.column(0):
-                seen.update(lower_words(item.as_py()))
-                seen[END] += 1
-                if len(seen) > HELD_WORDS:
+            for _, texts in grouped_texts(batch.column(0)):
+                words = find_words(texts)
+                ends += len(texts)
+                hashes, first, counts = np.unique(words.hashes, return_index=True, return_counts=True)
+                tails = tail_classes(words)[first]
+                rows = zip(words.of(first), hashes.view(np.int64).tolist(), tails.tolist(), counts.tolist())
+                for word, number, tail, count in rows:
+                    known = seen.get(word)
+                    if known is None:
+                        seen[word] = [number, tail, count]
+                        size += len(word)
+                    else:
+                        known[2] += count
+                if len(seen) > HELD_WORDS or size > HELD_BYTES:
                     yield taken()
+                    seen, size = {}, 0
+        if ends:
+            seen[END] = [0, 0, ends]
         if seen:
             yield taken()
 
-    return docs.select(text).mapInArrow(partial, _COUNTS).groupBy("word").agg(F.sum("c").alias("c"))
+    counted = docs.select(text).mapInArrow(partial, _COUNTS).groupBy("word")
+    return counted.agg(F.first("hash").alias("hash"), F.first("tail").alias("tail"), F.sum("c").alias("c"))
 
 
 @dataclass(frozen=True)
@@ -117,28 +122,23 @@ class Vocabulary:
     network: Network
     total: int
     distinct: int
-    listed: dict[bytes, int]  # word -> place in the two arrays that follow; the end token is the last
+    hashes: np.ndarray  # of the listed words, sorted
+    order: np.ndarray  # the place of each in the two arrays that follow; the end token is the last
     tokens: np.ndarray
     counts: np.ndarray
     token_counts: np.ndarray  # by token
     tail_words: np.ndarray  # distinct words of each tail class
 
-    def places(self, words: list[bytes]) -> np.ndarray:
+    def places(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each word among the listed ones, or -1."""
-        return np.fromiter(map(self.listed.get, words, repeat(-1)), np.int32, len(words))
-
-    def token_row(self, words: list[bytes], places: np.ndarray) -> np.ndarray:
-        """Tokens of a text, the end token last."""
-        row = np.empty(len(words) + 1, dtype=np.int32)
-        row[:-1] = self.tokens[places]
-        row[-1] = self.network.end
-        unlisted = np.flatnonzero(places < 0)
-        row[unlisted] = self.network.head + tail_classes([words[at] for at in unlisted.tolist()])
-        return row
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, dtype=np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.order[at], -1)
 
 
 def list_vocabulary(counts: DataFrame, network: Network) -> Vocabulary:
-    """Collect at most ``listed`` words: all down to some count, in steps of an eighth of a power of two."""
+    """Collect the hashes of at most ``listed`` words: all down to some count, in steps of an eighth of a power of two."""
     step = F.floor(F.log2("c") * 8).cast("int")
     sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()
     total, distinct = sum(r.c for r in sizes), sum(r.n for r in sizes)
@@ -148,36 +148,39 @@ def list_vocabulary(counts: DataFrame, network: Network) -> Vocabulary:
         if held > network.listed:
             break
         lowest = row.step
-    rows = counts.where(step >= lowest).collect()
-    words = sorted(((r.c, bytes(r.word)) for r in rows if bytes(r.word) != END), key=lambda x: (-x[0], x[1]))
+    is_end = F.col("word") == F.lit(bytearray(END))
+    listed = counts.where((step >= lowest) & ~is_end).select("hash", "tail", "c").collect()
+    words = sorted((-r.c, r.hash, r.tail) for r in listed)
     head = network.head
-    tokens = [k if k < head else head + tail_class(word) for k, (_, word) in enumerate(words)]
-    names = {word for _, word in words[:head]}
+    tokens = [k if k < head else head + tail for k, (_, _, tail) in enumerate(words)]
+    hashes = np.array([number for _, number, _ in words], dtype=np.int64).view(np.uint64)
+    names = hashes[:head].view(np.int64)
 
     def tails(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         sums = np.zeros((2, TAILS))
         for batch in batches:
-            for word, c in zip(batch["word"].to_pylist(), batch["c"].to_pylist()):
-                if word != END and word not in names:
-                    k = tail_class(word)
-                    sums[0, k] += c
-                    sums[1, k] += 1
+            outside = ~np.isin(np.asarray(batch["hash"]), names)
+            kinds = np.asarray(batch["tail"])[outside]
+            sums[0] += np.bincount(kinds, np.asarray(batch["c"])[outside], TAILS)
+            sums[1] += np.bincount(kinds, minlength=TAILS)
         return sums.ravel()
 
-    sums = sum_over_partitions(counts, tails)
+    sums = sum_over_partitions(counts.where(~is_end).select("hash", "tail", "c"), tails)
     tail_counts, tail_words = (np.zeros((2, TAILS)) if sums is None else sums.reshape(2, TAILS))
     token_counts = np.zeros(network.end + 1)
-    token_counts[: min(head, len(words))] = [c for c, _ in words[:head]]
+    token_counts[: min(head, len(words))] = [-c for c, _, _ in words[:head]]
     token_counts[head : network.end] = tail_counts
-    ends = counts.where(F.col("word") == F.lit(bytearray(END))).agg(F.sum("c")).first()[0]
+    ends = counts.where(is_end).agg(F.sum("c")).first()[0]
     token_counts[network.end] = ends or 0
+    order = np.argsort(hashes)
     return Vocabulary(
         network,
         total,
         distinct,
-        {word: k for k, (_, word) in enumerate(words)},
+        hashes[order],
+        order.astype(np.int32),
         np.array([*tokens, network.end], dtype=np.int32),
-        np.array([*[c for c, _ in words], ends or 0], dtype=np.int64),
+        np.array([*[-c for c, _, _ in words], ends or 0], dtype=np.int64),
         token_counts,
         tail_words,
     )
@@ -440,10 +443,11 @@ def token_rows(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> D
     """
     n = vocabulary.network
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.float64(),
-             pa.list_(pa.binary()), pa.list_(pa.int32())]
     names = [part.split()[0] for part in _TOKENS.split(", ")]
 
+    def lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets(sizes), pa.int32()), values)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         logs = np.log10(known.counts + SMOOTHING)
@@ -454,23 +458,34 @@ def token_rows(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> D
         below = np.concatenate([np.zeros(n.head), below, [0.0]])
         ends = int(known.counts[-1] > 0)
         row = TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for start in range(0, whole.num_rows, TOKEN_ROWS):
-                batch = whole.slice(start, TOKEN_ROWS)
-                out = []
-                for doc_id, held_out, part, item in zip(*[batch[c] for c in ("doc_id", "held_out", "part", text)]):
-                    words = lower_words(item.as_py())
-                    places = known.places(words)
-                    tokens = known.token_row(words, places)
-                    unlisted = Counter([words[k] for k in np.flatnonzero(places < 0).tolist()])
-                    places = np.append(places[places >= 0], len(logs) - 1)
-                    out.append(
-                        (row, doc_id.as_py(), held_out.as_py(), part.as_py(), tokens, len(places) - 1 + ends,
-                         float(logs[places].sum()), float(in_tail[places].sum() + below[tokens].sum()),
-                         list(unlisted), list(unlisted.values()))
-                    )
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        for batch in batches:
+            for start, texts in grouped_texts(batch[text]):
+                size, words = len(texts), find_words(texts)
+                places = known.places(words.hashes)
+                hit = places >= 0
+                tokens = np.where(hit, known.tokens[places], n.head + tail_classes(words)).astype(np.int32)
+                found, at = places[hit], words.text[hit]
+                per_text = np.bincount(words.text, minlength=size)
+                # Each text's words, then the end token.
+                flat = np.full(len(tokens) + size, n.end, dtype=np.int32)
+                flat[np.arange(len(tokens)) + words.text] = tokens
+                base = np.bincount(at, logs[found], size) + logs[-1]
+                model = np.bincount(at, in_tail[found], size) + np.bincount(words.text, below[tokens], size)
+                # The distinct words of each text that are not listed.
+                missed = np.flatnonzero(~hit)
+                missed = missed[np.lexsort((words.hashes[missed], words.text[missed]))]
+                whose, which = words.text[missed], words.hashes[missed]
+                new = np.flatnonzero(np.r_[True, (whose[1:] != whose[:-1]) | (which[1:] != which[:-1])][: len(missed)])
+                times = np.diff(np.r_[new, len(missed)]).astype(np.int32)
+                unlisted = np.bincount(whose[new], minlength=size)
+                kept = [batch[c].slice(start, size) for c in ("doc_id", "held_out", "part")]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row, row + size)), *kept, lists(per_text + 1, pa.array(flat)),
+                     pa.array(np.bincount(at, minlength=size) + ends), pa.array(base), pa.array(model),
+                     lists(unlisted, pa.array(words.of(missed[new]), pa.binary())), lists(unlisted, pa.array(times))],
+                    names,
+                )
+                row += size
 
     return materialize(docs.mapInArrow(run, _TOKENS), "tokens")
 

@@ -7,13 +7,14 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from termloom.llm import bpe, lengths, pii, repetition
-from termloom.llm.words import WORD, words
+from termloom.llm import bpe, hashed_words, lengths, pii, repetition
+from termloom.llm.words import WORD, lower_words, words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 # Null, empty, blank, repeated and very long texts, beside columns with the names of results.
@@ -328,3 +329,34 @@ def test_personal_data_of_documents(spark, texts):
     ]
     assert [r.text for r in ordered(pii.mask_personal_data(df))] == ["[email] [phone] and [ip]", None, ""]
     assert pii.add_personal_data(df.limit(0)).count() == 0
+
+
+# --- hashed words
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("aB é\t\n\x0b\r\x1c\x85  ߿x", max_size=30), max_size=6))
+def test_hashed_words_are_the_words(found):
+    got = hashed_words.find_words([t.encode() for t in found])
+    expected = [(k, w) for k, t in enumerate(found) for w in lower_words(t)]
+    assert list(zip(got.text.tolist(), got.of(np.arange(len(got.starts))))) == expected
+    by_hash = {}
+    for number, (_, word) in zip(got.hashes.tolist(), expected):
+        assert by_hash.setdefault(number, word) == word
+    assert len(by_hash) == len({w for _, w in expected})
+    assert got.last_non_ascii().tolist() == [next((b for b in reversed(w) if b >= 128), 0) for _, w in expected]
+
+
+def test_a_hash_does_not_depend_on_the_place(monkeypatch):
+    monkeypatch.setattr(hashed_words, "PIECE", 64)
+    hashed_words._powers.cache_clear()
+    draw = random.Random(2)
+    known = ["".join(draw.choices("abcdefé", k=draw.choice([1, 2, 5, 30, 63, 64, 65, 200]))).encode() for _ in range(300)]
+    alone = [int(hashed_words.find_words([w]).hashes[0]) for w in known]
+    text = b" ".join(known)
+    assert hashed_words.find_words([b"q", text, b""]).hashes[1:].tolist() == alone
+    column = pa.array([None, *map(bytes.decode, known), ""])
+    rows = [(start, len(texts)) for start, texts in hashed_words.grouped_texts(column)]
+    assert sum(n for _, n in rows) == 302 and rows[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:]))
+    hashed_words._powers.cache_clear()
+    assert hashed_words.find_words([]).hashes.tolist() == [] == hashed_words.find_words([b"", b" "]).hashes.tolist()
