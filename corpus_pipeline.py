@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termloom.functions.membership import mark_possible_members
 from termloom.llm import bpe, fourier, jaccard, mixing, pii
 from termloom.llm.queries import VOCABULARY, remainder, table
 from termloom.llm.words import WORD
@@ -39,15 +40,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Texts without words are in no group and stay. Rows are told apart by doc_id and text, so rows that
     share a doc_id, or have none, go only for what their own texts are. Of rows alike in both one stays.
     """
+    keys = ["doc_id", "_text"]
     copies = jaccard.near_copies(docs).where(~F.col("first"))
-    dropped = copies.select(F.col("doc_id").alias("_dropped"), F.col("text_hash").alias("_hash"))
+    dropped = copies.select("doc_id", F.col("text_hash").alias("_text"))
     hashed = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"))
-    match = F.col("doc_id").eqNullSafe(F.col("_dropped")) & (F.col("_text") == F.col("_hash"))
-    kept = hashed.join(dropped, match, "left_anti")
+    repeated = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
+    # Only rows that may be among these two are exchanged; the texts of all others stay where they are.
+    marked = mark_possible_members(hashed, dropped.union(repeated), keys, "_suspect")
+    gone = dropped.withColumnsRenamed({key: f"_gone{key}" for key in keys})
+    match = F.col("doc_id").eqNullSafe(F.col("_gonedoc_id")) & (F.col("_text") == F.col("_gone_text"))
+    kept = marked.where("_suspect").join(gone, match, "left_anti")
     wordless = F.when(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)), F.monotonically_increasing_id())
     same = Window.partitionBy("doc_id", "_text", "_alone").orderBy("doc_id")
     numbered = kept.withColumn("_alone", wordless).withColumn("_nth", F.row_number().over(same))
-    return numbered.where("_nth = 1").select(*COLUMNS)
+    alone = marked.where("not _suspect").select(*COLUMNS)
+    return alone.unionByName(numbered.where("_nth = 1").select(*COLUMNS))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -280,7 +280,8 @@ def analyze_pages(
         found = scored(tx.text_keywords(application, frozenset(stop_words), params), tx.KEYWORD_STRUCT, "keywords")
     else:
         listed = lexicon.where(~F.col("is_noun") & F.col("word").isNotNull())
-        non_nouns = listed.select(F.lower("word").alias("word")).distinct()
+        # Both forms read it.
+        non_nouns = materialize(listed.select(F.lower("word").alias("word")).distinct(), "lexicon")
         terms = scored(tx.text_contenders(application, frozenset(stop_words), params), tx.TERM_STRUCT, "terms")
         found = _settle_nouns(terms, carried, non_nouns, params)
     if huge is None:
