@@ -336,6 +336,9 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``encode_documents`` plus ``decoded_text``, what the tokens decode to."""
+    """``encode_documents`` plus ``decoded_text``, what the tokens decode to.
+
+    Columns called ``token_ids`` and ``decoded_text`` are replaced, and one called ``_both`` is dropped.
+    """
     both = docs.withColumn("_both", Tokenizer(docs.sparkSession, path).round_trip(F.col(text)))
     return both.withColumns({name: F.col(f"_both.{name}") for name in ("token_ids", "decoded_text")}).drop("_both")

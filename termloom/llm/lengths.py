@@ -11,7 +11,7 @@ from termloom.storage import materialize
 
 
 def token_lengths(docs: DataFrame, path: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
-    """Add the number of tokens of each text; null and empty texts have none."""
+    """Add the number of tokens of each text; null and empty texts have none. A column called ``name`` is replaced."""
     ids = Tokenizer(docs.sparkSession, path).encode(F.col(text))
     return docs.withColumn(name, F.size(ids).cast("bigint"))
 
@@ -52,13 +52,19 @@ def length_histogram(lengths: DataFrame, name: str = "n_tokens") -> DataFrame:
 
 
 def limit_answer(histogram: DataFrame, limit: int) -> DataFrame:
-    """One row for any context limit: documents within it, over it, and tokens after truncation."""
-    whole = F.sum(F.when(F.col("length") <= limit, F.col("length") * F.col("n_docs")).otherwise(0))
-    over = F.sum(F.when(F.col("length") > limit, F.col("n_docs")).otherwise(0))
-    return histogram.agg(
-        F.coalesce(F.sum("n_docs") - over, F.lit(0)).alias("docs_within"),
-        F.coalesce(over, F.lit(0)).alias("docs_over"),
-        F.coalesce(whole + over * limit, F.lit(0)).alias("tokens_cut"),
+    """One row for any context limit: documents within it, over it, and tokens after truncation.
+
+    The suffix sums of the greatest length within the limit hold the answer; below all lengths, nothing is within.
+    """
+    fitting = F.when(F.col("length") <= limit, F.col("length"))
+    row = F.max_by(F.struct("docs_within", "docs_over", "tokens_within"), fitting)
+    found = histogram.agg(row.alias("row"), F.max(F.col("docs_within") + F.col("docs_over")).alias("docs"))
+    zero = F.lit(0).cast("bigint")
+    over = F.coalesce("row.docs_over", "docs", zero)
+    return found.select(
+        F.coalesce("row.docs_within", zero).alias("docs_within"),
+        over.alias("docs_over"),
+        (F.coalesce("row.tokens_within", zero) + over * limit).alias("tokens_cut"),
     )
 
 

@@ -115,6 +115,9 @@ def test_length_histogram(spark, texts, library):
     assert lengths.quantile_length(histogram, 0.5).first().length == sorted(sizes)[3]
     assert lengths.length_histogram(counted.limit(0)).count() == 0
     assert lengths.limit_answer(lengths.length_histogram(counted.limit(0)), 5).first().tokens_cut == 0
+    few = lengths.length_histogram(spark.createDataFrame([(5,), (7,), (7,), (None,)], "n_tokens bigint"))
+    for limit, answer in {3: (0, 3, 9), 5: (1, 2, 15), 6: (1, 2, 17), 7: (3, 0, 19), 99: (3, 0, 19)}.items():
+        assert tuple(lengths.limit_answer(few, limit).first()) == answer
 
 
 # --- repetition
