@@ -10,6 +10,7 @@ the weights are then averaged by tokens. Each training text is used in one of th
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log10
@@ -70,49 +71,48 @@ def tail_classes(words: Words) -> np.ndarray:
     return ((sizes > 5).astype(np.int64) + (sizes > 10)) * 9 + kind
 
 
-_COUNTS = "word binary, hash bigint, tail int, c bigint"
-# Words, and bytes of words, that a task holds before it passes its counts on.
-HELD_WORDS, HELD_BYTES = 200_000, 1 << 26
+_COUNTS = "word binary, c bigint"
+# Words, and bytes of texts, that a task counts before it passes its counts on.
+HELD_WORDS, HELD_BYTES = 200_000, 1 << 27
 # Rows scored side by side by a task.
 SCORED_ROWS = 8_192
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, hash, tail, c) over all ``docs``; the end token is the empty word. Tasks add up before the shuffle."""
-    schema = pa.schema([("word", pa.binary()), ("hash", pa.int64()), ("tail", pa.int32()), ("c", pa.int64())])
+    """(word, c, hash, tail) over all ``docs``; the end token is the empty word. Tasks add up before the shuffle."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
-        ends = size = 0
+        seen: Counter = Counter()
+        size = 0
 
         def taken() -> pa.RecordBatch:
-            columns = [list(seen), *zip(*seen.values())]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            columns = [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())]
+            seen.clear()
+            return pa.RecordBatch.from_arrays(columns, ["word", "c"])
 
         for batch in batches:
-            for _, texts in grouped_texts(batch.column(0)):
-                words = find_words(texts)
-                ends += len(texts)
-                hashes, first, counts = np.unique(words.hashes, return_index=True, return_counts=True)
-                tails = tail_classes(words)[first]
-                rows = zip(words.of(first), hashes.view(np.int64).tolist(), tails.tolist(), counts.tolist())
-                for word, number, tail, count in rows:
-                    known = seen.get(word)
-                    if known is None:
-                        seen[word] = [number, tail, count]
-                        size += len(word)
-                    else:
-                        known[2] += count
+            for item in batch.column(0).cast(pa.binary()):
+                words = (item.as_py() or b"").lower()
+                size += len(words)
+                seen.update(words.split())
+                seen[END] += 1
                 if len(seen) > HELD_WORDS or size > HELD_BYTES:
                     yield taken()
-                    seen, size = {}, 0
-        if ends:
-            seen[END] = [0, 0, ends]
+                    size = 0
         if seen:
             yield taken()
 
-    counted = docs.select(text).mapInArrow(partial, _COUNTS).groupBy("word")
-    return counted.agg(F.first("hash").alias("hash"), F.first("tail").alias("tail"), F.sum("c").alias("c"))
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in grouped_texts(batch["word"]):
+                words = find_words(texts)  # one each, none of the end token
+                numbers, tails = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int32)
+                numbers[words.text], tails[words.text] = words.hashes.view(np.int64), tail_classes(words)
+                own = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(numbers), pa.array(tails)], ["word", "c", "hash", "tail"])
+
+    counted = docs.select(text).mapInArrow(partial, _COUNTS).groupBy("word").agg(F.sum("c").alias("c"))
+    return counted.mapInArrow(spelled, _COUNTS + ", hash bigint, tail int")
 
 
 @dataclass(frozen=True)
