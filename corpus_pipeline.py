@@ -46,7 +46,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     hashed = docs.select(*COLUMNS, F.xxhash64("text").alias("_text"))
     repeated = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
     # Only rows that may be among these two are exchanged; the texts of all others stay where they are.
-    marked = mark_possible_members(hashed, dropped.union(repeated), keys, "_suspect")
+    # The filter has some sixteen bits for each copy, and is 16 MB at most.
+    bits = min(27, max(18, dropped.count().bit_length() + 4))
+    marked = mark_possible_members(hashed, dropped.union(repeated), keys, "_suspect", bits)
     gone = dropped.withColumnsRenamed({key: f"_gone{key}" for key in keys})
     match = F.col("doc_id").eqNullSafe(F.col("_gonedoc_id")) & (F.col("_text") == F.col("_gone_text"))
     kept = marked.where("_suspect").join(gone, match, "left_anti")
