@@ -31,7 +31,8 @@ class Search:
     indexed. Buckets above ``block`` vectors are compared block by block in several tasks. Substrings are at
     most so long that the mean bucket of the largest label holds ``bucket`` codes; ``row_cost`` is what a row of
     a table costs, in comparisons of codes. A pair of just the least cosine is within the Hamming radius
-    unless its distance lies ``deviations`` above what is to expect.
+    unless its distance lies ``deviations`` above what is to expect; codes of ``code_bits`` bits at least tell
+    such pairs from others.
     """
 
     least_cosine: float = 0.93
@@ -44,21 +45,26 @@ class Search:
     seed: int = 5
     near: float = 0.01
     row_cost: int = 200
+    code_bits: int = 256
     deviations: float = 4.0
 
 
 @dataclass(frozen=True)
 class Layout:
-    """``count`` substrings of ``bits`` bits, and the Hamming distance up to which codes are near."""
+    """``count`` substrings of ``bits`` bits, and the Hamming distance up to which codes are near.
+
+    A code has ``length`` bits, of which the substrings are the first.
+    """
 
     bits: int
     count: int
     radius: int
+    length: int
 
     @property
     def words(self) -> int:
         """64-bit words of a packed code."""
-        return -(-self.bits * self.count // 64)
+        return -(-self.length // 64)
 
     def pack(self, signs: np.ndarray) -> np.ndarray:
         """rows x words, the bits of each code packed."""
@@ -82,7 +88,7 @@ class Tables:
 
     layout: Layout
     mean: np.ndarray
-    rotation: np.ndarray  # dimension x (bits * count)
+    rotation: np.ndarray  # dimension x length
 
     @property
     def count(self) -> int:
@@ -130,14 +136,14 @@ def learn_tables(sample: np.ndarray, largest: int, search: Search) -> Tables:
     counts = {b: ceil(log(1 - search.recall) / log(1 - same**b)) for b in range(search.least_bits, most + 1)}
     bits = min(counts, key=lambda b: counts[b] * (search.row_cost + largest / 2**b))
     count = counts[bits]
-    length = bits * count
+    length = max(bits * count, search.code_bits)
     radius = ceil(length * (1 - same) + search.deviations * sqrt(length * same * (1 - same)))
     dimension = sample.shape[1]
     rotations = [
         learn_rotation(sample - mean, search.rounds, search.seed + k)
-        for k in range(ceil(bits * count / dimension))
+        for k in range(ceil(length / dimension))
     ]
-    return Tables(Layout(bits, count, radius), mean, np.concatenate(rotations, axis=1)[:, :length])
+    return Tables(Layout(bits, count, radius, length), mean, np.concatenate(rotations, axis=1)[:, :length])
 
 
 def usable(embedding: Column) -> Column:
