@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from termloom.llm.ragged import offsets, ranges
 
@@ -41,7 +42,6 @@ NO_RANK = np.int32(2**31 - 1)
 CACHED_PIECES = 200_000
 CACHED_PIECE_CHARS = 64
 GROUP_BYTES = 1_000_000
-DECODED_ROWS = 256
 
 
 def _patterns() -> tuple[regex.Pattern, regex.Pattern]:
@@ -308,23 +308,6 @@ class Tokenizer:
 
         return decode(ids)
 
-    def round_trip(self, text: Column) -> Column:
-        """struct<token_ids, decoded_text>: both steps in one pass of the rows through Python."""
-        shared = self.shared
-
-        @F.arrow_udf("token_ids array<int>, decoded_text string")
-        def both(texts: pa.Array) -> pa.Array:
-            tokens, counts = _encode_batch(_encoder(shared), texts)
-            decoded, ends = [], offsets(counts)
-            for start in range(0, len(counts), DECODED_ROWS):
-                own = counts[start : start + DECODED_ROWS]
-                rows = tokens[ends[start] : ends[start + len(own)]]
-                decoded.append(pa.array(decode_tokens(shared.value, rows, own), pa.string()))
-            texts_back = pa.chunked_array(decoded, pa.string()).combine_chunks()
-            return pa.StructArray.from_arrays([_lists(tokens, counts), texts_back], ["token_ids", "decoded_text"])
-
-        return both.asNondeterministic()(text)
-
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """Add the tokens of ``text`` to every row; other columns pass unchanged, no row is lost.
@@ -340,5 +323,22 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     Columns called ``token_ids`` and ``decoded_text`` are replaced, and one called ``_both`` is dropped.
     """
-    both = docs.withColumn("_both", Tokenizer(docs.sparkSession, path).round_trip(F.col(text)))
-    return both.withColumns({name: F.col(f"_both.{name}") for name in ("token_ids", "decoded_text")}).drop("_both")
+    added = ("token_ids", "decoded_text")
+    kept = docs.drop(*added, "_both") if text not in added else docs.withColumnRenamed(text, "_text").drop(*added, "_both")
+    shared = Tokenizer(docs.sparkSession, path).shared
+    of = text if text not in added else "_text"
+    schema = StructType([*kept.schema.fields, StructField(added[0], ArrayType(IntegerType())), StructField(added[1], StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A slice of texts at a time goes back, so that a task holds the tokens of one slice only.
+        for batch in batches:
+            start = 0
+            for group in _slices(batch[of]):
+                own = batch.slice(start, len(group))
+                start += len(group)
+                tokens, counts = _encode_batch(_encoder(shared), own[of])
+                back = pa.array(decode_tokens(shared.value, tokens, counts), pa.string())
+                yield pa.RecordBatch.from_arrays([*own.columns, _lists(tokens, counts), back], schema.fieldNames())
+
+    done = kept.mapInArrow(run, schema)
+    return done if of == text else done.drop(of)
