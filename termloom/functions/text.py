@@ -2,7 +2,8 @@
 
 A page's terms depend on nothing but the page, so no shuffle is needed to rank them: the page's
 word occurrences become an array, equal terms are brought together by sorting that array, and the
-best runs are kept. Memory is bounded by one page, and nothing spills.
+best runs are kept. Memory is bounded by one page, and nothing spills. Whole tables are scored by
+``functions/scoring.py``, which does the same for many pages at once; tests hold both to one definition.
 
 Every step takes its input as a lambda argument (see ``let``). An expression that named a column
 from inside a lambda could be re-evaluated per element once the optimizer inlines that column.
@@ -11,7 +12,7 @@ from inside a lambda could be re-evaluated per element once the optimizer inline
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import lru_cache, reduce
+from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column
@@ -261,18 +262,5 @@ def page_keywords(
 TERM_STRUCT = "array<struct<order:bigint,n:int,at:int,term:string,bonus:bigint>>"
 
 
-@lru_cache(maxsize=32)
-def text_keywords(application: str, stop_words: frozenset[str], params: Params) -> Column:
-    """``page_keywords`` of the column ``text``; building it takes thousands of calls to the JVM."""
-    return page_keywords(F.col("text"), stop_words, (), params).cast(KEYWORD_STRUCT)
-
-
-@lru_cache(maxsize=32)
-def text_contenders(application: str, stop_words: frozenset[str], params: Params) -> Column:
-    """``contending_terms`` of the column ``text``."""
-    terms = page_terms(F.col("text"), stop_words, (), params, lambda t: contending_terms(t, params))
-    return terms.cast(TERM_STRUCT)
-
-
 def collapse_white_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITE_SPACE, " "))

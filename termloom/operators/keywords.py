@@ -11,7 +11,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.functions import scoring
 from termloom.functions import text as tx
+from termloom.functions.membership import mark_possible_members
 from termloom.operators.content import gate_content, succeeded
 from termloom.params import DEFAULT_PARAMS, Params
 from termloom.storage import materialize
@@ -20,6 +22,8 @@ from termloom.vocab import STOP_WORDS
 # Columns of the input that tell a page's size without its text. They route pages only.
 SIZE_HINTS = ("size_hint", "html_chars")
 SPACE = " "
+# Chunks are counted together in one row up to about so many characters.
+PART_CHARS = 1_000_000
 
 
 def _rows(df: DataFrame, array: Column, *columns: str) -> DataFrame:
@@ -35,10 +39,22 @@ def page_words(
     texts: DataFrame, stop_words: Iterable[str] = STOP_WORDS, params: Params = DEFAULT_PARAMS
 ) -> DataFrame:
     """``(ord, pos, token)``: every usable word with its index in the unfiltered token list."""
-    words = tx.kept_words(F.col("text"), stop_words, params)
+    words = scoring.kept_column(F.lower("text"), stop_words, params)
     return _rows(texts, words, "ord").select("ord", F.col("e.pos").alias("pos"), F.col("e.word").alias("token"))
 
 
+def _by_key(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(ord, text)`` of the pages that have an ``ord`` of their own, and of the others.
+
+    Equal keys, and null ones, are found on the keys alone; a filter of them then divides the pages inside the
+    scan, so no text moves. Chance may put a page with the others, whose form is right for it, too.
+    """
+    shared = texts.groupBy("ord").agg(F.count(F.lit(1)).alias("_pages"))
+    shared = shared.where((F.col("_pages") > 1) | F.col("ord").isNull())
+    marked = mark_possible_members(texts.select("ord", "text"), shared.select("ord"), ["ord"], "_shared")
+    return tuple(marked.where(is_).select("ord", "text") for is_ in (~F.col("_shared"), F.col("_shared")))
+
+
 def term_counts(
     texts: DataFrame,
     stop_words: Iterable[str] = STOP_WORDS,
@@ -47,8 +63,24 @@ def term_counts(
 ) -> DataFrame:
     """``(ord, term, n, tenths, count, first_pos)``: every word and every supported phrase.
 
-    The relational form of the scoring: terms become rows and can spill. The words of a page are one
-    array still, so a page must fit a task's memory (``chunked_term_counts`` cuts larger ones).
+    A page's terms are counted inside its own row and then become rows, so neither text nor terms are
+    exchanged, and a page must fit a task's memory (``chunked_term_counts`` cuts larger ones). Pages that share
+    an ``ord`` count as one; only these are exchanged.
+    """
+    own, shared = _by_key(texts)
+    counted = scoring.scored_column(
+        F.lower("text"), scoring.counted_rows, scoring.COUNTED, stop_words, tuple(non_nouns), params
+    )
+    counts = _rows(own, counted, "ord").select("ord", "e.*")
+    found = counts.withColumn("first_pos", F.col("first_pos").cast("int"))
+    return found.unionByName(_term_counts_by_key(shared, stop_words, non_nouns, params))
+
+
+def _term_counts_by_key(
+    texts: DataFrame, stop_words: Iterable[str], non_nouns: Iterable[str], params: Params
+) -> DataFrame:
+    """``term_counts`` with the pages of equal ``ord`` as one: terms become rows, are grouped and can spill.
+
     The text is partitioned by page before it is exploded; that exchange moves text, not terms, and
     serves the grouping and the ranking after it.
     """
@@ -86,21 +118,22 @@ def _count_terms(chained: DataFrame, non_nouns: Iterable[str], params: Params) -
             )
         ).alias("t"),
     ).select("ord", "at", "t.*")
+    named = terms.where(F.col("term").isNotNull()).withColumnRenamed("at", "first_pos")
+    return _supported(_sums(named, F.count(F.lit(1))), params)
+
+
+def _sums(terms: DataFrame, count: Column) -> DataFrame:
+    sums = [F.sum("tenths").alias("tenths"), count.alias("count"), F.min("first_pos").alias("first_pos")]
+    return terms.groupBy("ord", "n", "term").agg(*sums).select("ord", "term", "n", "tenths", "count", "first_pos")
+
+
+def _supported(counts: DataFrame, params: Params) -> DataFrame:
+    """Words, and the phrases that occur often enough."""
     n, count = F.col("n"), F.col("count")
-    return (
-        terms.where(F.col("term").isNotNull())
-        .groupBy("ord", "n", "term")
-        .agg(
-            F.sum("tenths").alias("tenths"),
-            F.count(F.lit(1)).alias("count"),
-            F.min("at").alias("first_pos"),
-        )
-        .where(
-            (n == 1)
-            | ((n == 2) & (count >= params.bigram_min_freq))
-            | ((n == 3) & (count >= params.trigram_min_freq))
-        )
-        .select("ord", "term", "n", "tenths", "count", "first_pos")
+    return counts.where(
+        (n == 1)
+        | ((n == 2) & (count >= params.bigram_min_freq))
+        | ((n == 3) & (count >= params.trigram_min_freq))
     )
 
 
@@ -109,13 +142,61 @@ def chunked_term_counts(
     stop_words: Iterable[str] = STOP_WORDS,
     non_nouns: Iterable[str] = (),
     params: Params = DEFAULT_PARAMS,
+    rows: scoring.Rows = scoring.counted_rows,
 ) -> DataFrame:
     """``term_counts`` for pages larger than a task should hold.
 
-    A text is cut into chunks that end with a token, and the chunks are dealt over the tasks. A window over
-    one narrow row per chunk carries on what is local to it: the tokens and words before it, and the next two
-    words after it, which phrases across the seam need. A word's terms then group by term, not by page.
+    A text is cut into chunks that end with a token. Neighbouring chunks of about ``PART_CHARS`` characters form
+    a part, in whose row the terms of its chunks are counted: the places of tokens and words are carried from
+    chunk to chunk, and phrases lie across the seams. A page of one part is then done; ``rows`` may keep the terms
+    that matter of it. The parts of a larger one are dealt over the tasks, and a window over one narrow row
+    per part carries on what is local to it: the tokens and words before it, and the next two words after it, which
+    phrases across the seam need. Its terms then group by term, not by page.
+
+    Pages that share an ``ord``, or have none, take the form that groups by ``ord`` throughout.
     """
+    plain = tuple(non_nouns)
+    own, shared = _by_key(texts)
+    per = max(1, PART_CHARS // params.chunk_chars)
+    cut = own.select("ord", tx.text_chunks(F.col("text"), params.chunk_chars).alias("chunks"))
+    small = F.size("chunks") <= per
+    counted = scoring.scored_column(F.col("chunks"), rows, scoring.COUNTED, stop_words, plain, params)
+    whole = _rows(cut.where(small), counted, "ord").select("ord", "e.*")
+
+    places = F.sequence(F.lit(0), F.floor((F.size("chunks") - 1) / per).cast("int"))
+    parts = F.transform(places, lambda i: F.slice("chunks", i * per + 1, per))
+    dealt = cut.where(~small).select("ord", F.posexplode(parts).alias("part", "chunks")).repartition("ord", "part")
+    sizes = dealt.select("ord", "part", scoring.sizes_column(F.col("chunks"), stop_words, params).alias("s"))
+    in_order = Window.partitionBy("ord").orderBy("part")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.select("ord", "part", "s.*").withColumns(
+        {
+            "pos_before": F.coalesce(F.sum("tokens").over(before), F.lit(0)),
+            "at_before": F.coalesce(F.sum("kept").over(before), F.lit(0)),
+        }
+    ).where("kept > 0")
+    # A part left has a word at least, so the heads of two hold the next two words.
+    none = F.array().cast("array<string>")
+    heads = [F.coalesce(F.lead("head", k).over(in_order), none) for k in (1, 2)]
+    seams = placed.select("ord", "part", "pos_before", "at_before", F.slice(F.concat(*heads), 1, 2).alias("after"))
+    joined = dealt.join(seams, ["ord", "part"])
+    of_part = scoring.part_column(
+        F.concat("chunks", "after"),
+        (F.col("pos_before"), F.col("at_before")),
+        F.size("after").cast("bigint"),
+        stop_words,
+        plain,
+        params,
+    )
+    terms = _rows(joined, of_part, "ord").select("ord", "e.*")
+    found = _supported(_sums(terms, F.sum("count")), params)
+    return whole.unionByName(found).unionByName(_chunked_counts_by_key(shared, stop_words, plain, params))
+
+
+def _chunked_counts_by_key(
+    texts: DataFrame, stop_words: Iterable[str], non_nouns: Iterable[str], params: Params
+) -> DataFrame:
+    """``chunked_term_counts`` by way of one row per word and phrase; chunks and terms are told apart by ``ord``."""
     cut = F.posexplode(tx.text_chunks(F.col("text"), params.chunk_chars)).alias("chunk", "text")
     dealt = texts.select("ord", cut).repartition("ord", "chunk")
     found = dealt.select("ord", "chunk", tx.counted_words(F.col("text"), stop_words, params).alias("found"))
@@ -205,7 +286,9 @@ def _keywords_by_rows(
     params: Params,
 ) -> DataFrame:
     """The answer of ``analyze_pages`` by way of ``chunked_term_counts``."""
-    counts = chunked_term_counts(pages.where(succeeded()), stop_words, (), params)
+    # Of a page whose terms are counted in one row, those that cannot be among the best go no further.
+    rows = scoring.counted_best if non_nouns is None else scoring.counted_contenders
+    counts = chunked_term_counts(pages.where(succeeded()), stop_words, (), params, rows)
     if non_nouns is not None:
         counts = take_noun_bonus(counts, non_nouns, params)
     # At most max_keywords structs per page are gathered.
@@ -267,22 +350,22 @@ def analyze_pages(
     """
     gated = gate_content(texts, params)
     carried = [c for c in gated.columns if c not in ("text", *SIZE_HINTS)]
-    application = texts.sparkSession.sparkContext.applicationId
     huge = None if params.in_row_max_chars is None else _is_huge(gated, params)
     in_row = gated if huge is None else gated.where(~huge)
 
-    def scored(column: Column, kind: str, name: str) -> DataFrame:
-        filled = F.when(succeeded(), column).otherwise(F.array().cast(kind))
-        return in_row.select(*carried, filled.alias(name))
+    def scored(rows: scoring.Rows, kind: str, name: str) -> DataFrame:
+        text = F.when(succeeded(), F.lower("text"))
+        found = scoring.scored_column(text, rows, kind, stop_words, (), params)
+        return in_row.select(*carried, found.alias(name))
 
     non_nouns = None
     if lexicon is None:
-        found = scored(tx.text_keywords(application, frozenset(stop_words), params), tx.KEYWORD_STRUCT, "keywords")
+        found = scored(scoring.best_rows, tx.KEYWORD_STRUCT, "keywords")
     else:
         listed = lexicon.where(~F.col("is_noun") & F.col("word").isNotNull())
         # Both forms read it.
         non_nouns = materialize(listed.select(F.lower("word").alias("word")).distinct(), "lexicon")
-        terms = scored(tx.text_contenders(application, frozenset(stop_words), params), tx.TERM_STRUCT, "terms")
+        terms = scored(scoring.contending_rows, tx.TERM_STRUCT, "terms")
         found = _settle_nouns(terms, carried, non_nouns, params)
     if huge is None:
         return found

@@ -1,6 +1,7 @@
 import random
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from plain_scoring import kept, ranked_keywords
 from termloom.operators import content
 from termloom.operators import keywords as kw
 from termloom.params import Params
+from termloom.vocab import STOP_WORDS
 
 OPEN = Params(min_content_chars=0)
 BY_ROWS = replace(OPEN, in_row_max_chars=-1)
@@ -191,3 +193,63 @@ def test_pages_are_scored_without_an_exchange(spark):
     )
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ReadSchema: struct<ord:bigint,text:string>" in plan
+
+
+def test_term_counts_exchange_no_terms(spark):
+    """Words and phrases are counted in the page's row: what is exchanged are keys, and pages that share one."""
+    texts = CASES + random_texts(9, 20)
+    counts = kw.term_counts(texts_frame(spark, texts), params=OPEN)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    of_terms = [line for line in plan.splitlines() if "Aggregate [ord" in line and "term" in line]
+    assert len(of_terms) == 1 and "ArrowEvalPython" in plan
+    found = {}
+    for r in counts.collect():
+        found.setdefault(r.ord, set()).add((r.term, r.n, (r.tenths + 5) // 10, r.first_pos))
+    params = replace(OPEN, max_keywords=10**6)
+    for i, text in enumerate(texts):
+        assert found.get(i, set()) == {(k, n, score, at) for k, n, score, _, at in ranked_keywords(text or "", params=params)}
+
+
+@pytest.mark.parametrize("count", [kw.term_counts, kw.chunked_term_counts])
+def test_pages_that_share_a_key_count_as_one(spark, count):
+    rows = [(1, "visa fee work"), (1, "permit visa fee"), (2, "visa fee"), (None, "alpha beta alpha beta"), (3, None)]
+    df = spark.createDataFrame(rows, "ord bigint, text string")
+    found = {(r.ord, r.term): (r["count"], r.first_pos) for r in count(df, params=OPEN).collect()}
+    assert found[2, "visa"] == (1, 0) and (2, "visa fee") not in found
+    if count is kw.term_counts:
+        assert found[1, "visa"] == (2, 0) and found[1, "visa fee"] == (2, 0) and found[1, "permit"] == (1, 0)
+        assert found[None, "alpha beta"] == (2, 0)
+
+
+@pytest.mark.parametrize("part_chars", [1, 30, 200])
+def test_phrases_across_parts(spark, monkeypatch, part_chars):
+    """Chunks are counted by parts of a page; places and phrases go on across the seams of both."""
+    monkeypatch.setattr(kw, "PART_CHARS", part_chars)
+    texts = CASES + random_texts(10, 25)
+    lexicon = spark.createDataFrame([("visa", False), ("work", False)], "word string, is_noun boolean")
+    for words, plain in ((None, ()), (lexicon, {"visa", "work"})):
+        found = answers(kw.extract_keywords(texts_frame(spark, texts), lexicon=words, params=BY_CHUNKS))
+        assert found == {i: k for i, t in enumerate(texts) if (k := ranked_keywords(t or "", plain))}
+
+
+def test_by_chunks_exchanges_the_best_terms_only(spark):
+    """Of a page of one part no more terms are exchanged than may be among its best."""
+    _, texts = many_words(11)
+    params = replace(BY_CHUNKS, max_keywords=5)
+    counts = kw.chunked_term_counts(texts_frame(spark, texts), (), (), params, kw.scoring.counted_best)
+    assert counts.groupBy("ord").count().agg(F.max("count")).first()[0] == 5
+
+
+def test_pieces_of_a_batch(monkeypatch):
+    """The numbers of a batch are made piece by piece; where it is cut does not matter."""
+    texts = pa.array([t.lower() if t is not None else None for t in CASES + random_texts(12)])
+    stop, none = pa.array(sorted(STOP_WORDS)), pa.array([], pa.string())
+    for size in (1, 300, 1 << 20):
+        monkeypatch.setattr(kw.scoring, "PIECE_BYTES", size)
+        found = []
+        for begin, piece in kw.scoring.pieces(texts):
+            assert begin == len(found)
+            words = kw.scoring.find_words(piece, stop, OPEN)
+            found += kw.scoring.best_rows(words, kw.scoring.count_terms(words, none, OPEN), len(piece), OPEN).to_pylist()
+        for text, keywords in zip(texts.to_pylist(), found, strict=True):
+            assert [tuple(k.values()) for k in keywords] == ranked_keywords(text or "")
