@@ -13,6 +13,7 @@ from termloom.functions.joins import join_on, join_to_groups
 from termloom.functions.ranking import number_slices, sort_into_slices
 from termloom.functions.text import let
 from termloom.operators.keywords import keywords
+from termloom.storage import materialize
 from termloom.vocab import FALLBACK_TOPIC, TOPIC_SEEDS
 
 @dataclass(frozen=True)
@@ -106,10 +107,13 @@ def assign_topics_by_table(
 
     Distinct keywords, which are short, are cut into parts that meet the seeds in one equi-join; the first
     topic in order is kept. Only parts as long as some seed are made: substrings by their characters, or
-    for ``match="word"`` runs of whole words by their words. Null seeds match nothing.
+    for ``match="word"`` runs of whole words by their words. Null seeds match nothing. Both tables are read
+    several times and may be the end of a long job, so they are stored first.
     """
     if match not in ("substring", "word"):
         raise ValueError("match is 'substring' or 'word'")
+    keyword_rows = materialize(keyword_rows, "keywords")
+    seeds = materialize(seeds.select("topic_order", "topic", "seed"), "seeds")
     cut, length = (_substrings, F.length("seed")) if match == "substring" else (_word_runs, F.size(F.split("seed", " ")))
     lengths = seeds.where(F.col("seed").isNotNull()).agg(F.collect_set(length)).scalar()
     names = keyword_rows.select("keyword").where(F.col("keyword").isNotNull()).distinct()
@@ -118,7 +122,7 @@ def assign_topics_by_table(
         "keyword", F.explode(F.array_distinct(cut(F.col("_lower"), F.col("_lengths")))).alias("seed")
     )
     first = (
-        parts.join(seeds.select("topic_order", "topic", "seed"), "seed")
+        parts.join(seeds, "seed")
         .groupBy("keyword")
         .agg(F.min(F.struct("topic_order", "topic")).alias("_first"))
     )
