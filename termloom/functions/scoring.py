@@ -214,17 +214,20 @@ def best_rows(words: Words, terms: Terms, pages: int, params: Params) -> pa.Arra
     chosen, rank = _best_first(terms, terms.order)
     kept = rank < params.max_keywords
     chosen, rank = chosen[kept], rank[kept]
-    return _listed(
-        terms.page[chosen],
-        pages,
-        {
-            "keyword": term_names(words, terms, chosen),
-            "n": pa.array(terms.n[chosen], pa.int32()),
-            "score": pa.array((5 - terms.order[chosen]) // 10, pa.int64()),
-            "rank": pa.array(rank + 1, pa.int32()),
-            "first_pos": pa.array(terms.at[chosen], pa.int32()),
-        },
-    )
+    return _ranked(terms.page[chosen], pages, term_names(words, terms, chosen), terms.n[chosen], terms.order[chosen], rank, terms.at[chosen])
+
+
+def _ranked(
+    page: np.ndarray, pages: int, names: pa.Array, n: np.ndarray, order: np.ndarray, rank: np.ndarray, at: np.ndarray
+) -> pa.Array:
+    columns = {
+        "keyword": names,
+        "n": pa.array(n, pa.int32()),
+        "score": pa.array((5 - order) // 10, pa.int64()),
+        "rank": pa.array(rank + 1, pa.int32()),
+        "first_pos": pa.array(at, pa.int32()),
+    }
+    return _listed(page, pages, columns)
 
 
 def _contending(terms: Terms, params: Params, loss: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,6 +320,26 @@ def scored_column(
     return scored(lower)
 
 
+def settled_column(terms: Column, plain: Column, kind: str, params: Params) -> Column:
+    """Each page's best terms, ranked, of its ``contending_rows`` once the words in ``plain`` lost their bonus."""
+
+    @F.arrow_udf(kind)
+    def settled(terms: pa.Array, plain: pa.Array) -> pa.Array:
+        pages = len(terms)
+        page, plain_page = (np.repeat(np.arange(pages), np.asarray(pc.list_value_length(x))) for x in (terms, plain))
+        order, n, at, names, bonus = terms.flatten().flatten()
+        code = pa.concat_arrays([names, plain.flatten()]).dictionary_encode()
+        listed, code = max(len(code.dictionary), 1), np.asarray(code.indices, dtype=np.int64)
+        is_plain = np.isin(page * listed + code[: len(page)], plain_page * listed + code[len(page) :])
+        found = Terms(page, np.asarray(n), np.asarray(order) + np.where(is_plain, np.asarray(bonus), 0), np.asarray(at), page, page)
+        chosen, rank = _best_first(found, found.order)
+        kept = rank < params.max_keywords
+        chosen, rank = chosen[kept], rank[kept]
+        return _ranked(page[chosen], pages, names.take(pa.array(chosen)), found.n[chosen], found.order[chosen], rank, found.at[chosen])
+
+    return settled(terms, plain)
+
+
 def part_column(
     chunks: Column,
     before: tuple[Column, Column],

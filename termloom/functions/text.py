@@ -230,16 +230,6 @@ def contending_terms(terms: Column, params: Params) -> Column:
     )
 
 
-def without_bonus(terms: Column, plain: Column) -> Column:
-    """``terms`` after the words listed in the array ``plain`` lost their bonus."""
-
-    def settled(t: Column) -> Column:
-        lost = F.when((t["bonus"] > 0) & F.array_contains(plain, t["term"]), t["bonus"]).otherwise(F.lit(0))
-        return F.struct((t["order"] + lost).alias("order"), t["n"], t["at"], t["term"], t["bonus"])
-
-    return F.transform(terms, settled)
-
-
 def page_terms(
     text: Column, stop_words: Iterable[str], non_nouns: Iterable[str], params: Params, body: Callable[[Column], Column]
 ) -> Column:

@@ -312,9 +312,8 @@ def _settle_nouns(contenders: DataFrame, carried: list[str], non_nouns: DataFram
     words = _rows(stored, F.filter("terms", lambda t: t["bonus"] > 0), "ord").select("ord", F.col("e.term").alias("word"))
     listed = words.join(non_nouns, "word", "left_semi")
     plain = listed.groupBy("ord").agg(F.collect_list("word").alias("plain"))  # at most a page's contenders
-    lists = F.struct(F.col("terms").alias("terms"), F.coalesce("plain", F.array().cast("array<string>")).alias("plain"))
-    settled = tx.let(lists, lambda both: tx.without_bonus(both["terms"], both["plain"]))
-    best = tx.best_terms(settled, params).cast(tx.KEYWORD_STRUCT)
+    none = F.array().cast("array<string>")
+    best = scoring.settled_column(F.col("terms"), F.coalesce("plain", none), tx.KEYWORD_STRUCT, params)
     return stored.join(plain, "ord", "left").select(*carried, best.alias("keywords"))
 
 
