@@ -16,6 +16,7 @@ from termloom.functions.text import let
 from termloom.operators.aggregate import common_keywords, common_lists, with_stats
 from termloom.operators.content import succeeded
 from termloom.params import DEFAULT_PARAMS, Params
+from termloom.storage import materialize
 from termloom.vocab import GAP_SECTIONS, PAGE_SECTION
 
 
@@ -73,6 +74,16 @@ def gap_long_tail(
     )
 
 
+def _lists_of_groups(totals: DataFrame, stats: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``common_lists``, stored where there are groups.
+
+    The size of the table is then known before the pages are read, and a small one goes to all tasks: pages
+    are not exchanged by group, where the largest group would be one task.
+    """
+    lists = common_lists(totals, stats, group)
+    return materialize(lists, "lists") if group else lists
+
+
 def _page_names() -> Column:
     return F.transform("keywords", lambda k: k["keyword"])
 
@@ -110,7 +121,7 @@ def gap_semantic(
     page, of its common and its other keywords, and are combined before they are shuffled.
     """
     group = list(group_cols)
-    lists = common_lists(totals, stats, group)
+    lists = _lists_of_groups(totals, stats, group)
     names = ["shared", "common", "processed_urls"]
     pages = with_stats(analysis.where(succeeded()), lists, names, group)
     words = pages.select(
@@ -166,7 +177,7 @@ def gap_missing(
 
     The bounded list of common keywords stands beside each page and loses what the page has.
     """
-    lists = common_lists(totals, stats, group_cols)
+    lists = _lists_of_groups(totals, stats, group_cols)
     pages = with_stats(analysis.where(succeeded()), lists, ["common"], group_cols)
     lacks = _common_of_page(present=False)
     return (

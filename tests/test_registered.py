@@ -1,5 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
+import re
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
@@ -35,3 +37,9 @@ def test_texts_are_read_once(spark, name):
     """The texts were read for the stored page table; the query itself reads that table only."""
     plan = QUERIES[name](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
     assert "/documents.parquet" not in plan
+
+
+def test_pages_meet_the_lists_of_their_group_without_an_exchange(spark):
+    """The lists of common keywords are small and of known size, so pages are not gathered by lang."""
+    plan = QUERIES["gap_semantic_by_lang"](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(coalesce\(lang#\d+, \), isnull\(lang#\d+\), \d+\)", plan)
