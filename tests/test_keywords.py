@@ -253,3 +253,30 @@ def test_pieces_of_a_batch(monkeypatch):
             found += kw.scoring.best_rows(words, kw.scoring.count_terms(words, none, OPEN), len(piece), OPEN).to_pylist()
         for text, keywords in zip(texts.to_pylist(), found, strict=True):
             assert [tuple(k.values()) for k in keywords] == ranked_keywords(text or "")
+
+
+def test_terms_are_sorted_as_one_number(monkeypatch):
+    """What terms are ranked and grouped by is one number; where 63 bits do not hold it, several give the same order."""
+    texts = pa.array([t.lower() if t is not None else None for t in CASES + random_texts(13)])
+    stop, none = pa.array(sorted(STOP_WORDS)), pa.array([], pa.string())
+    words = kw.scoring.find_words(texts, stop, OPEN)
+    terms = kw.scoring.count_terms(words, none, OPEN)
+    several = kw.scoring._best_first(replace(terms, at=terms.at << 40), terms.order)
+    with monkeypatch.context() as patched:
+        patched.setattr(kw.scoring.np, "lexsort", None)
+        one = kw.scoring._best_first(terms, terms.order)
+    assert all((a == b).all() for a, b in zip(one, several, strict=True))
+    key = words.page * len(words.names) + words.code
+    narrow, wide = kw.scoring._grouped(key), kw.scoring._grouped(key << 45)
+    assert all((a == b).all() for a, b in zip(narrow, wide, strict=True))
+
+
+def test_words_next_to_other_characters():
+    """Words end where a chunk does, and at a character of two bytes that is no letter."""
+    lists = pa.array([["visa", "fee"], None, [], ["я", "visa"], ["", "fee", "éwork"]], pa.list_(pa.string()))
+    found = kw.scoring.find_words(lists, pa.array([], pa.string()), OPEN)
+    names = found.names.take(pa.array(found.code)).to_pylist()
+    assert list(zip(found.page.tolist(), found.pos.tolist(), names)) == [
+        (0, 0, "visa"), (0, 1, "fee"), (3, 1, "visa"), (4, 0, "fee"), (4, 1, "work")
+    ]
+    assert found.tokens.tolist() == [2, 0, 0, 2, 2]
