@@ -11,7 +11,7 @@ from termloom.functions.joins import join_to_groups
 from termloom.functions.ranking import number_slices, sort_into_slices, with_rank
 from termloom.functions.text import WHITE_SPACE
 from termloom.operators.content import succeeded
-from termloom.operators.topics import DEFAULT_TAXONOMY, Taxonomy, page_topics
+from termloom.operators.topics import DEFAULT_TAXONOMY, Taxonomy, topic_names
 from termloom.params import DEFAULT_PARAMS, Params
 from termloom.vocab import GAP_SECTIONS
 
@@ -58,7 +58,6 @@ def page_blocks(
     names = F.transform(
         F.slice("keywords", 1, params.prompt_keywords), lambda k: k["keyword"]
     )
-    topics = F.transform(page_topics(F.col("keywords"), taxonomy), lambda t: t["topic"])
     # Fixed format: three lines per page.
     tail = F.concat(
         F.lit(": "),
@@ -66,7 +65,7 @@ def page_blocks(
         F.lit("\nTop Keywords: "),
         F.array_join(names, ", "),
         F.lit("\nTopics: "),
-        F.array_join(topics, ", "),
+        F.array_join(topic_names(F.col("keywords"), taxonomy), ", "),
     )
     texts = analysis.where(succeeded()).select(*group_cols, "ord", tail.alias("_tail"))
     return texts.join(numbers, "ord").select(

@@ -162,6 +162,13 @@ def page_topics(found: Column, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> Column:
     return F.filter(F.element_at(one_row, 1), lambda t: F.size(t["keywords"]) > 0)
 
 
+def topic_names(found: Column, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> Column:
+    """array<string>: the topics of ``page_topics`` alone, for which no keywords are listed."""
+    orders = F.transform(found, lambda k: taxonomy.order_of(k["keyword"]))
+    some = F.coalesce(F.array_distinct(orders), F.array().cast("array<int>"))
+    return F.transform(F.array_sort(some), taxonomy.name_of)
+
+
 def merged_topics(
     totals: DataFrame,
     taxonomy: Taxonomy = DEFAULT_TAXONOMY,

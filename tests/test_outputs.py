@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plain_scoring import ranked_keywords
 from termloom.operators import prompts
 from termloom.operators.keywords import analyze_pages
-from termloom.operators.topics import Taxonomy
+from termloom.operators.topics import DEFAULT_TAXONOMY, Taxonomy, page_topics, topic_names
 from termloom.params import Params
 from termloom.plans.analysis import analyze_url_list, run_analysis
 from termloom.sinks import reports
@@ -44,6 +44,20 @@ def test_prompt_blocks(spark):
     assert rows[2].block.split("\n")[1] == "Top Keywords: " + ", ".join(f"w{i:02d}" for i in range(30))
 
 
+def test_blocks_name_topics_without_listing_their_keywords(spark):
+    names = ["visa fee", "tax", None, "other", "Visa", "work permit"]
+    rows = [(1, names), (2, names[::-1]), (3, ["other"]), (4, []), (5, None)]
+    found = spark.createDataFrame(rows, "ord int, names array<string>").select(
+        F.transform("names", lambda n: F.struct(n.alias("keyword"))).alias("k")
+    )
+    for taxonomy in (TAXONOMY, DEFAULT_TAXONOMY, Taxonomy.of({"B": ["visa"], "A": [], "B2": ["fee", "tax"]}, match="word")):
+        listed = F.transform(page_topics(F.col("k"), taxonomy), lambda t: t["topic"])
+        for r in found.select(listed.alias("a"), topic_names(F.col("k"), taxonomy).alias("b")).collect():
+            assert r.a == r.b
+    plan = prompts.page_blocks(frame(spark, PAGES), TAXONOMY)._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan
+
+
 def test_prompts_hold_every_page_once(spark):
     blocks = prompts.page_blocks(frame(spark, PAGES), TAXONOMY)
     whole = prompts.gap_prompts(blocks, template="<{domain}>{pages}</{sections}>", domain="tea").collect()
