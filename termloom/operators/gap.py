@@ -75,34 +75,38 @@ def gap_long_tail(
 
 
 def _lists_of_groups(totals: DataFrame, stats: DataFrame, group: Sequence[str]) -> DataFrame:
-    """``common_lists``, stored where there are groups.
+    """``common_lists``, stored.
 
     The size of the table is then known before the pages are read, and a small one goes to all tasks: pages
-    are not exchanged by group, where the largest group would be one task.
+    are not exchanged by group, where the largest group would be one task. It may be read twice.
     """
-    lists = common_lists(totals, stats, group)
-    return materialize(lists, "lists") if group else lists
+    return materialize(common_lists(totals, stats, group), "lists")
 
 
 def _page_names() -> Column:
     return F.transform("keywords", lambda k: k["keyword"])
 
 
-def _common_of_page(present: bool) -> Column:
-    """The entries of ``common`` that the page has, or those that it lacks.
+def _common_that_page_lacks() -> Column:
+    """The entries of ``common`` that the page lacks.
 
     The names the page shares with the list come from one intersection of hash sets; only these
     few are searched for each entry.
     """
     named = F.transform("common", lambda c: c["keyword"])
+    return let(
+        F.array_intersect(_page_names(), named),
+        lambda names: F.filter("common", lambda c: ~F.array_contains(names, c["keyword"])),
+    )
 
-    def wanted(names: Column, keyword: Column) -> Column:
-        has = F.array_contains(names, keyword)
-        return has if present else ~has
 
+def _places_of_common() -> Column:
+    """The places, from 1, of the page's keywords in ``common``."""
     return let(
-        F.array_intersect(_page_names(), named),
-        lambda names: F.filter("common", lambda c: wanted(names, c["keyword"])),
+        F.transform("common", lambda c: c["keyword"]),
+        lambda named: F.transform(
+            F.array_intersect(_page_names(), named), lambda name: F.array_position(named, name).cast("int")
+        ),
     )
 
 
@@ -118,37 +122,28 @@ def gap_semantic(
 
     ``lift`` is pages x shared / (pages with the term x pages with the seed), over pages that have
     both at least ``min_pages`` times; a term is listed with its best seed. Pairs are made inside a
-    page, of its common and its other keywords, and are combined before they are shuffled.
+    page, of its other keywords and the places of its common ones in the list, and are combined before
+    they are shuffled; the list names the seeds of those left.
     """
     group = list(group_cols)
     lists = _lists_of_groups(totals, stats, group)
     names = ["shared", "common", "processed_urls"]
     pages = with_stats(analysis.where(succeeded()), lists, names, group)
     words = pages.select(
-        *group,
-        "processed_urls",
-        _common_of_page(present=True).alias("seeds"),
-        F.array_except(_page_names(), "shared").alias("others"),
+        *group, _places_of_common().alias("seeds"), F.array_except(_page_names(), "shared").alias("others")
     )
     # Outer explodes: the inner form would evaluate the arrays once more in a derived filter.
     pairs = (
-        words.select(*group, "processed_urls", "seeds", F.explode_outer("others").alias("keyword"))
-        .select(*group, "processed_urls", "keyword", F.explode_outer("seeds").alias("s"))
-        .where(F.col("keyword").isNotNull() & F.col("s").isNotNull())
-        .select(*group, "processed_urls", "keyword", "s.df", F.col("s.keyword").alias("seed"))
-    )
-    counted = (
-        pairs.groupBy(*group, "keyword", "seed")
-        .agg(
-            F.count(F.lit(1)).alias("n_ab"),
-            F.min("df").alias("seed_df"),
-            F.min("processed_urls").alias("processed_urls"),
-        )
-        .where(F.col("n_ab") >= min_pages)
+        words.select(*group, "seeds", F.explode_outer("others").alias("keyword"))
+        .select(*group, "keyword", F.explode_outer("seeds").alias("place"))
+        .where(F.col("keyword").isNotNull() & F.col("place").isNotNull())
     )
+    counted = pairs.groupBy(*group, "keyword", "place").agg(F.count(F.lit(1)).alias("n_ab"))
     # A term meets at most max_keywords / common_ratio seeds, so no join key is hot.
     terms = totals.select(*group, "keyword", "df").where(F.col("df") >= min_pages)
-    met = join_on(counted, terms, [*group, "keyword"], "inner")
+    met = join_on(counted.where(F.col("n_ab") >= min_pages), terms, [*group, "keyword"], "inner")
+    seed = F.element_at("common", F.col("place"))
+    met = with_stats(met, lists, names, group).withColumns({"seed": seed["keyword"], "seed_df": seed["df"]})
     lift = (F.col("processed_urls") * F.col("n_ab")) / (F.col("df") * F.col("seed_df"))
     scored = met.withColumn("lift", lift)
     best_seed = Window.partitionBy(*group, "keyword").orderBy(F.desc("lift"), F.desc("n_ab"), "seed")
@@ -179,7 +174,7 @@ def gap_missing(
     """
     lists = _lists_of_groups(totals, stats, group_cols)
     pages = with_stats(analysis.where(succeeded()), lists, ["common"], group_cols)
-    lacks = _common_of_page(present=False)
+    lacks = _common_that_page_lacks()
     return (
         pages.select(*group_cols, "ord", "url", F.posexplode_outer(lacks).alias("i", "k"))
         .where(F.col("k").isNotNull())

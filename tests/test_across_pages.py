@@ -261,6 +261,17 @@ def test_gap_sections(spark, seed):
     }
 
 
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_pairs_are_exchanged_without_the_name_of_the_seed(spark, group):
+    """A seed is its place in the list of common keywords until the pairs are counted."""
+    found = frame(spark, random_pages(4, 30)).withColumn("g", F.when(F.col("ord") % 2 == 0, "even"))
+    totals, stats = aggregate.keyword_totals(found, group), aggregate.page_stats(found, group)
+    rows = gap.gap_semantic(found, totals, stats, group)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    counted = [line for line in plan.splitlines() if "Aggregate" in line and "n_ab" in line]
+    assert len(counted) == 1 and "place#" in counted[0] and "seed" not in counted[0]
+
+
 def test_gap_with_nothing_common(spark):
     found = frame(spark, [page(1, [("a b", 9), ("cc", 5)]), page(2, [("dd", 5)])])
     totals, stats = aggregate.keyword_totals(found), aggregate.page_stats(found)
